@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import order_minhash
+from lumenframe.llm import mixing, order_minhash, virtual_slots
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +15,18 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_with_edited(_table(spark, sf_dir, "documents"))
 
 
+def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return virtual_slots.shard(_table(spark, sf_dir, "documents"))
+
+
+def op8_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op2_order_minhash": op2_order_minhash,
+    "op3_virtual_slots": op3_virtual_slots,
+    "op8_splitting_tree": op8_splitting_tree,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_splitting_tree": mixing.SQL}
