@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import mixing, order_minhash, virtual_slots
+from lumenframe.llm import mixing, order_minhash, simhash, virtual_slots
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slots.shard(_table(spark, sf_dir, "documents"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -26,6 +30,7 @@ def op8_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_order_minhash": op2_order_minhash,
     "op3_virtual_slots": op3_virtual_slots,
+    "op5_simhash": op5_simhash,
     "op8_splitting_tree": op8_splitting_tree,
 }
 
