@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import mixing, order_minhash, simhash, virtual_slots
+from lumenframe.llm import mixing, order_minhash, packing, repair, simhash, virtual_slots, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,19 +19,34 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slots.shard(_table(spark, sf_dir, "documents"))
 
 
+def op4_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.read_shards(repair.write_shards(_table(spark, sf_dir, "documents")))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_open_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op8_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_order_minhash": op2_order_minhash,
     "op3_virtual_slots": op3_virtual_slots,
+    "op4_repair": op4_repair,
     "op5_simhash": op5_simhash,
+    "op7_open_windows": op7_open_windows,
     "op8_splitting_tree": op8_splitting_tree,
+    "op10_piece_counts": op10_piece_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_splitting_tree": mixing.SQL}
