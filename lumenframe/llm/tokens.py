@@ -13,7 +13,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces remembered by a worker; later ones are encoded each time, so memory is bounded.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
 #: Longer pieces are not remembered.
 LONGEST = 64
 #: Runs of white space, white space other than space and line feed, and NUL: a text with any of these is encoded whole.
@@ -37,10 +37,16 @@ class Encoder(dict):
         super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.signs = {x: np.asarray(self.library.encode(x, add_special_tokens=False).ids, dtype="<u2").tobytes() for x in ".,"}
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
 
     def __missing__(self, piece: str) -> bytes:
+        if piece[-1:] in (".", ",") and piece[-2:-1].isalpha():  # a token never holds both a letter and the sign after it
+            ids = self[piece[:-1]] + self.signs[piece[-1]]
+            if len(piece) <= LONGEST and len(self) < REMEMBERED:
+                self[piece] = ids
+            return ids
         text = piece if piece[0] == "\n" else piece[1:] if piece[0] == "\x00" else " " + piece
         ids = np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
         if len(piece) <= LONGEST and len(self) < REMEMBERED:
