@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import written
 from lumenframe.llm.tokens import default_path, encoder
 
-LENGTH, WINDOWS, END_ID, GROUP = 2048, 256, 1, 32
+LENGTH, WINDOWS, END_ID, GROUP = 2048, 256, 1, 8
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, part int, ids binary"
 _FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "ids")
 _TYPES = (pa.int64(),) * 7 + (pa.int32(), pa.binary())
