@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import mixing, order_minhash, packing, repair, simhash, virtual_slots, wordpiece
+from lumenframe.llm import mixing, order_minhash, packing, repair, simhash, toxicity, virtual_slots, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_open_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op3_virtual_slots": op3_virtual_slots,
     "op4_repair": op4_repair,
     "op5_simhash": op5_simhash,
+    "op6_compression_distance": op6_compression_distance,
     "op7_open_windows": op7_open_windows,
     "op8_splitting_tree": op8_splitting_tree,
     "op10_piece_counts": op10_piece_counts,
