@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import mixing, order_minhash, packing, repair, simhash, toxicity, virtual_slots, wordpiece
+from lumenframe.llm import html_blocks, mixing, order_minhash, packing, repair, simhash, toxicity, virtual_slots, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op8_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op6_compression_distance": op6_compression_distance,
     "op7_open_windows": op7_open_windows,
     "op8_splitting_tree": op8_splitting_tree,
+    "op9_text_blocks": op9_text_blocks,
     "op10_piece_counts": op10_piece_counts,
 }
 
