@@ -41,17 +41,21 @@ class Encoder(dict):
         if self.library.get_vocab_size() > 1 << 16:
             raise ValueError("ids of more than 16 bits")
 
-    def __missing__(self, piece: str) -> bytes:
-        if piece[-1:] in (".", ",") and piece[-2:-1].isalpha():  # a token never holds both a letter and the sign after it
-            ids = self[piece[:-1]] + self.signs[piece[-1]]
-            if len(piece) <= LONGEST and len(self) < REMEMBERED:
-                self[piece] = ids
-            return ids
-        text = piece if piece[0] == "\n" else piece[1:] if piece[0] == "\x00" else " " + piece
-        ids = np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        if len(piece) <= LONGEST and len(self) < REMEMBERED:
-            self[piece] = ids
-        return ids
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces, by one call of the library."""
+        got = self.library.encode([p if p[0] == "\n" else p[1:] if p[0] == "\x00" else " " + p for p in pieces], is_pretokenized=True, add_special_tokens=False)
+        raw = np.asarray(got.ids, dtype="<u2").tobytes()
+        ends = (2 * np.searchsorted(np.asarray(got.word_ids), np.arange(len(pieces)), side="right")).tolist()
+        return {p: raw[x:y] for p, x, y in zip(pieces, [0, *ends], ends, strict=False)}
+
+    def _learned(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of pieces not remembered; they are from now on, as long as there is room."""
+        base = {p: p[:-1] if p[-1] in self.signs and p[-2:-1].isalpha() else p for p in pieces}  # no token holds a letter and the sign after it
+        fresh = self._encoded(list({b for b in base.values() if b not in self}))
+        known = {p: (fresh[b] if b in fresh else self[b]) + (self.signs[p[-1]] if b is not p else b"") for p, b in base.items()}
+        if len(self) < REMEMBERED:
+            self.update((p, v) for p, v in (fresh | known).items() if len(p) <= LONGEST)
+        return known
 
     def ids(self, text: str | None) -> np.ndarray:
         """The text's ids, without special tokens; a null text is empty."""
@@ -61,7 +65,11 @@ class Encoder(dict):
             return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u2")
         pieces = text.replace("\n", " \n").split(" ")
         pieces[0] = "\x00" + pieces[0]
-        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), dtype="<u2")
+        found = list(map(self.get, pieces))
+        if None in found:
+            new = self._learned({p for p, v in zip(pieces, found, strict=True) if v is None})
+            found = [new[p] if v is None else v for p, v in zip(pieces, found, strict=True)]
+        return np.frombuffer(b"".join(found), dtype="<u2")
 
 
 @lru_cache(maxsize=2)
