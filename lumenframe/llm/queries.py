@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import html_blocks, mixing, order_minhash, packing, repair, simhash, toxicity, virtual_slots, wordpiece
+from lumenframe.llm import html_blocks, mixing, order_minhash, packing, repair, simhash, tiff, toxicity, virtual_slots, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digests(tiff.pages(tiff.encode(_table(spark, sf_dir, "documents"))))
+
+
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.compare_with_edited(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_tiff_pages": op1_tiff_pages,
     "op2_order_minhash": op2_order_minhash,
     "op3_virtual_slots": op3_virtual_slots,
     "op4_repair": op4_repair,
