@@ -114,6 +114,13 @@ def mix(df: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence[i
     return out.select("doc_id", "source", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"), "draws", "permuted")
 
 
+def drawn(df: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of df that a mix (of whole documents) draws, once for each pass that draws them, with df's columns; ids are taken to be unique, rows with equal ids are drawn together."""
+    draws = mixed.groupBy("doc_id").agg(F.max(F.size("draws")).alias("__draws")).where("__draws > 0").withColumnRenamed("doc_id", "__id")
+    joined = df.join(draws, df["doc_id"].eqNullSafe(draws["__id"]))
+    return joined.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__draws")))).select(*[df[c] for c in df.columns])
+
+
 #: The rows of query op8 in DuckDB's SQL.
 SQL = r"""
 WITH docs AS (

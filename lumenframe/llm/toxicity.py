@@ -191,3 +191,15 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) ->
     """(doc_id, held_out, score, predicted, saved) for every row of documents."""
     found = scored(documents, fit(documents, labels))
     return found.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "saved")
+
+
+def kept(df: DataFrame, model: Model | None, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of df that score below the threshold, with df's columns in order; nothing is shuffled."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = model.compressors() if model else None
+        for b in batches:
+            yield b.filter(pa.array([not model or model.score(model.saved(t, pair)) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
