@@ -135,8 +135,8 @@ def pack(df: DataFrame, length: int = LENGTH, windows: int = WINDOWS, end_id: in
         end = np.array([end_id], dtype="<u2")
         for b in batches:
             out = []
-            for doc_id, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                out += packer.add(doc_id, np.concatenate([enc.ids(t), end]))
+            for doc_id, ids in zip(b.column(0).to_pylist(), enc.batch(b.column(1)), strict=True):
+                out += packer.add(doc_id, np.concatenate([ids, end]))
             yield _rows(out, part, False)
         yield _rows([(-1, w) for w in packer.rest()], part, True)
 

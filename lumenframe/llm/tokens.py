@@ -2,7 +2,8 @@
 
 The pre-tokenizer never lets a token cross a single space between two other characters, so a text whose white space is single spaces
 and single line feeds is encoded piece by piece, each with the space or line feed before it, and pieces that came before
-are looked up. All other texts (runs of white space, other kinds of it, white space at the ends) go to the library whole. Both give its ids.
+are looked up. All other texts (runs of white space, other kinds of it, white space at the ends, control characters) go to the library whole. Both
+give its ids.
 """
 
 from __future__ import annotations
@@ -10,18 +11,18 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Pieces remembered by a worker; later ones are encoded each time, so memory is bounded.
 REMEMBERED = 1_500_000
 #: Longer pieces are not remembered.
 LONGEST = 64
-#: Runs of white space, white space other than space and line feed, and NUL: a text with any of these is encoded whole.
-_ODD = ("  ", " \n", "\n ", "\n\n", "\x00", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"))
-
-
-def _plain(text: str) -> bool:
-    return not (text[0].isspace() or text[-1].isspace() or any(x in text for x in _ODD))
+#: Runs of white space, white space at the ends, white space other than space and line feed, and control characters: a text with any of these is encoded whole.
+_ODD = r"[\x00-\x09\x0b-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
+#: Pieces given to the library at once.
+_AT_ONCE = 20_000
 
 
 def default_path() -> str:
@@ -58,18 +59,40 @@ class Encoder(dict):
         return known
 
     def ids(self, text: str | None) -> np.ndarray:
-        """The text's ids, without special tokens; a null text is empty."""
-        if not text:
-            return np.zeros(0, dtype="<u2")
-        if not _plain(text):
-            return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u2")
-        pieces = text.replace("\n", " \n").split(" ")
-        pieces[0] = "\x00" + pieces[0]
-        found = list(map(self.get, pieces))
-        if None in found:
-            new = self._learned({p for p, v in zip(pieces, found, strict=True) if v is None})
-            found = [new[p] if v is None else v for p, v in zip(pieces, found, strict=True)]
-        return np.frombuffer(b"".join(found), dtype="<u2")
+        """One text's ids."""
+        return self.batch(pa.array([text], pa.string()))[0]
+
+    def batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """Each text's ids, without special tokens; a null text is empty. Pieces are told apart in Arrow, and each distinct one is looked up once."""
+        texts = texts.fill_null("")
+        whole = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        filled = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        out: list[np.ndarray] = [np.zeros(0, dtype="<u2")] * len(texts)
+        for i in np.flatnonzero(whole).tolist():
+            out[i] = np.asarray(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype="<u2")
+        plain = np.flatnonzero(filled & ~whole)
+        if len(plain):
+            marked = pc.binary_join_element_wise("\x00", pc.replace_substring(texts.take(pa.array(plain)), "\n", " \n"), "")
+            lists = pc.split_pattern(marked, " ")
+            pieces = lists.flatten().dictionary_encode()
+            distinct = pieces.dictionary.to_pylist()
+            found = list(map(self.get, distinct))
+            missing = [i for i, v in enumerate(found) if v is None]
+            for at in range(0, len(missing), _AT_ONCE):
+                some = missing[at : at + _AT_ONCE]
+                new = self._learned({distinct[i] for i in some})
+                for i in some:
+                    found[i] = new[distinct[i]]
+            length = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 2
+            start = np.cumsum(length) - length
+            code = pieces.indices.to_numpy()
+            n = length[code]
+            ends = np.cumsum(n)
+            flat = np.frombuffer(b"".join(found), dtype="<u2")[np.repeat(start[code] - ends + n, n) + np.arange(int(ends[-1]))]
+            cuts = ends[lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py() - 1].tolist()
+            for i, x, y in zip(plain.tolist(), [0, *cuts], cuts, strict=False):
+                out[i] = flat[x:y]
+        return out
 
 
 @lru_cache(maxsize=2)
