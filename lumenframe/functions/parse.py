@@ -99,7 +99,7 @@ def broadcasters(s: Column, paying: bool) -> Column:
 def all_broadcasters(paying: Column, free: Column) -> Column:
     """Both lists as one sorted text without repeats; empty if both are."""
     both = F.filter(F.concat(F.coalesce(paying, F.array().cast("array<string>")), F.coalesce(free, F.array().cast("array<string>"))), lambda b: b.isNotNull())
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(both, F.trim))), ", ")
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(both, lambda b: F.trim(b)))), ", ")
 
 
 def allocations(s: Column) -> Column:
@@ -121,7 +121,7 @@ def is_french_financed(m: Column) -> Column:
 
 
 def slash_list(s: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), "/"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(s, F.lit("")), "/"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def reward(s: Column) -> Column:

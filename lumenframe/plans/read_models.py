@@ -106,7 +106,7 @@ def search(t: Tables, text: str, limit: int = 5, escape_wildcards: bool = False)
     """Films with a visa whose name holds the text in any case; the shortest names first. % and _ are wildcards unless escaped."""
     if escape_wildcards:
         text = text.replace("\\", "\\\\").replace("%", r"\%").replace("_", r"\_")
-    hits = t["films"].where(F.lower("original_name").ilike(F.lit(f"%{text.lower()}%"))).where(F.col("visa_number").isNotNull()).orderBy(F.length("original_name"), "original_name", "id").limit(limit)
+    hits = t["films"].where(F.ilike(F.lower("original_name"), F.lit(f"%{text.lower()}%"))).where(F.col("visa_number").isNotNull()).orderBy(F.length("original_name"), "original_name", "id").limit(limit)
     posters = M.first_by(t["posters"], ["film_id"], ["id"]).select("film_id", F.col("image_base64").alias("poster"))
     return hits.select(F.col("id").alias("film_id"), "original_name", F.year("release_date").alias("release_year")).join(posters, "film_id", "left").join(directors(t), "film_id", "left").orderBy(F.length("original_name"), "original_name", "film_id")
 
