@@ -36,8 +36,8 @@ BITS, SEED = 64, 42
 SAMPLE = 20_000
 TILE = 4096
 SKETCH = 128
-#: What one probe costs to send and sort, in comparisons.
-PROBE_COST = 200
+#: What one probe (a row to shuffle, sort and read) costs, in comparisons (a few nanoseconds each).
+PROBE_COST = 500
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
