@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenframe.operators.settle import settled
 
-def with_ids(new: DataFrame, existing: DataFrame, order: list[str], id_column: str = "id", parts: int = 64) -> DataFrame:
+
+def with_ids(new: DataFrame, existing: DataFrame, order: list[str], id_column: str = "id", parts: int | None = None) -> DataFrame:
     """new with ids that go on from the largest of existing, without gaps, in the given order.
 
-    Ids are dealt range by range: rows are numbered within ranges of the order and each range starts where the ones before it end.
+    Ids are dealt range by range: rows are numbered within ranges of the order and each range starts where the ones before it end. The
+    ranges are settled first, so that a lost executor can't deal them anew.
     """
+    parts = parts or int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     start = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("__start"))
-    dealt = new.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
+    dealt = settled(new.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
     n = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = n.groupBy("__part").agg(F.max("__n").alias("__size"))
     before = sizes.withColumn("__before", F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).drop("__size")

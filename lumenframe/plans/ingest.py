@@ -9,6 +9,7 @@ from lumenframe.functions import parse as P
 from lumenframe.functions.text import clean_title, first_name, last_name, remove_extra_spaces, unaccent
 from lumenframe.operators import upsert as U
 from lumenframe.operators.resolve import best_film
+from lumenframe.operators.settle import settled
 
 Tables = dict[str, DataFrame]
 
@@ -46,9 +47,9 @@ def add_credits(t: Tables, rows: DataFrame, genders: DataFrame | None = None) ->
     """rows: (film_id, role, kind, name), role by name or by the source's label. Returns the tables with holders and credits added, and the rows whose role is unknown."""
     by_name = t["roles"].select(F.col("id").alias("role_id"), F.lower("name").alias("label")).unionByName(t["roles"].select(F.col("id").alias("role_id"), F.lower("allocine_name").alias("label")))
     known = by_name.where("label is not null").groupBy("label").agg(F.min("role_id").alias("role_id"))  # the first of several
-    found = rows.withColumn("label", F.lower("role")).join(F.broadcast(known), "label", "left").drop("label")
+    found = settled(rows.withColumn("label", F.lower("role")).join(known, "label", "left").drop("label"))
     good, unknown = found.where("role_id is not null"), found.where("role_id is null").drop("role_id")
-    made = holders(good.select("kind", "name"), genders)
+    made = settled(holders(good.select("kind", "name"), genders))
     out = dict(t)
     out["credit_holders"] = U.find_or_create(t["credit_holders"], made.drop("name"), _HOLDER_KEY)
     ids = out["credit_holders"].groupBy(*_HOLDER_KEY).agg(F.min("id").alias("credit_holder_id"))
@@ -63,7 +64,7 @@ def sheets(t: Tables, raw: DataFrame) -> tuple[Tables, DataFrame]:
     clean = clean_sheets(raw)
     fresh = clean.join(t["films"].select("visa_number").where("visa_number is not null").distinct(), "visa_number", "left_anti")
     numbered = fresh.where("visa_number is null").withColumn("__n", F.lit(1)).unionByName(fresh.where("visa_number is not null").withColumn("__n", F.row_number().over(Window.partitionBy("visa_number").orderBy("cnc_agrement_year", "original_name")))).where("__n = 1").drop("__n")
-    films = U.with_ids(numbered, t["films"], ["cnc_agrement_year", "visa_number", "original_name"])
+    films = settled(U.with_ids(numbered, t["films"], ["cnc_agrement_year", "visa_number", "original_name"]))
     out = dict(t)
     out["films"] = t["films"].unionByName(films.drop("allocations", "paying", "free", "directors", "producers"), allowMissingColumns=True)
     shares = films.select(F.col("id").alias("film_id"), F.explode("allocations").alias("name", "budget_allocation"))
@@ -84,6 +85,7 @@ def details(t: Tables, raw: DataFrame, genders: DataFrame | None = None) -> tupl
     """Release dates, durations, genres, posters, trailers and credits for known films that lack date or duration."""
     films = t["films"].where(~(F.col("release_date").isNotNull() & F.col("duration_minutes").isNotNull())).select(F.col("id").alias("film_id"), "visa_number")
     rows = raw.withColumn("visa_number", P.visa(F.col("visa_number"))).join(films, "visa_number").dropDuplicates(["film_id"])
+    rows = settled(rows)
     new = rows.select(F.col("film_id").alias("id"), F.col("allocine_id").try_cast("int").alias("allocine_id"), P.release_date(F.col("release_date")).alias("release_date"), P.duration(F.col("duration")).alias("duration_minutes"), P.genre_categories(P.name_list(F.col("genres"))).alias("genre_categories"))
     out = dict(t)
     out["films"] = U.update(t["films"], new, ["id"])
@@ -115,14 +117,14 @@ def awards(t: Tables, raw: DataFrame, festivals: DataFrame, labels: DataFrame |
     out["countries"] = U.find_or_create(t["countries"], rows.select(F.col("country").alias("name")).where("name is not null"), ["name"])
     role = t["roles"].where(F.lower("name") == "director").select(F.col("id").alias("role_id"))
     people = t["film_credits"].join(F.broadcast(role), "role_id", "left_semi").join(t["credit_holders"].select(F.col("id").alias("credit_holder_id"), F.concat_ws(" ", "first_name", "last_name").alias("name")), "credit_holder_id")
-    matched = best_film(rows, t["films"], people.select("film_id", "name"))
+    matched = settled(best_film(rows, t["films"], people.select("film_id", "name")))
     key = lambda c: unaccent(F.lower(F.trim(c)))
     # rows that match no film make one each by director and title
     wanted = matched.where("film_id is null").groupBy(key(F.col("title")).alias("__t"), key(F.col("director")).alias("__d")).agg(F.min_by("title", "row_id").alias("original_name"), F.min_by("director", "row_id").alias("director"))
     made = U.with_ids(wanted, t["films"], ["__d", "__t"])
     out["films"] = t["films"].unionByName(made.select("id", "original_name"), allowMissingColumns=True)
     out, _ = add_credits(out, made.select(F.col("id").alias("film_id"), F.lit("director").alias("role"), F.lit("Individual").alias("kind"), F.col("director").alias("name")), genders)
-    full = matched.withColumns({"__t": key(F.col("title")), "__d": key(F.col("director"))}).join(made.select(F.col("id").alias("__made"), "__t", "__d"), ["__t", "__d"], "left").withColumn("film_id", F.coalesce("film_id", "__made")).drop("__t", "__d", "__made")
+    full = settled(matched.withColumns({"__t": key(F.col("title")), "__d": key(F.col("director"))}).join(made.select(F.col("id").alias("__made"), "__t", "__d"), ["__t", "__d"], "left").withColumn("film_id", F.coalesce("film_id", "__made")).drop("__t", "__d", "__made"))
     c = out["countries"].select(F.col("id").alias("country_id"), F.col("name").alias("country"))
     out["film_country_budget_allocations"] = U.keep_first(out["film_country_budget_allocations"], full.join(c, "country").select("country_id", "film_id", F.lit(100.0).alias("budget_allocation")), ["country_id", "film_id"], ["film_id"])
     known = festivals.select(F.lower("name").alias("__f"), F.col("name").alias("festival_name"), "description", "image_base64", F.col("country").alias("__country"))
@@ -131,7 +133,7 @@ def awards(t: Tables, raw: DataFrame, festivals: DataFrame, labels: DataFrame |
     out["countries"] = U.find_or_create(out["countries"], good.select(F.col("__country").alias("name")), ["name"])
     wanted_f = good.select("festival_name", "description", "image_base64", "__country").distinct().join(out["countries"].select(F.col("id").alias("country_id"), F.col("name").alias("__country")), "__country").select(F.col("festival_name").alias("name"), "description", "image_base64", "country_id")
     out["festivals"] = U.find_or_create(t["festivals"], wanted_f, ["name"])
-    good = good.join(out["festivals"].select(F.col("id").alias("festival_id"), F.col("name").alias("festival_name")), "festival_name")
+    good = settled(good.join(out["festivals"].select(F.col("id").alias("festival_id"), F.col("name").alias("festival_name")), "festival_name"))
     labelled = good.select("mubi_label", "festival_id").where("mubi_label is not null").distinct()
     if labels is not None:
         labelled = labelled.join(F.broadcast(labels.select(F.trim("mubi_label").alias("__l"), "english_label", "french_label").dropDuplicates(["__l"])), F.trim("mubi_label") == F.col("__l"), "left").drop("__l")

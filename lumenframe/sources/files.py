@@ -45,7 +45,7 @@ def lookup_csv(spark: SparkSession, path: str, key: str, columns: Sequence[str])
 
 
 def append_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("header", True).csv(path)
+    df.write.mode("append").option("header", True).option("escape", chr(34)).csv(path)
 
 
 def as_json_cells(df: DataFrame) -> DataFrame:
