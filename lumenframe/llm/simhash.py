@@ -181,8 +181,13 @@ def _pairs(fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of all pairs within limit bits; past TILE members by buckets of limit + 1 runs of bits, recursively."""
 
     def small(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = np.nonzero(np.triu(np.bitwise_count(fp[at][:, None] ^ fp[at][None, :]) <= limit, 1))
-        return at[a], at[b]
+        own, first, second = fp[at], [], []
+        for i in range(0, len(at), 128):  # a strip right of the diagonal at a time, which stays in the cache
+            a, b = np.nonzero(np.bitwise_count(own[i : i + 128, None] ^ own[None, i:]) <= limit)
+            up = a < b
+            first.append(a[up] + i)
+            second.append(b[up] + i)
+        return at[np.concatenate(first)], at[np.concatenate(second)]
 
     def split(at: np.ndarray, runs: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
         if len(at) <= TILE:
@@ -336,7 +341,7 @@ def near_duplicates(df: DataFrame, k: int = 4, limit: int = 4) -> DataFrame:
     )
 
 
-def deduplicate(df: DataFrame, similarity: float = 0.8, limit: int = 7, slack: float = 0.03) -> DataFrame:
+def deduplicate(df: DataFrame, similarity: float = 0.8, limit: int = 8, slack: float = 0.03) -> DataFrame:
     """The rows of df less all but one of each near-duplicate group (the smallest doc_id stays), with df's columns.
 
     For word-level edits a fingerprint of distinct words stays within a few bits, where one of long shingles would not: candidates are
