@@ -16,13 +16,13 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Pieces remembered by a worker; later ones are encoded each time, so memory is bounded.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 #: Longer pieces are not remembered.
 LONGEST = 64
 #: Runs of white space, white space at the ends, white space other than space and line feed, and control characters: a text with any of these is encoded whole.
 _ODD = r"[\x00-\x09\x0b-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
-#: Pieces given to the library at once.
-_AT_ONCE = 20_000
+#: Pieces given to the library at once, and bytes of text looked at together.
+_AT_ONCE, _BYTES = 20_000, 4 << 20
 
 
 def default_path() -> str:
@@ -64,7 +64,17 @@ class Encoder(dict):
 
     def batch(self, texts: pa.Array) -> list[np.ndarray]:
         """Each text's ids, without special tokens; a null text is empty. Pieces are told apart in Arrow, and each distinct one is looked up once."""
+        out: list[np.ndarray] = []
         texts = texts.fill_null("")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _BYTES, side="right")))
+            out += self._some(texts.slice(at, stop - at))
+            at = stop
+        return out
+
+    def _some(self, texts: pa.Array) -> list[np.ndarray]:
         whole = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         filled = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         out: list[np.ndarray] = [np.zeros(0, dtype="<u2")] * len(texts)
