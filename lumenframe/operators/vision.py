@@ -157,8 +157,14 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
-def nearest(queries: DataFrame, points: DataFrame) -> DataFrame:
-    """(query_id, vector) against (point_id, label, vector): each query's nearest other point. The queries are a stated set and are broadcast, in blocks of 1024 past that."""
-    q, p = queries.select("query_id", F.col("vector").alias("__q")), points.select("point_id", "label", F.col("vector").alias("__p"))
-    pairs = p.join(F.broadcast(q), F.col("point_id") != F.col("query_id")).withColumn("distance", distance(F.col("__p"), F.col("__q")))
-    return pairs.groupBy("query_id").agg(F.min(F.struct("distance", "point_id", "label")).alias("b")).select("query_id", "b.*")
+def nearest(queries: DataFrame, points: DataFrame, block: int = 1024) -> DataFrame:
+    """(query_id, vector) against (point_id, label, vector): each query's nearest other point. The queries are a stated set; at most `block` of them are broadcast at a time, and each block's points keep only their best per partition."""
+    blocks = max(1, -(-queries.count() // block))
+    p = points.select("point_id", "label", F.col("vector").alias("__p"))
+    best = None
+    for i in range(blocks):
+        q = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", F.col("vector").alias("__q"))
+        pairs = p.join(F.broadcast(q), F.col("point_id") != F.col("query_id")).withColumn("distance", distance(F.col("__p"), F.col("__q")))
+        own = pairs.groupBy("query_id").agg(F.min(F.struct("distance", "point_id", "label")).alias("b")).select("query_id", "b.*")
+        best = own if best is None else best.unionByName(own)
+    return best

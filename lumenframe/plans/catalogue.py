@@ -83,11 +83,11 @@ def year_filter(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(20,2)")).cast("decimal(30,2)").cast("string").alias("total"))
 
 
-@query("SELECT o_orderkey, o_orderdate::DATE AS day FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'")
+@query("SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day FROM orders WHERE o_orderdate::DATE BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'")
 def year_range(spark: SparkSession, d: str) -> DataFrame:
     """Rows between the first and last day of a year, both included."""
     span = P.year_range(F.lit("1995"))
-    return _t(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")).where(F.col("day").between(span["first"], span["last"]))
+    return _t(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")).where(F.col("day").between(span["first"], span["last"])).withColumn("day", F.col("day").cast("string"))
 
 
 @query("SELECT count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
@@ -158,7 +158,7 @@ def film_cast_share(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT user_id, ts::DATE AS day, round(coalesce(sum(CASE WHEN event_type = 'signup' THEN v END), 0), 6) AS female_time, round(coalesce(sum(CASE WHEN event_type <> 'click' THEN v END), 0), 6) AS non_white_time
+    """SELECT user_id, ts::DATE::VARCHAR AS day, round(coalesce(sum(CASE WHEN event_type = 'signup' THEN v END), 0), 6) AS female_time, round(coalesce(sum(CASE WHEN event_type <> 'click' THEN v END), 0), 6) AS non_white_time
     FROM (SELECT *, CASE WHEN event_id % 7 > 0 THEN value END AS v FROM events) GROUP BY 1, 2"""
 )
 def screen_time_sums(spark: SparkSession, d: str) -> DataFrame:
@@ -166,7 +166,7 @@ def screen_time_sums(spark: SparkSession, d: str) -> DataFrame:
     time = F.when(F.col("event_id") % 7 > 0, F.col("value"))
     kind = F.when(F.col("event_type") == "signup", "Female").otherwise("Male")
     origin = F.when(F.col("event_type") == "click", "White").otherwise(F.col("event_type"))
-    return _t(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(M.female_time(kind, time), 6).alias("female_time"), F.round(M.non_white_time(origin, time), 6).alias("non_white_time"))
+    return _t(spark, d, "events").groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.round(M.female_time(kind, time), 6).alias("female_time"), F.round(M.non_white_time(origin, time), 6).alias("non_white_time"))
 
 
 @query(
@@ -439,12 +439,12 @@ def format_duration(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey, o_orderdate::DATE AS parsed, day(o_orderdate) || ' ' || ['janvier','février','mars','avril','mai','juin','juillet','août','septembre','octobre','novembre','décembre'][month(o_orderdate)] || ' ' || year(o_orderdate) AS written FROM orders"""
+    """SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS parsed, day(o_orderdate) || ' ' || ['janvier','février','mars','avril','mai','juin','juillet','août','septembre','octobre','novembre','décembre'][month(o_orderdate)] || ' ' || year(o_orderdate) AS written FROM orders"""
 )
 def french_dates(spark: SparkSession, d: str) -> DataFrame:
     """Dates as long French text, and back."""
     written = P.french_date(F.col("o_orderdate"))
-    return _t(spark, d, "orders").select("o_orderkey", P.release_date(written).alias("parsed"), written.alias("written"))
+    return _t(spark, d, "orders").select("o_orderkey", P.release_date(written).cast("string").alias("parsed"), written.alias("written"))
 
 
 @query(
