@@ -62,12 +62,17 @@ def block_bounds(df: DataFrame, key: Column, blocks: int) -> list[int]:
     """Ascending keys that cut df into at most so many ranges of about as many rows. The list is as long as `blocks`, whatever df holds."""
     if blocks < 2:
         return []
-    got = df.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], 20 * blocks).alias("q")).first()["q"]
+    accuracy = min(20 * blocks, max(10_000, 4 * blocks))
+    got = df.agg(F.percentile_approx(key, [i / blocks for i in range(1, blocks)], accuracy).alias("q")).first()["q"]
     return sorted(set(got or []))
 
 
 def block_of(key: Column, bounds: list[int]) -> Column:
-    """The number of the range that holds key: how many bounds are not above it. A balanced tree of comparisons."""
+    """The number of the range that holds key: how many bounds are not above it. A tree of comparisons, or for many bounds a binary search in one constant array."""
+    if len(bounds) > 1024:
+        sorted_ = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+        steps = F.array(*[F.lit(1 << s) for s in reversed(range(len(bounds).bit_length()))])
+        return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(sorted_, at + step - 1) <= key, at + step).otherwise(at))
 
     def tree(low: int, high: int):
         if low == high:
