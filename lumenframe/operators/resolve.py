@@ -53,3 +53,15 @@ def best_film(rows: DataFrame, films: DataFrame, directors: DataFrame, threshold
     scored = wanted.join(known, "__key").withColumn("score", similarity(unaccent("original_name"), unaccent("title"))).where(F.col("score") > threshold)
     best = scored.groupBy("row_id").agg(F.min_by("film_id", F.struct(-F.col("score"), F.col("film_id"))).alias("film_id"), F.max("score").alias("score"))
     return rows.join(best, "row_id", "left")
+
+
+def match_or_insert(existing: DataFrame, incoming: DataFrame, name: str, threshold: float = 0.9, id_column: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(existing with the names that resemble none of its own, (name, id) of every incoming name). Of several matches the best counts, then the least id."""
+    from lumenframe.operators.upsert import find_or_create
+
+    wanted = incoming.select(F.col(name).alias("__in")).where("__in is not null").distinct()
+    best = fuzzy_join(wanted, existing.select(id_column, F.col(name).alias("__old")), "__in", "__old", threshold).groupBy("__in").agg(F.min_by(id_column, F.struct(-F.col("similarity_score"), F.col(id_column))).alias(id_column))
+    fresh = wanted.join(best, "__in", "left_anti").select(F.col("__in").alias(name))
+    grown = find_or_create(existing, fresh, [name], id_column)
+    made = grown.join(fresh, name).groupBy(name).agg(F.min(id_column).alias(id_column))
+    return grown, best.select(F.col("__in").alias(name), id_column).unionByName(made)

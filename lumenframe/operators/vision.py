@@ -168,3 +168,32 @@ def nearest(queries: DataFrame, points: DataFrame, block: int = 1024) -> DataFra
         own = pairs.groupBy("query_id").agg(F.min(F.struct("distance", "point_id", "label")).alias("b")).select("query_id", "b.*")
         best = own if best is None else best.unionByName(own)
     return best
+
+
+# --- pixels -----------------------------------------------------------------------------------------------------------------------
+
+
+def crop(pixels: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """The part of an image (array of rows) inside a box; the right and lower edges are outside."""
+    return F.transform(F.slice(pixels, y1 + 1, F.greatest(y2 - y1, F.lit(0))), lambda row: F.slice(row, x1 + 1, F.greatest(x2 - x1, F.lit(0))))
+
+
+def laplacian_variance(pixels: Column) -> Column:
+    """Sharpness of a grey image (array of rows): the variance of its Laplacian, with edges mirrored; null for no image."""
+
+    def run(images: pd.Series) -> pd.Series:
+        def one(rows) -> float | None:
+            if rows is None or not len(rows) or not len(rows[0]):
+                return None
+            x = np.pad(np.stack([np.asarray(r, dtype=np.float64) for r in rows]), 1, mode="reflect" if min(len(rows), len(rows[0])) > 1 else "edge")
+            return float((x[:-2, 1:-1] + x[2:, 1:-1] + x[1:-1, :-2] + x[1:-1, 2:] - 4 * x[1:-1, 1:-1]).var())
+
+        return pd.Series([one(i) for i in images], dtype="float64")
+
+    return F.pandas_udf(run, "double")(pixels)
+
+
+def colour(gender: Column) -> Column:
+    """Red, green and blue of a box around a face."""
+    rgb = lambda *c: F.array(*[F.lit(x) for x in c])
+    return F.when(F.lower(gender) == "male", rgb(0, 0, 255)).when(F.lower(gender) == "female", rgb(255, 0, 0)).otherwise(rgb(128, 128, 128))

@@ -160,3 +160,38 @@ def test_schema_checks_and_versions(spark):
     assert {r["check"] for r in S.violations(t).collect()} == {"countries: name repeated", "festivals.country_id not in countries"}
     old = {"films": S.create(spark, "films").drop("broadcasters", "budget_category", "genre_categories", "is_french_financed").withColumn("first_language", F.lit("fr"))}
     assert set(S.migrate(old)["films"].columns) == set(S.create(spark, "films").columns)
+
+
+def test_crop_and_sharpness(spark):
+    rng = np.random.default_rng(0)
+    noisy, flat = rng.integers(0, 255, (6, 8)).astype(float).tolist(), [[7.0] * 8] * 6
+    df = spark.createDataFrame([(1, noisy), (2, flat), (3, None)], "id int, p array<array<double>>")
+    got = df.select(V.laplacian_variance(F.col("p")).alias("v"), V.crop(F.col("p"), F.lit(2), F.lit(1), F.lit(5), F.lit(3)).alias("c")).collect()
+    assert got[0]["v"] > 1000 and got[1]["v"] == 0 and got[2]["v"] is None and got[0]["c"] == [r[2:5] for r in noisy[1:3]]
+
+
+def test_match_or_insert(spark):
+    old = spark.createDataFrame([(3, "Jean Dupont"), (5, "Anna Karenina")], "id int, name string")
+    new = spark.createDataFrame([("Dupont Jean",), ("Bob",), ("Bob",), (None,)], "name string")
+    grown, ids = R.match_or_insert(old, new, "name")
+    assert rows(grown) == [(3, "Jean Dupont"), (5, "Anna Karenina"), (6, "Bob")] and rows(ids) == [("Bob", 6), ("Dupont Jean", 3)]
+
+
+def test_people_of_a_trailer(spark):
+    from lumenframe.plans.trailers import people
+
+    rng = np.random.default_rng(3)
+    logits = [float(x) for x in (9, 0, 0, 0, 0, 0, 0, 0, 1, 0, 0, 0, 5, 0, 0, 0, 0, 0)]
+    faces = [(1, i, i, 0, 0, 40, 40, 0.9, 300.0, -0.5, logits, (rng.normal(i % 2 * 9, 0.01, 4)).tolist()) for i in range(60)]
+    faces += [(1, 100 + i, i, 0, 0, 40, 40, 0.3, 300.0, -0.5, logits, [0.0] * 4) for i in range(60)] + [(1, 200, 1, 0, 0, 40, 40, 0.9, 300.0, None, logits, [0.0] * 4)]
+    d = spark.createDataFrame(faces, "film int, face_id int, frame_id int, x1 int, y1 int, x2 int, y2 int, conf double, sharpness double, nose_z double, logits array<double>, embedding array<double>")
+    got = people(d, spark.createDataFrame([(1, 240, 0.5)], "film int, width int, seconds_per_frame double")).orderBy("label").collect()
+    assert [(r["label"], r["gender"], r["age_min"], r["age_max"], r["ethnicity"], r["occurence"], r["time_on_screen"]) for r in got] == [(0, "Female", 20, 29, "White", 30, 15.0), (1, "Female", 20, 29, "White", 30, 15.0)]
+    assert got[0]["average_size_on_screen"] == pytest.approx(1600 / 24000)
+
+
+def test_cast_sections(spark):
+    html = '<section class="crew"><h2>Production</h2><div class="c"><span class="r">Producteur</span><a class="n">A</a></div><div class="c"><i class="r2">Co</i><b class="n2">B</b></div><div class="c">x</div></section>'
+    df = spark.createDataFrame([(html,), ("",)], "h string")
+    got = df.select(pages.cast_sections(F.col("h"), "crew", ("h2", None), ("div", "c"), [("span", "r"), ("i", "r2")], [("a", "n"), ("b", "n2")]).alias("m")).collect()
+    assert {k: [tuple(x) for x in v] for k, v in got[0]["m"].items()} == {"Production": [("Producteur", "A"), ("Co", "B")]} and got[1]["m"] == {}
