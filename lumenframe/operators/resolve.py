@@ -2,30 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.names import jaro_winkler, levenshtein_share, sorted_name
 from lumenframe.functions.text import similarity, unaccent
 
 
+def _close_pairs(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
+    """Pairs (__a, __b) that may have an edit-distance share of `share` or more; none that has is missing.
+
+    Such a pair differs by t = floor((1 - share) * longer) edits at most. Cut the one into t + 1 segments: t edits leave one of them as it is, moved by t
+    places at most. So pairs meet where a substring of the other equals a segment, for lengths that fit.
+    """
+
+    def lengths(n: Column) -> Column:
+        return F.sequence(F.ceil(n * share - 1e-9).cast("int"), F.floor(n / share + 1e-9).cast("int"))
+
+    edits = F.floor((1 - share) * F.greatest("__n", "__m") + 1e-9).cast("int")
+    start = F.floor(F.col("__i") * F.col("__m") / (F.col("__t") + 1)).cast("int")
+    size = F.floor((F.col("__i") + 1) * F.col("__m") / (F.col("__t") + 1)).cast("int") - start
+
+    def segments(df: DataFrame) -> DataFrame:
+        return df.withColumn("__t", edits).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__t")))).withColumns({"__start": start, "__size": size})
+
+    cut = segments(b.withColumn("__m", F.length("__b")).withColumn("__n", F.explode(lengths(F.col("__m")))))
+    cut = cut.select("__b", "__n", "__m", "__i", F.col("__b").substr(F.col("__start") + 1, F.col("__size")).alias("__s"))
+    probe = segments(a.withColumn("__n", F.length("__a")).withColumn("__m", F.explode(lengths(F.col("__n")))))
+    low, high = F.greatest(F.col("__start") - F.col("__t"), F.lit(0)), F.least(F.col("__n") - F.col("__size"), F.col("__start") + F.col("__t"))
+    probe = probe.where(low <= high).withColumn("__p", F.explode(F.sequence(low, high))).select("__a", "__n", "__m", "__i", F.col("__a").substr(F.col("__p") + 1, F.col("__size")).alias("__s"))
+    return probe.distinct().join(cut, ["__n", "__m", "__i", "__s"]).select("__a", "__b").distinct()
+
+
 def fuzzy_join(left: DataFrame, right: DataFrame, left_name: str, right_name: str, threshold: float = 0.9) -> DataFrame:
     """Pairs of rows whose names score `threshold` or more, with similarity_score.
 
     Distinct sorted names are compared, not rows. A score of t needs an edit-distance share of 2t - 1 at least, as the other half is 1 at
-    most. So names whose lengths differ by more are never paired (lossless), and the pair meets on a length band instead of a nested
-    loop; the native half is checked before the scan in Python.
+    most; only pairs that may have it meet, and the native half is checked before the scan in Python. At 0.5 or below nothing can be ruled out and
+    all distinct names meet.
     """
     share = 2 * threshold - 1
     a = left.select(sorted_name(F.col(left_name)).alias("__a")).distinct().where("__a <> ''")
     b = right.select(sorted_name(F.col(right_name)).alias("__b")).distinct().where("__b <> ''")
-    n, m = F.length("__a"), F.length("__b")
-    if share > 0:  # shorter >= share * longer
-        a = a.withColumn("__len", F.explode(F.sequence(F.ceil(n * share).cast("int"), F.floor(n / share).cast("int"))))
-        pairs = a.join(b.withColumn("__len", m), "__len").drop("__len")
-    else:
-        a, b = a.withColumn("__len", F.lit(0)), b.withColumn("__len", F.lit(0))
-        pairs = a.join(b, "__len").drop("__len")
+    pairs = _close_pairs(a, b, share) if share > 0 else a.join(b)
     near = pairs.withColumn("__lev", levenshtein_share(F.col("__a"), F.col("__b"))).where(F.col("__lev") >= share - 1e-9)
     scored = near.withColumn("similarity_score", (F.col("__lev") + jaro_winkler(F.col("__a"), F.col("__b"))) / 2).where(F.col("similarity_score") >= threshold)
     l, r = left.withColumn("__a", sorted_name(F.col(left_name))), right.withColumn("__b", sorted_name(F.col(right_name)))
