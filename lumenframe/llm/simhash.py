@@ -8,7 +8,8 @@
    in at most t_i bits of some partition i.
 4. probe: each fingerprint is sent to the bucket of its own value and of all values within t_i bits, for each partition.
 5. verify: all members of a bucket are compared on all 64 bits (and by `similarity` on 5-word shingles where that is asked for). A bucket
-   gives a spanning forest of its verified links, never all pairs; buckets past `TILE` are cut further by the same principle.
+   gives a spanning forest of its verified links, never all pairs; buckets past `HOT` are dealt out by runs of the bits outside their partition, and
+   within a task groups past `TILE` are cut further by the same principle.
 6. Components of the links by alternating large-star and small-star rounds on tables in the shared folder.
 
 Defined cases: a null, empty or blank text has fingerprint 0 and is linked like any other; a text with fewer words than a shingle is
@@ -34,7 +35,8 @@ from lumenframe.llm.common import id_key, partitions, written
 
 BITS, SEED = 64, 42
 SAMPLE = 20_000
-TILE = 4096
+#: Members of a bucket past which it is dealt out to finer ones, and past which a task cuts what it has further.
+HOT, TILE = 20_000, 4096
 SKETCH = 128
 #: What one probe (a row to shuffle, sort and read) costs, in comparisons (a few nanoseconds each).
 PROBE_COST = 500
@@ -131,6 +133,12 @@ def ball(mask: int, radius: int) -> list[int]:
     return [sum(c) for r in range(radius + 1) for c in combinations(own, r)]
 
 
+def bit_runs(mask: int, n: int) -> list[int]:
+    """The mask's bits dealt into n masks."""
+    own = [1 << b for b in range(BITS) if mask >> b & 1]
+    return [sum(own[r::n]) for r in range(n)]
+
+
 def _near_share(values: np.ndarray, mask: int, radius: int) -> float:
     """The share of the sample's ordered pairs that differ in at most radius bits of the mask."""
     v, c = np.unique(values & np.uint64(mask), return_counts=True)
@@ -196,9 +204,7 @@ def _pairs(fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
         if bits.bit_count() <= limit:  # nothing left to split by: in tiles
             return [_tile(fp, at[i : i + TILE], at[j : j + TILE], limit) for i in range(0, len(at), TILE) for j in range(i, len(at), TILE)]
         out = []
-        own = [1 << b for b in range(BITS) if bits >> b & 1]
-        for r in range(limit + 1):
-            run = sum(own[r :: limit + 1])
+        for run in bit_runs(bits, limit + 1):
             key = fp[at] & np.uint64(run)
             order = np.argsort(key, kind="stable")
             cuts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True])
@@ -245,7 +251,15 @@ def links(classes: DataFrame, chosen: list[tuple[int, int]], limit: int, similar
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     probes = [F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).bitwiseXOR(F.lit(signed(x)).cast("long")).alias("value")) for i, (m, t) in enumerate(chosen) for x in ball(m, t)]
     carried = ["id", "fp"] + (["sketch"] if similarity else [])
-    sent = classes.select(F.explode(F.array(*probes)).alias("key"), *carried).select(F.xxhash64("key.part", "key.value").alias("bucket"), *carried)
+    sent = classes.select(F.explode(F.array(*probes)).alias("key"), *carried).select(F.xxhash64("key.part", "key.value").alias("bucket"), "key.part", *carried)
+    hot = written(sent.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("bucket"), "hot")
+    if not hot.isEmpty():
+        # a close pair also differs by `limit` bits at most outside the partition: of limit + 1 runs of those bits it shares one
+        runs = F.array(*[F.array(*[F.lit(signed(r)).cast("long") for r in bit_runs(~m & ((1 << BITS) - 1), limit + 1)]) for m, _ in chosen])
+        finer = F.explode(F.transform(F.get(runs, F.col("part")), lambda r, i: F.xxhash64("bucket", i, F.col("fp").bitwiseAND(r))))
+        split = sent.join(hot, "bucket", "left_semi").select(finer.alias("bucket"), "part", *carried)
+        sent = sent.join(hot, "bucket", "left_anti").unionByName(split)
+    sent = sent.drop("part")
 
     def within(fp: np.ndarray, bucket: np.ndarray, ids: np.ndarray, sketch: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         first, second = [], []

@@ -91,6 +91,17 @@ def test_links_with_unequal_thresholds(spark):
     assert [got.get(i, i) for i in range(len(fps))] == brute_components(fps, 4)
 
 
+def test_hot_buckets_are_dealt_out_without_loss(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 20)
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    fps = sorted({base ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 9))) for _ in range(300)})
+    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(fps)], "id bigint, fp bigint")
+    chosen = S.plan(np.array(fps, dtype=np.uint64), len(fps), 4)
+    got = {r["id"]: r["component"] for r in S.components(S.links(df, chosen, 4)).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == brute_components(fps, 4)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a bigint, b bigint")
     got = {r["id"]: r["component"] for r in S.components(edges).collect()}
