@@ -6,7 +6,7 @@ navigation, header, footer, aside, advert, notice, form or comments (-1), in an
 page has an article at all. A decision tree (CART, Gini impurity), trained here on the small labelled table below, says which are content.
 
 Defined cases: a null, empty or textless page has an empty text; unclosed, misnested and cut-off markup is read to the page's end; a ">" inside a
-quoted attribute or a script ends nothing; character references are decoded once, after cutting; pages of any length are read whole;
+quoted attribute or a script ends nothing; an element whose class, id, role or itemprop says that it is the article's body counts as one; character references are decoded once, after cutting; pages of any length are read whole;
 repeated pages give equal rows; an empty table gives no rows; extra columns are ignored.
 """
 
@@ -71,6 +71,9 @@ _HINT = re.compile(
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "note"))
 
 
+_CONTENT = re.compile(r"(?:^|\s)(?:(?:article|post|entry|story|content|main|page)[-_]?(?:body|content|text)|articleBody)(?=$|\s)", re.IGNORECASE)
+
+
 class Block(NamedTuple):
     text: str
     words: int
@@ -97,6 +100,13 @@ def _named(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _article(tag: str, attributes: str) -> bool:
+    """Whether an element is, or says that it is, the page's article."""
+    if tag in ("article", "main"):
+        return True
+    return any((name.lower() in ("class", "id", "itemprop") and _CONTENT.search(a or b or c)) or (name.lower() == "role" and (a or b or c).lower() in ("main", "article")) for name, a, b, c, _ in _ATTRIBUTE.findall(attributes)) if attributes else False
+
+
 def blocks(page: str | None) -> tuple[list[Block], bool]:
     """The flat text blocks of a page, in order, and whether it has an article or main element."""
     out: list[Block] = []
@@ -143,8 +153,9 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
                 if stack and (stack[-1][0] in _OPEN_ENDED or (tag == "li" == stack[-1][0])):
                     stack.pop()
                 above = stack[-1][1] if stack else 0
-                has_article |= tag in ("article", "main")
-                own = -1 if above < 0 or _named(tag, m[4], above > 0) else 1 if above > 0 or tag in ("article", "main") else 0
+                article = tag not in ("html", "body") and _article(tag, m[4])
+                own = -1 if above < 0 or _named(tag, m[4], above > 0) else 1 if above > 0 or article else 0
+                has_article |= own > 0
                 stack.append((tag, own))
             anchors = 0
             mark = stack[-1][1] if stack else 0

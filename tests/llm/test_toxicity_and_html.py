@@ -67,6 +67,8 @@ def test_tree_fits_its_table():
         ("<article><p>a<p>b<div class='ad'>no</div>c<script>var t='</p>';</script>d</article>e", "a\nb\nc d"),
         ("<main><div class=\"comments\"><p>first!</p></div><form><p>mail</p></form><p title='a>b'>kept</p></main>", "kept"),
         ("<article><aside><article>no</article></aside><header><h1>Head</h1></header>body &#x41;&bogus;", "Head\nbody A&bogus;"),
+        ("<div class='top'>Site</div><div id='wrap'><div class='post-content'><p>Short.</p><p>Also short.</p><div class=share>Share!</div></div><div class='sidebar'><p>No.</p></div></div>", "Short.\nAlso short."),
+        ("<div role=main><p>yes</p></div><div role='navigation'><article>no</article></div>", "yes"),
         ("<div><p>" + "word " * 40 + "</p><p>" + "more " * 50 + "</p></div><ul><li><a href=x>a</a></li><li><a href=y>b</a></li></ul>", ("word " * 40).strip() + "\n" + ("more " * 50).strip()),
     ],
 )
