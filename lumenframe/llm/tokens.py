@@ -34,8 +34,9 @@ def default_path() -> str:
 class Encoder(dict):
     """piece -> its ids as little-endian unsigned 16-bit integers. A piece is what follows a space, or begins with a line feed, or, after NUL, begins the text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         super().__init__()
+        self.remembered = remembered
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.signs = {x: np.asarray(self.library.encode(x, add_special_tokens=False).ids, dtype="<u2").tobytes() for x in ".,"}
@@ -54,7 +55,7 @@ class Encoder(dict):
         base = {p: p[:-1] if p[-1] in self.signs and p[-2:-1].isalpha() else p for p in pieces}  # no token holds a letter and the sign after it
         fresh = self._encoded(list({b for b in base.values() if b not in self}))
         known = {p: (fresh[b] if b in fresh else self[b]) + (self.signs[p[-1]] if b is not p else b"") for p, b in base.items()}
-        if len(self) < REMEMBERED:
+        if len(self) < self.remembered:
             self.update((p, v) for p, v in (fresh | known).items() if len(p) <= LONGEST)
         return known
 
@@ -106,6 +107,6 @@ class Encoder(dict):
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
     """One encoder a worker process."""
-    return Encoder(path)
+    return Encoder(path, remembered)
