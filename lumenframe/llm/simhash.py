@@ -7,11 +7,13 @@
    sum(t_i + 1) = T + 1, so that the estimated candidates plus probes are fewest. Two fingerprints within T bits then differ
    in at most t_i bits of some partition i.
 4. probe: each fingerprint is sent to the bucket of its own value and of all values within t_i bits, for each partition.
-5. verify: all members of a bucket are compared on all 64 bits (and by `similarity` on 5-word shingles where that is asked for). A bucket
-   gives a spanning forest of its verified links, never all pairs; buckets past `HOT` are dealt out by runs of the bits outside their partition, and
-   within a task groups past `TILE` are cut further by the same principle.
+5. verify: all members of a bucket are compared on all 64 bits. A bucket gives a spanning forest of its verified links, never all pairs;
+   buckets past `HOT` are dealt out by runs of the bits outside their partition, and within a task groups past `TILE` are cut further by the
+   same principle.
 6. Components of the links by alternating large-star and small-star rounds on tables in the shared folder.
 
+`deduplicate` takes loose groups of texts and settles each of them by the Jaccard likeness of whole sets of 5-word shingles.
+
 Defined cases: a null, empty or blank text has fingerprint 0 and is linked like any other; a text with fewer words than a shingle is
 hashed whole; equal texts and rows with equal ids are all returned; a null doc_id orders before all others and its component is null only
 if the smallest member is null; an empty table gives no rows; extra columns are ignored.
@@ -37,7 +39,8 @@ BITS, SEED = 64, 42
 SAMPLE = 20_000
 #: Members of a bucket past which it is dealt out to finer ones, and past which a task cuts what it has further.
 HOT, TILE = 20_000, 4096
-SKETCH = 128
+#: Texts and characters of a loose group that make up half of a tile.
+HALF, HALF_CHARS = 500, 4_000_000
 #: What one probe (a row to shuffle, sort and read) costs, in comparisons (a few nanoseconds each).
 PROBE_COST = 500
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -76,33 +79,26 @@ def fingerprint_of(text: str | None, k: int = 4, distinct: bool = False) -> int:
     return _majority(np.fromiter((h(g, SEED) for g in grams), dtype=">u8", count=len(grams)))
 
 
-def sketch_of(text: str | None, k: int = 5) -> bytes:
-    """One-permutation MinHash of k-word shingles: a byte for each of SKETCH buckets, 0 for an empty one."""
+def shingle_hashes(text: str | None, k: int = 5) -> np.ndarray:
+    """The set of a text's k-word shingles as ascending 64-bit hashes."""
     grams = _shingles(_WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER)), k)
     h = xxhash.xxh3_64_intdigest
-    hashes = np.sort(np.fromiter((h(g, SEED) for g in grams), dtype=np.uint64, count=len(grams)))
-    bucket = (hashes >> np.uint64(57)).astype(np.int64)
-    out = np.zeros(SKETCH, dtype=np.uint8)
-    if len(hashes):
-        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        out[bucket[first]] = hashes[first] % np.uint64(255) + np.uint64(1)
-    return out.tobytes()
+    return np.unique(np.fromiter((h(g, SEED) for g in grams), dtype=np.uint64, count=len(grams)))
 
 
-def fingerprints(df: DataFrame, k: int = 4, distinct: bool = False, sketch: bool = False, text: str = "text") -> DataFrame:
-    """(doc_id, fp) and, if asked for, sketch and copy (a digest of the text); fp is signed, as Spark's longs are."""
+def fingerprints(df: DataFrame, k: int = 4, distinct: bool = False, copy: bool = False, text: str = "text") -> DataFrame:
+    """(doc_id, fp) and, if asked for, copy (a digest of the text); fp is signed, as Spark's longs are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             fp = np.fromiter((fingerprint_of(t, k, distinct) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64)
             columns = {"doc_id": b.column(0), "fp": pa.array(fp)}
-            if sketch:
-                columns["sketch"] = pa.array([sketch_of(t) for t in texts], pa.binary())
+            if copy:
                 columns["copy"] = pa.array([hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts], pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint" + ", sketch binary, copy binary" * sketch)
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint" + ", copy binary" * copy)
 
 
 # --- the plan ---------------------------------------------------------------------------------------------------------------------
@@ -240,17 +236,12 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    filled = (a > 0) | (b > 0)
-    return ((a == b) & filled).sum(axis=1) >= least * np.maximum(filled.sum(axis=1), 1)
-
-
-def links(classes: DataFrame, chosen: list[tuple[int, int]], limit: int, similarity: float | None = None) -> DataFrame:
-    """classes: (id, fp[, sketch]). (a, b) of a spanning forest of each bucket's verified links, a < b."""
+def links(classes: DataFrame, chosen: list[tuple[int, int]], limit: int) -> DataFrame:
+    """classes: (id, fp). (a, b) of a spanning forest of each bucket's verified links, a < b."""
     spark = classes.sparkSession
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     probes = [F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).bitwiseXOR(F.lit(signed(x)).cast("long")).alias("value")) for i, (m, t) in enumerate(chosen) for x in ball(m, t)]
-    carried = ["id", "fp"] + (["sketch"] if similarity else [])
+    carried = ["id", "fp"]
     sent = classes.select(F.explode(F.array(*probes)).alias("key"), *carried).select(F.xxhash64("key.part", "key.value").alias("bucket"), "key.part", *carried)
     hot = written(sent.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("bucket"), "hot")
     if not hot.isEmpty():
@@ -261,7 +252,7 @@ def links(classes: DataFrame, chosen: list[tuple[int, int]], limit: int, similar
         sent = sent.join(hot, "bucket", "left_anti").unionByName(split)
     sent = sent.drop("part")
 
-    def within(fp: np.ndarray, bucket: np.ndarray, ids: np.ndarray, sketch: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def within(fp: np.ndarray, bucket: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first, second = [], []
         size = np.diff(np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]))
         start = np.repeat(np.cumsum(size) - size, size)
@@ -280,9 +271,6 @@ def links(classes: DataFrame, chosen: list[tuple[int, int]], limit: int, similar
             first.append(a + s)
             second.append(b + s)
         a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (first, second))
-        if similarity is not None and len(a):
-            ok = np.concatenate([_alike(sketch[a[i : i + 50_000]], sketch[b[i : i + 50_000]], similarity) for i in range(0, len(a), 50_000)])
-            a, b = a[ok], b[ok]
         root = _forest(len(fp), a, b)
         moved = np.flatnonzero((root != np.arange(len(fp))) & (ids[root] != ids))
         x, y = ids[root[moved]], ids[moved]
@@ -291,8 +279,7 @@ def links(classes: DataFrame, chosen: list[tuple[int, int]], limit: int, similar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, SKETCH) if similarity else None
-            a, b = within(t.column("fp").to_numpy().view(np.uint64), t.column("bucket").to_numpy(), t.column("id").to_numpy(), sketch)
+            a, b = within(t.column("fp").to_numpy().view(np.uint64), t.column("bucket").to_numpy(), t.column("id").to_numpy())
             return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         kept: list[pa.RecordBatch] = []
@@ -333,14 +320,14 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
 
 
-def classes(prints: DataFrame, limit: int, similarity: float | None = None) -> DataFrame:
-    """prints: (id, fp[, sketch]), ids unique. (id, component) for the linked ones."""
+def classes(prints: DataFrame, limit: int) -> DataFrame:
+    """prints: (id, fp), ids unique. (id, component) for the linked ones."""
     spark = prints.sparkSession
     n = prints.count()
     sample = np.array([r["fp"] for r in prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
     if n < 2:
         return spark.range(0).select(F.col("id"), F.col("id").alias("component"))
-    return components(links(prints, plan(sample, n, limit), limit, similarity))
+    return components(links(prints, plan(sample, n, limit), limit))
 
 
 def near_duplicates(df: DataFrame, k: int = 4, limit: int = 4) -> DataFrame:
@@ -355,17 +342,84 @@ def near_duplicates(df: DataFrame, k: int = 4, limit: int = 4) -> DataFrame:
     )
 
 
-def deduplicate(df: DataFrame, similarity: float = 0.8, limit: int = 8, slack: float = 0.03) -> DataFrame:
+def alike(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For each of the sets the least place of those it is linked to, directly or not, by a Jaccard likeness of `least` or more; empty sets resemble nothing."""
+    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(size) - size
+    label, marked = np.arange(len(sets)), np.zeros(len(names), dtype=bool)
+    rest = np.flatnonzero(size > 0)
+    while len(rest):
+        root, rest, todo = rest[0], rest[1:], [rest[0]]
+        while todo and len(rest):
+            u = todo.pop()
+            near = rest[np.minimum(size[rest], size[u]) >= least * np.maximum(size[rest], size[u]) - 1e-9]
+            if not len(near):
+                continue
+            own = flat[start[u] : start[u] + size[u]]
+            marked[own] = True
+            n = size[near]
+            ends = np.cumsum(n)
+            shared = np.add.reduceat(marked[flat[np.repeat(start[near] - ends + n, n) + np.arange(ends[-1])]], ends - n, dtype=np.int64)
+            marked[own] = False
+            hit = near[shared >= least * (n + size[u] - shared) - 1e-9]
+            label[hit] = root
+            rest = rest[~np.isin(rest, hit)]
+            todo += hit.tolist()
+    return label
+
+
+def settled(df: DataFrame, loose: DataFrame, similarity: float, text: str = "text") -> DataFrame:
+    """loose: (id, component). (a, b), a < b, of a spanning forest of the texts of each loose group that are alike by exact Jaccard likeness of 5-word shingles.
+
+    A large group is cut into parts by a hash of the ids, and every two parts meet in a tile, so all pairs of a group are decided and no task holds it whole.
+    """
+    texts = df.select(id_key().alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(loose, "id")
+    sizes = df.select(id_key().alias("id"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("n")).join(loose, "id")
+    parts = F.ceil(F.greatest(F.count("*") / F.lit(HALF), F.sum("n") / F.lit(HALF_CHARS))).cast("int")
+    parts = sizes.groupBy("component").agg(F.greatest(F.lit(1), parts).alias("parts"))
+    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own")))
+    sent = texts.join(parts, "component").withColumn("own", own).withColumn("other", F.explode(others))
+    sent = sent.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            at = np.array(ids, dtype=np.int64)
+            label = alike(sets, similarity) if len(ids) > 1 else np.arange(len(ids))
+            x, y = at, at[label]
+            moved = x != y
+            return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(x, y)[moved], pa.int64()), "b": pa.array(np.maximum(x, y)[moved], pa.int64())})
+
+        tile, ids, sets = None, [], []
+        for b in batches:
+            for c, low, high, i, t in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                if tile != (c, low, high):
+                    if ids:
+                        yield out(ids, sets)
+                    tile, ids, sets = (c, low, high), [], []
+                ids.append(i)
+                sets.append(shingle_hashes(t))
+        if ids:
+            yield out(ids, sets)
+
+    grouped = sent.repartition(partitions(df.sparkSession), "component", "low", "high").sortWithinPartitions("component", "low", "high")
+    return grouped.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def deduplicate(df: DataFrame, similarity: float = 0.8, limit: int = 8) -> DataFrame:
     """The rows of df less all but one of each near-duplicate group (the smallest doc_id stays), with df's columns.
 
-    For word-level edits a fingerprint of distinct words stays within a few bits, where one of long shingles would not: candidates are
-    texts whose distinct-word fingerprints are within `limit` bits, verified by the estimated Jaccard likeness of their 5-word shingles
-    (similarity less slack, the estimate's own error). Exact copies are folded first by a digest of the text. Rows that share an id but
-    not a text stay or go together; of rows equal in both, one stays.
+    For word-level edits a fingerprint of distinct words stays within a few bits, where one of long shingles would not: loose groups are
+    texts linked by distinct-word fingerprints within `limit` bits. Within a loose group every pair is decided by the exact Jaccard likeness of
+    the 5-word shingles. Exact copies are folded first by a digest of the text. Rows that share an id but not a text stay or go
+    together; of rows equal in both, one stays.
     """
-    prints = written(fingerprints(df, 1, distinct=True, sketch=True).withColumn("id", id_key()).drop("doc_id"), "fingerprints")
-    reps = written(prints.groupBy("copy").agg(F.min(F.struct("id", "fp", "sketch")).alias("r")).select("r.*"), "copies")
-    found = classes(reps.select("id", "fp", "sketch"), limit, similarity - slack)
+    prints = written(fingerprints(df, 1, distinct=True, copy=True).withColumn("id", id_key()).drop("doc_id"), "fingerprints")
+    reps = written(prints.groupBy("copy").agg(F.min(F.struct("id", "fp")).alias("r")).select("r.*"), "copies")
+    loose = classes(reps, limit)
+    loose = written(loose.unionByName(loose.select(F.col("component").alias("id"), "component")).distinct(), "loose")
+    found = components(settled(df, loose, similarity))
     stay = reps.join(found.where("component <> id"), "id", "left_anti").select("id").distinct()
     rows = df.withColumn("__id", id_key()).join(stay.select(F.col("id").alias("__id")), "__id", "left_semi")
     twice = prints.groupBy("id").count().where("count > 1").select(F.col("id").alias("__id"))

@@ -143,3 +143,30 @@ def test_deduplicate_against_exact_jaccard(spark):
         if i == base:
             assert i in stay
     assert missed <= 2  # of 120: fingerprints of 64 bits stay within the limit for some 99.9 in 100
+
+
+def words_of(rng, n):
+    return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+
+def test_alike_is_exact_over_large_groups(spark, monkeypatch):
+    rng = random.Random(12)
+    base = words_of(rng, 404)  # 400 shingles; a tail of e new words leaves 400 - e of 400 + e
+    tails = [base[: 404 - e] + words_of(rng, e) for e in (44, 45, 50, 60) for _ in range(12)]
+    monkeypatch.setattr(S, "HALF", 5)
+    df = spark.createDataFrame([(0, " ".join(base))] + [(1 + i, " ".join(t)) for i, t in enumerate(tails)], "doc_id bigint, text string")
+    loose = spark.createDataFrame([(i, 0) for i in range(49)], "id bigint, component bigint")
+    got = {r["id"]: r["component"] for r in S.components(S.settled(df, loose, 0.8)).collect()}
+    assert got == {i: 0 for i in range(1, 13)}  # 44 new words: 356 / 444 = 0.802; 45: 355 / 445 = 0.798
+
+
+def test_the_bound_is_decided_without_error(spark):
+    rng = random.Random(13)
+    rows, want = [], set()
+    for i in range(150):
+        base, e = words_of(rng, 404), (44, 46)[i % 2]
+        copy = base[: 404 - e] + words_of(rng, e)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(copy))]
+        want |= {2 * i} | ({2 * i + 1} if e == 46 else set())
+    stay = {r["doc_id"] for r in S.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert want <= stay  # pairs below 0.8 are never merged
