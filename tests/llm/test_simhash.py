@@ -170,3 +170,21 @@ def test_the_bound_is_decided_without_error(spark):
         want |= {2 * i} | ({2 * i + 1} if e == 46 else set())
     stay = {r["doc_id"] for r in S.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert want <= stay  # pairs below 0.8 are never merged
+
+
+def test_cut_and_appended_copies_are_found(spark):
+    rng = random.Random(14)
+    rows, gone, n = [], set(), 0
+    for share in (0.81, 0.83, 0.86, 0.9):
+        for i in range(60):
+            base = words_of(rng, rng.choice((30, 80, 400)))
+            grams = len(base) - 4
+            if i % 2:
+                copy = base[: 4 + -(-grams * int(100 * share) // 100)]
+            else:
+                copy = base + words_of(rng, int(grams / share) - grams)
+            rows += [(n, " ".join(base)), (n + 1, " ".join(copy))]
+            gone |= {n + 1}
+            n += 2
+    stay = {r["doc_id"] for r in S.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(stay & gone) <= 1 and stay >= set(range(0, n, 2))  # of 240
