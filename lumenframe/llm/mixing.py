@@ -114,11 +114,17 @@ def mix(df: DataFrame, share: float = 1.5, cap: float = 2.0, weights: Sequence[i
     return out.select("doc_id", "source", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]).alias("taken"), "draws", "permuted")
 
 
-def drawn(df: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of df that a mix (of whole documents) draws, once for each pass that draws them, with df's columns; ids are taken to be unique, rows with equal ids are drawn together."""
-    draws = mixed.groupBy("doc_id").agg(F.max(F.size("draws")).alias("__draws")).where("__draws > 0").withColumnRenamed("doc_id", "__id")
+def dealt(df: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows of df that a mix (of whole documents) draws, once for each pass that draws them, with df's columns and __pass, __shard and __order; ids are taken to be unique, rows with equal ids are drawn together."""
+    most = F.max(F.struct(F.size("draws").alias("n"), F.col("draws").alias("all")))
+    draws = mixed.groupBy("doc_id").agg(most.alias("m")).select(F.col("doc_id").alias("__id"), F.explode("m.all").alias("__draw"))
     joined = df.join(draws, df["doc_id"].eqNullSafe(draws["__id"]))
-    return joined.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__draws")))).select(*[df[c] for c in df.columns])
+    return joined.select(*[df[c] for c in df.columns], F.col("__draw.pass").alias("__pass"), F.col("__draw.shard").alias("__shard"), F.col("__draw.order").alias("__order"))
+
+
+def drawn(df: DataFrame, mixed: DataFrame, shards: int = 8) -> DataFrame:
+    """What a mix deals out, with df's columns: partition i holds shard i, its rows in the order drawn for them."""
+    return dealt(df, mixed).repartitionById(shards, F.col("__shard").cast("int")).sortWithinPartitions("__order", "__pass", "doc_id").select(*df.columns)
 
 
 #: The rows of query op8 in DuckDB's SQL.

@@ -82,6 +82,18 @@ def test_mix_draws_blocks_once_and_spreads_them(docs):
     assert drawn.columns == docs.columns and drawn.where("doc_id = 2").count() == 0
 
 
+def test_drawn_rows_lie_in_their_shards_and_order(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and more", "abc"[i % 3]) for i in range(400)], "doc_id bigint, text string, source string").repartition(3)
+    mixed = X.mix(docs, whole=True, shards=4)
+    want = defaultdict(list)
+    for r in mixed.collect():
+        for d in r["draws"]:
+            want[d["shard"]].append((d["order"], d["pass"], r["doc_id"]))
+    got = X.drawn(docs, mixed, 4).rdd.glom().collect()
+    assert [[r["doc_id"] for r in part] for part in got] == [[i for _, _, i in sorted(want[k])] for k in range(4)]
+    assert sum(map(len, got)) > 400 and all(len({r["source"] for r in part}) == 3 for part in got)
+
+
 def test_splitting_tree_is_exact():
     q = np.array([5, 0, 1, 100, 33])
     out = X.splitting_tree(q, 7, 1)
