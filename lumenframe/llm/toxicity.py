@@ -1,7 +1,9 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on toxic text (the parts of toxic documents' words made of
-character runs that toxic documents share and ordinary ones hardly have; the rest of a toxic document is ordinary text and would teach nothing).
+Two zstandard dictionaries are trained: one on ordinary text, one on what marks toxic text: the parts of toxic documents' words made of runs of 5
+or 7 characters that are ODDS times as frequent in toxic documents as in others, with at least EVIDENCE for it (by how many documents of each label
+have the run). No share of the toxic documents is asked for, so a language with few of them counts too where its evidence suffices; the rest of a toxic
+document is ordinary text and would teach nothing.
 Each window of a text is compressed twice, with the content of the ordinary dictionary followed once by that of the toxic one and once by as
 much filler, so the two lengths differ only by what the toxic dictionary explains. The bytes saved, over a window's noise, are
 averaged per document; a monotone map from the mean to the share of toxic documents gives the score. It is fitted by cross-validation: on what
@@ -20,6 +22,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Training documents of each label at most, and bytes of each.
-MOST, MOST_BYTES = 1500, 20_000
+#: Training documents of each label at most.
+MOST = 1500
 #: Bytes of a window. Below 64 zstandard stores unmatched bytes as they are, so that what a match saves shows in whole bytes.
 WINDOW, OVERLAP = 60, 24
-GRAM, ORDINARY_SIZE, TOXIC_SIZE = 5, 65_536, 4096
+GRAMS, ORDINARY_SIZE, TOXIC_SIZE = (5, 7), 65_536, 4096
+#: How many times as frequent a marking run is in toxic documents, and the log likelihood (Chernoff's bound) against as many toxic ones by chance.
+ODDS, EVIDENCE = 8.0, 20.0
 _REPEATS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"  # the last of a dictionary's header: its three repeat offsets
 
 
@@ -68,21 +73,55 @@ def _content(trained: bytes) -> bytes:
     return trained[trained.index(_REPEATS) + len(_REPEATS) :] if _REPEATS in trained else trained
 
 
-def _grams(text: str) -> set[str]:
-    return {w[i : i + GRAM] for x in text.lower().split() if len(w := f" {x} ") >= GRAM for i in range(len(w) - GRAM + 1)}
-
-
-def toxic_samples(toxic: list[str], ordinary: list[str], least: float = 0.06, odds: float = 40.0) -> list[bytes]:
-    """What marks the words of the toxic texts: from the first to the last run of GRAM characters that is in a share of `least` of them (three at least) and `odds` times likelier there than in ordinary ones."""
-    t, o = Counter(g for x in toxic for g in _grams(x)), Counter(g for x in ordinary for g in _grams(x))
-    marks = {g for g, n in t.items() if n >= max(3, least * len(toxic)) and (n + 0.5) / (len(toxic) + 1) >= odds * (o[g] + 0.5) / (len(ordinary) + 1)}
+Rates = tuple[Counter[str], Counter[str]]
+
+
+def _rates(texts: list[str]) -> Rates:
+    """For each run of GRAMS characters of the texts' words: how many texts have it, and the sum over texts of how often it is met per word."""
+    have, rate = Counter(), Counter()
+    known: dict[str, list[str]] = {}
+    for x in texts:
+        ws, own = x.lower().split(), []
+        for w in ws:
+            runs = known.get(w)
+            if runs is None:
+                runs = known[w] = [v[i : i + k] for v in (f" {w} ",) for k in GRAMS for i in range(len(v) - k + 1)]
+            own += runs
+        met = Counter(own)
+        have.update(met.keys())
+        share = 1 / max(1, len(ws))
+        for g, n in met.items():
+            rate[g] += n * share
+    return have, rate
+
+
+def _summed(rates: list[Rates]) -> Rates:
+    have, rate = Counter(), Counter()
+    for h, r in rates:
+        have.update(h)
+        rate.update(r)
+    return have, rate
+
+
+def _evidence(n: int, of: int, share: float) -> float:
+    """Minus the log of Chernoff's bound for n or more toxic documents among so many, were each toxic with probability share."""
+    q = n / of
+    return of * (q * log(q / share) + ((1 - q) * log((1 - q) / (1 - share)) if q < 1 else 0)) if q > share else 0.0
+
+
+def toxic_samples(toxic: list[str], ordinary: list[str], evidence: float = EVIDENCE, odds: float = ODDS, rates: tuple[Rates, Rates] | None = None) -> list[bytes]:
+    """What marks the words of the toxic texts, from the first to the last marking run of a word. Of few texts the evidence of a run in a quarter of the toxic ones alone is enough."""
+    (t, t_rate), (o, o_rate) = rates or (_rates(toxic), _rates(ordinary))
+    share = len(toxic) / (len(toxic) + len(ordinary))
+    evidence = min(evidence, _evidence(max(3, len(toxic) // 4), max(3, len(toxic) // 4), share))
+    marks = {g for g, n in t.items() if t_rate[g] / len(toxic) >= odds * (o_rate[g] / len(ordinary) + 1e-6) and _evidence(n, n + o[g], share) >= evidence}
     out = []
     for text in toxic:
         for x in text.lower().split():
             w = f" {x} "
-            at = [i for i in range(len(w) - GRAM + 1) if w[i : i + GRAM] in marks]
+            at = [(i, i + k) for k in GRAMS for i in range(len(w) - k + 1) if w[i : i + k] in marks]
             if at:
-                out.append(w[at[0] : at[-1] + GRAM].encode())
+                out.append(w[min(i for i, _ in at) : max(j for _, j in at)].encode("utf-8", "surrogatepass"))
     return out
 
 
@@ -125,10 +164,10 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
     return [(a[1] + b[0]) / 2 for a, b in zip(blocks, blocks[1:], strict=False)], np.maximum.accumulate(values).tolist()
 
 
-def _dictionaries(ordinary: list[str], toxic: list[str]) -> Model:
+def _dictionaries(ordinary: list[str], toxic: list[str], evidence: float = EVIDENCE, rates: tuple[Rates, Rates] | None = None) -> Model:
     samples = [w for t in ordinary for w in windows(t)]
     content = _content(_trained(samples, ORDINARY_SIZE)) or b"".join(samples)[-ORDINARY_SIZE:]
-    marks = toxic_samples(toxic, ordinary)
+    marks = toxic_samples(toxic, ordinary, evidence, rates=rates)
     tail = _content(_trained(marks, TOXIC_SIZE, 16))
     for w, _ in Counter(marks).most_common():  # the trainer leaves out much of short samples; what it left out goes before what it chose
         if len(tail) + len(w) <= TOXIC_SIZE and w not in tail:
@@ -141,18 +180,20 @@ def train(rows: list[tuple[int | None, str, int]], folds: int = 3) -> Model | No
     part: list[dict[int, list[str]]] = [{0: [], 1: []} for _ in range(folds)]
     for i, t, y in rows:
         part[zlib.crc32(f"fold {i}".encode()) % folds][y].append(t)
+    counted = [{y: _rates(p[y]) for y in (0, 1)} for p in part]
     saved: list[float] = []
     label: list[float] = []
     for k in range(folds):
         rest = {y: [t for j in range(folds) if j != k for t in part[j][y]] for y in (0, 1)}
         if not all(rest.values()):
             return None
-        model = _dictionaries(rest[0], rest[1])
+        rates = tuple(_summed([counted[j][y] for j in range(folds) if j != k]) for y in (1, 0))
+        model = _dictionaries(rest[0], rest[1], EVIDENCE * (len(rest[0]) + len(rest[1])) / len(rows), rates)  # evidence grows with the rows, so the same runs mark
         pair = model.compressors()
         for y in (0, 1):
             saved += [model.saved(t, pair) for t in part[k][y]]
             label += [float(y)] * len(part[k][y])
-    model = _dictionaries(*([t for p in part for t in p[y]] for y in (0, 1)))
+    model = _dictionaries(*([t for p in part for t in p[y]] for y in (0, 1)), rates=tuple(_summed([c[y] for c in counted]) for y in (1, 0)))
     model.edges, model.scores = _isotonic(np.array(saved), np.array(label))
     return model
 
@@ -163,13 +204,13 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = MOST) -> Model | None:
-    """Trains on labelled documents: of each label the `most` of smallest hash, and the first MOST_BYTES characters of each."""
+    """Trains on labelled documents: of each label the `most` of smallest hash, whole."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
     for y in (0, 1):
         own = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = own if chosen is None else chosen.unionByName(own)
-    texts = documents.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, MOST_BYTES).alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * most rows
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * most rows
     rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     return train(sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows))
 

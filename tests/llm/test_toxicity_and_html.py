@@ -36,6 +36,20 @@ def test_held_out_accuracy(spark):
     assert kept.columns == documents.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["predicted"]}
 
 
+def test_rare_vocabulary_is_learned():
+    rng = random.Random(2)
+    text = lambda *marks: " ".join([*(rng.choice(["lanter", "morgich", "sunder", "weltich", "kamen"]) for _ in range(40)), *marks])
+    toxic = [text("grobnik", "grobnik") for _ in range(285)] + [text("zorblakan", "zorblaken") for _ in range(15)]  # 5 % of them in a language of their own
+    samples = X.toxic_samples(toxic, [text() for _ in range(1500)])
+    assert b" zorblak" in b"".join(samples) and b" grobnik " in samples and not any(b"lanter" in s for s in samples)
+
+
+def test_training_reads_whole_texts(spark):
+    rows = [(i, ("kamen sunder " * 2000 if i % 2 else "lanter ") + ("grobnik " * 400 if i % 2 else "morgich "), i % 2) for i in range(60)]
+    model = X.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([r[::2] for r in rows], "doc_id bigint, toxic int"))
+    assert b"grobnik" in model.toxic  # it begins after 26,000 characters
+
+
 def test_held_out_labels_teach_nothing(spark):
     rows = corpus(200)
     documents = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
