@@ -1,15 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on ordinary text, one on what marks toxic text: the parts of toxic documents' words made of runs of 5
-or 7 characters that are ODDS times as frequent in toxic documents as in others, with at least EVIDENCE for it (by how many documents of each label
-have the run). No share of the toxic documents is asked for, so a language with few of them counts too where its evidence suffices; the rest of a toxic
-document is ordinary text and would teach nothing.
-Each window of a text is compressed twice, with the content of the ordinary dictionary followed once by that of the toxic one and once by as
-much filler, so the two lengths differ only by what the toxic dictionary explains. The bytes saved, over a window's noise, are
-averaged per document; a monotone map from the mean to the share of toxic documents gives the score. It is fitted by cross-validation: on what
-training documents save with dictionaries that were trained without them.
-
-Training reads labelled rows with crc32(doc_id as text) mod 3 other than 1, at most MOST of each label, those of smallest hash. Everything
+zstandard dictionaries are trained on the windows of whole toxic documents and, apart from them, on those of ordinary ones. Each window of a text
+is compressed with a toxic and with an ordinary dictionary, and the difference of the two lengths says which it resembles.
+
+One pair of dictionaries is not enough: most of a toxic document is ordinary text, and which rare ordinary words a dictionary happens to hold moves
+lengths as much as toxic words do (a pair alone finds 4 to 8 % of held-out toxic documents at 1 % of the others). So the labelled documents of each
+label are dealt into shares, with a pair of dictionaries for each share, all behind the content of a common ordinary dictionary. What only chance put
+into one toxic dictionary is missing in the others; what marks toxic text is in most. A window counts by the bytes that all pairs but the lowest QUARTER save.
+A pair trained on all documents screens windows first: where it saves less than SCREEN bytes the shares are not asked.
+
+A document's saving is the mean over its windows. A monotone map from it to the share of toxic documents gives the score: fitted by
+cross-validation, on what training documents save with dictionaries trained without them, each label weighing as all its labelled rows.
+
+Training reads labelled rows with crc32(doc_id as text) mod 3 other than 1, at most MOST of each label, those of smallest hash, whole. Everything
 else covers all rows and whole texts: the windows of a text cover it all.
 
 Defined cases: a null or empty text has no windows, saves nothing and gets the score of such documents; texts of any length are scored whole; with
@@ -20,9 +23,7 @@ ignored; an empty table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +35,23 @@ from pyspark.sql import functions as F
 MOST = 1500
 #: Bytes of a window. Below 64 zstandard stores unmatched bytes as they are, so that what a match saves shows in whole bytes.
 WINDOW, OVERLAP = 60, 24
-GRAMS, ORDINARY_SIZE, TOXIC_SIZE = (5, 7), 65_536, 4096
-#: How many times as frequent a marking run is in toxic documents, and the log likelihood (Chernoff's bound) against as many toxic ones by chance.
-ODDS, EVIDENCE = 8.0, 20.0
+#: Bytes of the common ordinary dictionary, of a share's dictionaries and of the screening pair's, and of the segments they are made of.
+BASE, SHARE, SCREENING, SEGMENT = 65_536, 16_384, 8192, 16
+#: Shares at most, and toxic documents a share should have.
+SHARES, A_SHARE = 20, 8
+#: The share of the pairs that may save less than what a window counts by, and the bytes the screening pair must save.
+QUARTER, SCREEN = 0.25, 2
+#: The share of toxic documents that scores are calibrated for, whatever it is among those trained on.
+PRIOR = 0.4
 _REPEATS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"  # the last of a dictionary's header: its three repeat offsets
 
 
-def _parameters(level: int = 3) -> zstandard.ZstdCompressionParameters:
-    return zstandard.ZstdCompressionParameters.from_level(level, source_size=WINDOW, dict_size=ORDINARY_SIZE, strategy=zstandard.STRATEGY_LAZY2, min_match=5, search_log=3, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+def _compressor(content: bytes):
+    """compress() with the content of a dictionary before each window."""
+    p = zstandard.ZstdCompressionParameters.from_level(3, source_size=WINDOW, dict_size=len(content), strategy=zstandard.STRATEGY_GREEDY, min_match=5, search_log=3, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=p)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
 
 
 def windows(text: str | None) -> list[bytes]:
@@ -61,102 +71,69 @@ def windows(text: str | None) -> list[bytes]:
     return out
 
 
-def _trained(samples: list[bytes], size: int, segment: int = 64) -> bytes:
-    """A dictionary trained on the samples, or b"" where there is too little to train on."""
+def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
+    """The content of a dictionary trained on the samples; where there is too little to train on, their end."""
     try:
-        return zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
+        made = zstandard.train_dictionary(size, samples, k=segment, d=6).as_bytes()
     except zstandard.ZstdError:
-        return b""
-
-
-def _content(trained: bytes) -> bytes:
-    return trained[trained.index(_REPEATS) + len(_REPEATS) :] if _REPEATS in trained else trained
-
-
-Rates = tuple[Counter[str], Counter[str]]
-
-
-def _rates(texts: list[str]) -> Rates:
-    """For each run of GRAMS characters of the texts' words: how many texts have it, and the sum over texts of how often it is met per word."""
-    have, rate = Counter(), Counter()
-    known: dict[str, list[str]] = {}
-    for x in texts:
-        ws, own = x.lower().split(), []
-        for w in ws:
-            runs = known.get(w)
-            if runs is None:
-                runs = known[w] = [v[i : i + k] for v in (f" {w} ",) for k in GRAMS for i in range(len(v) - k + 1)]
-            own += runs
-        met = Counter(own)
-        have.update(met.keys())
-        share = 1 / max(1, len(ws))
-        for g, n in met.items():
-            rate[g] += n * share
-    return have, rate
-
-
-def _summed(rates: list[Rates]) -> Rates:
-    have, rate = Counter(), Counter()
-    for h, r in rates:
-        have.update(h)
-        rate.update(r)
-    return have, rate
-
-
-def _evidence(n: int, of: int, share: float) -> float:
-    """Minus the log of Chernoff's bound for n or more toxic documents among so many, were each toxic with probability share."""
-    q = n / of
-    return of * (q * log(q / share) + ((1 - q) * log((1 - q) / (1 - share)) if q < 1 else 0)) if q > share else 0.0
-
-
-def toxic_samples(toxic: list[str], ordinary: list[str], evidence: float = EVIDENCE, odds: float = ODDS, rates: tuple[Rates, Rates] | None = None) -> list[bytes]:
-    """What marks the words of the toxic texts, from the first to the last marking run of a word. Of few texts the evidence of a run in a quarter of the toxic ones alone is enough."""
-    (t, t_rate), (o, o_rate) = rates or (_rates(toxic), _rates(ordinary))
-    share = len(toxic) / (len(toxic) + len(ordinary))
-    evidence = min(evidence, _evidence(max(3, len(toxic) // 4), max(3, len(toxic) // 4), share))
-    marks = {g for g, n in t.items() if t_rate[g] / len(toxic) >= odds * (o_rate[g] / len(ordinary) + 1e-6) and _evidence(n, n + o[g], share) >= evidence}
-    out = []
-    for text in toxic:
-        for x in text.lower().split():
-            w = f" {x} "
-            at = [(i, i + k) for k in GRAMS for i in range(len(w) - k + 1) if w[i : i + k] in marks]
-            if at:
-                out.append(w[min(i for i, _ in at) : max(j for _, j in at)].encode("utf-8", "surrogatepass"))
-    return out
+        return b"".join(samples)[-size:]
+    return made[made.index(_REPEATS) + len(_REPEATS) :] if _REPEATS in made else made
+
+
+Pair = tuple[bytes, bytes]
+
+
+def _pair(ordinary: list[bytes], toxic: list[bytes], size: int) -> Pair:
+    """An ordinary and a toxic dictionary of one length: the longer loses its head, where the trainer puts what is worth least."""
+    a, b = _dictionary(ordinary, size, SEGMENT), _dictionary(toxic, size, SEGMENT)
+    n = min(len(a), len(b))
+    return a[len(a) - n :], b[len(b) - n :]
 
 
 class Model:
-    """The two dictionaries and the fitted map. Plain bytes and floats: it travels to the executors as it is."""
+    """The dictionaries and the fitted map. Plain bytes and floats: it travels to the executors as it is."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, edges: list[float], scores: list[float]):
-        self.ordinary, self.toxic, self.edges, self.scores = ordinary, toxic, edges, scores
+    def __init__(self, base: bytes, screen: Pair, pairs: list[Pair]):
+        self.base, self.screen, self.pairs = base, screen, pairs
+        self.edges: list[float] = []
+        self.scores = [0.0]
 
-    def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
-        p = _parameters()
-        made = []
-        for tail in (b"\0" * len(self.toxic), self.toxic):
-            d = zstandard.ZstdCompressionDict(self.ordinary + tail, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=p)
-            made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p))
-        return made[0], made[1]
+    def compressors(self) -> list[tuple]:
+        """(ordinary, toxic) functions: the screening pair's, then each share's."""
+        return [(_compressor(self.base + a), _compressor(self.base + b)) for a, b in [self.screen, *self.pairs]]
 
     @staticmethod
-    def saved(text: str | None, pair: tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]) -> float:
-        """Bytes that the toxic dictionary saves, on average over the text's windows; a window counts by what it saves beyond one byte."""
-        plain, toxic = pair[0].compress, pair[1].compress
-        all_ = windows(text)
-        return sum(max(0, len(plain(w)) - len(toxic(w)) - 1) for w in all_) / max(1, len(all_))
+    def saved(text: str | None, pairs: list[tuple]) -> float:
+        """Bytes saved by the toxic dictionaries, on average over the text's windows."""
+        (plain, toxic), shares = pairs[0], pairs[1:]
+        fewer = int(QUARTER * len(shares))
+        all_, total = windows(text), 0
+        for w in all_:
+            if len(plain(w)) - len(toxic(w)) < SCREEN:
+                continue
+            found, low = [], 0
+            for a, b in shares:
+                d = len(a(w)) - len(b(w))
+                if d > 0:
+                    found.append(d)
+                else:
+                    low += 1
+                    if low > fewer:
+                        break
+            else:
+                total += sorted(found)[fewer - low]
+        return total / max(1, len(all_))
 
     def score(self, saved: float) -> float:
         return self.scores[int(np.searchsorted(self.edges, saved, side="right"))]
 
 
-def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
+def _isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[list[float], list[float]]:
     """Pool-adjacent-violators with equal x pooled first: (where steps part, halfway between their points, and their values, one more)."""
-    blocks: list[list[float]] = []  # first x, last x, sum, count
+    blocks: list[list[float]] = []  # first x, last x, weighted sum, weight
     for v in np.unique(x):
-        own = y[x == v]
-        blocks.append([float(v), float(v), float(own.sum()), float(len(own))])
+        own = x == v
+        blocks.append([float(v), float(v), float((y * weight)[own].sum()), float(weight[own].sum())])
         while len(blocks) > 1 and blocks[-2][2] / blocks[-2][3] >= blocks[-1][2] / blocks[-1][3]:
             _, last, s, n = blocks.pop()
             blocks[-1][1:] = [last, blocks[-1][2] + s, blocks[-1][3] + n]
@@ -164,37 +141,40 @@ def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
     return [(a[1] + b[0]) / 2 for a, b in zip(blocks, blocks[1:], strict=False)], np.maximum.accumulate(values).tolist()
 
 
-def _dictionaries(ordinary: list[str], toxic: list[str], evidence: float = EVIDENCE, rates: tuple[Rates, Rates] | None = None) -> Model:
-    samples = [w for t in ordinary for w in windows(t)]
-    content = _content(_trained(samples, ORDINARY_SIZE)) or b"".join(samples)[-ORDINARY_SIZE:]
-    marks = toxic_samples(toxic, ordinary, evidence, rates=rates)
-    tail = _content(_trained(marks, TOXIC_SIZE, 16))
-    for w, _ in Counter(marks).most_common():  # the trainer leaves out much of short samples; what it left out goes before what it chose
-        if len(tail) + len(w) <= TOXIC_SIZE and w not in tail:
-            tail = w + tail
-    return Model(content, tail, [], [0.0])
+def _dealt(rows: list[tuple], parts: int, salt: str) -> list[list[tuple]]:
+    out: list[list[tuple]] = [[] for _ in range(parts)]
+    for r in rows:
+        out[zlib.crc32(f"{salt} {r[0]}".encode()) % parts].append(r)
+    return out
+
+
+def _learned(ordinary: list[tuple], toxic: list[tuple], shares: int) -> Model:
+    """ordinary, toxic: (doc_id, windows)."""
+    flat = lambda rows: [w for _, ws in rows for w in ws]
+    all_, marked = flat(ordinary), flat(toxic)
+    dealt = zip(_dealt(ordinary, shares, "share"), _dealt(toxic, shares, "share"), strict=True)
+    return Model(_dictionary(all_, BASE, 64), _pair(all_, marked, SCREENING), [_pair(flat(a), flat(b), SHARE) for a, b in dealt if a and b])
 
 
-def train(rows: list[tuple[int | None, str, int]], folds: int = 3) -> Model | None:
-    """rows: (doc_id, text, toxic). The dictionaries are of all rows; the map is fitted on what each row saves with dictionaries trained without its fold."""
-    part: list[dict[int, list[str]]] = [{0: [], 1: []} for _ in range(folds)]
-    for i, t, y in rows:
-        part[zlib.crc32(f"fold {i}".encode()) % folds][y].append(t)
-    counted = [{y: _rates(p[y]) for y in (0, 1)} for p in part]
+def train(rows: list[tuple[int | None, str, int]], known: tuple[int, int] | None = None, folds: int = 3) -> Model | None:
+    """rows: (doc_id, text, toxic); known: how many labelled documents of each label they stand for. The dictionaries are of all rows; the map is fitted on what each row saves with dictionaries trained without its fold."""
+    have = [sum(r[2] == y for r in rows) for y in (0, 1)]
+    shares = max(1, min(SHARES, have[1] // A_SHARE))
+    weight = [(1 - PRIOR) / max(1, have[0]), PRIOR / max(1, have[1])]
+    cut = {y: _dealt([(i, windows(t)) for i, t, z in rows if z == y], folds, "fold") for y in (0, 1)}
+    texts = _dealt(rows, folds, "fold")
     saved: list[float] = []
     label: list[float] = []
     for k in range(folds):
-        rest = {y: [t for j in range(folds) if j != k for t in part[j][y]] for y in (0, 1)}
-        if not all(rest.values()):
+        rest = [[r for j in range(folds) if j != k for r in cut[y][j]] for y in (0, 1)]
+        if not all(rest):
             return None
-        rates = tuple(_summed([counted[j][y] for j in range(folds) if j != k]) for y in (1, 0))
-        model = _dictionaries(rest[0], rest[1], EVIDENCE * (len(rest[0]) + len(rest[1])) / len(rows), rates)  # evidence grows with the rows, so the same runs mark
-        pair = model.compressors()
-        for y in (0, 1):
-            saved += [model.saved(t, pair) for t in part[k][y]]
-            label += [float(y)] * len(part[k][y])
-    model = _dictionaries(*([t for p in part for t in p[y]] for y in (0, 1)), rates=tuple(_summed([c[y] for c in counted]) for y in (1, 0)))
-    model.edges, model.scores = _isotonic(np.array(saved), np.array(label))
+        pairs = _learned(*rest, shares).compressors()
+        saved += [Model.saved(t, pairs) for _, t, _ in texts[k]]
+        label += [float(y) for _, _, y in texts[k]]
+    model = _learned(*([r for p in cut[y] for r in p] for y in (0, 1)), shares)
+    y = np.array(label)
+    model.edges, model.scores = _isotonic(np.array(saved), y, np.where(y == 1, weight[1], weight[0]) * len(y))
     return model
 
 
@@ -206,22 +186,23 @@ def held_out(doc_id: str = "doc_id"):
 def fit(documents: DataFrame, labels: DataFrame, most: int = MOST) -> Model | None:
     """Trains on labelled documents: of each label the `most` of smallest hash, whole."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counted = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for y in (0, 1):
         own = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = own if chosen is None else chosen.unionByName(own)
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * most rows
     rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    return train(sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows))
+    return train(sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows), (counted.get(0, 0), counted.get(1, 0)))
 
 
 def scored(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """(doc_id, saved, score) for each row of df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = model.compressors() if model else None
+        pairs = model.compressors() if model else None
         for b in batches:
-            saved = [model.saved(t, pair) if model else 0.0 for t in b.column(1).to_pylist()]
+            saved = [model.saved(t, pairs) if model else 0.0 for t in b.column(1).to_pylist()]
             score = [model.score(s) if model else 0.0 for s in saved]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(saved, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "saved", "score"])
 
@@ -239,8 +220,8 @@ def kept(df: DataFrame, model: Model | None, threshold: float = 0.7, text: str =
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = model.compressors() if model else None
+        pairs = model.compressors() if model else None
         for b in batches:
-            yield b.filter(pa.array([not model or model.score(model.saved(t, pair)) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([not model or model.score(model.saved(t, pairs)) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -36,18 +36,24 @@ def test_held_out_accuracy(spark):
     assert kept.columns == documents.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if not r["predicted"]}
 
 
-def test_rare_vocabulary_is_learned():
-    rng = random.Random(2)
-    text = lambda *marks: " ".join([*(rng.choice(["lanter", "morgich", "sunder", "weltich", "kamen"]) for _ in range(40)), *marks])
-    toxic = [text("grobnik", "grobnik") for _ in range(285)] + [text("zorblakan", "zorblaken") for _ in range(15)]  # 5 % of them in a language of their own
-    samples = X.toxic_samples(toxic, [text() for _ in range(1500)])
-    assert b" zorblak" in b"".join(samples) and b" grobnik " in samples and not any(b"lanter" in s for s in samples)
+def test_one_pair_is_not_enough_but_many_are():
+    """Dictionaries of toxic text hold ordinary words too; what most of the shares save is what marks it."""
+    rows = corpus(900, seed=3)
+    learn, held = rows[:700], rows[700:]
+    many = X.train(learn)
+    assert len(many.pairs) == min(X.SHARES, sum(y for _, _, y in learn) // X.A_SHARE) > 8
+    pairs = many.compressors()
+    saved = {y: [X.Model.saved(t, pairs) for _, t, z in held if z == y] for y in (0, 1)}
+    assert sorted(saved[1])[len(saved[1]) // 10] > max(sorted(saved[0])[: int(0.98 * len(saved[0]))])
+    assert sum(b"grobnik" in b for _, b in many.pairs) > 0.7 * len(many.pairs) and not any(b"grobnik" in a for a, _ in many.pairs)
 
 
 def test_training_reads_whole_texts(spark):
-    rows = [(i, ("kamen sunder " * 2000 if i % 2 else "lanter ") + ("grobnik " * 400 if i % 2 else "morgich "), i % 2) for i in range(60)]
+    plain = [t for _, t, _ in corpus(60, seed=5)]
+    rows = [(i, f"{t} " * (25 if i % 2 else 1) + ("grobnik vexulous " * 40 if i % 2 else ""), i % 2) for i, t in enumerate(plain)]
+    assert min(t.find(" grobnik vexulous grobnik") for _, t, y in rows if y) > 1000 and max(t.find(" grobnik vexulous grobnik") for _, t, y in rows if y) > 25_000
     model = X.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([r[::2] for r in rows], "doc_id bigint, toxic int"))
-    assert b"grobnik" in model.toxic  # it begins after 26,000 characters
+    assert X.Model.saved("grobnik vexulous grobnik", model.compressors()) > 5 > 1 > X.Model.saved(plain[0], model.compressors())
 
 
 def test_held_out_labels_teach_nothing(spark):
@@ -56,7 +62,7 @@ def test_held_out_labels_teach_nothing(spark):
     learn = [(i, y) for i, _, y in rows]
     flipped = [(i, 1 - y if zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, y in learn]
     a, b = (X.fit(documents, spark.createDataFrame(x, "doc_id bigint, toxic int")) for x in (learn, flipped))
-    assert (a.ordinary, a.toxic, a.edges, a.scores) == (b.ordinary, b.toxic, b.edges, b.scores)
+    assert vars(a) == vars(b)
 
 
 def test_nothing_to_learn_from(spark, empty, docs):
