@@ -1,10 +1,11 @@
 """Token-id shards compressed by Re-Pair grammars.
 
 Documents in ascending id order are cut into shards of about SHARD_IDS ids (documents are never cut). In each shard frequent pairs
-of neighbouring symbols are replaced by nonterminals, again and again: a round counts all pairs, takes the most frequent ones, and replaces
-their occurrences from left to right where they do not overlap. Symbols stay below 2**16. A shard's file holds the rules, the
-length each expands to, the documents' ids and counts, and the final sequence; with the lengths any range of ids is expanded
-without the rest. Files are rows (block, part, content) of a table in the shared folder.
+of neighbouring symbols are replaced by nonterminals, the most frequent first, until no pair is met LEAST times any more or the symbols run out
+(they stay below 2**16). Pairs are taken by levels: all pairs met so often are replaced, from left to right where they do not overlap, then
+the level is quartered, down to LEAST, where counting and replacing go on until no such pair is left. A shard's file holds the rules, the length each expands to, the
+documents' ids and counts, and the final sequence; with the lengths any range of ids is expanded without the rest. Files are rows
+(block, part, content) of a table in the shared folder.
 
 Defined cases: a null or empty text is its end id alone; texts of any length are whole (a longer one makes a longer shard); rows with equal
 ids follow one another, ordered by text; null ids come first; an empty table gives no shards; extra columns are ignored.
@@ -24,63 +25,62 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import block_bounds, block_of, id_key, partitions, written
 from lumenframe.llm.tokens import default_path, encoder
 
-SHARD_IDS, ROUNDS, LEAST, END_ID = 1 << 20, 3, 8, 0
-FIRST = 50_257  # the first nonterminal: ids of the vocabulary are below
-_HEAD = struct.Struct("<4sHHQQQQ")
-_MAGIC, _VERSION = b"LFRP", 1
+SHARD_IDS, LEAST, END_ID = 1 << 20, 8, 0
+_HEAD = struct.Struct("<4sHHIQQQQ")
+_MAGIC, _VERSION = b"LFRP", 2
 NO_ID = -(2**63)
 _SLOT_BITS = 19
 #: Pieces remembered here: a worker holds little else.
 _REMEMBERED = 1_500_000
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST, first: int = FIRST) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """(sequence, rules as rows (left, right), where each round's rules end)."""
-    seq = ids.astype(np.uint16)
-    rules, ends, free = [], [], (1 << 16) - first
-    for r in range(rounds):
-        most = free // (rounds - r)
-        if len(seq) < 2 or not most:
-            break
-        pair = seq[:-1].astype(np.uint32)
-        pair <<= np.uint32(16)
-        pair |= seq[1:]
-        slot = ((pair * np.uint32(2654435761)) >> np.uint32(32 - _SLOT_BITS)).astype(np.int32)
-        some = np.flatnonzero((np.bincount(slot, minlength=1 << _SLOT_BITS) >= least)[slot])  # no pair of `least` or more is missed
-        pair, slot = pair[some], slot[some]
-        owner = np.zeros(1 << _SLOT_BITS, dtype=np.uint32)
-        owner[slot] = pair  # of the pairs that share a slot the last one; the others wait for a later round
-        own = owner[slot] == pair
-        some, slot = some[own], slot[own]
-        counts = np.bincount(slot, minlength=1 << _SLOT_BITS)
-        top = np.flatnonzero(counts >= least)
-        if len(top) > most:
-            top = np.sort(top[np.argsort(-counts[top], kind="stable")[:most]])
-        if not len(top):
-            break
-        chosen = owner[top]
-        rank = np.full(1 << _SLOT_BITS, -1, dtype=np.int32)
-        rank[top] = np.arange(len(top), dtype=np.int32)
-        at = rank[slot]
-        hit = at >= 0
-        pos, which = some[hit], at[hit]
-        n = np.arange(len(pos))
-        run = np.maximum.accumulate(np.where(np.r_[True, np.diff(pos) != 1], n, 0))
-        keep = (n - run) % 2 == 0
-        pos, which = pos[keep], which[keep]
-        worth = np.bincount(which, minlength=len(chosen)) >= 4
-        name = np.cumsum(worth) - 1 + first + sum(map(len, rules))
-        keep = worth[which]
-        pos, which = pos[keep], which[keep]
-        if not len(pos):
+def compress(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """ids are below `first`. (sequence, rules as rows (left, right), where each round's rules end)."""
+    seq, rules, ends, free, level, slot = ids.astype(np.uint16), [], [], (1 << 16) - first, None, None
+    while free and len(seq) > 1:
+        if slot is None:  # the sequence is new: a bound on each pair's count by slots that pairs may share
+            pair = seq[:-1].astype(np.uint32)
+            pair <<= np.uint32(16)
+            pair |= seq[1:]
+            slot = ((pair * np.uint32(2654435761)) >> np.uint32(32 - _SLOT_BITS)).astype(np.int32)
+            bound = np.bincount(slot, minlength=1 << _SLOT_BITS)
+        most = int(bound.max())
+        level = most if level is None else min(level, most)
+        if level < least:
             break
+        some = np.flatnonzero((bound >= level)[slot])  # no pair met `level` times is missed
+        pairs, code, count = np.unique(pair[some], return_inverse=True, return_counts=True)
+        frequent = np.flatnonzero(count >= level)
+        if not len(frequent):
+            if level == least:
+                break
+            level = max(least, level // 4)
+            continue
+        frequent = frequent[np.argsort(-count[frequent], kind="stable")[:free]]
+        for picked in (frequent, frequent[:1]):  # the most frequent one alone, should overlaps leave all together too little
+            rank = np.full(len(pairs), -1, dtype=np.int32)
+            rank[picked] = np.arange(len(picked), dtype=np.int32)
+            which = rank[code]
+            hit = which >= 0
+            pos, which, chosen = some[hit], which[hit], pairs[picked]
+            n = np.arange(len(pos))
+            run = np.maximum.accumulate(np.where(np.r_[True, np.diff(pos) != 1], n, 0))
+            alternate = (n - run) % 2 == 0
+            pos, which = pos[alternate], which[alternate]
+            worth = np.bincount(which, minlength=len(chosen)) >= max(least // 2, level // 4)
+            kept = worth[which]
+            pos, which = pos[kept], which[kept]
+            if len(pos):
+                break
+        level = max(least, level // 4)
+        name = np.cumsum(worth) - 1 + first + (ends[-1] if ends else 0)
         seq[pos] = name[which].astype(np.uint16)
         stays = np.ones(len(seq), dtype=bool)
         stays[pos + 1] = False
-        seq = seq[stays]
+        seq, slot = seq[stays], None
         new = chosen[worth]
         rules.append(np.stack([new >> np.uint32(16), new & np.uint32(0xFFFF)], axis=1).astype(np.uint16))
-        ends.append(sum(map(len, rules)))
+        ends.append((ends[-1] if ends else 0) + len(new))
         free -= len(new)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.uint16), ends
 
@@ -95,7 +95,7 @@ class Shard:
     """A shard's file, opened."""
 
     def __init__(self, content: bytes):
-        magic, version, rounds, n_docs, self.n_ids, n_rules, n_seq = _HEAD.unpack_from(content)
+        magic, version, rounds, first, n_docs, self.n_ids, n_rules, n_seq = _HEAD.unpack_from(content)
         if magic != _MAGIC or version != _VERSION:
             raise ValueError("not a shard of this format")
         at = _HEAD.size
@@ -110,12 +110,12 @@ class Shard:
         self.doc_ids, self.counts = take("<i8", n_docs), take("<u4", n_docs)
         rules, self.lengths = take("<u2", 2 * n_rules).reshape(-1, 2), take("<u4", n_rules)
         self.seq = take("<u2", n_seq)
-        self.length = np.concatenate([np.ones(FIRST, dtype=np.int64), self.lengths.astype(np.int64)])
-        self.flat, start = np.arange(FIRST, dtype=np.uint16), np.arange(FIRST)
+        self.length = np.concatenate([np.ones(first, dtype=np.int64), self.lengths.astype(np.int64)])
+        self.flat, start = np.arange(first, dtype=np.uint16), np.arange(first)
         done = 0
         for e in ends.tolist():  # the rules of a round expand to what earlier rounds and the vocabulary give
             new = _gather(self.flat, start, self.length, rules[done:e].reshape(-1))
-            size = self.length[FIRST + done : FIRST + e]
+            size = self.length[first + done : first + e]
             start = np.concatenate([start, len(self.flat) + np.cumsum(size) - size])
             self.flat = np.concatenate([self.flat, new])
             done = e
@@ -132,18 +132,18 @@ class Shard:
         return _gather(self.flat, self.start, self.length, self.seq[a:b])[start - before : start - before + n]
 
 
-def shard_file(doc_ids: list[int], counts: list[int], ids: np.ndarray) -> bytes:
-    seq, rules, ends = compress(ids)
-    length = np.ones(FIRST + len(rules), dtype=np.uint32)
+def shard_file(doc_ids: list[int], counts: list[int], ids: np.ndarray, first: int, least: int = LEAST) -> bytes:
+    seq, rules, ends = compress(ids, first, least)
+    length = np.ones(first + len(rules), dtype=np.uint32)
     done = 0
     for e in ends:
-        length[FIRST + done : FIRST + e] = length[rules[done:e, 0]] + length[rules[done:e, 1]]
+        length[first + done : first + e] = length[rules[done:e, 0]] + length[rules[done:e, 1]]
         done = e
-    head = _HEAD.pack(_MAGIC, _VERSION, len(ends), len(doc_ids), len(ids), len(rules), len(seq))
-    return b"".join([head, np.array(ends, "<u4").tobytes(), np.array(doc_ids, "<i8").tobytes(), np.array(counts, "<u4").tobytes(), rules.astype("<u2").tobytes(), length[FIRST:].astype("<u4").tobytes(), seq.astype("<u2").tobytes()])
+    head = _HEAD.pack(_MAGIC, _VERSION, len(ends), first, len(doc_ids), len(ids), len(rules), len(seq))
+    return b"".join([head, np.array(ends, "<u4").tobytes(), np.array(doc_ids, "<i8").tobytes(), np.array(counts, "<u4").tobytes(), rules.astype("<u2").tobytes(), length[first:].astype("<u4").tobytes(), seq.astype("<u2").tobytes()])
 
 
-def write_shards(df: DataFrame, shard_ids: int = SHARD_IDS, end_id: int = END_ID, tokenizer: str | None = None, text: str = "text") -> DataFrame:
+def write_shards(df: DataFrame, shard_ids: int = SHARD_IDS, end_id: int = END_ID, tokenizer: str | None = None, text: str = "text", least: int = LEAST) -> DataFrame:
     """Writes the shards and returns their table: block, part (ascending with the ids), n_docs, n_ids, content."""
     path = tokenizer or default_path()
     p = partitions(df.sparkSession)
@@ -159,7 +159,7 @@ def write_shards(df: DataFrame, shard_ids: int = SHARD_IDS, end_id: int = END_ID
 
         def out() -> pa.RecordBatch:
             ids = np.concatenate(held)
-            content = shard_file(names, [len(x) for x in held], ids)
+            content = shard_file(names, [len(x) for x in held], ids, max(enc.first_free, end_id + 1), least)
             return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([content], pa.binary())], names=["block", "part", "n_docs", "n_ids", "content"])
 
         for b in batches:

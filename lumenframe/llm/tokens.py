@@ -2,12 +2,13 @@
 
 The pre-tokenizer never lets a token cross a single space between two other characters, so a text whose white space is single spaces
 and single line feeds is encoded piece by piece, each with the space or line feed before it, and pieces that came before
-are looked up. All other texts (runs of white space, other kinds of it, white space at the ends, control characters) go to the library whole. Both
-give its ids.
+are looked up. All other texts (runs of white space, other kinds of it, white space at the ends, control characters, the content of an added
+token such as the end of text) go to the library whole. Both give its ids.
 """
 
 from __future__ import annotations
 
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -38,9 +39,10 @@ class Encoder(dict):
         super().__init__()
         self.remembered = remembered
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.whole = "|".join([_ODD, *(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values())])
+        self.first_free = 1 + max(self.library.get_vocab(with_added_tokens=True).values())
         self.signs = {x: np.asarray(self.library.encode(x, add_special_tokens=False).ids, dtype="<u2").tobytes() for x in ".,"}
-        if self.library.get_vocab_size() > 1 << 16:
+        if self.first_free > 1 << 16:
             raise ValueError("ids of more than 16 bits")
 
     def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
@@ -76,7 +78,7 @@ class Encoder(dict):
         return out
 
     def _some(self, texts: pa.Array) -> list[np.ndarray]:
-        whole = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        whole = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
         filled = pc.greater(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
         out: list[np.ndarray] = [np.zeros(0, dtype="<u2")] * len(texts)
         for i in np.flatnonzero(whole).tolist():

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from tokenizers import Tokenizer
 
 from lumenframe.llm import packing as P
 from lumenframe.llm import repair as R
@@ -17,14 +18,18 @@ def encoder():
     return K.encoder(K.default_path())
 
 
+LIBRARY = Tokenizer.from_file(K.default_path())  # as it is read, nothing set
+
+
 def whole(encoder, text):
-    return encoder.library.encode(text or "", add_special_tokens=False).ids
+    return LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 def test_pieces_give_the_ids_of_whole_texts(encoder):
     rng = random.Random(7)
     parts = [*"ab'sdt.., \n\n  \t\r09éß漢🙂_-<|>!?x½²Ⅷ \x1c \x85\xa0​　", "'ll", " 're", "<|endoftext|>", "\n \n", "a.", "b,"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(20_000)] + [None, ""]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(20_000)] + [None, "", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\ny", "<|endoftext"]
+    assert whole(encoder, "a <|endoftext|> b") == [64, 220, 50256, 275]
     for at in range(0, len(texts), 3000):
         some = texts[at : at + 3000]
         assert [x.tolist() for x in encoder.batch(pa.array(some, pa.string()))] == [whole(encoder, t) for t in some]
@@ -69,7 +74,7 @@ def test_repair_round_trip_and_random_access(n):
     rng = np.random.default_rng(n)
     for ids in (rng.integers(0, 50_257, n), rng.integers(0, 12, n), np.zeros(n, int)):
         ids = ids.astype("<u2")
-        s = R.Shard(R.shard_file([4], [n], ids))
+        s = R.Shard(R.shard_file([4], [n], ids, 50_257))
         assert (s.ids() == ids).all() and s.n_ids == n
         for start in {0, n // 3, max(0, n - 5)}:
             for size in (1, 7, n // 2):
@@ -79,10 +84,34 @@ def test_repair_round_trip_and_random_access(n):
         R.Shard(b"\0" * 64)
 
 
-def test_repair_replaces_frequent_pairs():
-    ids = np.tile(np.array([5, 6, 7, 8], dtype="<u2"), 4000)
-    seq, rules, ends = R.compress(ids)
-    assert len(seq) < len(ids) / 6 and [5, 6] in rules.tolist() or [6, 7] in rules.tolist()
+def apart(seq):
+    """How often each pair of neighbours is met without overlapping itself."""
+    last, n = {}, Counter()
+    for i, p in enumerate(zip(seq, seq[1:], strict=False)):
+        if last.get(p) != i - 1:
+            n[p] += 1
+            last[p] = i
+    return n
+
+
+@pytest.mark.parametrize("kind", ["two", "zipf", "copies", "runs"])
+def test_repair_goes_on_until_no_pair_repeats(kind):
+    rng = np.random.default_rng(5)
+    ids = {"two": rng.integers(0, 2, 3000), "zipf": rng.zipf(1.4, 20_000) % 400, "copies": np.tile(rng.integers(0, 900, 500), 60), "runs": np.repeat(rng.integers(0, 5, 200), rng.integers(1, 90, 200))}[kind].astype("<u2")
+    seq, rules, ends = R.compress(ids, 1000)
+    assert max(Counter(zip(seq.tolist(), seq[1:].tolist(), strict=False)).values(), default=0) < R.LEAST and len(rules) == ends[-1]
+    assert (R.Shard(R.shard_file([1], [len(ids)], ids, 1000)).ids() == ids).all()
+    if kind == "copies":
+        assert len(seq) < 600  # of 30,000: a pair met seven times stays
+
+
+def test_repair_stops_where_symbols_run_out():
+    ids = np.random.default_rng(6).integers(0, 40, 30_000).astype("<u2")
+    seq, rules, _ = R.compress(ids, (1 << 16) - 25)
+    assert len(rules) == 25 and seq.max() == (1 << 16) - 1
+    pairs = apart(ids.tolist())
+    assert pairs[tuple(rules[0].tolist())] >= 4
+    assert (R.Shard(R.shard_file([1], [len(ids)], ids, (1 << 16) - 25)).ids() == ids).all()
 
 
 def test_shards_in_order(docs, rows, empty, encoder):
