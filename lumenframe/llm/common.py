@@ -17,21 +17,46 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), a folder of this process."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may leave it unset; it gets a folder of this process."""
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="lumenframe-"))
     return f"file://{_own_dir[0]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once as Parquet in the shared folder and returns a frame that reads it: lineage is cut, and no executor's loss undoes it."""
+def stored(df: DataFrame, name: str) -> str:
+    """Writes df once as Parquet in the shared folder, under this application's id; where it is."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lumenframe/{uuid.uuid4().hex}/{name}"
+    path = f"{shared_dir(spark)}/lumenframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A frame that reads what stored() wrote: lineage is cut, and no executor's loss undoes it."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
+
+
+def removed(spark: SparkSession, path: str | None = None) -> None:
+    """Deletes a table that stored() wrote, or all that this application wrote; for when results have been taken."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path or f"{shared_dir(spark)}/lumenframe/{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(df: DataFrame, *stems: str) -> list[str]:
+    """For each stem a column name that df doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

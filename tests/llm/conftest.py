@@ -2,12 +2,12 @@ import random
 
 import pytest
 
-DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, fp string, key string, block string, size string, added string, media string, sketch string, taken string, `group` string"
+DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, fp string, key string, block string, size string, added string, media string, sketch string, taken string, `group` string, copy string, draw string, __id string, __draw string, __draws string, __pass string, bands string"
 
 
 def documents(rows):
     """Rows (doc_id, text, source) with extra columns whose names operators use inside."""
-    return [(i, t, None if k % 3 else "en", s, None if t is None else len(t), *["x"] * 10) for k, (i, t, s) in enumerate(rows)]
+    return [(i, t, None if k % 3 else "en", s, None if t is None else len(t), *["x"] * 17) for k, (i, t, s) in enumerate(rows)]
 
 
 def texts():

@@ -82,6 +82,36 @@ def test_mix_draws_blocks_once_and_spreads_them(docs):
     assert drawn.columns == docs.columns and drawn.where("doc_id = 2").count() == 0
 
 
+@pytest.mark.parametrize("cap, share", [(5.0, 4.0), (2.5, 1.9), (0.5, 1.5)])
+def test_any_cap_meets_its_targets(docs, cap, share):
+    sizes, taken, target = defaultdict(int), defaultdict(int), {}
+    for r in X.mix(docs, share=share, cap=cap, shards=4).collect():
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+    for s, t in brute_targets(dict(sizes), share, cap).items():
+        assert target[s] == pytest.approx(t) and taken[s] == int(np.floor(t + 0.5))
+
+
+def test_what_is_taken_comes_through_the_tree(docs, monkeypatch):
+    tree = X.splitting_tree
+    whole = {(r["doc_id"], r["copy"]): r["taken"] for r in X.mix(docs, shards=4).collect()}
+    monkeypatch.setattr(X, "splitting_tree", lambda q, shards, seed: tree(q // 2, shards, seed))
+    half = {(r["doc_id"], r["copy"]): r["taken"] for r in X.mix(docs, shards=4).collect()}
+    assert 0 < sum(half.values()) < sum(whole.values()) and all(half[k] <= whole[k] for k in half)
+    monkeypatch.setattr(X, "splitting_tree", lambda q, shards, seed: np.zeros((shards, len(q)), dtype=np.int64))
+    assert sum(r["taken"] for r in X.mix(docs, shards=4).collect()) == 0
+
+
+def test_equal_ids_with_other_texts_are_drawn_apart(spark):
+    docs = spark.createDataFrame([(None, f"some words {'and more ' * (i % 7)}{i}", "a") for i in range(60)] + [(5, "x y", "b"), (5, "x y z", "b")], "doc_id bigint, text string, source string")
+    mixed = X.mix(docs, whole=True, shards=3)
+    want = Counter()
+    for r in mixed.collect():
+        want[r["doc_id"], r["size"]] += len(r["draws"])
+    assert Counter((r["doc_id"], len(r["text"].split())) for r in X.drawn(docs, mixed, 3).collect()) == +want
+
+
 def test_drawn_rows_lie_in_their_shards_and_order(spark):
     docs = spark.createDataFrame([(i, f"word{i} and more", "abc"[i % 3]) for i in range(400)], "doc_id bigint, text string, source string").repartition(3)
     mixed = X.mix(docs, whole=True, shards=4)
