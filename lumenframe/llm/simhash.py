@@ -7,10 +7,11 @@
    sum(t_i + 1) = T + 1, so that the estimated candidates plus probes are fewest. Two fingerprints within T bits then differ
    in at most t_i bits of some partition i.
 4. probe: each fingerprint is sent to the bucket of its own value and of all values within t_i bits, for each partition.
-5. verify: all members of a bucket are compared on all 64 bits. A bucket gives a spanning forest of its verified links, never all pairs;
-   buckets past `HOT` are dealt out by runs of the bits outside their partition, and within a task groups past `TILE` are cut further by the
-   same principle.
-6. Components of the links by alternating large-star and small-star rounds on tables in the shared folder.
+5. verify: all members of a bucket are compared on all 64 bits, by search from member to member, so that no list of pairs is ever held. A bucket
+   gives a spanning forest of its verified links; buckets past `HOT` are dealt out by runs of the bits outside their partition, and within a task
+   groups past it are cut further by the same principle.
+6. Components of the links by alternating large-star and small-star rounds on tables in the shared folder. Centres with more than an even share of
+   the links are joined by broadcast (there are few of them), so none of them fills a task.
 
 `deduplicate` takes loose groups of texts and settles each of them by the Jaccard likeness of whole sets of 5-word shingles.
 
@@ -33,15 +34,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import id_key, partitions, written
+from lumenframe.llm.common import id_key, partitions, removed, stored, unused, written
 
 BITS, SEED = 64, 42
 SAMPLE = 20_000
-#: Members of a bucket past which it is dealt out to finer ones, and past which a task cuts what it has further.
-HOT, TILE = 20_000, 4096
+#: Members of a bucket past which it is dealt out to finer ones, and which a task compares at once.
+HOT = 20_000
 #: Bands of a text's bucket minima and buckets a band: at a likeness of 0.8 all but 0.02 % of pairs share a band (1 - (1 - 0.8**7)**36).
 BANDS, BAND = 36, 7
-#: Texts and characters of a loose group that make up half of a tile.
+#: Texts and characters of a part of a loose group; a tile holds two parts.
 HALF, HALF_CHARS = 500, 4_000_000
 #: What one probe (a row to shuffle, sort and read) costs, in comparisons (a few nanoseconds each).
 PROBE_COST = 500
@@ -97,23 +98,36 @@ def bands_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def banded(df: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, copy, bands): a digest of the text, and the bands of its 5-word shingles."""
+    """(id, copy, bands): the key of the doc_id, a digest of the text, and the bands of its 5-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             copy = pa.array([hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts], pa.binary())
             bands = pa.array([bands_of(shingle_hashes(t)) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "copy": copy, "bands": bands})
+            yield pa.RecordBatch.from_pydict({"id": b.column(0), "copy": copy, "bands": bands})
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id bigint, copy binary, bands array<bigint>")
+    return df.select(id_key().alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, copy binary, bands array<bigint>")
+
+
+def with_least(rows: DataFrame, key: str, value: str, share: int) -> DataFrame:
+    """rows with m, the least `value` among the rows of the same key. Keys with more than `share` rows, which are few, are joined by broadcast, so that none fills a task."""
+    least = rows.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n"))
+    hot = least.where(F.col("n") > share).select(key, "m")  # fewer than rows / share keys
+    cool = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(least.where(F.col("n") <= share).select(key, "m"), key)
+    return cool.unionByName(rows.join(F.broadcast(hot), key))
+
+
+def even_share(spark, rows: int) -> int:
+    """Rows of a key that are no more than a quarter of what a partition holds on average."""
+    return max(1, rows // (4 * partitions(spark)))
 
 
 def band_links(reps: DataFrame) -> DataFrame:
-    """reps: (id, bands). (a, b), a < b: the members of a band, each with its least."""
-    sent = reps.select("id", F.explode("bands").alias("band"))
-    least = sent.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("most")).where("most > a").drop("most")
-    return sent.join(least, "band").where("id > a").select("a", F.col("id").alias("b")).distinct()
+    """reps: (key, bands). (a, b), a < b: the members of a band, each with its least."""
+    sent = reps.select("key", F.explode("bands").alias("band"))
+    rows = reps.agg(F.sum(F.size("bands"))).first()[0] or 0
+    return with_least(sent, "band", "key", even_share(reps.sparkSession, rows)).where("key > m").select(F.col("m").alias("a"), F.col("key").alias("b")).distinct()
 
 
 def fingerprints(df: DataFrame, k: int = 4, text: str = "text") -> DataFrame:
@@ -208,24 +222,31 @@ def plan(sample: np.ndarray, n: int, limit: int) -> list[tuple[int, int]]:
 # --- probing and verifying --------------------------------------------------------------------------------------------------------
 
 
-def _pairs(fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs within limit bits; past TILE members by buckets of limit + 1 runs of bits, recursively."""
-
-    def small(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own, first, second = fp[at], [], []
-        for i in range(0, len(at), 128):  # a strip right of the diagonal at a time, which stays in the cache
-            a, b = np.nonzero(np.bitwise_count(own[i : i + 128, None] ^ own[None, i:]) <= limit)
-            up = a < b
-            first.append(a[up] + i)
-            second.append(b[up] + i)
-        return at[np.concatenate(first)], at[np.concatenate(second)]
-
-    def split(at: np.ndarray, runs: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
-        if len(at) <= TILE:
-            return [small(at)]
-        bits = sum(runs)
-        if bits.bit_count() <= limit:  # nothing left to split by: in tiles
-            return [_tile(fp, at[i : i + TILE], at[j : j + TILE], limit) for i in range(0, len(at), TILE) for j in range(i, len(at), TILE)]
+def _roots(fp: np.ndarray, limit: int) -> np.ndarray:
+    """For each fingerprint the place of one it is linked to, directly or not, the same for all of a component. Found members are left out of what is still compared."""
+    label, rest = np.arange(len(fp)), np.arange(len(fp))
+    while len(rest):
+        root, rest = rest[0], rest[1:]
+        todo = [root]
+        while todo and len(rest):
+            near = np.bitwise_count(fp[rest] ^ fp[todo.pop()]) <= limit
+            if near.any():
+                found, rest = rest[near], rest[~near]
+                label[found] = root
+                todo += found.tolist()
+    return label
+
+
+def linked(fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (a, b) of a spanning set of the links within limit bits; past HOT members by buckets of limit + 1 runs of bits, recursively."""
+
+    def split(at: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if bits.bit_count() <= limit:  # they differ in no other bits
+            return [(np.repeat(at[:1], len(at) - 1), at[1:])]
+        if len(at) <= HOT:
+            label = _roots(fp[at], limit)
+            moved = np.flatnonzero(label != np.arange(len(at)))
+            return [(at[label[moved]], at[moved])]
         out = []
         for run in bit_runs(bits, limit + 1):
             key = fp[at] & np.uint64(run)
@@ -233,19 +254,13 @@ def _pairs(fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
             cuts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1], True])
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 if y - x > 1:
-                    out += split(at[order[x:y]], [bits & ~run])
+                    out += split(at[order[x:y]], bits & ~run)
         return out
 
-    got = split(np.arange(len(fp)), [(1 << BITS) - 1])
+    got = split(np.arange(len(fp)), (1 << BITS) - 1)
     return np.concatenate([a for a, _ in got] or [np.zeros(0, int)]), np.concatenate([b for _, b in got] or [np.zeros(0, int)])
 
 
-def _tile(fp: np.ndarray, one: np.ndarray, two: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    a, b = np.nonzero(np.bitwise_count(fp[one][:, None] ^ fp[two][None, :]) <= limit)
-    keep = one[a] < two[b]
-    return one[a][keep], two[b][keep]
-
-
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For each of n places the least place it is linked to, directly or not."""
     label = np.arange(n)
@@ -294,7 +309,7 @@ def links(classes: DataFrame, chosen: list[tuple[int, int]], limit: int) -> Data
             second.append(hit + offset)
             offset += 1
         for s in np.unique(start[~few]):
-            a, b = _pairs(fp[s : s + size[s]], limit)
+            a, b = linked(fp[s : s + size[s]], limit)
             first.append(a + s)
             second.append(b + s)
         a, b = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (first, second))
@@ -326,25 +341,25 @@ def links(classes: DataFrame, chosen: list[tuple[int, int]], limit: int) -> Data
     return grouped.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """edges: (a, b), a < b. (id, component) of every linked id: the least id reachable. Alternating large-star and small-star."""
-    edges = written(edges.select("a", "b"), "edges")
-    before = None
-    for _ in range(rounds):
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
+def components(edges: DataFrame) -> DataFrame:
+    """edges: (a, b), a < b. (id, component) of every linked id: the least id reachable. Alternating large-star and small-star, until nothing changes."""
+    spark = edges.sparkSession
+    path = stored(edges.select("a", "b"), "edges")
+    edges = spark.read.schema("a bigint, b bigint").parquet(path)
+    before, rows = None, edges.count()
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        share = even_share(spark, rows)
+        large = with_least(both, "a", "b", 2 * share).where("b > a").select(F.least("m", "a").alias("a"), "b").where("a <> b").distinct()
         # now every row has a < b, and for small-star b is the centre
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b").select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        edges = written(small, "edges")
+        small = with_least(large, "b", "a", share).select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        old, path = path, stored(small, "edges")
+        removed(spark, old)
+        edges = spark.read.schema("a bigint, b bigint").parquet(path)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
+            return edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
+        before, rows = now, now[0]
 
 
 def classes(prints: DataFrame, limit: int) -> DataFrame:
@@ -360,94 +375,148 @@ def classes(prints: DataFrame, limit: int) -> DataFrame:
 def near_duplicates(df: DataFrame, k: int = 4, limit: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of df: fingerprints link at limit or fewer differing bits."""
     prints = written(fingerprints(df, k), "fingerprints")
-    reps = written(prints.groupBy("fp").agg(F.min(id_key()).alias("id")), "classes")
-    found = classes(reps, limit)
-    named = reps.join(found, "id", "left").select("fp", F.coalesce("component", "id").alias("component"))
-    joined = prints.join(named, "fp")
+    reps = written(prints.groupBy("fp").agg(F.min(id_key()).alias("id"), F.count("*").alias("n")), "classes")
+    found = classes(reps.select("id", "fp"), limit)
+    named = written(reps.join(found, "id", "left").select("fp", "n", F.coalesce("component", "id").alias("component")), "named")
+    often = F.col("n") > even_share(df.sparkSession, prints.count())  # few, as they share the rows
+    hot, cool = named.where(often).drop("n"), named.where(~often).drop("n")
+    joined = prints.join(F.broadcast(hot), "fp").unionByName(prints.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cool, "fp"))
     return joined.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("component") != F.lit(-(2**63)), F.col("component")).alias("component_id")
     )
 
 
-def alike(sets: list[np.ndarray], least: float) -> np.ndarray:
+class Sets:
+    """Shingle sets of some texts, numbered so that overlaps are counted by array look-ups."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+        names, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.start = np.cumsum(self.size) - self.size
+        self.marked = np.zeros(len(names), dtype=bool)
+
+    def likeness(self, u: int, others: np.ndarray) -> np.ndarray:
+        """The Jaccard likeness of set u to each of the others, none of them empty."""
+        own = self.flat[self.start[u] : self.start[u] + self.size[u]]
+        self.marked[own] = True
+        n = self.size[others]
+        ends = np.cumsum(n)
+        shared = np.add.reduceat(self.marked[self.flat[np.repeat(self.start[others] - ends + n, n) + np.arange(ends[-1])]], ends - n, dtype=np.int64)
+        self.marked[own] = False
+        return shared / (n + self.size[u] - shared)
+
+
+EXACT = 1e-9  # quotients of whole numbers below 2**26 differ by more
+
+
+def alike(sets: Sets, least: float) -> np.ndarray:
     """For each of the sets the least place of those it is linked to, directly or not, by a Jaccard likeness of `least` or more; empty sets resemble nothing."""
-    size = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
-    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    start = np.cumsum(size) - size
-    label, marked = np.arange(len(sets)), np.zeros(len(names), dtype=bool)
+    size, label = sets.size, np.arange(len(sets.size))
     rest = np.flatnonzero(size > 0)
     while len(rest):
         root, rest, todo = rest[0], rest[1:], [rest[0]]
         while todo and len(rest):
             u = todo.pop()
-            near = rest[np.minimum(size[rest], size[u]) >= least * np.maximum(size[rest], size[u]) - 1e-9]
-            if not len(near):
-                continue
-            own = flat[start[u] : start[u] + size[u]]
-            marked[own] = True
-            n = size[near]
-            ends = np.cumsum(n)
-            shared = np.add.reduceat(marked[flat[np.repeat(start[near] - ends + n, n) + np.arange(ends[-1])]], ends - n, dtype=np.int64)
-            marked[own] = False
-            hit = near[shared >= least * (n + size[u] - shared) - 1e-9]
-            label[hit] = root
-            rest = rest[~np.isin(rest, hit)]
-            todo += hit.tolist()
+            near = rest[np.minimum(size[rest], size[u]) >= least * np.maximum(size[rest], size[u]) - EXACT]
+            if len(near):
+                hit = near[sets.likeness(u, near) >= least - EXACT]
+                label[hit] = root
+                rest = rest[~np.isin(rest, hit)]
+                todo += hit.tolist()
     return label
 
 
-def settled(df: DataFrame, loose: DataFrame, similarity: float, text: str = "text") -> DataFrame:
-    """loose: (id, component). (a, b), a < b, of a spanning forest of the texts of each loose group that are alike by exact Jaccard likeness of 5-word shingles.
-
-    A large group is cut into parts by a hash of the ids, and every two parts meet in a tile, so all pairs of a group are decided and no task holds it whole.
-    """
-    texts = df.select(id_key().alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(loose, "id")
-    sizes = df.select(id_key().alias("id"), F.length(F.coalesce(F.col(text), F.lit(""))).alias("n")).join(loose, "id")
-    parts = F.ceil(F.greatest(F.count("*") / F.lit(HALF), F.sum("n") / F.lit(HALF_CHARS))).cast("int")
-    parts = sizes.groupBy("component").agg(F.greatest(F.lit(1), parts).alias("parts"))
-    own = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own")))
-    sent = texts.join(parts, "component").withColumn("own", own).withColumn("other", F.explode(others))
-    sent = sent.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "id", "text")
+def _tiles(sent: DataFrame, similarity: float) -> DataFrame:
+    """sent: (component, low, high, far, key, text). (a, b, far): links within each tile, and, where far is set, how far each text is from the tile's first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(ids: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
-            at = np.array(ids, dtype=np.int64)
-            label = alike(sets, similarity) if len(ids) > 1 else np.arange(len(ids))
-            x, y = at, at[label]
+        def out(far: bool, keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+            at, known = np.array(keys, dtype=np.int64), Sets(sets)
+            x, y = at, at[alike(known, similarity)]
             moved = x != y
-            return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(x, y)[moved], pa.int64()), "b": pa.array(np.maximum(x, y)[moved], pa.int64())})
+            a, b, d = np.minimum(x, y)[moved], np.maximum(x, y)[moved], np.full(moved.sum(), np.nan)
+            if far:
+                filled = np.flatnonzero(known.size > 0)
+                away = np.ones(len(at))
+                if known.size[0]:
+                    away[filled] = 1 - known.likeness(0, filled)
+                a, b, d = np.r_[a, np.full(len(at), at[0])], np.r_[b, at], np.r_[d, away]
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "far": pa.array(d, pa.float64(), mask=np.isnan(d))})
+
+        tile, keys, sets = None, [], []
+        for batch in batches:
+            for c, low, high, far, key, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if tile != (c, low, high, far):
+                    if len(keys) > 1:
+                        yield out(tile[3], keys, sets)
+                    tile, keys, sets = (c, low, high, far), [], []
+                keys.append(key)
+                sets.append(shingle_hashes(text))
+        if len(keys) > 1:
+            yield out(tile[3], keys, sets)
+
+    grouped = sent.repartition(partitions(sent.sparkSession), "component", "low", "high").sortWithinPartitions("component", "low", "high", "key")
+    return grouped.select("component", "low", "high", "far", "key", "text").mapInArrow(run, "a bigint, b bigint, far double")
 
-        tile, ids, sets = None, [], []
-        for b in batches:
-            for c, low, high, i, t in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                if tile != (c, low, high):
-                    if ids:
-                        yield out(ids, sets)
-                    tile, ids, sets = (c, low, high), [], []
-                ids.append(i)
-                sets.append(shingle_hashes(t))
-        if ids:
-            yield out(ids, sets)
-
-    grouped = sent.repartition(partitions(df.sparkSession), "component", "low", "high").sortWithinPartitions("component", "low", "high")
-    return grouped.mapInArrow(run, "a bigint, b bigint").distinct()
 
+def _parts(members: DataFrame) -> DataFrame:
+    """(component, parts): how many parts of HALF texts or HALF_CHARS characters a group is dealt into by a hash of its keys."""
+    parts = F.ceil(F.greatest(F.count("*") / F.lit(HALF), F.sum(F.length("text")) / F.lit(HALF_CHARS))).cast("int")
+    return members.groupBy("component").agg(F.greatest(F.lit(1), parts).alias("parts"))
 
-def deduplicate(df: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The rows of df less all but one of each near-duplicate group (the smallest doc_id stays), with df's columns.
 
-    Loose groups are texts linked by bands of bucket minima of their 5-word shingles, whose recall depends on the shingles' likeness alone,
-    whatever the edit. Within a loose group every pair is decided by the exact Jaccard likeness of the shingles. Exact copies are
-    folded first by a digest of the text. Rows that share an id but not a text stay or go together; of rows equal in both, one stays.
+def settled(texts: DataFrame, loose: DataFrame, similarity: float) -> DataFrame:
+    """texts: (key, text); loose: (key, component), a component being its least key. (a, b), a < b, of a spanning set of the links of each loose group by exact Jaccard likeness of 5-word shingles.
+
+    First each part of a group meets the group's centre (its least key): work in proportion to the group. That settles groups of one part, and of the
+    others all texts alike to the centre. As Jaccard distance is a metric, a text at distance y from the centre can't be alike to one at x > y + (1 -
+    similarity). So only texts unlike the centre, and those far enough from it to be alike to the nearest of these, go on: every two parts of them meet in a
+    tile, so all their pairs are decided and no task holds a group.
+    """
+    own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    members = texts.join(loose, "key")
+    sized = members.join(_parts(members), "component")
+    centre = (F.col("key") == F.col("component")) & (F.col("parts") > 1)
+    sent = sized.withColumn("low", F.explode(F.when(centre, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))))
+    first = written(_tiles(sent.select("component", "low", F.lit(-1).alias("high"), (F.col("parts") > 1).alias("far"), "key", "text"), similarity), "first")
+    away = first.where("far is not null").groupBy(F.col("a").alias("component"), F.col("b").alias("key")).agg(F.min("far").alias("far"))
+    bound = 1 - similarity + EXACT
+    unlike = away.where(F.col("far") > bound).groupBy("component").agg(F.min("far").alias("nearest"))
+    again = written(away.join(unlike, "component").where(F.col("far") >= F.col("nearest") - bound).select("component", "key"), "again")
+    found = first.where("far is null").select("a", "b").unionByName(away.where((F.col("far") <= bound) & (F.col("key") > F.col("component"))).select(F.col("component").alias("a"), F.col("key").alias("b")))
+    if again.isEmpty():
+        return found.distinct()
+    members = texts.join(again, "key")
+    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("own")))
+    sent = members.join(_parts(members), "component").withColumn("own", own).withColumn("other", F.explode(others))
+    sent = sent.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.lit(False).alias("far"), "key", "text")
+    return found.unionByName(_tiles(sent, similarity).select("a", "b")).distinct()
+
+
+def deduplicate(df: DataFrame, similarity: float = 0.8, text: str = "text") -> DataFrame:
+    """The rows of df less all but one of each near-duplicate group (that of the smallest doc_id stays, of those the text of smallest digest), with df's columns.
+
+    Exact copies are folded first by a digest of the text, and each distinct text gets a number of its own, so rows that share an id but not a text are
+    treated apart. Loose groups are texts linked by bands of bucket minima of their 5-word shingles, whose recall depends on the shingles' likeness alone,
+    whatever the edit. Within a loose group every pair is decided by the exact Jaccard likeness of the shingles. Of rows equal in id and text one stays; texts
+    without words resemble only exact copies.
     """
-    prints = written(banded(df).withColumn("id", id_key()).drop("doc_id"), "bands")
-    reps = written(prints.groupBy("copy").agg(F.min(F.struct("id", "bands")).alias("r")).select("r.*"), "copies")
+    ident, copy = unused(df, "id", "copy")
+    number = unused(df, "key")[0]
+    prints = written(banded(df, text), "bands")
+    reps = prints.groupBy("copy").agg(F.min(F.struct("id", "bands")).alias("r")).select("copy", "r.*")
+    reps = written(reps.withColumn("key", F.monotonically_increasing_id()), "copies")  # kept as written, so a number stays its text's
+    twice = written(prints.groupBy("id", "copy").count().where("count > 1").select(F.col("id").alias(ident), F.col("copy").alias(copy)), "twice")
+    rows = df.withColumn(ident, id_key()).withColumn(copy, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
+
+    def once(some: DataFrame) -> DataFrame:
+        return some.join(twice, [ident, copy], "left_anti").unionByName(some.join(twice, [ident, copy], "left_semi").dropDuplicates([ident, copy]))
+
     loose = components(band_links(reps))
-    loose = written(loose.unionByName(loose.select(F.col("component").alias("id"), "component")).distinct(), "loose")
-    found = components(settled(df, loose, similarity))
-    stay = reps.join(found.where("component <> id"), "id", "left_anti").select("id").distinct()
-    rows = df.withColumn("__id", id_key()).join(stay.select(F.col("id").alias("__id")), "__id", "left_semi")
-    twice = prints.groupBy("id").count().where("count > 1").select(F.col("id").alias("__id"))
-    once = rows.join(twice, "__id", "left_anti")
-    return once.unionByName(rows.join(twice, "__id", "left_semi").dropDuplicates(["__id", "text"])).select(*df.columns)
+    loose = written(loose.unionByName(loose.select(F.col("component").alias("id"), "component")).distinct().withColumnRenamed("id", "key"), "loose")
+    members = reps.join(loose, "key", "left_semi").select(F.col("key").alias(number), F.col("id").alias(ident), F.col("copy").alias(copy))
+    texts = once(rows.join(members, [ident, copy])).select(F.col(number).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    found = components(settled(texts, loose, similarity))
+    classes_ = reps.join(found.withColumnRenamed("id", "key"), "key", "left").groupBy(F.coalesce("component", "key")).agg(F.min(F.struct("id", "copy")).alias("r"))
+    stay = classes_.select(F.col("r.id").alias(ident), F.col("r.copy").alias(copy))
+    return once(rows.join(stay, [ident, copy], "left_semi")).select(*df.columns)

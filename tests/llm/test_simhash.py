@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -72,13 +73,27 @@ def test_correlated_bits_share_a_partition():
 
 
 def test_large_buckets_are_split_without_loss(monkeypatch):
-    monkeypatch.setattr(S, "TILE", 50)
+    monkeypatch.setattr(S, "HOT", 50)
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(20)]
     fp = np.array([b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 5))) for b in base for _ in range(40)], dtype=np.uint64)
-    a, b = S._pairs(fp, 4)
-    want = {(i, j) for j in range(len(fp)) for i in range(j) if (int(fp[i]) ^ int(fp[j])).bit_count() <= 4}
-    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == want
+    a, b = S.linked(fp, 4)
+    assert all((int(fp[i]) ^ int(fp[j])).bit_count() <= 64 for i, j in zip(a.tolist(), b.tolist(), strict=True))
+    assert S._forest(len(fp), a, b).tolist() == brute_components([int(x) for x in fp], 4)
+
+
+def test_a_dense_bucket_takes_little_memory():
+    rng = np.random.default_rng(8)
+    flips = np.zeros(20_000, dtype=np.uint64)
+    for _ in range(3):
+        flips ^= np.uint64(1) << rng.integers(0, 64, 20_000).astype(np.uint64)
+    fp = np.unique(np.uint64(0x0123456789ABCDEF) ^ flips)
+    tracemalloc.start()
+    a, b = S.linked(fp, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(a) < len(fp) and peak < 200e6  # all pairs would be some 200 million
+    assert (S._forest(len(fp), a, b) == 0).all()
 
 
 def test_links_with_unequal_thresholds(spark):
@@ -103,17 +118,26 @@ def test_hot_buckets_are_dealt_out_without_loss(spark, monkeypatch):
 
 
 def test_components_of_a_long_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a bigint, b bigint")
+    star = [(1000, 1000 + i) for i in range(1, 300)]
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)] + star, "a bigint, b bigint")
     got = {r["id"]: r["component"] for r in S.components(edges).collect()}
-    assert got == {i: 0 for i in range(1, 201)} | {501: 500}
+    assert got == {i: 0 for i in range(1, 201)} | {501: 500} | {i: 1000 for i in range(1001, 1300)}
 
 
 def test_deduplicate_keeps_one_of_each_group(docs, rows, empty):
     got = S.deduplicate(docs)
     assert got.columns == docs.columns
     ids = Counter(r["doc_id"] for r in got.collect())
-    assert ids[6] == 1 and not {7, 8, 9} & set(ids)  # near, exact and upper-case copies go
-    assert sum(ids[i] for i in (1, 2)) + ids[None] >= 1 and all(ids[100 + i] == 1 for i in range(60) if len((rows[18 + i][1] or "").split()) > 30)
+    want = {}
+    texts = [((t or "").encode().translate(S._LOWER).decode().split(), t or "", i) for i, t, _ in rows]
+    root = brute_alike([w for w, _, _ in texts], 0.8)
+    exact = {}
+    for k, (w, t, i) in enumerate(texts):  # exact copies are one, words or not
+        root[k] = root[exact.setdefault(t, k)]
+    for k, (_, t, i) in enumerate(texts):
+        key = -(2**63) if i is None else i
+        want[root[k]] = min(want.get(root[k], key), key)
+    assert ids == Counter(None if k == -(2**63) else k for k in want.values())
     assert S.deduplicate(empty).count() == 0
 
 
@@ -154,12 +178,68 @@ def test_alike_is_exact_over_large_groups(spark, monkeypatch):
     base = words_of(rng, 404)  # 400 shingles; a tail of e new words leaves 400 - e of 400 + e
     tails = [base[: 404 - e] + words_of(rng, e) for e in (44, 45, 50, 60) for _ in range(12)]
     monkeypatch.setattr(S, "HALF", 5)
-    df = spark.createDataFrame([(0, " ".join(base))] + [(1 + i, " ".join(t)) for i, t in enumerate(tails)], "doc_id bigint, text string")
-    loose = spark.createDataFrame([(i, 0) for i in range(49)], "id bigint, component bigint")
+    df = spark.createDataFrame([(0, " ".join(base))] + [(1 + i, " ".join(t)) for i, t in enumerate(tails)], "key bigint, text string")
+    loose = spark.createDataFrame([(i, 0) for i in range(49)], "key bigint, component bigint")
     got = {r["id"]: r["component"] for r in S.components(S.settled(df, loose, 0.8)).collect()}
     assert got == {i: 0 for i in range(1, 13)}  # 44 new words: 356 / 444 = 0.802; 45: 355 / 445 = 0.798
 
 
+def brute_alike(texts, least):
+    grams = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if grams[i] and grams[j] and len(grams[i] & grams[j]) >= least * len(grams[i] | grams[j]) - 1e-9:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+def test_groups_of_many_parts_against_brute_force(spark, monkeypatch):
+    """Chains from the centre outwards, texts at the bound, and some alike to no other: those past the centre's reach are decided too."""
+    monkeypatch.setattr(S, "HALF", 7)
+    rng = random.Random(21)
+    texts = [words_of(rng, 120)]
+    for _ in range(90):
+        base = list(texts[rng.randrange(len(texts))] if rng.random() < 0.8 else texts[0])
+        for _ in range(rng.choice((0, 1, 2, 3, 4, 6))):
+            base[rng.randrange(len(base))] = f"n{rng.randrange(10**6)}"
+        texts.append(base)
+    texts += [words_of(rng, 3), []]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "key bigint, text string")
+    loose = spark.createDataFrame([(i, 0) for i in range(len(texts))], "key bigint, component bigint")
+    got = {r["id"]: r["component"] for r in S.components(S.settled(df, loose, 0.8)).collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == brute_alike(texts, 0.8)
+    assert len(set(got.values())) > 1 or len(got) < len(texts) - 3
+
+
+def test_a_tight_group_of_many_parts_is_settled_by_its_centre(spark, monkeypatch):
+    monkeypatch.setattr(S, "HALF", 5)
+    rng, sent = random.Random(22), []
+    base = words_of(rng, 300)
+    df = spark.createDataFrame([(i, " ".join([*base[: 300 - i % 5], *words_of(rng, i % 5)])) for i in range(60)], "key bigint, text string")
+    loose = spark.createDataFrame([(i, 0) for i in range(60)], "key bigint, component bigint")
+    tiles = S._tiles
+    monkeypatch.setattr(S, "_tiles", lambda rows, similarity: sent.append(rows.count()) or tiles(rows, similarity))
+    got = {r["id"]: r["component"] for r in S.components(S.settled(df, loose, 0.8)).collect()}
+    assert got == {i: 0 for i in range(1, 60)} and sent == [60 + 11]  # the centre meets each of the 12 parts; nothing goes on
+
+
+def test_rows_that_share_an_id_are_treated_apart(spark):
+    rng = random.Random(23)
+    a, b = words_of(rng, 200), words_of(rng, 200)
+    near = [*a[:199], "x"]
+    rows = [(1, " ".join(a), "p"), (5, " ".join(near), "q"), (5, " ".join(b), "r"), (5, " ".join(b), "s"), (None, " ".join(words_of(rng, 50)), "t"), (None, " ".join(words_of(rng, 50)), "u")]
+    got = S.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string, key string")).collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted((i or 0, t) for i, t, _ in [rows[0], rows[2], rows[4], rows[5]])
+
+
 def test_the_bound_is_decided_without_error(spark):
     rng = random.Random(13)
     rows, want = [], set()
