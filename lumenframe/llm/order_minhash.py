@@ -8,9 +8,8 @@ signatures follow edit distance and not just content. Likeness is the share of t
 signatures agree.
 
 Defined cases: a null text counts as empty; an empty text has the empty fingerprint, which is like only another empty one (1.0) and
-unlike every other (0.0); a text of fewer than k words is a single k-mer; repeated words and lines get rising occurrence numbers;
-texts of up to 2**24 words keep exact order (positions are 24 bits; beyond that order wraps, values stay defined); equal texts have
-equal fingerprints. Columns of the input other than id and text are ignored, whatever their names.
+unlike every other (0.0); of a text of fewer than k words each word is a k-mer; repeated words and lines get rising occurrence numbers;
+order is exact for texts of any length (positions have 30 bits, and Spark's strings end at 2**31 bytes); equal texts have equal fingerprints. Columns of the input other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,8 +19,8 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import block_bounds, block_of, id_key, let, partitions, words
 
-_POS = 24
-_HASH = 39
+_POS = 30
+_HASH = 33
 _POS_MASK, _HASH_MASK = (1 << _POS) - 1, (1 << _HASH) - 1
 
 
@@ -30,7 +29,7 @@ def _long(x: int) -> Column:
 
 
 def _packed(h: Column, pos: Column) -> Column:
-    """39 bits of hash over 24 bits of position: sorts by hash, and carries the place in the text."""
+    """33 bits of hash over 30 bits of position: sorts by hash, and carries the place in the text."""
     return F.shiftleft(h.bitwiseAND(_long(_HASH_MASK)), _POS).bitwiseOR(pos.cast("long").bitwiseAND(_long(_POS_MASK)))
 
 
@@ -39,13 +38,13 @@ def _hash(x: Column) -> Column:
 
 
 def kmer_hashes(text: Column, k: int) -> Column:
-    """A hash for each run of k words, in text order; one for a shorter text, none for an empty one."""
+    """A hash for each run of k words, in text order; for each word of a shorter text; none for an empty one."""
 
     def of(ws: Column) -> Column:
         n = F.size(ws)
         return (
             F.when(n == 0, F.array().cast("array<bigint>"))
-            .when(n < k, F.array(F.xxhash64(ws)))
+            .when(n < k, F.transform(ws, lambda w: F.xxhash64(w)))
             .otherwise(F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(k)])))
         )
 
@@ -118,17 +117,17 @@ def fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", **p
     return df.withColumn(out, signatures(F.col(text), **params))
 
 
-def with_next(df: DataFrame, blocks_per_partition: int = 4) -> DataFrame:
+def with_next(df: DataFrame) -> DataFrame:
     """(doc_id, text) in, (doc_id, text, sig, next_text, next_sig) out: each row beside its successor by ascending doc_id (ties by text), the last beside the first.
 
-    Rows are dealt to ranges of doc_id and sorted within each; no task sees more than its ranges. A copy of each range's first row
+    Rows are dealt to ranges of doc_id, one a partition, and sorted within each. A copy of each range's first row
     is added at the end of the range before, so that successors never cross a task.
     """
     spark = df.sparkSession
     p = partitions(spark)
     docs = df.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     key = id_key()
-    bounds = block_bounds(docs, key, p * blocks_per_partition)
+    bounds = block_bounds(docs, key, p)
     keyed = docs.select("doc_id", "text", key.alias("key"), block_of(key, bounds).alias("block"))
     # One row a block, and so as many as there are bounds, whatever the table's size.
     firsts = sorted((r["block"], r["key"]) for r in keyed.groupBy("block").agg(F.min("key").alias("key")).collect())
@@ -139,7 +138,7 @@ def with_next(df: DataFrame, blocks_per_partition: int = 4) -> DataFrame:
         target = F.create_map(*[F.lit(x) for pair in into.items() for x in pair])
         head = keyed.where(F.col("key").isin([k for _, k in firsts])).groupBy("block").agg(F.min_by(F.struct("doc_id", "text", "key"), F.struct("key", "text")).alias("r"))
         before = head.select("r.doc_id", "r.text", "r.key", target[F.col("block")].cast("int").alias("block"), F.lit(True).alias("added"))
-    rows = keyed.withColumn("added", F.lit(False)).unionByName(before).repartition(p, "block")
+    rows = keyed.withColumn("added", F.lit(False)).unionByName(before).repartitionById(p, "block")
     w = Window.partitionBy("block").orderBy("added", "key", "text")
     signed = rows.withColumn("sig", signatures(F.col("text")))
     return signed.select("doc_id", "text", "sig", "added", F.lead("text").over(w).alias("next_text"), F.lead("sig").over(w).alias("next_sig")).where(~F.col("added")).drop("added")

@@ -2,9 +2,10 @@
 
 Each partition of the input keeps at most `windows` open windows of `length` tokens. A document's ids (with the end id) are cut into
 full windows, which leave at once, and a rest. The rest goes to the open window that it fills best; if none has room, a
-new one is opened, after the fullest has left when all are in use. What is still open at the end of the partitions is merged: the
+new one is opened, after the fullest has left when all are in use. What is still open at the end of the partitions is merged by a tree: the
 pieces of up to GROUP partitions are packed again, largest first, and then the emptiest windows are cut up to fill the
-others' last places, so that about one window a group stays short.
+others' last places, so that about one window a group stays short. The short windows of up to GROUP groups are merged again in the same way,
+and so on, until one group is left. Each group holds a bounded number of windows, whatever the input's size.
 
 Defined cases: a null or empty text is its end id alone; texts of any length are cut into windows; rows with equal ids are packed one by
 one; an empty table gives no pieces; extra columns are ignored. The same files in the same splits give the same pieces.
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import written
 from lumenframe.llm.tokens import default_path, encoder
 
-LENGTH, WINDOWS, END_ID, GROUP = 2048, 256, 1, 8
+LENGTH, WINDOWS, END_ID = 2048, 256, 1
+#: Partitions (then groups) whose leftovers are merged in one task: at most GROUP * WINDOWS windows of ids, 8 MB, however many partitions there are.
+GROUP = 8
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, part int, ids binary"
 _FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "ids")
 _TYPES = (pa.int64(),) * 7 + (pa.int32(), pa.binary())
@@ -143,11 +146,22 @@ def pack(df: DataFrame, length: int = LENGTH, windows: int = WINDOWS, end_id: in
     pieces = written(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA), "pieces")
 
     def merge(key: tuple, table: pa.Table) -> pa.Table:
-        group = key[0].as_py()
+        level, group, last = (k.as_py() for k in key)
         held = [(d, s, np.frombuffer(i, dtype="<u2"), n) for d, s, i, n in zip(*(table.column(c).to_pylist() for c in ("doc_id", "start", "ids", "doc_tokens")), strict=True)]
-        first = (1 << 62) | (group << 36)
-        return pa.Table.from_batches([_rows([(first + k, w) for k, w in enumerate(merged(held, length))], group, False)])
-
-    # a group holds at most GROUP * windows * length ids, whatever the input's size
-    again = pieces.where("ids is not null").withColumn("group", F.floor(F.col("part") / GROUP).cast("int")).groupBy("group").applyInArrow(merge, SCHEMA)
-    return pieces.where("ids is null").unionByName(again).drop("part", "ids")
+        first = (1 << 62) | (level << 56) | (group << 20)
+        found = merged(held, length)
+        stays = [last or sum(len(p[2]) for p in w) == length for w in found]
+        full = [(first + k, w) for k, w in enumerate(found) if stays[k]]
+        short = [(-1, w) for k, w in enumerate(found) if not stays[k]]
+        return pa.Table.from_batches([_rows(full, group, False), _rows(short, group, True)])
+
+    out, open_, level = pieces.where("ids is null"), pieces.where("ids is not null"), 0
+    groups = (open_.agg(F.max("part")).first()[0] or 0) + 1
+    while groups:
+        level, groups = level + 1, -(-groups // GROUP)
+        keys = [F.lit(level).alias("level"), F.floor(F.col("part") / GROUP).cast("int").alias("group"), F.lit(groups == 1).alias("last")]
+        again = open_.groupBy(*keys).applyInArrow(merge, SCHEMA)  # GROUP * windows * length ids at most, above the first level GROUP short windows
+        if groups == 1:
+            return out.unionByName(again).drop("part", "ids")
+        again = written(again, f"merged{level}")
+        out, open_ = out.unionByName(again.where("ids is null")), again.where("ids is not null")

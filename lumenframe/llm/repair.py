@@ -148,8 +148,8 @@ def write_shards(df: DataFrame, shard_ids: int = SHARD_IDS, end_id: int = END_ID
     path = tokenizer or default_path()
     p = partitions(df.sparkSession)
     docs = df.select(id_key().alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bounds = block_bounds(docs, F.col("key"), 4 * p)
-    dealt = docs.withColumn("block", block_of(F.col("key"), bounds)).repartition(p, "block").sortWithinPartitions("block", "key", "text")
+    bounds = block_bounds(docs, F.col("key"), p)
+    dealt = docs.withColumn("block", block_of(F.col("key"), bounds)).repartitionById(p, "block").sortWithinPartitions("block", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = encoder(path, _REMEMBERED), np.array([end_id], dtype="<u2")
@@ -195,7 +195,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
     docs = shards.select("block", "part", "content").mapInArrow(run, "key bigint, local bigint, n_tokens bigint, ids_crc32 bigint, block int, part int")
     sizes = shards.select("block", "part", "n_ids")
     rows = Window.unboundedPreceding, Window.currentRow
-    of_block = sizes.groupBy("block").agg(F.sum("n_ids").alias("n"))  # a row a block; there are 4 blocks a shuffle partition
+    of_block = sizes.groupBy("block").agg(F.sum("n_ids").alias("n"))  # a row a block; there is a block a shuffle partition
     of_block = of_block.select("block", (F.sum("n").over(Window.orderBy("block").rowsBetween(*rows)) - F.col("n")).alias("base"))
     of_part = sizes.join(of_block, "block").select("block", "part", (F.col("base") + F.sum("n_ids").over(Window.partitionBy("block").orderBy("part").rowsBetween(*rows)) - F.col("n_ids")).alias("base"))
     return docs.join(of_part, ["block", "part"]).select(F.when(F.col("key") != F.lit(NO_ID), F.col("key")).alias("doc_id"), (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", "block", "part")

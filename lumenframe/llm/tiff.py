@@ -1,11 +1,13 @@
 """TIFF media columns: a reader that gives a row per page, and a writer to store bytes as 8-bit grey pages.
 
 The reader walks the chain of image directories in either byte order, fetches the strips or tiles of each page, decodes them (none,
-PackBits, LZW, deflate), undoes the horizontal predictor, and joins them into the page's samples.
+PackBits, LZW, deflate), undoes the horizontal or the floating-point predictor, and joins them into the page's samples. Samples have 1, 2, 4, 8, 16, 32
+or 64 bits (those of fewer than 8 become bytes), interleaved or in planes.
 
 Defined cases: a null text counts as empty; empty payloads are 64 zero bytes; texts of any length become pages of at most PAGE_ROWS rows; equal texts
-give equal files; a null medium gives no page rows; a medium that can't be decoded gives one row with page null and the reason in
-`error`; a directory chain that runs in a circle ends where it closes; repeated rows are treated one by one; an empty table gives no rows.
+give equal files; a null medium gives no page rows; a page that can't be decoded gives a row with its number and the reason in `error`, and the
+other pages theirs; a medium without a readable directory gives one row with page null; a directory chain that runs in a circle ends where it closes, one
+that breaks off ends there, with a row for the break; repeated rows are treated one by one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -171,7 +173,10 @@ class Page(NamedTuple):
     samples: int
     bits: int
     compression: int
-    pixels: bytes  # rows from top to bottom; 16-bit samples are little-endian
+    pixels: bytes  # rows from top to bottom, samples of a pixel together; little-endian
+
+
+BAD = (ValueError, struct.error, zlib.error, IndexError, MemoryError, OverflowError)
 
 
 def write(payload: bytes, compression: int = DEFLATE, predictor: int = 2, tiled: bool = False) -> bytes:
@@ -209,63 +214,91 @@ def write(payload: bytes, compression: int = DEFLATE, predictor: int = 2, tiled:
     return bytes(out)
 
 
-def read(media: bytes) -> Iterator[Page]:
-    """The pages of a file, one at a time."""
+Tags = dict[int, tuple[int, ...]]
+
+
+def directories(media: bytes) -> tuple[str, list[Tags | str]]:
+    """(byte order, the tags of each directory of the chain); where the chain breaks off, the reason comes last."""
     order = {b"II": "<", b"MM": ">"}.get(media[:2])
     if order is None or struct.unpack_from(order + "H", media, 2)[0] != 42:
         raise ValueError("not a TIFF file")
     (at,) = struct.unpack_from(order + "I", media, 4)
     seen: set[int] = set()
+    out: list[Tags | str] = []
     while at and at not in seen:
         seen.add(at)
-        (n,) = struct.unpack_from(order + "H", media, at)
-        tags: dict[int, tuple[int, ...]] = {}
-        for i in range(n):
-            tag, kind, count = struct.unpack_from(order + "HHI", media, at + 2 + 12 * i)
-            if kind in _KINDS:
-                code = f"{order}{count}{_KINDS[kind]}"
-                inline = struct.calcsize(code) <= 4
-                tags[tag] = struct.unpack_from(code, media, at + 10 + 12 * i if inline else struct.unpack_from(order + "I", media, at + 10 + 12 * i)[0])
-        yield _page(media, tags, order, len(seen) - 1)
-        (at,) = struct.unpack_from(order + "I", media, at + 2 + 12 * n)
-
-
-def _page(media: bytes, tags: dict[int, tuple[int, ...]], order: str, number: int) -> Page:
+        try:
+            (n,) = struct.unpack_from(order + "H", media, at)
+            tags: Tags = {}
+            for i in range(n):
+                tag, kind, count = struct.unpack_from(order + "HHI", media, at + 2 + 12 * i)
+                if kind in _KINDS:
+                    code = f"{order}{count}{_KINDS[kind]}"
+                    inline = struct.calcsize(code) <= 4
+                    tags[tag] = struct.unpack_from(code, media, at + 10 + 12 * i if inline else struct.unpack_from(order + "I", media, at + 10 + 12 * i)[0])
+            (at,) = struct.unpack_from(order + "I", media, at + 2 + 12 * n)
+        except BAD as e:
+            return order, [*out, f"directory {len(out)}: {e}"]
+        out.append(tags)
+    return order, out
+
+
+def read(media: bytes) -> Iterator[Page]:
+    """The pages of a file, one at a time; raises at the first that can't be decoded."""
+    order, found = directories(media)
+    for number, tags in enumerate(found):
+        if isinstance(tags, str):
+            raise ValueError(tags)
+        yield page_of(media, tags, order, number)
+
+
+def _samples(raw: bytes, order: str, bits: int, predictor: int, rows: int, columns: int, samples: int) -> np.ndarray:
+    """Decoded bytes as rows x columns x samples, the predictor undone, little-endian."""
+    if bits < 8:  # rows begin at whole bytes
+        ones = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(rows, -1), axis=1)[:, : columns * samples * bits]
+        return (ones.reshape(rows, columns * samples, bits) @ (1 << np.arange(bits)[::-1])).astype(np.uint8).reshape(rows, columns, samples)
+    size = bits // 8
+    if predictor == 3:  # bytes of a row by significance, highest first, each less the one `samples` before it
+        planes = np.frombuffer(raw, dtype=np.uint8).reshape(rows, size * columns, samples)
+        planes = np.cumsum(planes, axis=1, dtype=np.uint8).reshape(rows, size, columns * samples)
+        return np.ascontiguousarray(planes[:, ::-1].transpose(0, 2, 1)).view(f"<u{size}").reshape(rows, columns, samples)
+    got = np.frombuffer(raw, dtype=f"{order}u{size}").astype(f"<u{size}").reshape(rows, columns, samples)
+    return np.cumsum(got, axis=1, dtype=got.dtype) if predictor == 2 else got
+
+
+def page_of(media: bytes, tags: Tags, order: str, number: int) -> Page:
     one = lambda tag, default: tags.get(tag, (default,))[0]
     width, height, samples, bits = one(WIDTH, 0), one(LENGTH, 0), one(SAMPLES, 1), one(BITS, 1)
-    compression, predictor = one(COMPRESSION, NONE), one(PREDICTOR, 1)
-    if bits not in (8, 16) or any(b != bits for b in tags.get(BITS, ())) or predictor not in (1, 2) or one(PLANAR, 1) != 1:
-        raise ValueError(f"{bits} bits, predictor {predictor}, planes {one(PLANAR, 1)}")
-    kind = np.dtype("u1") if bits == 8 else np.dtype(order + "u2")
+    compression, predictor, planar = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1)
+    if bits not in (1, 2, 4, 8, 16, 32, 64) or any(b != bits for b in tags.get(BITS, ())) or predictor not in ((1,) if bits < 8 else (1, 2) if bits == 8 else (1, 2, 3)) or planar not in (1, 2):
+        raise ValueError(f"{bits} bits, predictor {predictor}, planes {planar}")
+    own, planes = (1, samples) if planar == 2 else (samples, 1)
 
     def block(place: int, size: int, rows: int, columns: int) -> np.ndarray:
-        raw = _decode(media[place : place + size], compression, rows * columns * samples * kind.itemsize)
-        got = np.frombuffer(raw, dtype=kind).astype(kind.newbyteorder("<")).reshape(rows, columns, samples)
-        return np.cumsum(got, axis=1, dtype=got.dtype) if predictor == 2 else got
-
-    if TILE_OFFSETS in tags:
-        w, h = one(TILE_WIDTH, 0), one(TILE_LENGTH, 0)
-        if not (w and h):
-            raise ValueError("tiles without a size")
-        across = -(-width // w)
-        page = np.zeros((-(-height // h) * h, across * w, samples), dtype=kind.newbyteorder("<"))
-        for i, (place, size) in enumerate(zip(tags[TILE_OFFSETS], tags.get(TILE_COUNTS, ()), strict=True)):
-            y, x = i // across * h, i % across * w
-            page[y : y + h, x : x + w] = block(place, size, h, w)
-        page = page[:height, :width]
-    else:
-        step = min(one(ROWS_PER_STRIP, height), height) or 1
-        strips = [block(place, size, min(step, height - i * step), width) for i, (place, size) in enumerate(zip(tags.get(STRIP_OFFSETS, ()), tags.get(STRIP_COUNTS, ()), strict=True))]
-        page = np.concatenate(strips) if strips else np.zeros((0, width, samples), dtype=kind)
-        if len(page) != height:
-            raise ValueError(f"{len(page)} of {height} rows")
-    return Page(number, width, height, samples, bits, compression, page.tobytes())
+        raw = _decode(media[place : place + size], compression, rows * (-(-columns * own * bits // 8)))
+        return _samples(raw, order, bits, predictor, rows, columns, own)
+
+    tiled = TILE_OFFSETS in tags
+    places = list(zip(tags.get(TILE_OFFSETS if tiled else STRIP_OFFSETS, ()), tags.get(TILE_COUNTS if tiled else STRIP_COUNTS, ()), strict=True))
+    w, h = (one(TILE_WIDTH, 0), one(TILE_LENGTH, 0)) if tiled else (width, min(one(ROWS_PER_STRIP, height), height) or 1)
+    if not (w and h):
+        raise ValueError("no size")
+    across, down = -(-width // w), -(-height // h)
+    if len(places) != across * down * planes:
+        raise ValueError(f"{len(places)} of {across * down * planes} strips or tiles")
+    page = np.zeros((down * h, across * w, samples), dtype=f"<u{max(1, bits // 8)}")
+    for i, (place, size) in enumerate(places):
+        plane, k = divmod(i, across * down)
+        y, x = k // across * h, k % across * w
+        rows = h if tiled else min(h, height - y)
+        page[y : y + rows, x : x + w, plane * own : plane * own + own] = block(place, size, rows, w)
+    return Page(number, width, height, samples, bits, compression, page[:height, :width].tobytes())
 
 
 # --- columns ----------------------------------------------------------------------------------------------------------------------
 
-#: How a payload is stored, by its crc32: most by deflate, some by each of the other codecs, in strips or tiles, with or without predictor.
-SCHEMES = ((DEFLATE, 2, False), (DEFLATE, 1, True), (LZW, 2, False), (PACKBITS, 1, False), (DEFLATE, 1, False), (DEFLATE, 2, True), (DEFLATE, 1, False), (DEFLATE, 1, True))
+#: How a payload is stored, by its crc32: a third by each codec, in strips and in tiles, with and without predictor.
+SCHEMES = ((DEFLATE, 2, False), (LZW, 1, False), (PACKBITS, 1, True), (DEFLATE, 1, True), (LZW, 2, True), (PACKBITS, 2, False))
 _PAGES = "doc_id bigint, n_bytes bigint, page int, n_pages int, width int, height int, samples int, bits int, compression int, pixels binary, media_bytes bigint, media_sha256 string, error string"
 _PAGE_FIELDS = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("page", pa.int32()), ("n_pages", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("samples", pa.int32()), ("bits", pa.int32()), ("compression", pa.int32()), ("pixels", pa.binary()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("error", pa.string())]
 _BATCH_BYTES = 4 << 20
@@ -318,13 +351,22 @@ def pages(df: DataFrame) -> DataFrame:
                     continue
                 digest = hashlib.sha256(media).hexdigest()
                 try:
-                    found, error = list(read(media)), None
-                except (ValueError, struct.error, zlib.error, IndexError, MemoryError) as e:
+                    order, found = directories(media)
+                    error = "no pages"
+                    if found and isinstance(found[0], str):
+                        found, error = [], found[0]
+                except BAD as e:
                     found, error = [], str(e) or type(e).__name__
-                for p in found:
-                    yield doc_id, n, p.page, len(found), p.width, p.height, p.samples, p.bits, p.compression, p.pixels, len(media), digest, None
+                for number, tags in enumerate(found):
+                    try:
+                        if isinstance(tags, str):
+                            raise ValueError(tags)
+                        p = page_of(media, tags, order, number)
+                        yield doc_id, n, number, len(found), p.width, p.height, p.samples, p.bits, p.compression, p.pixels, len(media), digest, None
+                    except BAD as e:
+                        yield doc_id, n, number, len(found), None, None, None, None, None, None, len(media), digest, str(e) or type(e).__name__
                 if not found:
-                    yield doc_id, n, None, 0, None, None, None, None, None, None, len(media), digest, error or "no pages"
+                    yield doc_id, n, None, 0, None, None, None, None, None, None, len(media), digest, error
 
     return df.select("doc_id", "n_bytes", "media").mapInArrow(lambda it: _batches(rows(it), _PAGE_FIELDS, 9), _PAGES)
 
@@ -341,7 +383,7 @@ def feature(pixels: np.ndarray, n_pages: int) -> str:
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """Page rows in, a row per file out: the payload read back from its pages, in order, and what follows from it."""
+    """Page rows in, a row per file out: the payload read back from its pages, in order, and what follows from it; nulls where a page has an error."""
     fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_pages", pa.int32())]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -351,8 +393,13 @@ def digests(found: DataFrame) -> DataFrame:
                 if page is None:
                     yield doc_id, n, None, None, None, media_bytes, media_sha, None, 0
                     continue
-                held = [*held, pixels] if page else [pixels]
-                if page + 1 == n_pages:
+                if not page:
+                    held = []
+                held.append(pixels)
+                if page + 1 == n_pages and any(x is None for x in held):
+                    yield doc_id, n, None, None, None, media_bytes, media_sha, None, n_pages
+                    held = []
+                elif page + 1 == n_pages:
                     payload = b"".join(held)
                     yield doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), media_bytes, media_sha, feature(np.frombuffer(payload, dtype=np.uint8), n_pages), n_pages
                     held = []

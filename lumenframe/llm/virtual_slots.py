@@ -1,13 +1,14 @@
 """Sharding by fixed virtual slots, in DataFrame functions only.
 
-A record's id is hashed into one of `slots` virtual slots, whose number never changes. A map says which shard holds each slot. Bytes
+A record's id and a checksum of its text are hashed into one of `slots` virtual slots, whose number never changes. A slot that ids alone fill
+far above the mean (rows equal in both, such as copies without an id) is dealt out over all slots by row. A map says which shard holds each slot. Bytes
 are aggregated per slot, and rebalancing edits the map: whole slots move from shards that hold too much to those that hold too
 little, and everything else stays. Each edit is a new version; all versions are rows of one small table (version, slot, shard,
 bytes, rows, first), kept as Parquet in the shared folder. The law that holds is `bytes`: the shards' sizes are near equal, as close
-as moving whole slots allows (a slot has some 1/8192 of the rows, whatever their source, text or copies).
+as moving whole slots allows (a slot has some 1/8192 of the rows, whatever their ids, source, text or copies).
 
-Defined cases: a null text has size 1 (no bytes plus 1) and crc32 0, as has an empty one; rows with equal ids fall into one slot and
-get places of their own, ordered by checksum and size; null ids share one slot; an empty table gives no rows; extra columns are ignored.
+Defined cases: a null text has size 1 (no bytes plus 1) and crc32 0, as has an empty one; rows equal in
+id and text get places of their own; null and repeated ids are spread as others are; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import written
 
 SLOTS = 8192
+#: A slot with so many times the mean rows is dealt out by row.
+HOT = 16
 
 
 def first_map(shards: int, slots: int = SLOTS) -> list[int]:
@@ -96,16 +99,19 @@ def map_table(spark: SparkSession, versions: Sequence[Sequence[int]], load: Sequ
 def shard(df: DataFrame, shards: int = 8, slots: int = SLOTS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version): slot is the row's place in its shard, without gaps from 0."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    sized = written(
-        df.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.pmod(F.xxhash64(F.col(doc_id)), F.lit(slots)).alias("virtual_slot")),
-        "sized",
-    )
+    keyed = df.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.monotonically_increasing_id().alias("row"))
+    keyed = written(keyed.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots))), "sized")  # row is kept as written
+    counted = written(keyed.groupBy("virtual_slot").agg(F.count("*").alias("n")), "counted")  # a row a slot
+    mean = F.lit(keyed.count() / slots)
+    crowded = counted.where(F.col("n") > HOT * (mean + 1)).select("virtual_slot", F.lit(True).alias("crowded"))
+    dealt = F.when(F.col("crowded"), F.pmod(F.xxhash64("virtual_slot", "row"), F.lit(slots))).otherwise(F.col("virtual_slot"))
+    sized = keyed.join(F.broadcast(crowded), "virtual_slot", "left").withColumn("virtual_slot", dealt).drop("crowded")  # fewer rows than slots
     load, rows = [0] * slots, [0] * slots
     for r in sized.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():  # a row a slot
         load[r["virtual_slot"]], rows[r["virtual_slot"]] = r["b"], r["n"]
     even = first_map(shards, slots)
     table = map_table(df.sparkSession, [even, rebalanced(even, load, shards)], load, rows)
     latest = table.where(F.col("version") == 2).select(F.col("slot").alias("virtual_slot"), "shard", "first", F.col("version").alias("map_version"))
-    w = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    w = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "row")
     placed = sized.withColumn("place", F.row_number().over(w) - 1).join(F.broadcast(latest), "virtual_slot")  # as many rows as slots
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")

@@ -57,6 +57,42 @@ def test_numbered_kmers_decide_the_signature(spark):
     assert len(by_sig) >= 0.7 * len(by_parts)
 
 
+def test_short_texts_keep_what_they_share(spark):
+    """Texts of fewer words than a k-mer are compared word by word."""
+    df = spark.createDataFrame([("a b c d", "a b c x", "p q r s", "a b c d")], "a string, near string, other string, same string")
+    s = lambda c: O.signatures(F.col(c))
+    r = df.select(*[O.likeness(s("a"), s(c)).alias(c) for c in ("near", "other", "same")]).first()
+    assert r["same"] == 1.0 > r["near"] >= 0.5 and r["other"] == 0.0
+
+
+def brute_signature(words, k, buckets, length, hash_of):
+    """The method by the book: numbered k-mers, the smallest of each bucket, in text order, as tuples."""
+    entries = sorted((hash_of[g, n], i) for i, (g, n) in enumerate(signature_parts(words, k)))
+    out = {}
+    for h, i in entries:
+        out.setdefault(h * buckets >> 33, []).append((i, h))
+    return {b: tuple(h for _, h in sorted(x[:length])) for b, x in out.items()}
+
+
+def test_signatures_against_the_method_by_the_book(spark):
+    """Two texts agree in a bucket exactly where the book's tuples do; the hashes are read from texts of a single k-mer."""
+    rng = random.Random(12)
+    texts = [[rng.choice("abcdefgh") for _ in range(rng.randint(2, 60))] for _ in range(40)]
+    parts = sorted({p for t in texts for p in signature_parts(t, 2)})
+    grams = spark.createDataFrame([(list(g), n) for g, n in parts], "g array<string>, n int")
+    word = F.transform("g", lambda w: F.xxhash64(w))
+    inner = F.xxhash64(F.get(word, 0), F.get(word, 1)).bitwiseAND(F.lit((1 << 33) - 1))
+    hashes = grams.select("g", "n", F.xxhash64(inner, F.col("n")).bitwiseAND(F.lit((1 << 33) - 1)).alias("h")).collect()
+    hash_of = {(tuple(r["g"]), r["n"]): r["h"] for r in hashes}
+    got = [dict((x >> 32, x & 0xFFFFFFFF) for x in r["s"]) for r in spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(O.signatures(F.col("t"), k=2, buckets=8, length=2).alias("s")).collect()]
+    want = [brute_signature(t, 2, 8, 2, hash_of) for t in texts]
+    for g, w in zip(got, want, strict=True):
+        assert g.keys() == w.keys()
+    for i in range(40):
+        for j in range(i):
+            assert all((got[i][b] == got[j][b]) == (want[i][b] == want[j][b]) for b in got[i].keys() & got[j].keys())
+
+
 def test_order_matters(spark):
     rng = random.Random(5)
     a = [f"w{rng.randint(0, 10**6)}" for _ in range(400)]

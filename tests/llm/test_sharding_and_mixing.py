@@ -20,6 +20,25 @@ def test_shards_are_even_and_gapless(docs, rows, empty):
     assert V.shard(empty).count() == 0
 
 
+def spread(rows):
+    held = Counter()
+    for r in rows:
+        held[r["shard"]] += r["size"]
+    return min(held.get(k, 0) for k in range(8)), max(held.values())
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "equal rows", "own"])
+def test_shards_are_even_whatever_the_ids(spark, ids):
+    rows = [({"null": None, "one": 7, "equal rows": 7 if i % 3 else i, "own": i}[ids], "same text" if ids == "equal rows" and i % 3 else "word " * (i % 40)) for i in range(6000)]
+    got = V.shard(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    low, high = spread(got)
+    assert high - low <= 0.01 * high + 201 and len(got) == 6000
+    places = defaultdict(list)
+    for r in got:
+        places[r["shard"]].append(r["slot"])
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
 def test_rebalancing_is_near_even_and_moves_little():
     rng = np.random.default_rng(3)
     load = rng.integers(1000, 3000, 4096).tolist()

@@ -41,6 +41,65 @@ def test_big_endian_colour_sixteen_bits_with_predictor():
     assert len(pages) == 1 and (np.frombuffer(pages[0].pixels, "<u2").reshape(2, 3, 3) == pixels).all()
 
 
+def media_of(pages, order="<"):
+    """A file of pages (tags, blocks): tags {tag: values}, blocks the bytes of its strips."""
+    out, link = bytearray((b"II*\0" if order == "<" else b"MM\0*") + b"\0" * 4), 4
+    for tags, blocks in pages:
+        places = []
+        for x in blocks:
+            places.append(len(out))
+            out += x
+        entries = []
+        for tag, values in sorted((tags | {T.STRIP_OFFSETS: places, T.STRIP_COUNTS: [len(x) for x in blocks]}).items()):
+            data = struct.pack(f"{order}{len(values)}I", *values)
+            if len(data) > 4:
+                data, at = struct.pack(order + "I", len(out)), out.extend(data)
+            entries.append(struct.pack(order + "HHI", tag, 4, len(values)) + data)
+        struct.pack_into(order + "I", out, link, len(out))
+        out += struct.pack(order + "H", len(entries)) + b"".join(entries)
+        link = len(out)
+        out += b"\0" * 4
+    return bytes(out)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("bits", [1, 2, 4])
+def test_few_bits_become_bytes(order, bits):
+    rng = np.random.default_rng(bits)
+    want = rng.integers(0, 1 << bits, (5, 13), dtype=np.uint8)
+    ones = ((want[:, :, None] >> np.arange(bits)[::-1]) & 1).reshape(5, -1)
+    rows = np.packbits(ones, axis=1)
+    media = media_of([({T.WIDTH: [13], T.LENGTH: [5], T.BITS: [bits], T.ROWS_PER_STRIP: [2]}, [rows[i : i + 2].tobytes() for i in (0, 2, 4)])], order)
+    (page,) = T.read(media)
+    assert (np.frombuffer(page.pixels, np.uint8).reshape(5, 13) == want).all() and page.bits == bits
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize("kind", ["f2", "f4", "f8"])
+def test_floating_point_predictor(order, kind):
+    rng = np.random.default_rng(3)
+    want, size = rng.normal(size=(4, 6, 3)).astype("<" + kind), int(kind[1])
+    planes = want.reshape(4, 18).view(np.uint8).reshape(4, 18, size)[:, :, ::-1].transpose(0, 2, 1).reshape(4, -1, 3)  # highest byte first
+    stored = np.concatenate([planes[:, :1], np.diff(planes, axis=1)], axis=1).tobytes()
+    (page,) = T.read(media_of([({T.WIDTH: [6], T.LENGTH: [4], T.BITS: [8 * size] * 3, T.SAMPLES: [3], T.PREDICTOR: [3], T.COMPRESSION: [T.DEFLATE]}, [zlib.compress(stored)])], order))
+    assert (np.frombuffer(page.pixels, "<" + kind).reshape(4, 6, 3) == want).all()
+
+
+def test_planes_are_put_together():
+    want = np.random.default_rng(4).integers(0, 256, (5, 7, 3), dtype=np.uint8)
+    blocks = [T.packbits(want[y : y + 3, :, k].tobytes()) for k in range(3) for y in (0, 3)]
+    (page,) = T.read(media_of([({T.WIDTH: [7], T.LENGTH: [5], T.BITS: [8] * 3, T.SAMPLES: [3], T.PLANAR: [2], T.ROWS_PER_STRIP: [3], T.COMPRESSION: [T.PACKBITS]}, blocks)]))
+    assert page.pixels == want.tobytes()
+
+
+def test_a_bad_page_leaves_the_others(spark):
+    one = lambda data, **more: ({T.WIDTH: [4], T.LENGTH: [2], T.BITS: [8]} | {getattr(T, k): [v] for k, v in more.items()}, [data])
+    media = media_of([one(b"abcdefgh"), one(b"abc"), one(b"abcdefgh", COMPRESSION=99), one(b"ABCDEFGH")])
+    got = T.pages(spark.createDataFrame([(1, 8, media)], "doc_id bigint, n_bytes bigint, media binary")).orderBy("page").collect()
+    assert [(r["page"], r["n_pages"], r["pixels"] and bytes(r["pixels"]), bool(r["error"])) for r in got] == [(0, 4, b"abcdefgh", False), (1, 4, None, True), (2, 4, None, True), (3, 4, b"ABCDEFGH", False)]
+    assert T.digests(T.pages(spark.createDataFrame([(1, 8, media)], "doc_id bigint, n_bytes bigint, media binary"))).first()["payload_sha256"] is None
+
+
 def test_query_reads_back_what_was_stored(docs, rows):
     got = T.digests(T.pages(T.encode(docs))).collect()
     want = Counter()

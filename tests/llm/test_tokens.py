@@ -61,6 +61,15 @@ def test_packing(docs, rows, empty, encoder):
     assert P.pack(empty).count() == 0
 
 
+def test_leftovers_of_many_partitions_share_windows(spark):
+    """40 partitions of a few short texts: they end in as few windows as their ids can, not in one more a group."""
+    texts = [(i, f"some words of a short text, {i}") for i in range(2000)]
+    got = P.pack(spark.createDataFrame(texts, "doc_id bigint, text string").repartition(40), windows=4).groupBy("sequence_id").agg({"length": "sum"}).collect()
+    sizes = sorted(r[1] for r in got)
+    total = sum(len(whole(None, t)) + 1 for _, t in texts)
+    assert sum(sizes) == total and max(sizes) <= P.LENGTH and len(sizes) == -(-total // P.LENGTH)
+
+
 def test_merging_keeps_every_id():
     rng = np.random.default_rng(1)
     held = [(i, 3, np.arange(n, dtype="<u2"), n + 3) for i, n in enumerate(rng.integers(1, 2048, 300))]
