@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lumenframe.fixed import BUDGETS, COUNTRIES, FREE_BROADCASTERS, GENRES, PAYING_BROADCASTERS, by_spelling
+from lumenframe.fixed import BUDGETS, COUNTRIES, FREE_BROADCASTERS, GENRES, PAYING_BROADCASTERS
 from lumenframe.functions.text import capitalize, let, tokens
 
 _ACCENTED = {"fevrier": "février", "aout": "août", "decembre": "décembre"}
@@ -86,13 +86,13 @@ def budget_category(x: Column) -> Column:
 
 def genre_categories(names: Column) -> Column:
     """The buckets of an array of genres, sorted and joined; null if none is known."""
-    found = F.filter(F.transform(names, lambda g: lookup(by_spelling(GENRES), F.lower(F.trim(g)))), lambda g: g.isNotNull())
+    found = F.filter(F.transform(names, lambda g: lookup(GENRES, F.lower(F.trim(g)))), lambda g: g.isNotNull())
     return F.nullif(F.array_join(F.array_sort(F.array_distinct(found)), ", "), F.lit(""))
 
 
 def broadcasters(s: Column, paying: bool) -> Column:
     """The known broadcasters of a blank-separated cell, in order, repeats kept; none for null."""
-    table = by_spelling(PAYING_BROADCASTERS if paying else FREE_BROADCASTERS)
+    table = PAYING_BROADCASTERS if paying else FREE_BROADCASTERS
     return F.coalesce(F.filter(F.transform(tokens(s), lambda t: lookup(table, F.lower(t))), lambda t: t.isNotNull()), F.array().cast("array<string>"))
 
 
@@ -108,7 +108,7 @@ def allocations(s: Column) -> Column:
     def part(e: Column) -> Column:
         code = F.regexp_extract(e, r"^(.*)-[^-]*$", 1)
         rate = F.nullif(F.trim(F.regexp_extract(e, r"-([^-]*)$", 1)), F.lit("")).try_cast("int")
-        return F.struct(F.coalesce(lookup(by_spelling(COUNTRIES), F.lower(F.trim(code))), capitalize(F.trim(code))).alias("key"), rate.alias("value"))
+        return F.struct(F.coalesce(lookup(COUNTRIES, F.lower(F.trim(code))), capitalize(F.trim(code))).alias("key"), rate.alias("value"))
 
     parts = F.filter(F.transform(F.filter(F.split(F.trim(F.coalesce(s, F.lit(""))), r"\s*/\s*"), lambda e: F.contains(e, F.lit("-"))), part), lambda p: p["value"].isNotNull())
     last = let(parts, lambda p: F.filter(p, lambda e, i: ~F.exists(F.slice(p, i + 2, F.greatest(F.size(p) - i - 1, F.lit(0))), lambda l: l["key"] == e["key"])))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.names import jaro_winkler, levenshtein_share, sorted_name
-from lumenframe.functions.text import similarity, unaccent
+from lumenframe.functions.text import first_name, last_name, similarity, unaccent
 
 
 def _close_pairs(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
@@ -35,7 +35,7 @@ def _close_pairs(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, left_name: str, right_name: str, threshold: float = 0.9) -> DataFrame:
-    """Pairs of rows whose names score `threshold` or more, with similarity_score.
+    """Pairs of rows whose names score `threshold` or more, with similarity_score, unordered.
 
     Distinct sorted names are compared, not rows. A score of t needs an edit-distance share of 2t - 1 at least, as the other half is 1 at
     most; only pairs that may have it meet, and the native half is checked before the scan in Python. At 0.5 or below nothing can be ruled out and
@@ -65,11 +65,14 @@ def exactly_one(matches: DataFrame, key: str) -> DataFrame:
 def best_film(rows: DataFrame, films: DataFrame, directors: DataFrame, threshold: float = 0.8) -> DataFrame:
     """rows (row_id, title, director) with the film_id of the most similar title among the director's films, null if none exceeds the threshold.
 
-    directors: (film_id, name). The director's normalized name is the equi-join key, so titles are compared only within a director.
+    directors: (film_id, first_name, last_name). The searched name is split at white space; its first and last token, without case and accents, must equal
+    the director's first and last name. They are the equi-join key, so titles are compared only within a director. A director without a last name is
+    met by a name of one token only where theirs is empty, not null.
     """
-    known = directors.select("film_id", unaccent(F.lower("name")).alias("__key")).join(films.select(F.col("id").alias("film_id"), "original_name"), "film_id")
-    wanted = rows.withColumn("__key", unaccent(F.lower("director")))
-    scored = wanted.join(known, "__key").withColumn("score", similarity(unaccent("original_name"), unaccent("title"))).where(F.col("score") > threshold)
+    key = lambda c: unaccent(F.lower(c))
+    known = directors.select("film_id", key(F.col("first_name")).alias("__first"), key(F.col("last_name")).alias("__last")).join(films.select(F.col("id").alias("film_id"), "original_name"), "film_id")
+    wanted = rows.withColumns({"__first": key(first_name(F.col("director"))), "__last": key(last_name(F.col("director")))})
+    scored = wanted.join(known, ["__first", "__last"]).withColumn("score", similarity(unaccent("original_name"), unaccent("title"))).where(F.col("score") > threshold)
     best = scored.groupBy("row_id").agg(F.min_by("film_id", F.struct(-F.col("score"), F.col("film_id"))).alias("film_id"), F.max("score").alias("score"))
     return rows.join(best, "row_id", "left")
 

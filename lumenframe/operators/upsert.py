@@ -1,7 +1,11 @@
-"""Inserts, updates and deletes as whole-table functions: old rows and a change in, new rows out. `replace` makes a result take effect at once."""
+"""Inserts, updates and deletes as whole-table functions: old rows and a change in, new rows out. `commit` makes results of several tables take effect together."""
 
 from __future__ import annotations
 
+import json
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,37 +27,52 @@ def with_ids(new: DataFrame, existing: DataFrame, order: list[str], id_column: s
     return n.join(F.broadcast(before), "__part").join(F.broadcast(start)).withColumn(id_column, (F.col("__start") + F.col("__before") + F.col("__n")).cast("int")).drop("__part", "__n", "__before", "__start")
 
 
+def first_of(df: DataFrame, key: list[str], order: list | None = None) -> DataFrame:
+    """One row of each key: the first in order, or, where none is given, by the other columns from left to right, nulls first."""
+    order = order or [c for c in df.columns if c not in key]
+    if not order:
+        return df.dropDuplicates(key)
+    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def _keyed(incoming: DataFrame, key: list[str]) -> DataFrame:
+    """incoming with all columns under names of their own, so that null-safe conditions stay clear."""
+    return incoming.select(*[F.col(c).alias(f"__{c}") for c in incoming.columns])
+
+
+def _same(existing: DataFrame, key: list[str]):
+    """Keys are equal; nulls equal nulls."""
+    return reduce(lambda a, b: a & b, [existing[k].eqNullSafe(F.col(f"__{k}")) for k in key])
+
+
 def find_or_create(existing: DataFrame, incoming: DataFrame, key: list[str], id_column: str = "id") -> DataFrame:
-    """existing and, with new ids, one row for each key of incoming that it lacks. Null keys match null keys."""
-    fresh = incoming.dropDuplicates(key)
-    on = [fresh[k].eqNullSafe(existing[k]) for k in key]
-    fresh = fresh.join(existing.select(*key), on, "left_anti")
+    """existing and, with new ids, one row for each key of incoming that it lacks (see first_of). Null keys match null keys."""
+    fresh = first_of(incoming, key)
+    fresh = fresh.join(_keyed(existing.select(*key), key), _same(fresh, key), "left_anti")
     return existing.unionByName(with_ids(fresh, existing, key, id_column), allowMissingColumns=True)
 
 
 def keep_first(existing: DataFrame, incoming: DataFrame, key: list[str], order: list) -> DataFrame:
-    """existing, and of incoming the first row of each key that existing lacks."""
-    first = incoming.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("__n = 1").drop("__n")
-    return existing.unionByName(first.join(existing.select(*key), key, "left_anti"), allowMissingColumns=True)
+    """existing, and of incoming the first row of each key that existing lacks. Null keys match null keys."""
+    first = first_of(incoming, key, order)
+    return existing.unionByName(first.join(_keyed(existing.select(*key), key), _same(first, key), "left_anti"), allowMissingColumns=True)
 
 
 def create_or_update(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of both by key; where both have one the incoming row's values that are set win. incoming has one row a key."""
-    new = incoming.select(*key, *[F.col(c).alias(f"__{c}") for c in incoming.columns if c not in key])
-    joined = existing.join(new, key, "full_outer")
-    return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if f"__{c}" in new.columns else F.col(c) for c in existing.columns])
+    """Rows of both by key; where both have one the incoming row's values that are set win. incoming has one row a key. Null keys match null keys."""
+    joined = existing.join(_keyed(incoming, key), _same(existing, key), "full_outer")
+    return joined.select(*[F.coalesce(*((c, f"__{c}") if c in key else (f"__{c}", c))).alias(c) if c in incoming.columns else F.col(c) for c in existing.columns])
 
 
 def update(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """existing with the incoming values that are set; incoming rows without a match are ignored."""
-    new = incoming.select(*key, *[F.col(c).alias(f"__{c}") for c in incoming.columns if c not in key])
-    joined = existing.join(new, key, "left")
-    return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if f"__{c}" in new.columns else F.col(c) for c in existing.columns])
+    """existing with the incoming values that are set; incoming rows without a match are ignored. incoming has one row a key. Null keys match null keys."""
+    joined = existing.join(_keyed(incoming, key), _same(existing, key), "left")
+    return joined.select(*[F.coalesce(f"__{c}", c).alias(c) if c in incoming.columns and c not in key else F.col(c) for c in existing.columns])
 
 
 def delete_where(existing: DataFrame, keys: DataFrame, key: list[str]) -> DataFrame:
-    """existing without the rows whose key is in keys."""
-    return existing.join(keys.select(*key).distinct(), key, "left_anti")
+    """existing without the rows whose key is in keys. Null keys match null keys."""
+    return existing.join(_keyed(keys.select(*key).distinct(), key), _same(existing, key), "left_anti")
 
 
 def reload(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
@@ -62,7 +81,7 @@ def reload(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFram
 
 
 def replace(df: DataFrame, path: str) -> None:
-    """Writes df beside path and moves it there: readers see the old table or the new one."""
+    """Writes df beside path and moves it there. Between the two moves there is no table at path; readers that can't have that read through `current`."""
     spark: SparkSession = df.sparkSession
     jvm = spark.sparkContext._jvm
     target, staged, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.staged", f"{path}.old"))
@@ -75,3 +94,54 @@ def replace(df: DataFrame, path: str) -> None:
         fs.rename(old, target)
         raise OSError(f"{path} could not be put in place")
     fs.delete(old, True)
+
+
+def _pointer(spark: SparkSession, root: str):
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{root}/current.json")
+    return jvm, at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _places(spark: SparkSession, root: str) -> dict[str, str]:
+    _, at, fs = _pointer(spark, root)
+    if not fs.exists(at):
+        return {}
+    stream = fs.open(at)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> None:
+    """Writes new versions of the tables under root and then one pointer to all of them, which replaces the old in one step: readers see all or none of a
+    change, and a job that fails before leaves what was. Tables not named stay as they are. Older versions remain until `vacuum`."""
+    places = _places(spark, root)
+    for name, df in tables.items():
+        places[name] = f"{root}/{name}/{uuid.uuid4().hex}"
+        df.write.parquet(places[name])
+    jvm, at, fs = _pointer(spark, root)
+    staged = jvm.org.apache.hadoop.fs.Path(f"{root}/current.{uuid.uuid4().hex}")
+    stream = fs.create(staged)
+    stream.write(json.dumps(places).encode())
+    stream.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(staged, at, overwrite)
+
+
+def current(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The tables as last committed."""
+    return {name: spark.read.parquet(path) for name, path in _places(spark, root).items()}
+
+
+def vacuum(spark: SparkSession, root: str) -> int:
+    """Deletes versions that the pointer no longer names; how many. For when no reader holds an older one."""
+    places = _places(spark, root)
+    _, at, fs = _pointer(spark, root)
+    gone = 0
+    for name, path in places.items():
+        for status in fs.listStatus(at.getParent().suffix(f"/{name}")):
+            if not status.getPath().toString().endswith(path.rsplit("/", 1)[-1]):
+                gone += bool(fs.delete(status.getPath(), True))
+    return gone

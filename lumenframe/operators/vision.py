@@ -85,13 +85,15 @@ def age_bounds(age: Column) -> Column:
 
 
 def whispers(vectors: np.ndarray, threshold: float, rounds: int = 100, seed: int = 0) -> np.ndarray:
-    """Chinese whispers on vectors nearer than threshold: each in turn takes the commonest label of its neighbours. Deterministic for a seed."""
+    """Chinese whispers on vectors nearer than threshold: each in turn takes the commonest label of its neighbours, until nothing changes or for `rounds`
+    rounds, as labels may swing for ever. Deterministic for a seed."""
     n = len(vectors)
     labels = np.arange(n)
     neighbours = []
-    for i in range(0, n, 512):  # in tiles: memory follows n
-        d = np.linalg.norm(vectors[i : i + 512, None, :] - vectors[None, :, :], axis=2) < threshold
-        neighbours += [np.flatnonzero(row) for row in d]
+    squares = (vectors**2).sum(axis=1)
+    for i in range(0, n, 512):  # strips of 512 x n: memory follows n
+        d = squares[i : i + 512, None] + squares[None, :] - 2 * (vectors[i : i + 512] @ vectors.T)
+        neighbours += [np.flatnonzero(row) for row in d < threshold**2]
     rng = np.random.default_rng(seed)
     for _ in range(rounds):
         changed = False
@@ -157,17 +159,51 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
-def nearest(queries: DataFrame, points: DataFrame, block: int = 1024) -> DataFrame:
-    """(query_id, vector) against (point_id, label, vector): each query's nearest other point. The queries are a stated set; at most `block` of them are broadcast at a time, and each block's points keep only their best per partition."""
-    blocks = max(1, -(-queries.count() // block))
-    p = points.select("point_id", "label", F.col("vector").alias("__p"))
+def nearest(queries: DataFrame, points: DataFrame, block: int = 16_384) -> DataFrame:
+    """(query_id, vector) against (point_id, label, vector): each query's nearest other point, ties by point_id; vectors of one length.
+
+    The queries are a stated set. They travel in blocks of at most `block`, each broadcast on its own; a task reads its points once a block and keeps the
+    best point of each query, so what is shuffled is a row per query and task.
+    """
+    spark = queries.sparkSession
+    kind = dict(points.dtypes)
+    out = f"query_id bigint, distance double, point_id bigint, label {kind['label']}"
+    numbered = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    blocks = max(1, -(-numbered.count() // block))
     best = None
     for i in range(blocks):
-        q = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).select("query_id", F.col("vector").alias("__q"))
-        pairs = p.join(F.broadcast(q), F.col("point_id") != F.col("query_id")).withColumn("distance", distance(F.col("__p"), F.col("__q")))
-        own = pairs.groupBy("query_id").agg(F.min(F.struct("distance", "point_id", "label")).alias("b")).select("query_id", "b.*")
+        mine = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()  # about `block` rows
+        if not len(mine):
+            continue
+        held = spark.sparkContext.broadcast((mine["query_id"].to_numpy(np.int64), np.stack(mine["vector"].to_list())))
+
+        def run(batches, held=held):
+            ids, q = held.value
+            squares, low = (q**2).sum(axis=1), np.full(len(ids), np.inf)
+            who, label = np.full(len(ids), -1, dtype=np.int64), np.full(len(ids), None, dtype=object)
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                p, at = np.stack(pdf["vector"].to_list()).astype(np.float64), pdf["point_id"].to_numpy(np.int64)
+                for a in range(0, len(ids), 2048):  # strips bound memory
+                    part = slice(a, a + 2048)
+                    d = squares[part, None] + (p**2).sum(axis=1)[None, :] - 2 * (q[part] @ p.T)
+                    d[ids[part, None] == at[None, :]] = np.inf
+                    near = d <= d.min(axis=1, keepdims=True) + 1e-9 * (1 + squares[part, None])  # the product form is off by rounding: settle these exactly
+                    rows, cols = np.nonzero(near & np.isfinite(d))
+                    exact = np.sqrt(((q[part][rows] - p[cols]) ** 2).sum(axis=1))
+                    for j in np.lexsort((at[cols], exact))[::-1]:
+                        k = a + rows[j]
+                        if (exact[j], at[cols[j]]) < (low[k], who[k]) or who[k] < 0:
+                            low[k], who[k], label[k] = exact[j], at[cols[j]], pdf["label"].iat[cols[j]]
+            some = who >= 0
+            yield pd.DataFrame({"query_id": ids[some], "distance": low[some], "point_id": who[some], "label": label[some]})
+
+        own = points.select(F.col("point_id").cast("long").alias("point_id"), "label", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(run, out)
         best = own if best is None else best.unionByName(own)
-    return best
+    if best is None:
+        return spark.createDataFrame([], out)
+    return best.groupBy("query_id").agg(F.min(F.struct("distance", "point_id", "label")).alias("b")).select("query_id", "b.*")
 
 
 # --- pixels -----------------------------------------------------------------------------------------------------------------------

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.fixed import AGES, ETHNICITIES, GENDERS
 from lumenframe.functions import parse as P
 from lumenframe.functions import text as X
 from lumenframe.operators import metrics as M
@@ -97,11 +98,11 @@ def in_list_semi(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).join(lines, "o_orderkey", "left_semi").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
-@query("SELECT lower(strip_accents(w)) AS name, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM documents WHERE lang = 'fr') WHERE regexp_matches(w, '^[A-Za-zàâçèéêëîïôùûüÀÂÇÈÉÊËÎÏÔÙÛÜ]+$') GROUP BY 1 HAVING count(*) > 20")
+@query("SELECT lower(strip_accents(w)) AS name, count(*) AS n FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM documents WHERE lang = 'fr') WHERE regexp_matches(w, '^[A-Za-zàâçèéêëîïôùûüÀÂÇÈÉÊËÎÏÔÙÛÜ]+$') GROUP BY 1")
 def accent_insensitive_match(spark: SparkSession, d: str) -> DataFrame:
     """Words that are equal but for case and accents."""
     words = _t(spark, d, "documents").where("lang = 'fr'").select(F.explode(F.split("text", r"\s+")).alias("w")).where(F.col("w").rlike("^[A-Za-zàâçèéêëîïôùûüÀÂÇÈÉÊËÎÏÔÙÛÜ]+$"))
-    return words.groupBy(X.unaccent(F.lower("w")).alias("name")).agg(F.count("*").alias("n")).where("n > 20")
+    return words.groupBy(X.unaccent(F.lower("w")).alias("name")).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -329,10 +330,10 @@ def map_alloc_french(spark: SparkSession, d: str) -> DataFrame:
     o = F.col("o_orderkey")
     last = F.when(o % 2 == 0, F.lit("nation_0-40")).otherwise(F.lit("nation_0-x"))
     cell = F.concat_ws(" / ", F.concat(F.lit("Nation_"), F.col("o_custkey") % 5, F.lit("-"), o % 60), F.concat(F.lit("nation_"), F.col("o_custkey") % 3, F.lit(" - 40")), F.lit("broken"), last)
-    shares = P.allocations(cell)
-    home = F.coalesce(F.try_element_at(shares, F.lit("Nation_0")), F.lit(0)) == F.array_max(F.map_values(shares))
-    listed = F.array_join(F.transform(F.array_sort(F.map_entries(shares)), lambda e: F.concat(F.upper(e["key"]), F.lit("="), e["value"])), ";")
-    return _t(spark, d, "orders").select("o_orderkey", listed.alias("shares"), home.alias("is_home_financed"))
+    listed = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(F.upper(e["key"]), F.lit("="), e["value"])), ";")
+    home = lambda m: F.coalesce(F.try_element_at(m, F.lit("Nation_0")), F.lit(0)) == F.array_max(F.map_values(m))
+    found = P.let(P.allocations(cell), lambda m: F.struct(listed(m).alias("shares"), home(m).alias("is_home_financed")))
+    return _t(spark, d, "orders").select("o_orderkey", found.alias("f")).select("o_orderkey", "f.*")
 
 
 @query(
@@ -393,11 +394,11 @@ def clean_title(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """SELECT doc_id, w[1] AS first_name, CASE WHEN len(w) > 1 THEN w[-1] ELSE '' END AS last_name, array_to_string(w, ' ') AS clean, len(list_filter(list_transform(string_split(t, '.'), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> ''))::INT AS parts
-    FROM (SELECT doc_id, substr(text, 1, 80) AS t, list_filter(string_split_regex(substr(text, 1, 80), '[ \\n\\t]+'), lambda x: x <> '') AS w FROM documents)"""
+    FROM (SELECT doc_id, text AS t, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS w FROM documents)"""
 )
 def split_names(spark: SparkSession, d: str) -> DataFrame:
     """First and last token, single blanks, and non-empty parts."""
-    t = F.col("text").substr(1, 80)
+    t = F.col("text")
     parts = F.filter(F.transform(F.split(t, r"\."), lambda x: F.regexp_replace(x, r"^[ \n]+|[ \n]+$", "")), lambda x: x != "")
     return _t(spark, d, "documents").select("doc_id", X.first_name(t).alias("first_name"), X.last_name(t).alias("last_name"), X.remove_extra_spaces(t).alias("clean"), F.size(parts).alias("parts"))
 
@@ -475,11 +476,11 @@ def html_links(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", (F.col("i") + 1).alias("i"), "l.href", "l.text")
 
 
-@query("SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title, len(regexp_extract_all(html, '<li>'))::INT AS items, regexp_extract(html, '<div class=\"ad\">([^<]{1,20})', 1) AS advert FROM pages")
+@query("SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title, len(regexp_extract_all(html, '<li>'))::INT AS items, regexp_extract(html, '<div class=\"ad\">([^<]*)', 1) AS advert FROM pages")
 def html_title(spark: SparkSession, d: str) -> DataFrame:
     """Title, list items and the text of an element by class."""
     h = F.col("html")
-    return _t(spark, d, "pages").select("page_id", pages.title(h).alias("title"), F.size(pages.elements(h, "li")).alias("items"), F.get(pages.elements(h, "div", "ad"), F.lit(0)).substr(1, 20).alias("advert"))
+    return _t(spark, d, "pages").select("page_id", pages.title(h).alias("title"), F.size(pages.elements(h, "li")).alias("items"), F.get(pages.elements(h, "div", "ad"), F.lit(0)).alias("advert"))
 
 
 @query("SELECT p_partkey, replace(lower(replace(p_name || ' - ' || p_brand, ' - ', '+')), ' ', '+') AS url FROM part")
@@ -617,6 +618,64 @@ def festival_document(spark: SparkSession, d: str) -> DataFrame:
     return o.join(F.broadcast(newest), "year", "left_semi").join(films, "o_orderkey", "left").select("o_orderkey", "won", "pct", "directors")
 
 
+def _film_tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Orders as films, lines as credits, suppliers as holders: every third a company, the others with a nation as first name and a number as last."""
+    supplier, k = _t(spark, d, "supplier"), F.col("s_suppkey")
+    named = supplier.join(_t(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    company = k % 3 == 2
+    roles = ["director", "actor", "screenwriter", "production", "distribution", "co_production", "paying_broadcaster"]
+    return {
+        "films": _t(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("original_name"), F.col("o_custkey").alias("budget")),
+        "roles": spark.createDataFrame([(i + 1, r, i in (0, 2), r, None) for i, r in enumerate(roles)], "id int, name string, is_key_role boolean, inclusive_name string, allocine_name string"),
+        "credit_holders": named.select(k.alias("id"), F.when(company, "Company").otherwise("Individual").alias("type"), F.when(~company, F.col("n_name")).alias("first_name"), F.when(~company, k.cast("string")).alias("last_name"), F.when(company, F.col("s_name")).alias("legal_name"), gender(k).alias("gender")),
+        "film_credits": _t(spark, d, "lineitem").select(F.col("l_linenumber").alias("id"), F.col("l_orderkey").alias("film_id"), F.col("l_linenumber").alias("role_id"), F.col("l_suppkey").alias("credit_holder_id")),
+    }
+
+
+_HOLDER = "CASE WHEN s_suppkey % 3 = 2 THEN s_name ELSE array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' ' || s_suppkey END"
+_CREDITS = f"SELECT l_orderkey AS film_id, l_linenumber AS i, s_suppkey % 3 = 2 AS company, {_HOLDER} AS name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey"
+
+
+@query(f"SELECT film_id, string_agg(name, '; ' ORDER BY i, name) AS directors FROM ({_CREDITS}) WHERE i = 1 AND NOT company GROUP BY 1")
+def film_directors(spark: SparkSession, d: str) -> DataFrame:
+    """Individual directors of each film; companies that direct are none."""
+    from lumenframe.plans.read_models import directors
+
+    return directors(_film_tables(spark, d)).select("film_id", F.array_join("directors", "; ").alias("directors"))
+
+
+@query(
+    f"""SELECT film_id, coalesce(string_agg(name, '; ' ORDER BY i, company, name) FILTER (WHERE i IN (1, 3)), '') AS key_roles, coalesce(string_agg(name, '; ' ORDER BY i, company, name) FILTER (WHERE i = 2), '') AS casting, coalesce(string_agg(name, '; ' ORDER BY i, company, name) FILTER (WHERE i = 4 AND company), '') AS production,
+    coalesce(string_agg(name, '; ' ORDER BY i, company, name) FILTER (WHERE i = 7 AND company), '') AS financiers, count_if(i IN (1, 2, 3) AND company)::INT AS companies_with_key_roles_or_cast FROM ({_CREDITS}) GROUP BY 1"""
+)
+def film_credit_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The overlapping lists of a film's credits."""
+    from lumenframe.plans.read_models import credit_groups
+
+    names = lambda c: F.array_join(F.transform(c, lambda e: e["name"]), "; ").alias(c)
+    both = F.concat("key_roles", "casting")
+    return credit_groups(_film_tables(spark, d)).select("film_id", *map(names, ("key_roles", "casting", "production", "financiers")), F.size(F.filter(both, lambda e: e["is_company"])).alias("companies_with_key_roles_or_cast"))
+
+
+@query(
+    f"""WITH rows AS (SELECT p_partkey AS row_id, CASE WHEN p_partkey % 4 = 0 THEN 'the ' ELSE '' END || p_name || CASE WHEN p_partkey % 3 = 0 THEN '!' ELSE ' ii' END AS title, p_partkey % 25 AS nation, p_partkey % 7 AS last FROM part),
+    films AS (SELECT p_partkey AS film_id, p_name AS name, p_partkey % 25 AS nation, p_partkey % 7 AS last FROM part),
+    scored AS (SELECT row_id, film_id, len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) AS score FROM (SELECT *, {_TRIGRAMS.format("title")} AS t FROM rows) a JOIN (SELECT *, {_TRIGRAMS.format("name")} AS t FROM films) b USING (nation, last))
+    SELECT row_id, film_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, film_id) AS n FROM scored WHERE score > 0.6) WHERE n = 1"""
+)
+def film_by_director(spark: SparkSession, d: str) -> DataFrame:
+    """Award rows matched to films: the director by first and last token of a name with middle names, blanks, case and accents of its own, the title by trigrams."""
+    k = F.col("p_partkey")
+    part = _t(spark, d, "part")
+    nations = F.broadcast(_t(spark, d, "nation"))  # 25 rows
+    named = part.join(nations, k % 25 == F.col("n_nationkey")).withColumn("last", F.concat(F.lit("Étoile"), (k % 7).cast("string")))
+    first = F.replace("n_name", F.lit(" "), F.lit("-"))
+    directors = named.select(k.alias("film_id"), first.alias("first_name"), F.col("last").alias("last_name"))
+    title = F.concat(F.when(k % 4 == 0, "the ").otherwise(""), "p_name", F.when(k % 3 == 0, "!").otherwise(" ii"))
+    rows = named.select(k.alias("row_id"), title.alias("title"), F.concat(F.lit("  "), F.lower(first), F.lit("  Maria  de "), F.replace("last", F.lit("É"), F.lit("e"))).alias("director"))
+    return R.best_film(rows, part.select(k.alias("id"), F.col("p_name").alias("original_name")), directors, 0.6).where("film_id is not null").select("row_id", "film_id", F.round("score", 6).alias("score"))
+
+
 @query("SELECT o_orderpriority AS dimension, count(*) AS films FROM orders GROUP BY 1")
 def dashboard_dimension(spark: SparkSession, d: str) -> DataFrame:
     """Films by a dashboard dimension."""
@@ -649,25 +708,25 @@ def bbox_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH e AS (SELECT user_id, event_id, event_type, (event_id % 3)::VARCHAR AS g FROM events WHERE user_id % 2 = 0), a AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM e GROUP BY 1, 2), b AS (SELECT user_id, g, count(*) AS n, min(event_id) AS f FROM e GROUP BY 1, 2),
+    """WITH e AS (SELECT user_id, event_id, event_type, (event_id % 3)::VARCHAR AS g FROM events), a AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS f FROM e GROUP BY 1, 2), b AS (SELECT user_id, g, count(*) AS n, min(event_id) AS f FROM e GROUP BY 1, 2),
     s AS (SELECT user_id, count(*) AS occurence, sum(abs(event_id % 7 - event_id % 5) * abs(event_id % 11 - event_id % 4))::BIGINT AS area_occupied, min(event_id) AS first_id FROM e GROUP BY 1 HAVING count(*) > 5)
     SELECT (row_number() OVER (ORDER BY first_id) - 1)::INT AS label, occurence, area_occupied, (SELECT event_type FROM a WHERE a.user_id = s.user_id ORDER BY n DESC, f LIMIT 1) AS age, (SELECT g FROM b WHERE b.user_id = s.user_id ORDER BY n DESC, f LIMIT 1) AS gender FROM s"""
 )
 def cluster_mode(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of more than five faces: commonest labels (ties: seen first), size and area, numbered as first met."""
-    e, i = _t(spark, d, "events").where("user_id % 2 = 0"), F.col("event_id")
+    e, i = _t(spark, d, "events"), F.col("event_id")
     faces = e.select(F.lit(1).alias("film"), F.col("user_id").alias("label"), "event_id", F.col("event_type").alias("age"), (i % 3).cast("string").alias("gender"), F.lit("White").alias("ethnicity"), (i % 7).alias("x1"), (i % 11).alias("y1"), (i % 5).alias("x2"), (i % 4).alias("y2"))
     return V.aggregate_clusters(faces, "film", "event_id", 5).select("label", "occurence", "area_occupied", "age", "gender")
 
 
 @query(
-    """WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS point_id, v.label, sqrt(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS dist FROM embeddings q, embeddings v WHERE q.vec_id < 50 AND v.vec_id <> q.vec_id)
+    """WITH p AS (SELECT q.vec_id AS query_id, v.vec_id AS point_id, v.label, sqrt(list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) AS dist FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.vec_id <> q.vec_id)
     SELECT query_id, point_id, label, round(dist, 4) AS dist FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dist, point_id) AS n FROM p) WHERE n = 1"""
 )
 def nearest_label(spark: SparkSession, d: str) -> DataFrame:
-    """Each of fifty vectors with its nearest other one."""
+    """Each vector whose id is divisible by 20 with its nearest other one, of all."""
     v = _t(spark, d, "embeddings")
-    found = V.nearest(v.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("point_id"), "label", F.col("embedding").alias("vector")))
+    found = V.nearest(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("point_id"), "label", F.col("embedding").alias("vector")))
     return found.select("query_id", "point_id", "label", F.round("distance", 4).alias("dist"))
 
 
@@ -683,13 +742,18 @@ def nearest_annotation(spark: SparkSession, d: str) -> DataFrame:
     return V.nearest_annotation(detections, annotations).withColumn("distance", F.round("distance", 6))
 
 
+_LABELS = {"ethnicity": (ETHNICITIES, 1, 7), "gender": (GENDERS, 8, 9), "age": (AGES, 10, 18)}
+
+
 @query(
-    """WITH e AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: exp(x::DOUBLE - list_max(embedding[1:4])::DOUBLE)) AS x, embedding[1:4] AS l FROM embeddings) SELECT vec_id, (list_position(l, list_max(l)) - 1)::INT AS best, round(list_max(x) / list_sum(x), 6) AS confidence FROM e"""
+    "WITH e AS (SELECT vec_id, embedding[1:18] AS l, list_transform(embedding[1:18], lambda x: exp(x::DOUBLE - list_max(embedding[1:18])::DOUBLE)) AS x FROM embeddings) SELECT vec_id, (list_position(l, list_max(l)) - 1)::INT AS best, round(list_max(x) / list_sum(x), 6) AS confidence, "
+    + ", ".join(f"{names!r}[list_position(l[{a}:{b}], list_max(l[{a}:{b}]))] AS {k}" for k, (names, a, b) in _LABELS.items())
+    + " FROM e"
 )
 def softmax_argmax(spark: SparkSession, d: str) -> DataFrame:
-    """The likeliest class of logits and its softmax."""
-    logits = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
-    return _t(spark, d, "embeddings").select("vec_id", V.argmax(logits).alias("best"), F.round(F.array_max(V.softmax(logits)), 6).alias("confidence"))
+    """The likeliest class of 18 logits (the head of each vector) and its softmax; ethnicity, gender and age from their shares of the logits."""
+    logits = F.transform(F.slice("embedding", 1, 18), lambda x: x.cast("double"))
+    return _t(spark, d, "embeddings").select("vec_id", V.argmax(logits).alias("best"), F.round(F.array_max(V.softmax(logits)), 6).alias("confidence"), V.classify(logits).alias("c")).select("vec_id", "best", "confidence", "c.*")
 
 
 @query("SELECT round(avg(((quality <> doc_id % 2)::INT + (toxic <> doc_id % 3)::INT + (toxic <> quality)::INT) / 3.0), 6) AS score FROM labels")

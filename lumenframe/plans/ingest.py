@@ -35,7 +35,7 @@ def holders(names: DataFrame, genders: DataFrame | None = None) -> DataFrame:
     )
     if genders is None:
         return out.withColumn("gender", F.when(F.col("type") == "Individual", "unknown"))
-    known = genders.select(F.initcap("first_name").alias("__first"), F.col("gender").alias("__gender")).dropDuplicates(["__first"])
+    known = U.first_of(genders.select(F.initcap("first_name").alias("__first"), F.col("gender").alias("__gender")), ["__first"])
     joined = out.join(known, F.initcap("first_name") == F.col("__first"), "left")
     return joined.withColumn("gender", F.when(F.col("type") == "Individual", F.coalesce("__gender", F.lit("unknown")))).drop("__first", "__gender")
 
@@ -43,8 +43,20 @@ def holders(names: DataFrame, genders: DataFrame | None = None) -> DataFrame:
 _HOLDER_KEY = ["type", "first_name", "last_name", "legal_name", "gender"]
 
 
-def add_credits(t: Tables, rows: DataFrame, genders: DataFrame | None = None) -> tuple[Tables, DataFrame]:
-    """rows: (film_id, role, kind, name), role by name or by the source's label. Returns the tables with holders and credits added, and the rows whose role is unknown."""
+def with_roles(t: Tables, rows: DataFrame, known: DataFrame | None) -> Tables:
+    """The tables with those known roles (name, allocine_name, is_key_role, inclusive_name) added that rows name and the table lacks."""
+    if known is None:
+        return t
+    wanted = rows.select(F.lower("role").alias("label")).distinct()
+    have = t["roles"].select(F.lower("name").alias("label")).unionByName(t["roles"].select(F.lower("allocine_name").alias("label"))).where("label is not null")
+    missing = wanted.join(have, "label", "left_anti")
+    fresh = known.join(missing, (F.lower("name") == F.col("label")) | (F.lower("allocine_name") == F.col("label")), "left_semi")
+    return dict(t) | {"roles": U.find_or_create(t["roles"], fresh.select("name", "allocine_name", "is_key_role", "inclusive_name"), ["name"])}
+
+
+def add_credits(t: Tables, rows: DataFrame, genders: DataFrame | None = None, known_roles: DataFrame | None = None) -> tuple[Tables, DataFrame]:
+    """rows: (film_id, role, kind, name), role by name or by the source's label; a role that the table lacks is made if it is among the known ones. Returns the tables with holders and credits added, and the rows whose role is unknown."""
+    t = with_roles(t, rows, known_roles)
     by_name = t["roles"].select(F.col("id").alias("role_id"), F.lower("name").alias("label")).unionByName(t["roles"].select(F.col("id").alias("role_id"), F.lower("allocine_name").alias("label")))
     known = by_name.where("label is not null").groupBy("label").agg(F.min("role_id").alias("role_id"))  # the first of several
     found = settled(rows.withColumn("label", F.lower("role")).join(known, "label", "left").drop("label"))
@@ -59,7 +71,7 @@ def add_credits(t: Tables, rows: DataFrame, genders: DataFrame | None = None) ->
     return out, unknown
 
 
-def sheets(t: Tables, raw: DataFrame) -> tuple[Tables, DataFrame]:
+def sheets(t: Tables, raw: DataFrame, known_roles: DataFrame | None = None) -> tuple[Tables, DataFrame]:
     """Films that the tables lack, with their countries, allocations and broadcasters. A film without a visa is always new."""
     clean = clean_sheets(raw)
     fresh = clean.join(t["films"].select("visa_number").where("visa_number is not null").distinct(), "visa_number", "left_anti")
@@ -75,17 +87,16 @@ def sheets(t: Tables, raw: DataFrame) -> tuple[Tables, DataFrame]:
     for column, role in (("paying", "paying_broadcaster"), ("free", "free_broadcaster")):
         own = films.select(F.col("id").alias("film_id"), F.lit(role).alias("role"), F.lit("Company").alias("kind"), F.explode(column).alias("name"))
         rows = own if rows is None else rows.unionByName(own)
-    return add_credits(out, rows)
+    return add_credits(out, rows, None, known_roles)
 
 
 _SECTIONS = ["Scénaristes", "Production", "Equipe technique", "Soundtrack", "Distribution", "Sociétés"]
 
 
-def details(t: Tables, raw: DataFrame, genders: DataFrame | None = None) -> tuple[Tables, DataFrame]:
+def details(t: Tables, raw: DataFrame, genders: DataFrame | None = None, known_roles: DataFrame | None = None) -> tuple[Tables, DataFrame]:
     """Release dates, durations, genres, posters, trailers and credits for known films that lack date or duration."""
     films = t["films"].where(~(F.col("release_date").isNotNull() & F.col("duration_minutes").isNotNull())).select(F.col("id").alias("film_id"), "visa_number")
-    rows = raw.withColumn("visa_number", P.visa(F.col("visa_number"))).join(films, "visa_number").dropDuplicates(["film_id"])
-    rows = settled(rows)
+    rows = settled(U.first_of(raw.withColumn("visa_number", P.visa(F.col("visa_number"))).join(films, "visa_number"), ["film_id"]))
     new = rows.select(F.col("film_id").alias("id"), F.col("allocine_id").try_cast("int").alias("allocine_id"), P.release_date(F.col("release_date")).alias("release_date"), P.duration(F.col("duration")).alias("duration_minutes"), P.genre_categories(P.name_list(F.col("genres"))).alias("genre_categories"))
     out = dict(t)
     out["films"] = U.update(t["films"], new, ["id"])
@@ -106,29 +117,29 @@ def details(t: Tables, raw: DataFrame, genders: DataFrame | None = None) -> tupl
             kind = "Company" if column == "Sociétés" else "Individual"
             own = rows.select("film_id", F.explode(P.credit_list(F.col(column))).alias("e")).select("film_id", F.col("e.role").alias("role"), F.lit(kind).alias("kind"), F.col("e.name").alias("name"))
             entries = entries.unionByName(own)
-    return add_credits(out, entries, genders)
+    return add_credits(out, entries, genders, known_roles)
 
 
-def awards(t: Tables, raw: DataFrame, festivals: DataFrame, labels: DataFrame | None = None, genders: DataFrame | None = None) -> tuple[Tables, DataFrame]:
+def awards(t: Tables, raw: DataFrame, festivals: DataFrame, labels: DataFrame | None = None, genders: DataFrame | None = None, known_roles: DataFrame | None = None) -> tuple[Tables, DataFrame]:
     """raw: (title, director, country, festival, year, distinction, reward or award). Films are matched by director and title or made; festivals: the known ones (name, description, image_base64, country). Returns the tables and the rows of unknown festivals."""
     reward = "reward" if "reward" in raw.columns else "award"
     rows = U.with_ids(raw.withColumnRenamed(reward, "mubi_label"), raw.limit(0).select(F.lit(0).alias("row_id")), ["title", "director", "festival", "year"], "row_id")
     out = dict(t)
     out["countries"] = U.find_or_create(t["countries"], rows.select(F.col("country").alias("name")).where("name is not null"), ["name"])
     role = t["roles"].where(F.lower("name") == "director").select(F.col("id").alias("role_id"))
-    people = t["film_credits"].join(F.broadcast(role), "role_id", "left_semi").join(t["credit_holders"].select(F.col("id").alias("credit_holder_id"), F.concat_ws(" ", "first_name", "last_name").alias("name")), "credit_holder_id")
-    matched = settled(best_film(rows, t["films"], people.select("film_id", "name")))
+    people = t["film_credits"].join(role, "role_id", "left_semi").join(t["credit_holders"].select(F.col("id").alias("credit_holder_id"), "first_name", "last_name"), "credit_holder_id")
+    matched = settled(best_film(rows, t["films"], people.select("film_id", "first_name", "last_name")))
     key = lambda c: unaccent(F.lower(F.trim(c)))
     # rows that match no film make one each by director and title
     wanted = matched.where("film_id is null").groupBy(key(F.col("title")).alias("__t"), key(F.col("director")).alias("__d")).agg(F.min_by("title", "row_id").alias("original_name"), F.min_by("director", "row_id").alias("director"))
     made = U.with_ids(wanted, t["films"], ["__d", "__t"])
     out["films"] = t["films"].unionByName(made.select("id", "original_name"), allowMissingColumns=True)
-    out, _ = add_credits(out, made.select(F.col("id").alias("film_id"), F.lit("director").alias("role"), F.lit("Individual").alias("kind"), F.col("director").alias("name")), genders)
+    out, _ = add_credits(out, made.select(F.col("id").alias("film_id"), F.lit("director").alias("role"), F.lit("Individual").alias("kind"), F.col("director").alias("name")), genders, known_roles)
     full = settled(matched.withColumns({"__t": key(F.col("title")), "__d": key(F.col("director"))}).join(made.select(F.col("id").alias("__made"), "__t", "__d"), ["__t", "__d"], "left").withColumn("film_id", F.coalesce("film_id", "__made")).drop("__t", "__d", "__made"))
     c = out["countries"].select(F.col("id").alias("country_id"), F.col("name").alias("country"))
     out["film_country_budget_allocations"] = U.keep_first(out["film_country_budget_allocations"], full.join(c, "country").select("country_id", "film_id", F.lit(100.0).alias("budget_allocation")), ["country_id", "film_id"], ["film_id"])
     known = festivals.select(F.lower("name").alias("__f"), F.col("name").alias("festival_name"), "description", "image_base64", F.col("country").alias("__country"))
-    placed = full.withColumn("__f", F.lower("festival")).join(F.broadcast(known), "__f", "left").drop("__f")
+    placed = full.withColumn("__f", F.lower("festival")).join(known, "__f", "left").drop("__f")
     good, unknown = placed.where("festival_name is not null"), placed.where("festival_name is null").select("title", "director", "festival", "year")
     out["countries"] = U.find_or_create(out["countries"], good.select(F.col("__country").alias("name")), ["name"])
     wanted_f = good.select("festival_name", "description", "image_base64", "__country").distinct().join(out["countries"].select(F.col("id").alias("country_id"), F.col("name").alias("__country")), "__country").select(F.col("festival_name").alias("name"), "description", "image_base64", "country_id")
@@ -136,7 +147,7 @@ def awards(t: Tables, raw: DataFrame, festivals: DataFrame, labels: DataFrame |
     good = settled(good.join(out["festivals"].select(F.col("id").alias("festival_id"), F.col("name").alias("festival_name")), "festival_name"))
     labelled = good.select("mubi_label", "festival_id").where("mubi_label is not null").distinct()
     if labels is not None:
-        labelled = labelled.join(F.broadcast(labels.select(F.trim("mubi_label").alias("__l"), "english_label", "french_label").dropDuplicates(["__l"])), F.trim("mubi_label") == F.col("__l"), "left").drop("__l")
+        labelled = labelled.join(U.first_of(labels.select(F.trim("mubi_label").alias("__l"), "english_label", "french_label"), ["__l"]), F.trim("mubi_label") == F.col("__l"), "left").drop("__l")
     else:
         labelled = labelled.withColumns({"english_label": F.lit(None).cast("string"), "french_label": F.lit(None).cast("string")})
     labelled = labelled.withColumns({"english_label": F.coalesce("english_label", F.lit("")), "french_label": F.coalesce("french_label", F.lit(""))})

@@ -13,9 +13,35 @@ def strip_tags(s: Column) -> Column:
 
 
 def elements(html: Column, tag: str, css_class: str | None = None) -> Column:
-    """The inner markup of each element of a tag, and of a class if given; elements of the same tag inside it end it."""
+    """The inner markup of each element of a tag, and of a class if given, in order; elements of the same tag inside it are part of it. One never closed gives nothing.
+
+    The page is cut before each opening and after each closing of the tag. The depth after each piece is a running count; an element that opens at
+    depth d ends with the first later piece that closes back to d.
+    """
     attributes = rf"[^>]*\bclass=\"[^\"]*\b{css_class}\b[^\"]*\"[^>]*" if css_class else r"[^>]*"
-    return F.regexp_extract_all(html, F.lit(rf"(?s)<{tag}\b{attributes}>(.*?)</{tag}>"), F.lit(1))
+    pieces = F.filter(F.split(html, rf"(?i)(?=<{tag}\b)|(?<=</{tag}>)"), lambda p: p != "")
+    first = F.struct(F.array().cast("array<struct<depth:int,end:int>>").alias("open"), F.lit(0).alias("at"))
+
+    def step(state: Column, piece: Column) -> Column:
+        before = F.coalesce(F.get(state["open"], state["at"] - 1)["end"], F.lit(0))
+        up = F.when(piece.rlike(rf"(?i)^<{tag}\b"), 1).otherwise(0)
+        down = F.when(piece.rlike(rf"(?i)</{tag}>$"), 1).otherwise(0)
+        return F.struct(F.concat(state["open"], F.array(F.struct(before.cast("int").alias("depth"), (before + up - down).cast("int").alias("end")))).alias("open"), (state["at"] + 1).alias("at"))
+
+    def inner(depths: Column) -> Column:
+        def one(piece: Column, i: Column) -> Column:
+            closes = F.filter(F.sequence(i, F.size(pieces) - 1), lambda j: F.get(depths, j)["end"] <= F.get(depths, i)["depth"])
+            body = F.array_join(F.slice(pieces, i + 1, F.get(closes, F.lit(0)) - i + 1), "")
+            return F.when(piece.rlike(rf"(?is)^<{tag}\b{attributes}>") & (F.size(closes) > 0), F.regexp_replace(F.regexp_replace(body, rf"(?is)^<{tag}\b[^>]*>", ""), rf"(?i)</{tag}>$", ""))
+
+        return F.filter(F.transform(pieces, one), lambda e: e.isNotNull())
+
+    found = F.aggregate(pieces, first, step, lambda state: state["open"])
+    nested = F.element_at(F.transform(F.array(found), inner), 1)
+    flat = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b{attributes}>(.*?)</{tag}>"), F.lit(1))  # enough where no such element holds another
+    opens, closes = (lambda p: p.rlike(rf"(?i)^<{tag}\b")), (lambda p: p.rlike(rf"(?i)</{tag}>$"))
+    holds = F.exists(F.transform(pieces, lambda p, i: opens(p) & ~closes(p) & F.coalesce(opens(F.get(pieces, i + 1)), F.lit(False))), lambda x: x)
+    return F.when(holds, nested).otherwise(flat)
 
 
 def element_texts(html: Column, tag: str, css_class: str | None = None) -> Column:

@@ -59,9 +59,9 @@ def test_fuzzy_join_loses_no_pair(spark):
 
 def test_best_film_needs_the_director_and_a_strict_threshold(spark):
     films = spark.createDataFrame([(1, "La Vie en rose"), (2, "La vie en noir"), (3, "Autre")], "id int, original_name string")
-    directors = spark.createDataFrame([(1, "Hélène X"), (2, "Hélène X"), (3, "Y")], "film_id int, name string")
-    wanted = spark.createDataFrame([(1, "la vie en Rosé", "helene x"), (2, "Autre", "helene x"), (3, "autre", "y")], "row_id int, title string, director string")
-    assert [(r["row_id"], r["film_id"]) for r in R.best_film(wanted, films, directors).orderBy("row_id").collect()] == [(1, 1), (2, None), (3, 3)]
+    directors = spark.createDataFrame([(1, "Hélène", "X"), (2, "Hélène", "X"), (3, "Y", "")], "film_id int, first_name string, last_name string")
+    wanted = spark.createDataFrame([(1, "la vie en Rosé", "helene x"), (2, "Autre", "helene x"), (3, "autre", "y"), (4, "La Vie en Rose", " HELENE  Maria\tX ")], "row_id int, title string, director string")
+    assert [(r["row_id"], r["film_id"]) for r in R.best_film(wanted, films, directors).orderBy("row_id").collect()] == [(1, 1), (2, None), (3, 3), (4, 1)]
 
 
 def test_find_or_create_gives_gapless_ids_and_matches_nulls(spark):
@@ -197,3 +197,47 @@ def test_cast_sections(spark):
     df = spark.createDataFrame([(html,), ("",)], "h string")
     got = df.select(pages.cast_sections(F.col("h"), "crew", ("h2", None), ("div", "c"), [("span", "r"), ("i", "r2")], [("a", "n"), ("b", "n2")]).alias("m")).collect()
     assert {k: [tuple(x) for x in v] for k, v in got[0]["m"].items()} == {"Production": [("Producteur", "A"), ("Co", "B")]} and got[1]["m"] == {}
+
+
+def test_null_keys_match_null_keys(spark):
+    old = spark.createDataFrame([(1, None, "a"), (2, "k", "b")], "id int, key string, value string")
+    new = spark.createDataFrame([(None, "c"), ("n", "d")], "key string, value string")
+    pairs = lambda df: sorted(((r["key"] or "", r["value"]) for r in df.collect()))
+    assert pairs(U.create_or_update(old, new, ["key"])) == [("", "c"), ("k", "b"), ("n", "d")]
+    assert pairs(U.update(old, new, ["key"])) == [("", "c"), ("k", "b")]
+    assert pairs(U.keep_first(old, new, ["key"], ["value"])) == [("", "a"), ("k", "b"), ("n", "d")]
+    assert pairs(U.delete_where(old, new, ["key"])) == [("k", "b")]
+    assert pairs(U.find_or_create(old, new.unionByName(new.withColumn("value", F.lit("z"))), ["key"])) == [("", "a"), ("k", "b"), ("n", "d")]
+
+
+def test_commit_shows_all_tables_or_none(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    assert U.current(spark, root) == {}
+    U.commit(spark, root, {"a": spark.range(3), "b": spark.range(5)})
+    before = U.current(spark, root)
+    with pytest.raises(Exception, match="broken"):
+        U.commit(spark, root, {"a": spark.range(7), "b": spark.range(1).select(F.raise_error(F.lit("broken")).cast("long").alias("id"))})
+    assert {n: df.count() for n, df in U.current(spark, root).items()} == {"a": 3, "b": 5}
+    U.commit(spark, root, {"a": spark.range(9)})
+    assert {n: df.count() for n, df in U.current(spark, root).items()} == {"a": 9, "b": 5} and before["a"].count() == 3
+    assert U.vacuum(spark, root) >= 1 and {n: df.count() for n, df in U.current(spark, root).items()} == {"a": 9, "b": 5}
+
+
+def test_nearest_against_brute_force(spark):
+
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 5, (300, 6)).astype(float)  # many ties
+    rows = [(i, f"l{i}", v.tolist()) for i, v in enumerate(x)]
+    points = spark.createDataFrame(rows, "point_id bigint, label string, vector array<double>").repartition(4)
+    queries = points.where("point_id % 7 = 0").select(F.col("point_id").alias("query_id"), "vector")
+    got = {r["query_id"]: (r["distance"], r["point_id"], r["label"]) for r in V.nearest(queries, points, block=10).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    assert got == {i: (d[i].min(), int(d[i].argmin()), f"l{d[i].argmin()}") for i in range(0, 300, 7)}
+
+
+def test_nested_elements_stay_whole(spark):
+    markup = "<div class=\"x item\"><b>1</b><div><div>in</div></div>end</div><div class=\"item\">2</div><div class=\"item\"><div class=\"item\">3</div></div><div class=\"item\">open"
+    got = spark.createDataFrame([(markup,)], "h string").select(pages.elements(F.col("h"), "div", "item").alias("e")).first()["e"]
+    assert got == ["<b>1</b><div><div>in</div></div>end", "2", "<div class=\"item\">3</div>", "3"]

@@ -40,12 +40,29 @@ def test_film_details(tables):
     assert (r["female_representation_in_key_roles"], r["female_representation_in_casting"]) == (100.0, 50.0)
     assert (r["female_screen_time"], r["non_white_screen_time"]) == (6.292, 0.0)
     assert r["female_visible_ratio_on_poster"] == pytest.approx(39.0) and r["non_white_visible_ratio_on_poster"] == pytest.approx(89.0)
-    assert [c["name"] for c in r["credits"]["casting"]] == ["Jean-Paul B", "Agnès V", "X"] and r["credits"]["production"][0]["name"] == "Les Films D'Ici"
+    assert [c["name"] for c in r["credits"]["casting"]] == ["Jean-Paul B", "Agnès V", "X"] and r["credits"]["distribution"]["production"][0]["name"] == "Les Films D'Ici"
+    assert r["credits"]["key_roles"] == [{"role": "director", "is_key_role": True, "is_company": False, "name": "Agnès V", "gender": "female"}] and r["credits"]["distribution"]["financiers"] == []
     assert [a["award_name"] for a in r["awards"]] == [None, "Z"]
     empty = Q.film_details(tables, F.col("id") == 3).first()
+    assert empty["genres"] == [] == empty["awards"] == empty["credits"]["casting"] and empty["credits"]["distribution"]["budget"] is None
     assert empty["female_visible_ratio_on_poster"] is None and empty["female_representation_in_casting"] is None
 
 
+def test_companies_are_cast_but_direct_nothing(spark, tables):
+    more = table(spark, "film_credits", [dict(id=7, film_id=2, role_id=1, credit_holder_id=4), dict(id=8, film_id=2, role_id=2, credit_holder_id=4), dict(id=9, film_id=2, role_id=3, credit_holder_id=4), dict(id=10, film_id=2, role_id=4, credit_holder_id=2)])
+    t = tables | {"film_credits": tables["film_credits"].unionByName(more)}
+    assert Q.directors(t).where("film_id = 2").first()["directors"] == ["Jean-Paul B"]
+    c = Q.film_details(t, F.col("id") == 2).first()["credits"]
+    assert [(e["name"], e["is_company"]) for e in c["casting"]] == [("Les Films D'Ici", True)] and [e["role"] for e in c["distribution"]["financiers"]] == ["paying_broadcaster"]
+    groups = Q.film_details(t, F.col("id") == 2).select(Q.shown_groups(F.col("credits.distribution")).alias("g")).first()["g"]
+    assert set(groups) == {"financiers"}
+
+
+def test_a_film_reads_only_its_rows(tables):
+    plan = Q.film_details(tables, F.col("id") == 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") >= 6
+
+
 def test_search(tables):
     assert [r["film_id"] for r in Q.search(tables, "FILM").collect()] == [1, 2]
     assert [r["film_id"] for r in Q.search(tables, "film 5_%").collect()] == [2]
@@ -55,6 +72,10 @@ def test_search(tables):
 def test_festival_details(tables):
     got = Q.festival_details(tables, 1).collect()
     assert [(r["film_id"], r["award_id"], r["year"], r["female_nominated_percentage"], r["female_awarded_percentage"]) for r in got] == [(2, 2, 2021, 50.0, 100.0)]  # 'Autre' comes before 'Z'
+    page = got[0]
+    assert (page["festival_name"], page["image_base64"], page["award_name"], page["available_years"]) == ("Fest", "i", "m2", [2021, 2019]) and [a["award_id"] for a in page["available_awards"]] == [2, 1]
+    won, nominated = Q.winners_and_nominees(Q.festival_details(tables, 1, 2021, 1))
+    assert [r["film_id"] for r in won.collect()] == [1] and nominated.count() == 0
     assert [r["film_id"] for r in Q.festival_details(tables, 1, 2019).collect()] == [1]
     assert Q.festival_details(tables, 9) == Q.ERRORS["festival"] and Q.festival_details(tables, 2) == Q.ERRORS["years"]
     assert Q.festival_details(tables, 1, 1950) == Q.ERRORS["year"] and Q.festival_details(tables, 1, 2021, 3) == Q.ERRORS["award"]
@@ -95,6 +116,21 @@ def test_awards(spark, tables):
     assert out["award_nominations"].count() == 4 and S.violations(out).count() == 0
 
 
+@pytest.mark.parametrize("name, found", [("agnes v", True), ("Agnès Maria V", True), ("  Agnès \t V ", True), ("Agnès", False), ("V Agnès", False)])
+def test_films_are_found_by_first_and_last_name(spark, tables, name, found):
+    raw = spark.createDataFrame([("Le Film", name, "France", "Fest", "2022", "Lauréat", "m7")], "title string, director string, country string, festival string, year string, distinction string, reward string")
+    out, _ = I.awards(tables, raw, spark.createDataFrame([("Fest", "d", "i", "France")], "name string, description string, image_base64 string, country string"))
+    assert out["films"].count() == (3 if found else 4)
+
+
+def test_known_roles_are_made_when_named(spark, tables):
+    known = spark.createDataFrame([("screenwriter", "Scénariste", True, "Scénariste"), ("composer", "Compositeur", True, "x")], "name string, allocine_name string, is_key_role boolean, inclusive_name string")
+    empty = tables | {"roles": S.create(spark, "roles")}
+    rows = spark.createDataFrame([(1, "scénariste", "Individual", "Zoe Q"), (1, "Nobody", "Individual", "A B")], "film_id int, role string, kind string, name string")
+    out, unknown = I.add_credits(empty, rows, None, known)
+    assert [(r["id"], r["name"]) for r in out["roles"].collect()] == [(1, "screenwriter")] and [r["role"] for r in unknown.collect()] == ["Nobody"] and out["film_credits"].count() == 7
+
+
 def test_crawl(spark):
     films = spark.createDataFrame([(1, "1"), (2, "2"), (3, "3"), (4, "4")], "film_id int, visa_number string")
     pages = spark.createDataFrame([("1", '<a href="/film/fichefilm_gen_cfilm=5.html">T</a>'), ("2", "<p>none</p>"), ("3", None)], "visa_number string, html string")
