@@ -98,6 +98,34 @@ def duration_cell(text: Column) -> Column:
     return F.when(F.size(parts) == 3, F.replace(F.get(parts, F.lit(1)), F.lit(" "), F.lit("")))
 
 
+def opening(html: Column, tag: str, css_class: str | None = None) -> Column:
+    """The first opening tag of that name, and of a class if given; null if there is none."""
+    attributes = rf"[^>]*\bclass=\"[^\"]*\b{css_class}\b[^\"]*\"[^>]*" if css_class else r"[^>]*"
+    return F.nullif(F.regexp_extract(html, rf"(?is)(<{tag}\b{attributes}>)", 1), F.lit(""))
+
+
+Selector = tuple[str, str | None]
+
+
+def film_page(html: Column, poster: Selector, release_date: Selector, meta: Selector, genres: Selector, player: Selector = ("figure", "player"), item: Selector = ("div", "item"), label: Selector = ("span", "what"), value: Selector = ("span", "that"), visa: str = "N° de Visa") -> Column:
+    """struct<allocine_visa_number, poster_url, release_date, duration, genres, trailer_url>; each part null where the page lacks it.
+
+    The visa is the value of the first item whose label names it; the trailer is the best source of the player's data model.
+    """
+    items = F.filter(elements(html, *item), lambda e: F.contains(F.coalesce(first_text(e, *label), F.lit("")), F.lit(visa)))
+    model = F.replace(F.replace(attribute(opening(html, *player), "data-model"), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
+    named = element_texts(html, *genres)
+    return F.struct(
+        first_text(F.get(items, F.lit(0)), *value).alias("allocine_visa_number"), attribute(opening(html, *poster), "src").alias("poster_url"), first_text(html, *release_date).alias("release_date"),
+        duration_cell(first_text(html, *meta)).alias("duration"), F.when(F.size(named) > 0, named).alias("genres"), trailer_url(model).alias("trailer_url"),
+    )
+
+
+def people(html: Column, section: Selector, name: Selector) -> Column:
+    """The names in the first section of a kind, such as directors or actors, in order; none without such a section."""
+    return F.coalesce(element_texts(F.get(elements(html, *section), F.lit(0)), *name), F.array().cast("array<string>"))
+
+
 def cast_sections(html: Column, section: str, heading: tuple[str, str | None], credit: tuple[str, str], role: list[tuple[str, str | None]], name: list[tuple[str, str | None]]) -> Column:
     """map<section, array<struct<role, name>>>; of the selectors for role and name the first pair that finds both counts."""
 

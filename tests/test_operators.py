@@ -241,3 +241,16 @@ def test_nested_elements_stay_whole(spark):
     markup = "<div class=\"x item\"><b>1</b><div><div>in</div></div>end</div><div class=\"item\">2</div><div class=\"item\"><div class=\"item\">3</div></div><div class=\"item\">open"
     got = spark.createDataFrame([(markup,)], "h string").select(pages.elements(F.col("h"), "div", "item").alias("e")).first()["e"]
     assert got == ["<b>1</b><div><div>in</div></div>end", "2", "<div class=\"item\">3</div>", "3"]
+
+
+def test_film_page_and_people(spark):
+    page = (
+        '<img class="thumb big" src="p.jpg"><span class="date">3 mai 1995</span><div class="meta">3 mai 1995 | 2h 07min | Drame</div><a class="genre">Drame</a> <a class="genre">Guerre</a>'
+        '<figure class="player x" data-model="{&quot;videos&quot;:[{&quot;sources&quot;:{&quot;medium&quot;:&quot;m.mp4?a=1&amp;b=2&quot;}}]}"></figure>'
+        '<div class="item"><span class="what light">Langue</span><span class="that">fr</span></div><div class="item"><span class="what light">N° de Visa</span> <span class="that"> 87654 </span></div>'
+        '<section class="dir"><b class="n">Ana Q</b><b class="n">Bo R</b></section>'
+    )
+    look = lambda h: pages.film_page(h, ("img", "thumb"), ("span", "date"), ("div", "meta"), ("a", "genre"))
+    got = spark.createDataFrame([(page,), ("<p>nothing</p>",)], "h string").select(look(F.col("h")).alias("f"), pages.people(F.col("h"), ("section", "dir"), ("b", "n")).alias("d")).collect()
+    assert tuple(got[0]["f"]) == ("87654", "p.jpg", "3 mai 1995", "2h07min", ["Drame", "Guerre"], "m.mp4?a=1&b=2") and got[0]["d"] == ["Ana Q", "Bo R"]
+    assert tuple(got[1]["f"]) == (None,) * 6 and got[1]["d"] == []
