@@ -40,8 +40,9 @@ BITS, SEED = 64, 42
 SAMPLE = 20_000
 #: Members of a bucket past which it is dealt out to finer ones, and which a task compares at once.
 HOT = 20_000
-#: Bands of a text's bucket minima and buckets a band: at a likeness of 0.8 all but 0.02 % of pairs share a band (1 - (1 - 0.8**7)**36).
+#: Bands of a text's shingle minima and minima a band: at a likeness of 0.8 all but 0.02 % of pairs share a band (1 - (1 - 0.8**7)**36).
 BANDS, BAND = 36, 7
+_TURNS = np.random.default_rng(SEED).integers(0, 1 << 32, BANDS * BAND, dtype=np.uint32)[:, None] | np.uint32(1)
 #: Texts and characters of a part of a loose group; a tile holds two parts.
 HALF, HALF_CHARS = 500, 4_000_000
 #: What one probe (a row to shuffle, sort and read) costs, in comparisons (a few nanoseconds each).
@@ -89,12 +90,16 @@ def shingle_hashes(text: str | None, k: int = 5) -> np.ndarray:
 
 
 def bands_of(hashes: np.ndarray) -> np.ndarray:
-    """One-permutation MinHash of ascending hashes: the least of each of BANDS * BAND buckets, folded into a number a band; a band without a hash gives none."""
-    bucket, first = np.unique(hashes % np.uint64(BANDS * BAND), return_index=True)
-    least = np.zeros(BANDS * BAND, dtype=np.uint64)
-    least[bucket.astype(np.int64)] = hashes[first]
-    rows = least.reshape(BANDS, BAND)
-    return (rows * _ODD).sum(axis=1, dtype=np.uint64)[rows.any(axis=1)].view(np.int64)
+    """MinHash: the least of the hashes after each of BANDS * BAND multiplications, folded into a number a band; no hashes give no bands."""
+    if not len(hashes):
+        return np.zeros(0, dtype=np.int64)
+    low = hashes.astype(np.uint32)
+    least = np.full(BANDS * BAND, 0xFFFFFFFF, dtype=np.uint32)
+    for at in range(0, len(low), 1024):  # stays in the cache, and memory is bounded
+        np.minimum(least, (low[None, at : at + 1024] * _TURNS).min(axis=1), out=least)
+    rows = least.reshape(BANDS, BAND).astype(np.uint64) * _ODD
+    rows = rows ^ (rows >> np.uint64(29))
+    return ((rows * _ODD[::-1]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def banded(df: DataFrame, text: str = "text") -> DataFrame:
@@ -111,11 +116,13 @@ def banded(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_least(rows: DataFrame, key: str, value: str, share: int) -> DataFrame:
-    """rows with m, the least `value` among the rows of the same key. Keys with more than `share` rows, which are few, are joined by broadcast, so that none fills a task."""
-    least = rows.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n"))
-    hot = least.where(F.col("n") > share).select(key, "m")  # fewer than rows / share keys
-    cool = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(least.where(F.col("n") <= share).select(key, "m"), key)
-    return cool.unionByName(rows.join(F.broadcast(hot), key))
+    """rows (a stored table) with m, the least `value` among the rows of the same key. Keys with more than `share` rows, which are few, are joined by broadcast, so that none fills a task."""
+    least = written(rows.groupBy(key).agg(F.min(value).alias("m"), F.count("*").alias("n")), "least")
+    hot, cool = least.where(F.col("n") > share).select(key, "m"), least.where(F.col("n") <= share).select(key, "m")
+    if hot.isEmpty():
+        return rows.join(cool, key)
+    hot = F.broadcast(hot)  # fewer than rows / share keys
+    return rows.join(hot, key, "left").where("m is null").drop("m").join(cool, key).unionByName(rows.join(hot, key))
 
 
 def even_share(spark, rows: int) -> int:
@@ -125,9 +132,8 @@ def even_share(spark, rows: int) -> int:
 
 def band_links(reps: DataFrame) -> DataFrame:
     """reps: (key, bands). (a, b), a < b: the members of a band, each with its least."""
-    sent = reps.select("key", F.explode("bands").alias("band"))
-    rows = reps.agg(F.sum(F.size("bands"))).first()[0] or 0
-    return with_least(sent, "band", "key", even_share(reps.sparkSession, rows)).where("key > m").select(F.col("m").alias("a"), F.col("key").alias("b")).distinct()
+    sent = written(reps.select("key", F.explode("bands").alias("band")), "sent")
+    return with_least(sent, "band", "key", even_share(reps.sparkSession, sent.count())).where("key > m").select(F.col("m").alias("a"), F.col("key").alias("b")).distinct()
 
 
 def fingerprints(df: DataFrame, k: int = 4, text: str = "text") -> DataFrame:
@@ -350,7 +356,7 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         share = even_share(spark, rows)
-        large = with_least(both, "a", "b", 2 * share).where("b > a").select(F.least("m", "a").alias("a"), "b").where("a <> b").distinct()
+        large = written(with_least(both, "a", "b", 2 * share).where("b > a").select(F.least("m", "a").alias("a"), "b").where("a <> b").distinct(), "large")
         # now every row has a < b, and for small-star b is the centre
         small = with_least(large, "b", "a", share).select(F.col("m").alias("x"), F.explode(F.array("a", "b")).alias("y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         old, path = path, stored(small, "edges")
@@ -497,7 +503,7 @@ def deduplicate(df: DataFrame, similarity: float = 0.8, text: str = "text") -> D
     """The rows of df less all but one of each near-duplicate group (that of the smallest doc_id stays, of those the text of smallest digest), with df's columns.
 
     Exact copies are folded first by a digest of the text, and each distinct text gets a number of its own, so rows that share an id but not a text are
-    treated apart. Loose groups are texts linked by bands of bucket minima of their 5-word shingles, whose recall depends on the shingles' likeness alone,
+    treated apart. Loose groups are texts linked by bands of MinHash values of their 5-word shingles, whose recall depends on the shingles' likeness alone,
     whatever the edit. Within a loose group every pair is decided by the exact Jaccard likeness of the shingles. Of rows equal in id and text one stays; texts
     without words resemble only exact copies.
     """
