@@ -10,7 +10,7 @@ into one toxic dictionary is missing in the others; what marks toxic text is in
 A pair trained on all documents screens windows first: where it saves less than SCREEN bytes the shares are not asked.
 
 A document's saving is the mean over its windows. A monotone map from it to the share of toxic documents gives the score: fitted by
-cross-validation, on what training documents save with dictionaries trained without them, each label weighing as all its labelled rows.
+cross-validation, on what training documents save with dictionaries trained without them, for a share of toxic documents of PRIOR.
 
 Training reads labelled rows with crc32(doc_id as text) mod 3 other than 1, at most MOST of each label, those of smallest hash, whole. Everything
 else covers all rows and whole texts: the windows of a text cover it all.
@@ -156,8 +156,8 @@ def _learned(ordinary: list[tuple], toxic: list[tuple], shares: int) -> Model:
     return Model(_dictionary(all_, BASE, 64), _pair(all_, marked, SCREENING), [_pair(flat(a), flat(b), SHARE) for a, b in dealt if a and b])
 
 
-def train(rows: list[tuple[int | None, str, int]], known: tuple[int, int] | None = None, folds: int = 3) -> Model | None:
-    """rows: (doc_id, text, toxic); known: how many labelled documents of each label they stand for. The dictionaries are of all rows; the map is fitted on what each row saves with dictionaries trained without its fold."""
+def train(rows: list[tuple[int | None, str, int]], folds: int = 5) -> Model | None:
+    """rows: (doc_id, text, toxic). The dictionaries are of all rows; the map is fitted on what each row saves with dictionaries trained without its fold."""
     have = [sum(r[2] == y for r in rows) for y in (0, 1)]
     shares = max(1, min(SHARES, have[1] // A_SHARE))
     weight = [(1 - PRIOR) / max(1, have[0]), PRIOR / max(1, have[1])]
@@ -186,14 +186,13 @@ def held_out(doc_id: str = "doc_id"):
 def fit(documents: DataFrame, labels: DataFrame, most: int = MOST) -> Model | None:
     """Trains on labelled documents: of each label the `most` of smallest hash, whole."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counted = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = None
     for y in (0, 1):
         own = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = own if chosen is None else chosen.unionByName(own)
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")  # 2 * most rows
     rows = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
-    return train(sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows), (counted.get(0, 0), counted.get(1, 0)))
+    return train(sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows))
 
 
 def scored(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
