@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Pieces remembered by a worker; later ones are encoded each time, so memory is bounded.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Longer pieces are not remembered.
 LONGEST = 64
 #: Runs of white space, white space at the ends, white space other than space and line feed, and control characters: a text with any of these is encoded whole.
