@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import html_blocks, mixing, order_minhash, packing, repair, simhash, tiff, toxicity, virtual_slots, wordpiece
+from lumenframe.llm import conversation_trie, html_blocks, mixing, order_minhash, packing, repair, simhash, tiff, toxicity, virtual_slots, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op13_euler_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_tiff_pages": op1_tiff_pages,
     "op2_order_minhash": op2_order_minhash,
@@ -62,6 +66,7 @@ QUERIES = {
     "op8_splitting_tree": op8_splitting_tree,
     "op9_text_blocks": op9_text_blocks,
     "op10_piece_counts": op10_piece_counts,
+    "op13_euler_tour": op13_euler_tour,
 }
 
 ORACLE_SQL: dict[str, str] = {"op8_splitting_tree": mixing.SQL}
