@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenframe.llm import conversation_trie, html_blocks, mixing, order_minhash, packing, repair, simhash, tiff, toxicity, virtual_slots, wordpiece
+from lumenframe.llm import chat_log, conversation_trie, html_blocks, mixing, order_minhash, packing, repair, simhash, tiff, token_alignment, toxicity, virtual_slots, wordpiece
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,14 @@ def op10_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(_table(spark, sf_dir, "documents"))
 
 
+def op11_merge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_digests(_table(spark, sf_dir, "documents"))
+
+
+def op12_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_log.formatted_digests(_table(spark, sf_dir, "conversations"))
+
+
 def op13_euler_tour(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(_table(spark, sf_dir, "conversations"))
 
@@ -66,6 +74,8 @@ QUERIES = {
     "op8_splitting_tree": op8_splitting_tree,
     "op9_text_blocks": op9_text_blocks,
     "op10_piece_counts": op10_piece_counts,
+    "op11_merge_path": op11_merge_path,
+    "op12_event_log": op12_event_log,
     "op13_euler_tour": op13_euler_tour,
 }
 
