@@ -37,7 +37,9 @@ from lumenframe.llm.tokens import _ODD, default_path
 from lumenframe.llm.wordpiece import byte_of_symbol
 
 #: Pieces remembered by a worker, the longest of these, and pieces and bytes of text that are looked at together.
-REMEMBERED, LONGEST, PIECES, BYTES = 400_000, 64, 20_000, 2 << 20
+REMEMBERED, LONGEST, PIECES, BYTES = 500_000, 64, 20_000, 2 << 20
+#: Pieces encoded as one text.
+AT_ONCE = 2000
 #: Pairs of ids whose counts are broadcast at most.
 BROADCAST = 4 << 20
 #: Steps of the merge in one piece, at most.
@@ -120,48 +122,75 @@ class Aligner(dict):
         if (len(self.a_bytes) - 1).bit_length() + self.shift > 32:
             raise ValueError("pairs of ids of more than 32 bits")
         self.splits = not any("▁" in p[1:] and p.strip("▁") or "\n" in p for p in pieces)
+        lettered = {p[k + 1] for p in pieces for k in range(len(p) - 1) if p[k].isalpha()}
+        self.signs = {x: (self.a.encode(f"a{x}").ids[-1], self.b.encode(f"a{x}")[-1]) for x in ".," if x not in lettered}
         self.written = [f"{i}{s}" for i in range(max(len(self.a_bytes), len(pieces))) for s in ",|;"]
 
-    def entries(self, ids_a: list[list[int]], ids_b: list[list[int]], texts: list[bytes]) -> list[tuple]:
-        """Aligns texts given by their ids, all in one merge; texts: their bytes."""
-        ok = [b"".join(map(self.a_bytes.__getitem__, x)) == t == b"".join(map(self.b_bytes.__getitem__, y)) and bool(t) for x, y, t in zip(ids_a, ids_b, texts, strict=True)]
-        good = [k for k, v in enumerate(ok) if v]
-        out: list[tuple] = [(0, 0, 0, 0, False, "", b"")] * len(texts)
-        if not good:
-            return out
-        n_a, n_b = (np.array([len(x[k]) for k in good]) for x in (ids_a, ids_b))
-        a, b = (np.fromiter((i for k in good for i in x[k]), dtype=np.int64, count=int(n.sum())) for x, n in ((ids_a, n_a), (ids_b, n_b)))
-        li, lj, group_a, group_b = merge_path(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
+    def entries(self, a: np.ndarray, b: np.ndarray, bounds: np.ndarray) -> list[tuple]:
+        """Texts side by side, given by their ids and where each ends, in one merge."""
+        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        li, lj, group_a, group_b = merge_path(ends_a, ends_b)
         # tokens in the order of groups, a's before b's, each with the sign after it
         key = np.concatenate([2 * group_a, 2 * group_b + 1])
         order = np.argsort(key, kind="stable")
         key, side = key[order], order >= len(a)
         last = np.concatenate([key[1:] != key[:-1], [True]])
         codes = (3 * np.concatenate([a, b])[order] + np.where(last, np.where(side, 2, 1), 0)).tolist()
-        cut_a, cut_b = np.cumsum(n_a), np.cumsum(n_b)
-        cut_links = np.searchsorted(li, cut_a)
-        groups = group_a[cut_a - 1] + 1  # groups up to the end of each text
+        cut_a, cut_b = np.searchsorted(ends_a, bounds, side="right"), np.searchsorted(ends_b, bounds, side="right")
         pairs = (a[li] << self.shift | b[lj]).astype("<u4").tobytes()
-        cut = cut_a + cut_b
-        c0 = l0 = g0 = 0
-        for k, na, nb, c1, l1, g1 in zip(good, n_a.tolist(), n_b.tolist(), cut.tolist(), cut_links.tolist(), groups.tolist(), strict=True):
-            out[k] = (na, nb, g1 - g0, l1 - l0, True, "".join(map(self.written.__getitem__, codes[c0:c1]))[:-1], pairs[4 * l0 : 4 * l1])
-            c0, l0, g0 = c1, l1, g1
+        cuts = np.stack([cut_a, cut_b, group_a[cut_a - 1] + 1, np.searchsorted(li, cut_a)])  # tokens, groups and links up to the end of each text
+        sizes = np.diff(cuts, prepend=0).tolist()
+        out, c, k = [], 0, 0
+        for n_a, n_b, n_groups, n_links in zip(*sizes, strict=True):
+            out.append((n_a, n_b, n_groups, n_links, True, "".join(map(self.written.__getitem__, codes[c : c + n_a + n_b]))[:-1], pairs[4 * k : 4 * (k + n_links)]))
+            c, k = c + n_a + n_b, k + n_links
+        return out
+
+    def _each(self, ids_a: list[list[int]], ids_b: list[list[int]], texts: list[bytes]) -> list[tuple]:
+        """Texts given by their ids; one that is not given back by both is without tokens."""
+        ok = [b"".join(map(self.a_bytes.__getitem__, x)) == t == b"".join(map(self.b_bytes.__getitem__, y)) for x, y, t in zip(ids_a, ids_b, texts, strict=True)]
+        out: list[tuple] = [(0, 0, 0, 0, False, "", b"")] * len(texts)
+        good = [k for k, v in enumerate(ok) if v]
+        if good:
+            flat = [np.array([i for k in good for i in ids[k]], dtype=np.int64) for ids in (ids_a, ids_b)]
+            for k, entry in zip(good, self.entries(*flat, np.cumsum([len(texts[k]) for k in good])), strict=True):
+                out[k] = entry
         return out
 
     def whole(self, texts: list[str]) -> list[tuple]:
         """Texts as they are, each with a space before it."""
         spaced = [" " + t for t in texts]
-        ids_a = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
-        return self.entries(ids_a, self.b.encode(texts, num_threads=1), [t.encode() for t in spaced])
+        return self._each([e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)], self.b.encode(texts, num_threads=1), [t.encode() for t in spaced])
 
     def pieces(self, pieces: list[str]) -> list[tuple]:
-        """Pieces that follow a space, or begin with a line feed."""
+        """Pieces that follow a space, or begin with a line feed: encoded side by side, as one text."""
+        spaced = [" a", *(p if p[:1] == "\n" else " " + p for p in pieces)]  # so the space that B adds is known
+        text, raw = "".join(spaced), [t.encode() for t in spaced]
+        a, b = (np.asarray(ids, dtype=np.int64) for ids in (self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])))
+        whole, bounds = b"".join(raw), np.cumsum([len(t) for t in raw])
+        if all(b"".join(map(names.__getitem__, ids.tolist())) == whole and np.isin(bounds, np.cumsum(sizes[ids])).all() for ids, names, sizes in ((a, self.a_bytes, self.a_size), (b, self.b_bytes, self.b_size))):
+            return self.entries(a, b, bounds)[1:]
         inner = [p[:1] == "\n" for p in pieces]
-        spaced = [p if n else " " + p for p, n in zip(pieces, inner, strict=True)]
-        ids_a = [e.ids for e in self.a.encode_batch(spaced, add_special_tokens=False)]
-        ids_b = [x[1:] if n else x for x, n in zip(self.b.encode(pieces, num_threads=1), inner, strict=True)]  # the space that B adds goes
-        return self.entries(ids_a, ids_b, [t.encode() for t in spaced])
+        ids_a = [e.ids for e in self.a.encode_batch(spaced[1:], add_special_tokens=False)]
+        return self._each(ids_a, [x[1:] if n else x for x, n in zip(self.b.encode(pieces, num_threads=1), inner, strict=True)], raw[1:])
+
+    def learned(self, pieces: list[str]) -> list[tuple]:
+        """Pieces not remembered; they are from now on, as long as there is room. A sign after a letter is a token and a group of its own in both."""
+        base = [p[:-1] if p[-1:] in self.signs and p[-2:-1].isalpha() else p for p in pieces]
+        fresh = [x for x in dict.fromkeys(base) if x not in self]
+        new = dict(zip(fresh, (e for at in range(0, len(fresh), AT_ONCE) for e in self.pieces(fresh[at : at + AT_ONCE])), strict=True))
+        out = []
+        for p, x in zip(pieces, base, strict=True):
+            entry = new[x] if x in new else self[x]
+            if x is not p and entry[4]:
+                i, j = self.signs[p[-1]]
+                n_a, n_b, n_groups, n_links, _, groups, pairs = entry
+                entry = (n_a + 1, n_b + 1, n_groups + 1, n_links + 1, True, f"{groups};{i}|{j}", pairs + (i << self.shift | j).to_bytes(4, "little"))
+            out.append(entry)
+        for some in (new.items(), zip(pieces, out, strict=True)):
+            if len(self) < REMEMBERED:
+                self.update((p, e) for p, e in some if len(p) <= LONGEST)
+        return out
 
     def batch(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, list[str], list[np.ndarray], list[np.ndarray]]]:
         """(n_a, n_b, n_groups, n_links as rows; groups; distinct linked pairs; how often each) of the texts, BYTES at a time."""
@@ -189,10 +218,8 @@ class Aligner(dict):
             missing = [i for i, v in enumerate(found) if v is None]
             for at in range(0, len(missing), PIECES):
                 some = missing[at : at + PIECES]
-                for i, entry in zip(some, self.pieces([distinct[i] for i in some]), strict=True):
+                for i, entry in zip(some, self.learned([distinct[i] for i in some]), strict=True):
                     found[i] = entry
-                    if len(self) < REMEMBERED and len(distinct[i]) <= LONGEST:
-                        self[distinct[i]] = entry
         entry_of[whole] = len(found) + np.arange(len(whole))
         found += self.whole(texts.take(pa.array(whole)).to_pylist()) if len(whole) else []
         # each text as a run of entries
