@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
 import uuid
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,11 +14,11 @@ from pyspark.sql import functions as F
 from lumenframe.operators.settle import settled
 
 
-def with_ids(new: DataFrame, existing: DataFrame, order: list[str], id_column: str = "id", parts: int | None = None) -> DataFrame:
+def with_ids(new: DataFrame, existing: DataFrame, order: list[str], id_column: str = "id", parts: int | None = None, kind: str = "int") -> DataFrame:
     """new with ids that go on from the largest of existing, without gaps, in the given order.
 
     Ids are dealt range by range: rows are numbered within ranges of the order and each range starts where the ones before it end. The
-    ranges are settled first, so that a lost executor can't deal them anew.
+    ranges are settled first, so that a lost executor can't deal them anew. kind: the type of the ids; long for numbers of rows.
     """
     parts = parts or int(new.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     start = existing.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("__start"))
@@ -24,7 +26,7 @@ def with_ids(new: DataFrame, existing: DataFrame, order: list[str], id_column: s
     n = dealt.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
     sizes = n.groupBy("__part").agg(F.max("__n").alias("__size"))
     before = sizes.withColumn("__before", F.sum("__size").over(Window.orderBy("__part")) - F.col("__size")).drop("__size")
-    return n.join(F.broadcast(before), "__part").join(F.broadcast(start)).withColumn(id_column, (F.col("__start") + F.col("__before") + F.col("__n")).cast("int")).drop("__part", "__n", "__before", "__start")
+    return n.join(F.broadcast(before), "__part").join(F.broadcast(start)).withColumn(id_column, (F.col("__start") + F.col("__before") + F.col("__n")).cast(kind)).drop("__part", "__n", "__before", "__start")
 
 
 def first_of(df: DataFrame, key: list[str], order: list | None = None) -> DataFrame:
@@ -96,52 +98,129 @@ def replace(df: DataFrame, path: str) -> None:
     fs.delete(old, True)
 
 
-def _pointer(spark: SparkSession, root: str):
+class Conflict(RuntimeError):
+    """Another writer has changed what a change read or wrote."""
+
+
+def _files(spark: SparkSession, root: str):
     jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{root}/current.json")
+    at = jvm.org.apache.hadoop.fs.Path(f"{root}/_versions")
     return jvm, at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _places(spark: SparkSession, root: str) -> dict[str, str]:
-    _, at, fs = _pointer(spark, root)
-    if not fs.exists(at):
-        return {}
-    stream = fs.open(at)
+def _read(fs, path) -> dict:
+    stream = fs.open(path)
     try:
         return json.loads(bytes(stream.readAllBytes()).decode())
     finally:
         stream.close()
 
 
-def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame]) -> None:
-    """Writes new versions of the tables under root and then one pointer to all of them, which replaces the old in one step: readers see all or none of a
-    change, and a job that fails before leaves what was. Tables not named stay as they are. Older versions remain until `vacuum`."""
-    places = _places(spark, root)
-    for name, df in tables.items():
-        places[name] = f"{root}/{name}/{uuid.uuid4().hex}"
-        df.write.parquet(places[name])
-    jvm, at, fs = _pointer(spark, root)
-    staged = jvm.org.apache.hadoop.fs.Path(f"{root}/current.{uuid.uuid4().hex}")
+def _versions(spark: SparkSession, root: str) -> dict[int, object]:
+    """version -> the file that describes it."""
+    _, at, fs = _files(spark, root)
+    found = [s.getPath() for s in fs.listStatus(at)] if fs.exists(at) else []
+    return {int(p.getName()[:-5]): p for p in found if p.getName()[:-5].isdigit() and p.getName().endswith(".json")}
+
+
+def version(spark: SparkSession, root: str) -> int:
+    """The newest version of the tables under root; 0 if nothing was committed yet."""
+    return max(_versions(spark, root), default=0)
+
+
+def _places(spark: SparkSession, root: str, at: int | None = None) -> dict[str, str]:
+    files = _versions(spark, root)
+    at = max(files, default=0) if at is None else at
+    return _read(_files(spark, root)[2], files[at])["tables"] if at else {}
+
+
+def _put_if_absent(spark: SparkSession, root: str, number: int, text: str) -> bool:
+    """Writes the description of a version unless there is one: of several writers just one succeeds, and no reader sees half of it."""
+    jvm, at, fs = _files(spark, root)
+    name = f"{number:012d}.json"
+    staged, target = jvm.org.apache.hadoop.fs.Path(at, f"{uuid.uuid4().hex}.staged"), jvm.org.apache.hadoop.fs.Path(at, name)
     stream = fs.create(staged)
-    stream.write(json.dumps(places).encode())
+    stream.write(text.encode())
     stream.close()
-    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(staged, at, overwrite)
-
+    try:
+        if fs.getUri().getScheme() == "file":  # a rename would replace the file there
+            folder = at.toUri().getPath()
+            os.link(f"{folder}/{staged.getName()}", f"{folder}/{name}")
+            return True
+        none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(staged, target, none)
+        return True
+    except FileExistsError:
+        return False
+    except Exception:  # a rename onto a file that is there fails in ways that depend on the file system
+        if fs.exists(target):
+            return False
+        raise
+    finally:
+        if fs.exists(staged):
+            fs.delete(staged, False)
 
-def current(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """The tables as last committed."""
-    return {name: spark.read.parquet(path) for name, path in _places(spark, root).items()}
 
+def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame | None], since: int | None = None, read: Iterable[str] = (), partition_by: dict[str, list[str]] | None = None) -> int:
+    """Writes new tables under root and then one version that names them all: readers see all or none of a change, and a job that fails before leaves what was.
+    Returns the version. Tables not named stay as they are; None drops one. What versions no longer name remains until `vacuum`.
 
-def vacuum(spark: SparkSession, root: str) -> int:
-    """Deletes versions that the pointer no longer names; how many. For when no reader holds an older one."""
-    places = _places(spark, root)
-    _, at, fs = _pointer(spark, root)
+    Writers that meet: a version is put in place only if its number is free, so none is overwritten. A change says by `since` which version it was made from; it
+    is put on top of what others committed meanwhile, unless they changed a table that it writes or, by `read`, has read: then it raises Conflict and
+    nothing takes effect. Without `since` the tables replace whatever is there.
+    """
+    written = {}
+    for name, df in tables.items():
+        written[name] = f"{root}/{name}/{uuid.uuid4().hex}" if df is not None else None
+        if df is not None:
+            df.write.partitionBy(*(partition_by or {}).get(name, [])).parquet(written[name])
+    _, _, fs = _files(spark, root)
+    while True:
+        files = _versions(spark, root)
+        newest = max(files, default=0)
+        if since is not None:
+            changed = {t for v in range(since + 1, newest + 1) for t in _read(fs, files[v])["changed"]}
+            if clash := changed & (set(tables) | set(read)):
+                raise Conflict(f"{', '.join(sorted(clash))} changed between version {since} and {newest}")
+        places = (_read(fs, files[newest])["tables"] if newest else {}) | written
+        text = json.dumps({"tables": {n: p for n, p in places.items() if p}, "changed": sorted(tables)})
+        if _put_if_absent(spark, root, newest + 1, text):
+            return newest + 1
+
+
+def transaction(spark: SparkSession, root: str, change: Callable[[dict[str, DataFrame]], dict[str, DataFrame]], tries: int = 10) -> int:
+    """Commits what `change` makes of the current tables, as if nobody else wrote: if another writer came first, it is made anew from what is there then.
+    Frames that `change` hands back as they came are not written."""
+    for left in reversed(range(tries)):
+        since = version(spark, root)
+        old = current(spark, root, since)
+        new = change(dict(old))
+        try:
+            return commit(spark, root, {n: df for n, df in new.items() if df is not old.get(n)}, since, old)
+        except Conflict:
+            if not left:
+                raise
+    raise ValueError("no tries")
+
+
+def current(spark: SparkSession, root: str, at: int | None = None) -> dict[str, DataFrame]:
+    """The tables as last committed, or as they were at a version."""
+    return {name: spark.read.parquet(path) for name, path in _places(spark, root, at).items()}
+
+
+def vacuum(spark: SparkSession, root: str, keep: int = 1) -> int:
+    """Deletes what the newest `keep` versions don't name, and the older versions; how many folders of data went. For when no reader holds an older one and no
+    writer is at work."""
+    files = _versions(spark, root)
+    jvm, at, fs = _files(spark, root)
+    kept = sorted(files)[-keep:]
+    held = {p.rsplit("/", 1)[-1] for v in kept for p in _read(fs, files[v])["tables"].values()}
     gone = 0
-    for name, path in places.items():
-        for status in fs.listStatus(at.getParent().suffix(f"/{name}")):
-            if not status.getPath().toString().endswith(path.rsplit("/", 1)[-1]):
-                gone += bool(fs.delete(status.getPath(), True))
+    for folder in fs.listStatus(at.getParent()):
+        if folder.isDirectory() and folder.getPath().getName() != "_versions":
+            for status in fs.listStatus(folder.getPath()):
+                if status.getPath().getName() not in held:
+                    gone += bool(fs.delete(status.getPath(), True))
+    for v in files.keys() - set(kept):
+        fs.delete(files[v], False)
     return gone

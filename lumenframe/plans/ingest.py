@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenframe import schema
 from lumenframe.functions import parse as P
-from lumenframe.functions.text import clean_title, first_name, last_name, remove_extra_spaces, unaccent
+from lumenframe.functions.text import clean_title, first_name, last_name, remove_extra_spaces
 from lumenframe.operators import upsert as U
-from lumenframe.operators.resolve import best_film
 from lumenframe.operators.settle import settled
+from lumenframe.operators.trigrams import arrivals
 
 Tables = dict[str, DataFrame]
 
 
+def in_file_order(raw: DataFrame, otherwise: list[str]) -> DataFrame:
+    """raw with row_id, the number of each row in its file: as it is given (see files.numbered), or in order of other columns where it is not."""
+    if "row_id" in raw.columns:
+        return raw.withColumn("row_id", F.col("row_id").cast("long"))
+    return U.with_ids(raw, raw.limit(0).select(F.lit(0).alias("row_id")), otherwise, "row_id", kind="long")
+
+
+def run(spark: SparkSession, root: str, step: Callable[..., tuple[Tables, DataFrame] | Tables], raw: DataFrame, **given) -> tuple[int, DataFrame | None]:
+    """One ingest (sheets, details, awards, predictions) of the tables stored under root, all or nothing: (version, what it set aside).
+
+    Missing tables are made empty. If another writer changes the tables meanwhile, the ingest is made anew from what is there then.
+    """
+    aside: list[DataFrame | None] = []
+
+    def change(tables: Tables) -> Tables:
+        done = step({n: schema.create(spark, n) for n in schema.DDL} | tables, raw, **given)
+        new, rest = done if isinstance(done, tuple) else (done, None)
+        aside[:] = [settled(rest) if rest is not None else None]
+        return new
+
+    return U.transaction(spark, root, change), aside[0]
+
+
 def clean_sheets(raw: DataFrame) -> DataFrame:
     """Typed columns from the text cells of approval sheets."""
     c = lambda n: F.col(n) if n in raw.columns else F.lit(None).cast("string")
@@ -50,7 +76,8 @@ def with_roles(t: Tables, rows: DataFrame, known: DataFrame | None) -> Tables:
     wanted = rows.select(F.lower("role").alias("label")).distinct()
     have = t["roles"].select(F.lower("name").alias("label")).unionByName(t["roles"].select(F.lower("allocine_name").alias("label"))).where("label is not null")
     missing = wanted.join(have, "label", "left_anti")
-    fresh = known.join(missing, (F.lower("name") == F.col("label")) | (F.lower("allocine_name") == F.col("label")), "left_semi")
+    labelled = known.withColumn("label", F.explode(F.array_distinct(F.array(F.lower("name"), F.lower("allocine_name")))))
+    fresh = labelled.join(missing, "label", "left_semi").drop("label")
     return dict(t) | {"roles": U.find_or_create(t["roles"], fresh.select("name", "allocine_name", "is_key_role", "inclusive_name"), ["name"])}
 
 
@@ -94,9 +121,10 @@ _SECTIONS = ["Scénaristes", "Production", "Equipe technique", "Soundtrack", "Di
 
 
 def details(t: Tables, raw: DataFrame, genders: DataFrame | None = None, known_roles: DataFrame | None = None) -> tuple[Tables, DataFrame]:
-    """Release dates, durations, genres, posters, trailers and credits for known films that lack date or duration."""
+    """Release dates, durations, genres, posters, trailers and credits for known films that lack date or duration. Of several rows of a film the first by row_id counts, or, without it, by the other columns."""
     films = t["films"].where(~(F.col("release_date").isNotNull() & F.col("duration_minutes").isNotNull())).select(F.col("id").alias("film_id"), "visa_number")
-    rows = settled(U.first_of(raw.withColumn("visa_number", P.visa(F.col("visa_number"))).join(films, "visa_number"), ["film_id"]))
+    order = ["row_id"] if "row_id" in raw.columns else None
+    rows = settled(U.first_of(raw.withColumn("visa_number", P.visa(F.col("visa_number"))).join(films, "visa_number"), ["film_id"], order).drop("row_id"))
     new = rows.select(F.col("film_id").alias("id"), F.col("allocine_id").try_cast("int").alias("allocine_id"), P.release_date(F.col("release_date")).alias("release_date"), P.duration(F.col("duration")).alias("duration_minutes"), P.genre_categories(P.name_list(F.col("genres"))).alias("genre_categories"))
     out = dict(t)
     out["films"] = U.update(t["films"], new, ["id"])
@@ -121,21 +149,19 @@ def details(t: Tables, raw: DataFrame, genders: DataFrame | None = None, known_r
 
 
 def awards(t: Tables, raw: DataFrame, festivals: DataFrame, labels: DataFrame | None = None, genders: DataFrame | None = None, known_roles: DataFrame | None = None) -> tuple[Tables, DataFrame]:
-    """raw: (title, director, country, festival, year, distinction, reward or award). Films are matched by director and title or made; festivals: the known ones (name, description, image_base64, country). Returns the tables and the rows of unknown festivals."""
+    """raw: (title, director, country, festival, year, distinction, reward or award). Rows come in the order of row_id (see in_file_order): each joins its director's most similar film among those that are there by then, or makes one. festivals: the known ones
+    (name, description, image_base64, country). Returns the tables and the rows of unknown festivals."""
     reward = "reward" if "reward" in raw.columns else "award"
-    rows = U.with_ids(raw.withColumnRenamed(reward, "mubi_label"), raw.limit(0).select(F.lit(0).alias("row_id")), ["title", "director", "festival", "year"], "row_id")
+    rows = in_file_order(raw.withColumnRenamed(reward, "mubi_label"), ["title", "director", "festival", "year"])
     out = dict(t)
     out["countries"] = U.find_or_create(t["countries"], rows.select(F.col("country").alias("name")).where("name is not null"), ["name"])
     role = t["roles"].where(F.lower("name") == "director").select(F.col("id").alias("role_id"))
     people = t["film_credits"].join(role, "role_id", "left_semi").join(t["credit_holders"].select(F.col("id").alias("credit_holder_id"), "first_name", "last_name"), "credit_holder_id")
-    matched = settled(best_film(rows, t["films"], people.select("film_id", "first_name", "last_name")))
-    key = lambda c: unaccent(F.lower(F.trim(c)))
-    # rows that match no film make one each by director and title
-    wanted = matched.where("film_id is null").groupBy(key(F.col("title")).alias("__t"), key(F.col("director")).alias("__d")).agg(F.min_by("title", "row_id").alias("original_name"), F.min_by("director", "row_id").alias("director"))
-    made = U.with_ids(wanted, t["films"], ["__d", "__t"])
+    matched = settled(arrivals(rows, t["films"], people.select("film_id", "first_name", "last_name")))
+    made = settled(U.with_ids(matched.where("founder = row_id").select("row_id", F.col("title").alias("original_name"), "director"), t["films"], ["row_id"]))
     out["films"] = t["films"].unionByName(made.select("id", "original_name"), allowMissingColumns=True)
     out, _ = add_credits(out, made.select(F.col("id").alias("film_id"), F.lit("director").alias("role"), F.lit("Individual").alias("kind"), F.col("director").alias("name")), genders, known_roles)
-    full = settled(matched.withColumns({"__t": key(F.col("title")), "__d": key(F.col("director"))}).join(made.select(F.col("id").alias("__made"), "__t", "__d"), ["__t", "__d"], "left").withColumn("film_id", F.coalesce("film_id", "__made")).drop("__t", "__d", "__made"))
+    full = settled(matched.join(made.select(F.col("id").alias("__made"), F.col("row_id").alias("founder")), "founder", "left").withColumn("film_id", F.coalesce("film_id", "__made")).drop("founder", "__made", "score"))
     c = out["countries"].select(F.col("id").alias("country_id"), F.col("name").alias("country"))
     out["film_country_budget_allocations"] = U.keep_first(out["film_country_budget_allocations"], full.join(c, "country").select("country_id", "film_id", F.lit(100.0).alias("budget_allocation")), ["country_id", "film_id"], ["film_id"])
     known = festivals.select(F.lower("name").alias("__f"), F.col("name").alias("festival_name"), "description", "image_base64", F.col("country").alias("__country"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Sequence
+from graphlib import TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,47 @@ def violations(tables: dict[str, DataFrame]) -> DataFrame:
     return out.where("n > 0")
 
 
+# --- cascades -----------------------------------------------------------------------------------------------------------------------
+
+
+def parents_first(tables: Iterable[str], references: Sequence[tuple] = FOREIGN_KEYS) -> list[str]:
+    """The tables so that each comes after those that it refers to. references: (child, column, parent) or (child, column, parent, the parent's key)."""
+    above: dict[str, set[str]] = {t: set() for t in tables}
+    for child, _, parent, *_ in references:
+        if child in above and parent in above and child != parent:
+            above[child].add(parent)
+    return list(TopologicalSorter(above).static_order())
+
+
+def truncated(tables: dict[str, DataFrame], names: Iterable[str], references: Sequence[tuple] = FOREIGN_KEYS) -> dict[str, DataFrame]:
+    """The tables with those named, and all that refer to them directly or by others, emptied."""
+    gone = set(names)
+    if unknown := gone - set(tables):
+        raise KeyError(f"no table {', '.join(sorted(unknown))}")
+    for t in parents_first(tables, references):
+        if any(child == t and parent in gone for child, _, parent, *_ in references):
+            gone.add(t)
+    return {t: df.limit(0) if t in gone else df for t, df in tables.items()}
+
+
+def deleted(tables: dict[str, DataFrame], table: str, rows: DataFrame, key: str = "id", references: Sequence[tuple] = FOREIGN_KEYS) -> dict[str, DataFrame]:
+    """The tables without the rows of `table` whose key is among rows, and without all rows that refer to a row that goes. A null reference points to nothing.
+
+    One pass parents first: each table loses what points to the rows that its parents lost, by semi- and anti-joins.
+    """
+    keys = rows.select(F.col(key).alias("__k")).distinct()
+    met = lambda df, column, gone, how: df.join(gone, df[column] == gone["__k"], how)
+    lost = {table: met(tables[table], key, keys, "left_semi")}
+    out = dict(tables) | {table: met(tables[table], key, keys, "left_anti")}
+    for child in parents_first(tables, references):
+        for _, column, parent, *parent_key in (r for r in references if r[0] == child and r[2] in lost and r[2] != child):
+            gone = lost[parent].select(F.col(*(parent_key or ["id"])).alias("__k")).where("__k is not null").distinct()
+            pointing = met(out[child], column, gone, "left_semi")
+            lost[child] = lost[child].unionByName(pointing) if child in lost else pointing
+            out[child] = met(out[child], column, gone, "left_anti")
+    return out
+
+
 # --- versions ---------------------------------------------------------------------------------------------------------------------
 
 

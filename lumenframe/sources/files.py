@@ -48,6 +48,14 @@ def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).option("escape", chr(34)).csv(path)
 
 
+def numbered(df: DataFrame, column: str = "row_id") -> DataFrame:
+    """Rows read from files with their number, from 1, in the order of the files' names and of the lines in them."""
+    from lumenframe.operators.upsert import with_ids
+
+    placed = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at"))
+    return with_ids(placed, df.limit(0).select(F.lit(0).alias(column)), ["__file", "__block", "__at"], column, kind="long").drop("__file", "__block", "__at")
+
+
 def as_json_cells(df: DataFrame) -> DataFrame:
     """Arrays, maps and structs as JSON text, for a delimited file."""
     nested = [c for c, t in df.dtypes if t.startswith(("array", "map", "struct"))]
@@ -104,5 +112,5 @@ def batches(df: DataFrame, order: str, size: int = 100) -> DataFrame:
     """df with the number of the batch of `size` rows that each is in, in order."""
     from lumenframe.operators.upsert import with_ids
 
-    numbered = with_ids(df, df.limit(0).select(F.lit(0).alias("__row")), [order], "__row")
-    return numbered.withColumn("batch", F.floor((F.col("__row") - 1) / size).cast("int")).drop("__row")
+    rows = with_ids(df, df.limit(0).select(F.lit(0).alias("__row")), [order], "__row", kind="long")
+    return rows.withColumn("batch", F.floor((F.col("__row") - 1) / size).cast("int")).drop("__row")
