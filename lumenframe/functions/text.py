@@ -69,7 +69,17 @@ def same_name(a: Column, b: Column) -> Column:
 
 
 def trigrams(s: Column) -> Column:
-    """The set of three-character runs of each word, in lower case, with two blanks before it and one after."""
+    """The set of three-character runs of each word, in lower case, with two blanks before it and one after.
+
+    All words are padded in one text and its overlapping runs of three are taken by one pattern, but for those that end in two blanks, which lie between
+    words. Texts with characters beyond U+FFFF, which the pattern would cut in two, go word by word.
+    """
+    padded = F.concat(F.lit("  "), F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", "   "), F.lit(" "))
+    runs = F.array_distinct(F.regexp_extract_all(padded, F.lit("(?=(.[^ ].|..[^ ]))"), F.lit(1)))
+    return F.when(s.rlike(r"[\x{10000}-\x{10FFFF}]"), _trigrams_by_word(s)).otherwise(runs)
+
+
+def _trigrams_by_word(s: Column) -> Column:
     ws = F.filter(F.split(F.lower(s), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     of = lambda w: let(F.concat(F.lit("  "), w, F.lit(" ")), lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: p.substr(i, F.lit(3))))
     return F.array_distinct(F.flatten(F.transform(ws, of)))

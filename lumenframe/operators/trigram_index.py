@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lumenframe.functions.text import similarity, trigrams
 from lumenframe.operators import upsert as U
 from lumenframe.operators.settle import settled, shared_folder
-from lumenframe.operators.trigrams import least_shared
+from lumenframe.operators.trigrams import exceeding, least_shared
 
 BUCKETS = 64
 #: Up to so many trigrams and ids are given to the scan as a list; beyond that they are joined.
@@ -139,8 +139,7 @@ def resembling(spark: SparkSession, root: str, queries: DataFrame, threshold: fl
         read = _part(spark, root, "postings").where(F.col("bucket").isin(buckets))
     fits = (F.col("n") >= least_shared(F.col("n_text"), threshold)) & (F.col("n_text") >= least_shared(F.col("n"), threshold))
     met = settled(read.join(heads, "gram").where(fits).select("text", "id").distinct())
-    scored = met.join(live(spark, root, met), "id").withColumn("score", similarity(F.col("text"), F.col("name")))
-    return scored.where(F.col("score") > threshold).select("text", "id", "name", "score")
+    return met.join(live(spark, root, met), "id").select("text", "id", "name", exceeding(similarity(F.col("text"), F.col("name")), threshold).alias("score"))
 
 
 def fresh_root(spark: SparkSession) -> str:

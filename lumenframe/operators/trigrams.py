@@ -19,6 +19,11 @@ def least_shared(n: Column, threshold: float) -> Column:
     return F.ceil(n * threshold - 1e-9).cast("int")
 
 
+def exceeding(score: Column, threshold: float) -> Column:
+    """The score of rows where it exceeds the threshold; other rows go. It is computed once a row, which a filter on it would not do."""
+    return F.explode(F.filter(F.array(score), lambda s: s > threshold))
+
+
 def _prefixes(texts: DataFrame, counts: DataFrame, by: list[str], threshold: float) -> DataFrame:
     """(by, text, n, gram): of each text those trigrams, rarest first, of which one must be shared."""
     grams = texts.select(*by, "text", F.explode(trigrams(F.col("text"))).alias("gram")).join(counts, "gram")
@@ -36,7 +41,7 @@ def similar_pairs(a: DataFrame, b: DataFrame, by: list[str], threshold: float) -
     right = _prefixes(b, counts, by, threshold).withColumnsRenamed({"text": "b", "n": "n_b"})
     fits = (F.col("n_b") >= least_shared(F.col("n_a"), threshold)) & (F.col("n_a") >= least_shared(F.col("n_b"), threshold))
     met = left.join(right, [*by, "gram"]).where(fits).select(*by, "a", "b").distinct()
-    return met.withColumn("score", similarity(F.col("a"), F.col("b"))).where(F.col("score") > threshold)
+    return met.select("*", exceeding(similarity(F.col("a"), F.col("b")), threshold).alias("score"))
 
 
 def best_matches(wanted: DataFrame, names: DataFrame, threshold: float) -> DataFrame:

@@ -18,6 +18,7 @@ from lumenframe.functions import parse as P
 from lumenframe.functions import text as X
 from lumenframe.operators import metrics as M
 from lumenframe.operators import resolve as R
+from lumenframe.operators import trigrams as G
 from lumenframe.operators import upsert as U
 from lumenframe.operators import vision as V
 from lumenframe.sources import files, pages
@@ -312,12 +313,10 @@ _TRIGRAMS = "list_distinct(flatten(list_transform(list_filter(string_split_regex
     s AS (SELECT label, name, len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) AS score FROM a, b) SELECT label, name, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, name) AS n FROM s WHERE score > 0.2) WHERE n = 1"""
 )
 def trigram_best_match(spark: SparkSession, d: str) -> DataFrame:
-    """The most similar name of each label by trigrams, if it exceeds a threshold; pairs meet on a shared trigram."""
+    """The most similar name of each label by trigrams, if it exceeds a threshold; pairs meet on one of their rarest trigrams."""
     part = _t(spark, d, "part")
-    a = part.select(F.col("p_name").alias("name")).distinct().withColumn("g", F.explode(X.trigrams(F.col("name"))))
-    b = part.select(F.concat_ws(" ", "p_type", F.get(F.split("p_name", " "), F.lit(0))).alias("label")).distinct().withColumn("g", F.explode(X.trigrams(F.col("label"))))
-    met = a.join(b, "g").select("name", "label").distinct().withColumn("score", X.similarity(F.col("name"), F.col("label"))).where("score > 0.2")
-    return met.groupBy("label").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("m")).select("label", "m.name", F.round(-F.col("m.s"), 6).alias("score"))
+    labels = part.select(F.concat_ws(" ", "p_type", F.get(F.split("p_name", " "), F.lit(0))).alias("text"))
+    return G.best_matches(labels, part.select(F.col("p_name").alias("text")), 0.2).select(F.col("a").alias("label"), F.col("b").alias("name"), F.round("score", 6).alias("score"))
 
 
 @query(
