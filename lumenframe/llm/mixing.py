@@ -131,7 +131,13 @@ def drawn(df: DataFrame, mixed: DataFrame, shards: int = 8, text: str = "text")
     return dealt.repartitionById(shards, F.col(f"{draw}.shard").cast("int")).sortWithinPartitions(f"{draw}.order", f"{draw}.pass", "doc_id").select(*df.columns)
 
 
-#: The rows of query op8 in DuckDB's SQL.
+def listed(mixed: DataFrame) -> DataFrame:
+    """A mix with its draws as text: passes, words of each, the shard that the tree dealt each to and the order there, comma-joined."""
+    joined = lambda f: F.array_join(F.transform("draws", lambda d: d[f].cast("string")), ",")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", joined("pass").alias("passes"), joined("words").alias("words"), joined("shard").alias("shards"), joined("order").alias("orders"))
+
+
+#: The rows of query op8 in DuckDB's SQL, but for what the tree draws.
 SQL = r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(concat_ws('|', doc_id::VARCHAR, '7')) AS h FROM documents

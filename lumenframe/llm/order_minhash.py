@@ -1,6 +1,6 @@
 """Order MinHash document fingerprints, in DataFrame functions only.
 
-A text's k-mers are runs of k words. Each carries its occurrence number (0 for the first time the k-mer comes in the text, 1 for the
+A text's k-mers are runs of k words, one that ends at each word; those at the text's first words are as much shorter as words are missing before them. Each carries its occurrence number (0 for the first time the k-mer comes in the text, 1 for the
 next), so that a multiset of k-mers is a set of numbered ones. A hash of (k-mer, number) deals the set into `buckets` buckets by
 its high bits (one permutation, hashed once, gives all signatures). In each bucket the `length` smallest hashes are chosen, put
 back into text order, and hashed as a tuple: moving a passage keeps the k-mers but changes the order of the chosen ones, so
@@ -8,7 +8,7 @@ signatures follow edit distance and not just content. Likeness is the share of t
 signatures agree.
 
 Defined cases: a null text counts as empty; an empty text has the empty fingerprint, which is like only another empty one (1.0) and
-unlike every other (0.0); of a text of fewer than k words each word is a k-mer; repeated words and lines get rising occurrence numbers;
+unlike every other (0.0); repeated words and lines get rising occurrence numbers;
 order is exact for texts of any length (positions have 30 bits, and Spark's strings end at 2**31 bytes); equal texts have equal fingerprints. Columns of the input other than id and text are ignored, whatever their names.
 """
 
@@ -38,15 +38,10 @@ def _hash(x: Column) -> Column:
 
 
 def kmer_hashes(text: Column, k: int) -> Column:
-    """A hash for each run of k words, in text order; for each word of a shorter text; none for an empty one."""
+    """A hash for each word with the k - 1 before it, as many as there are, in text order; none for an empty text."""
 
     def of(ws: Column) -> Column:
-        n = F.size(ws)
-        return (
-            F.when(n == 0, F.array().cast("array<bigint>"))
-            .when(n < k, F.transform(ws, lambda w: F.xxhash64(w)))
-            .otherwise(F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*[F.get(ws, i + j) for j in range(k)])))
-        )
+        return F.transform(ws, lambda w, i: F.xxhash64(*[F.get(ws, i - j) for j in range(k - 1, 0, -1)], w))
 
     return let(F.transform(words(text), lambda w: F.xxhash64(w)), of)
 

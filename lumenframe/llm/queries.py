@@ -40,7 +40,7 @@ def op7_open_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_splitting_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.listed(mixing.mix(_table(spark, sf_dir, "documents")))
 
 
 def op9_text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,4 +79,5 @@ QUERIES = {
     "op13_euler_tour": op13_euler_tour,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_splitting_tree": mixing.SQL}
+#: mixing.SQL gives op8's rows but for what the tree draws, which SQL can't; it is compared with them in the tests.
+ORACLE_SQL: dict[str, str] = {}

@@ -1,10 +1,11 @@
 """Sharding by fixed virtual slots, in DataFrame functions only.
 
-A record's id and a checksum of its text are hashed into one of `slots` virtual slots, whose number never changes. A slot that ids alone fill
-far above the mean (rows equal in both, such as copies without an id) is dealt out over all slots by row. A map says which shard holds each slot. Bytes
-are aggregated per slot, and rebalancing edits the map: whole slots move from shards that hold too much to those that hold too
-little, and everything else stays. Each edit is a new version; all versions are rows of one small table (version, slot, shard,
-bytes, rows, first), kept as Parquet in the shared folder. The law that holds is `bytes`: the shards' sizes are near equal, as close
+A record's id, a checksum and the size of its text, and its number among rows equal in these, are hashed into one of `slots` virtual slots, whose
+number never changes. So a record's slot depends on nothing else in the corpus, and rows that are all equal (such as copies without an id) are
+spread as others are. A map says which shard holds each slot. Bytes are aggregated per slot, and rebalancing edits the map: whole slots move from
+shards that hold too much to those that hold too little, and everything else stays. Each edit is a new version; all versions are rows of
+one small table (version, slot, shard, bytes, rows, first), kept as Parquet in the shared folder. A later call is given that table, edits its newest
+version and stores one more. The law that holds is `bytes`: the shards' sizes are near equal, as close
 as moving whole slots allows (a slot has some 1/8192 of the rows, whatever their ids, source, text or copies).
 
 Defined cases: a null text has size 1 (no bytes plus 1) and crc32 0, as has an empty one; rows equal in
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,8 +24,6 @@ from pyspark.sql import functions as F
 from lumenframe.llm.common import written
 
 SLOTS = 8192
-#: A slot with so many times the mean rows is dealt out by row.
-HOT = 16
 
 
 def first_map(shards: int, slots: int = SLOTS) -> list[int]:
@@ -72,46 +72,78 @@ def rebalanced(of_slot: Sequence[int], load: Sequence[int], shards: int) -> list
     return new
 
 
-def map_table(spark: SparkSession, versions: Sequence[Sequence[int]], load: Sequence[int], rows: Sequence[int]) -> DataFrame:
-    """(version, slot, shard, bytes, rows, first) of all versions; first: how many rows the shard has in its slots before this one."""
+def stored_map(table: DataFrame, version: int | None = None) -> tuple[int, list[int]]:
+    """(version, shard of each slot) of a map's newest version, or of the one asked for."""
+    rows = table.where(F.col("version") == (F.lit(version) if version is not None else table.agg(F.max("version")).first()[0])).select("version", "slot", "shard").orderBy("slot").collect()  # a row a slot
+    if not rows or [r["slot"] for r in rows] != list(range(len(rows))):
+        raise ValueError("no such version, or slots are missing")
+    return rows[0]["version"], [r["shard"] for r in rows]
+
+
+def map_version(spark: SparkSession, version: int, of_slot: Sequence[int], load: Sequence[int], rows: Sequence[int]) -> DataFrame:
+    """(version, slot, shard, bytes, rows, first) of one version; first: how many rows the shard has in its slots before this one."""
 
     def listed(x: Sequence[int]):
         return F.split(F.lit(",".join(map(str, x))), ",")
 
-    parts = []
-    for v, of_slot in enumerate(versions, 1):
-        seen: dict[int, int] = {}
-        first = []
-        for s, k in enumerate(of_slot):
-            first.append(seen.get(k, 0))
-            seen[k] = first[-1] + rows[s]
-        at = F.col("id").cast("int") + 1
-        parts.append(spark.range(len(of_slot)).select(
-            F.lit(v).alias("version"), F.col("id").alias("slot"), F.element_at(listed(of_slot), at).cast("int").alias("shard"),
-            F.element_at(listed(load), at).cast("long").alias("bytes"), F.element_at(listed(rows), at).cast("long").alias("rows"), F.element_at(listed(first), at).cast("long").alias("first"),
-        ))
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return written(out, "slot_map")
-
-
-def shard(df: DataFrame, shards: int = 8, slots: int = SLOTS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version): slot is the row's place in its shard, without gaps from 0."""
+    seen: dict[int, int] = {}
+    first = []
+    for s, k in enumerate(of_slot):
+        first.append(seen.get(k, 0))
+        seen[k] = first[-1] + rows[s]
+    at = F.col("id").cast("int") + 1
+    return spark.range(len(of_slot)).select(
+        F.lit(version).alias("version"), F.col("id").alias("slot"), F.element_at(listed(of_slot), at).cast("int").alias("shard"),
+        F.element_at(listed(load), at).cast("long").alias("bytes"), F.element_at(listed(rows), at).cast("long").alias("rows"), F.element_at(listed(first), at).cast("long").alias("first"),
+    )
+
+
+def edited(spark: SparkSession, table: DataFrame | None, load: Sequence[int], rows: Sequence[int], shards: int) -> DataFrame:
+    """A map with one more version: the newest one rebalanced for these loads and so many shards. Without a map the first version is even."""
+    if table is None:
+        even = first_map(shards, len(load))
+        table, at, of_slot = map_version(spark, 1, even, load, rows), 1, even
+    else:
+        at, of_slot = stored_map(table)
+        if len(of_slot) != len(load):
+            raise ValueError(f"the map has {len(of_slot)} slots")
+    return written(table.unionByName(map_version(spark, at + 1, rebalanced(of_slot, load, shards), load, rows)), "slot_map")
+
+
+def slotted(df: DataFrame, slots: int = SLOTS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, size, text_crc32, number, virtual_slot) as a stored table; number: of the rows equal in the three before it, from 0.
+
+    Equal rows are numbered within the partition that each was read in, and each partition's numbers start where those before it end, so that no group of
+    equal rows meets in one task.
+    """
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    keyed = df.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.monotonically_increasing_id().alias("row"))
-    keyed = written(keyed.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots))), "sized")  # row is kept as written
-    counted = written(keyed.groupBy("virtual_slot").agg(F.count("*").alias("n")), "counted")  # a row a slot
-    mean = F.lit(keyed.count() / slots)
-    crowded = counted.where(F.col("n") > HOT * (mean + 1)).select("virtual_slot", F.lit(True).alias("crowded"))
-    dealt = F.when(F.col("crowded"), F.pmod(F.xxhash64("virtual_slot", "row"), F.lit(slots))).otherwise(F.col("virtual_slot"))
-    sized = keyed.join(F.broadcast(crowded), "virtual_slot", "left").withColumn("virtual_slot", dealt).drop("crowded")  # fewer rows than slots
+    same = ["doc_id", "size", "text_crc32"]
+    keyed = written(df.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("row")), "sized")
+    counts = keyed.groupBy(*same, "part").agg(F.count("*").alias("n"))
+    before = counts.withColumn("start", F.sum("n").over(Window.partitionBy(*same).orderBy("part")) - F.col("n")).where("start > 0").drop("n")  # a row a partition of the input at most
+    before = before.withColumnsRenamed({c: f"its_{c}" for c in same} | {"part": "its_part"})
+    local = keyed.withColumn("local", F.row_number().over(Window.partitionBy(*same, "part").orderBy("row")) - 1)
+    met = local.join(before, (F.col("part") == F.col("its_part")) & reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"its_{c}")) for c in same]), "left")
+    numbered = met.select(*same, (F.col("local") + F.coalesce("start", F.lit(0))).cast("long").alias("number"))
+    return written(numbered.withColumn("virtual_slot", F.pmod(F.xxhash64(*same, "number"), F.lit(slots))), "slotted")
+
+
+def shard(df: DataFrame, shards: int = 8, slots: int = SLOTS, text: str = "text", doc_id: str = "doc_id", table: DataFrame | None = None) -> DataFrame:
+    """(doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version): slot is the row's place in its shard, without gaps from 0.
+
+    table: the map that an earlier call stored; its newest version is edited for what df holds now.
+    """
+    sized = slotted(df, slots, text, doc_id)
     load, rows = [0] * slots, [0] * slots
     for r in sized.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():  # a row a slot
         load[r["virtual_slot"]], rows[r["virtual_slot"]] = r["b"], r["n"]
-    even = first_map(shards, slots)
-    table = map_table(df.sparkSession, [even, rebalanced(even, load, shards)], load, rows)
-    latest = table.where(F.col("version") == 2).select(F.col("slot").alias("virtual_slot"), "shard", "first", F.col("version").alias("map_version"))
-    w = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "row")
-    placed = sized.withColumn("place", F.row_number().over(w) - 1).join(F.broadcast(latest), "virtual_slot")  # as many rows as slots
-    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+    return placed(sized, edited(df.sparkSession, table, load, rows, shards))
+
+
+def placed(sized: DataFrame, table: DataFrame) -> DataFrame:
+    """What slotted() gave, in the shards of a map's newest version."""
+    newest = table.agg(F.max("version")).first()[0]
+    latest = table.where(F.col("version") == newest).select(F.col("slot").alias("virtual_slot"), "shard", "first", F.col("version").alias("map_version"))
+    w = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size", "number")
+    inside = sized.withColumn("place", F.row_number().over(w) - 1).join(F.broadcast(latest), "virtual_slot")  # as many rows as slots
+    return inside.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("first") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
