@@ -1,55 +1,39 @@
-"""Lists and records from stored web pages, by patterns in the JVM."""
+"""Lists and records from stored web pages. What a pattern can find is found in the JVM; elements, which nest, in one pass over the page (see markup)."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lumenframe.functions.parse import reward
+from lumenframe.sources.markup import Page, Selector
 
 
 def strip_tags(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(s, r"<[^>]*>", ""), r"\s+", " "))
 
 
-def elements(html: Column, tag: str, css_class: str | None = None) -> Column:
-    """The inner markup of each element of a tag, and of a class if given, in order; elements of the same tag inside it are part of it. One never closed gives nothing.
-
-    The page is cut before each opening and after each closing of the tag. The depth after each piece is a running count; an element that opens at
-    depth d ends with the first later piece that closes back to d.
-    """
-    attributes = rf"[^>]*\bclass=\"[^\"]*\b{css_class}\b[^\"]*\"[^>]*" if css_class else r"[^>]*"
-    pieces = F.filter(F.split(html, rf"(?i)(?=<{tag}\b)|(?<=</{tag}>)"), lambda p: p != "")
-    first = F.struct(F.array().cast("array<struct<depth:int,end:int>>").alias("open"), F.lit(0).alias("at"))
+def _each(html: Column, of, kind: str) -> Column:
+    """of(page) for each page that is not null, in Arrow batches."""
 
-    def step(state: Column, piece: Column) -> Column:
-        before = F.coalesce(F.get(state["open"], state["at"] - 1)["end"], F.lit(0))
-        up = F.when(piece.rlike(rf"(?i)^<{tag}\b"), 1).otherwise(0)
-        down = F.when(piece.rlike(rf"(?i)</{tag}>$"), 1).otherwise(0)
-        return F.struct(F.concat(state["open"], F.array(F.struct(before.cast("int").alias("depth"), (before + up - down).cast("int").alias("end")))).alias("open"), (state["at"] + 1).alias("at"))
+    def run(pages: pd.Series) -> pd.Series:
+        return pd.Series([None if h is None else of(Page(h)) for h in pages], dtype=object)
 
-    def inner(depths: Column) -> Column:
-        def one(piece: Column, i: Column) -> Column:
-            closes = F.filter(F.sequence(i, F.size(pieces) - 1), lambda j: F.get(depths, j)["end"] <= F.get(depths, i)["depth"])
-            body = F.array_join(F.slice(pieces, i + 1, F.get(closes, F.lit(0)) - i + 1), "")
-            return F.when(piece.rlike(rf"(?is)^<{tag}\b{attributes}>") & (F.size(closes) > 0), F.regexp_replace(F.regexp_replace(body, rf"(?is)^<{tag}\b[^>]*>", ""), rf"(?i)</{tag}>$", ""))
+    return F.pandas_udf(run, kind)(html)
 
-        return F.filter(F.transform(pieces, one), lambda e: e.isNotNull())
 
-    found = F.aggregate(pieces, first, step, lambda state: state["open"])
-    nested = F.element_at(F.transform(F.array(found), inner), 1)
-    flat = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b{attributes}>(.*?)</{tag}>"), F.lit(1))  # enough where no such element holds another
-    opens, closes = (lambda p: p.rlike(rf"(?i)^<{tag}\b")), (lambda p: p.rlike(rf"(?i)</{tag}>$"))
-    holds = F.exists(F.transform(pieces, lambda p, i: opens(p) & ~closes(p) & F.coalesce(opens(F.get(pieces, i + 1)), F.lit(False))), lambda x: x)
-    return F.when(holds, nested).otherwise(flat)
+def elements(html: Column, tag: str, css_class: str | None = None) -> Column:
+    """The inner markup of each element of a tag, and of a class if given, in order; elements of the same tag inside it are part of it. One never closed gives nothing."""
+    return _each(html, lambda p: [p.html[e.start : e.end] for e in p.elements((tag, css_class))], "array<string>")
 
 
 def element_texts(html: Column, tag: str, css_class: str | None = None) -> Column:
-    return F.transform(elements(html, tag, css_class), strip_tags)
+    return _each(html, lambda p: [p.text(e) for e in p.elements((tag, css_class))], "array<string>")
 
 
 def first_text(html: Column, tag: str, css_class: str | None = None) -> Column:
-    return F.get(element_texts(html, tag, css_class), F.lit(0))
+    return _each(html, lambda p: p.text(p.first((tag, css_class))), "string")
 
 
 def attribute(markup: Column, name: str) -> Column:
@@ -66,13 +50,10 @@ def title(html: Column) -> Column:
     return F.nullif(F.trim(F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1)), F.lit(""))
 
 
-def records(html: Column, tag: str, css_class: str, fields: dict[str, tuple[str, str | None]]) -> Column:
+def records(html: Column, tag: str, css_class: str, fields: dict[str, Selector]) -> Column:
     """array<struct> with a row for each element; a field is the text of a (tag, class) in it, or null; a class of '@href' takes that attribute."""
-
-    def one(e: Column) -> Column:
-        return F.struct(*[(attribute(F.regexp_extract(e, rf"(<{t}\b[^>]*>)", 1), c[1:]) if c and c.startswith("@") else first_text(e, t, c)).alias(n) for n, (t, c) in fields.items()])
-
-    return F.transform(elements(html, tag, css_class), one)
+    kind = ", ".join(f"`{n}`: string" for n in fields)
+    return _each(html, lambda p: [dict(zip(fields, r, strict=True)) for r in p.records((tag, css_class), list(fields.values()))], f"array<struct<{kind}>>")
 
 
 def awards(html: Column, tag: str, css_class: str, festival: tuple[str, str | None], text: tuple[str, str | None]) -> Column:
@@ -104,35 +85,51 @@ def opening(html: Column, tag: str, css_class: str | None = None) -> Column:
     return F.nullif(F.regexp_extract(html, rf"(?is)(<{tag}\b{attributes}>)", 1), F.lit(""))
 
 
-Selector = tuple[str, str | None]
-
-
 def film_page(html: Column, poster: Selector, release_date: Selector, meta: Selector, genres: Selector, player: Selector = ("figure", "player"), item: Selector = ("div", "item"), label: Selector = ("span", "what"), value: Selector = ("span", "that"), visa: str = "N° de Visa") -> Column:
     """struct<allocine_visa_number, poster_url, release_date, duration, genres, trailer_url>; each part null where the page lacks it.
 
     The visa is the value of the first item whose label names it; the trailer is the best source of the player's data model.
     """
-    items = F.filter(elements(html, *item), lambda e: F.contains(F.coalesce(first_text(e, *label), F.lit("")), F.lit(visa)))
+
+    def found(p: Page) -> list[dict]:
+        named = next((e for e in p.elements(item) if visa in (p.value(label, e) or "")), None)
+        listed = [p.text(e) for e in p.elements(genres)]
+        return [{"visa": p.value(value, named) if named else None, "date": p.text(p.first(release_date)), "meta": p.text(p.first(meta)), "genres": listed or None}]
+
+    f = F.get(_each(html, found, "array<struct<visa: string, date: string, meta: string, genres: array<string>>>"), F.lit(0))
     model = F.replace(F.replace(attribute(opening(html, *player), "data-model"), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
-    named = element_texts(html, *genres)
     return F.struct(
-        first_text(F.get(items, F.lit(0)), *value).alias("allocine_visa_number"), attribute(opening(html, *poster), "src").alias("poster_url"), first_text(html, *release_date).alias("release_date"),
-        duration_cell(first_text(html, *meta)).alias("duration"), F.when(F.size(named) > 0, named).alias("genres"), trailer_url(model).alias("trailer_url"),
+        f["visa"].alias("allocine_visa_number"), attribute(opening(html, *poster), "src").alias("poster_url"), f["date"].alias("release_date"), duration_cell(f["meta"]).alias("duration"), f["genres"].alias("genres"), trailer_url(model).alias("trailer_url"),
     )
 
 
 def people(html: Column, section: Selector, name: Selector) -> Column:
     """The names in the first section of a kind, such as directors or actors, in order; none without such a section."""
-    return F.coalesce(element_texts(F.get(elements(html, *section), F.lit(0)), *name), F.array().cast("array<string>"))
-
-
-def cast_sections(html: Column, section: str, heading: tuple[str, str | None], credit: tuple[str, str], role: list[tuple[str, str | None]], name: list[tuple[str, str | None]]) -> Column:
-    """map<section, array<struct<role, name>>>; of the selectors for role and name the first pair that finds both counts."""
-
-    def credit_of(e: Column) -> Column:
-        pairs = [F.when(first_text(e, *r).isNotNull() & first_text(e, *n).isNotNull(), F.struct(first_text(e, *r).alias("role"), first_text(e, *n).alias("name"))) for r, n in zip(role, name, strict=True)]
-        return F.coalesce(*pairs)
 
-    found = F.transform(elements(html, "section", section), lambda s: F.struct(first_text(s, *heading).alias("key"), F.filter(F.transform(elements(s, *credit), credit_of), lambda c: c.isNotNull()).alias("value")))
-    named = F.filter(found, lambda s: s["key"].isNotNull())
-    return F.map_from_entries(F.filter(named, lambda s, i: ~F.exists(F.slice(named, i + 2, F.greatest(F.size(named) - i - 1, F.lit(0))), lambda l: l["key"] == s["key"])))
+    def found(p: Page) -> list[str]:
+        within = p.first(section)
+        return [p.text(e) for e in p.elements(name, within)] if within else []
+
+    return F.coalesce(_each(html, found, "array<string>"), F.array().cast("array<string>"))
+
+
+def cast_sections(html: Column, section: str, heading: Selector, credit: Selector, role: list[Selector], name: list[Selector]) -> Column:
+    """map<section, array<struct<role, name>>>; of the selectors for role and name the first pair that finds both counts, and of sections of one heading the last."""
+    pairs = list(zip(role, name, strict=True))
+
+    def found(p: Page) -> list[dict]:
+        out: dict[str, list[dict]] = {}
+        for s in p.elements(("section", section)):
+            key = p.value(heading, s)
+            if key is None:
+                continue
+            credits = []
+            for c in p.elements(credit, s):
+                both = next(((r, n) for r, n in ((p.value(a, c), p.value(b, c)) for a, b in pairs) if r is not None and n is not None), None)
+                if both:
+                    credits.append({"role": both[0], "name": both[1]})
+            out.pop(key, None)
+            out[key] = credits
+        return [{"key": k, "value": v} for k, v in out.items()]
+
+    return F.map_from_entries(_each(html, found, "array<struct<key: string, value: array<struct<role: string, name: string>>>>"))
