@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.fixed import AGES, ETHNICITIES, GENDERS
 from lumenframe.operators.metrics import mode_first_seen
+from lumenframe.operators.settle import settled
 
 # --- filters ----------------------------------------------------------------------------------------------------------------------
 
@@ -84,41 +85,53 @@ def age_bounds(age: Column) -> Column:
 # --- clusters ---------------------------------------------------------------------------------------------------------------------
 
 
-def whispers(vectors: np.ndarray, threshold: float, rounds: int = 100, seed: int = 0) -> np.ndarray:
-    """Chinese whispers on vectors nearer than threshold: each in turn takes the commonest label of its neighbours, until nothing changes or for `rounds`
-    rounds, as labels may swing for ever. Deterministic for a seed."""
-    n = len(vectors)
-    labels = np.arange(n)
-    neighbours = []
-    squares = (vectors**2).sum(axis=1)
-    for i in range(0, n, 512):  # strips of 512 x n: memory follows n
-        d = squares[i : i + 512, None] + squares[None, :] - 2 * (vectors[i : i + 512] @ vectors.T)
-        neighbours += [np.flatnonzero(row) for row in d < threshold**2]
-    rng = np.random.default_rng(seed)
-    for _ in range(rounds):
-        changed = False
-        for i in rng.permutation(n):
-            near = neighbours[i][neighbours[i] != i]
-            if len(near):
-                names, counts = np.unique(labels[near], return_counts=True)
-                best = names[counts.argmax()]
-                changed |= bool(best != labels[i])
-                labels[i] = best
-        if not changed:
-            break
-    first: dict[int, int] = {}
-    return np.array([first.setdefault(int(x), len(first)) for x in labels])
-
-
-def clusters(df: DataFrame, group: str, row_id: str, embedding: str, threshold: float = 0.92) -> DataFrame:
-    """(group, row_id, label): one film's faces are clustered at a time; a film has as many as its trailer has frames."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row_id, ignore_index=True)
-        return pd.DataFrame({group: pdf[group], row_id: pdf[row_id], "label": whispers(np.stack(pdf[embedding].to_list()).astype(np.float64), threshold)})
-
-    kinds = dict(df.dtypes)
-    return df.select(group, row_id, embedding).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {row_id} {kinds[row_id]}, label int")
+def numbered_faces(df: DataFrame, group: str, row_id: str, embedding: str) -> DataFrame:
+    """(node, group, row_id, vector): faces with a number of their own over all films, in order of film and id."""
+    from lumenframe.operators.upsert import with_ids
+
+    rows = df.select(group, row_id, F.transform(embedding, lambda x: x.cast("double")).alias("vector"))
+    return settled(with_ids(rows, rows.limit(0).select(F.lit(0).alias("node")), [group, row_id], "node", kind="long"))
+
+
+def edges(faces: DataFrame, group: str, threshold: float) -> DataFrame:
+    """faces (node, group, vector) -> (a, b): pairs of one film's faces whose vectors are nearer than the threshold, both ways; by bounds on distances, not by comparing all."""
+    from lumenframe.operators.pivots import within
+
+    # one more coordinate sets films apart, by more than the threshold
+    films = faces.groupBy(F.col(group).alias("__of")).agg(F.min("node").alias("__film"))
+    apart = faces.join(films, F.col(group).eqNullSafe(F.col("__of"))).select("node", F.concat("vector", F.array((F.col("__film") * (threshold + 1)).cast("double"))).alias("vector"))
+    return within(apart.select(F.col("node").alias("point_id"), F.lit(0).alias("label"), "vector"), threshold).select(F.col("query_id").alias("a"), F.col("point_id").alias("b"))
+
+
+def whispers(nodes: DataFrame, links: DataFrame, seed: int = 0, rounds: int = 100) -> tuple[DataFrame, int, bool]:
+    """nodes (node), links (a, b, both ways) -> ((node, label), rounds taken, whether labels had settled).
+
+    Chinese whispers in rounds: each node begins with its own label. In a round those whose coin, a hash of seed, round and node, shows 1 take the commonest
+    label among their neighbours as it was before the round, the least of several; one whose own label is as common as any keeps it. Coins keep two
+    neighbours from swapping labels for ever. It stops when no node of either coin would change, or after `rounds`. What a round does depends on
+    nothing but its number, so a lost executor changes nothing.
+    """
+    now = settled(nodes.select("node", F.col("node").alias("label")))
+    links = settled(links.select("a", "b"))
+    for n in range(rounds):
+        seen = links.join(now.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
+        own = seen.join(now.withColumnsRenamed({"node": "a", "label": "own"}), "a")
+        best = own.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("label").alias("to"))).alias("m"), F.max(F.when(F.col("label") == F.col("own"), F.col("n"))).alias("kept"))
+        wants = settled(best.where(-F.col("m.n") > F.coalesce("kept", F.lit(0))).select(F.col("a").alias("node"), "m.to"))
+        if wants.isEmpty():
+            return now, n, True
+        moved = wants.where(F.xxhash64(F.lit(seed), F.lit(n), "node").bitwiseAND(1) == 1)
+        now = settled(now.join(moved, "node", "left").select("node", F.coalesce("to", "label").alias("label")))
+    return now, rounds, False
+
+
+def clusters(df: DataFrame, group: str, row_id: str, embedding: str, threshold: float = 0.92, seed: int = 0, rounds: int = 100) -> DataFrame:
+    """(group, row_id, label, settled): each film's faces clustered by Chinese whispers over those nearer than the threshold; a label is a number of its cluster alone, and settled says
+    whether labels had come to rest. Films of any size: neighbours are found by bounds, labels pass in joins."""
+    faces = numbered_faces(df, group, row_id, embedding)
+    labels, _, rest = whispers(faces.select("node"), edges(faces, group, threshold), seed, rounds)
+    named = labels.join(labels.groupBy("label").agg(F.min("node").alias("first")), "label").select("node", "first")
+    return faces.join(named, "node").select(group, row_id, F.col("first").alias("label"), F.lit(rest).alias("settled"))
 
 
 def aggregate_clusters(df: DataFrame, group: str, row_id: str, least: int = 20) -> DataFrame:
@@ -159,53 +172,6 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
-def nearest(queries: DataFrame, points: DataFrame, block: int = 16_384) -> DataFrame:
-    """(query_id, vector) against (point_id, label, vector): each query's nearest other point, ties by point_id; vectors of one length.
-
-    The queries are a stated set. They travel in blocks of at most `block`, each broadcast on its own; a task reads its points once a block and keeps the
-    best point of each query, so what is shuffled is a row per query and task.
-    """
-    spark = queries.sparkSession
-    kind = dict(points.dtypes)
-    out = f"query_id bigint, distance double, point_id bigint, label {kind['label']}"
-    numbered = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
-    blocks = max(1, -(-numbered.count() // block))
-    best = None
-    for i in range(blocks):
-        mine = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).toPandas()  # about `block` rows
-        if not len(mine):
-            continue
-        held = spark.sparkContext.broadcast((mine["query_id"].to_numpy(np.int64), np.stack(mine["vector"].to_list())))
-
-        def run(batches, held=held):
-            ids, q = held.value
-            squares, low = (q**2).sum(axis=1), np.full(len(ids), np.inf)
-            who, label = np.full(len(ids), -1, dtype=np.int64), np.full(len(ids), None, dtype=object)
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                p, at = np.stack(pdf["vector"].to_list()).astype(np.float64), pdf["point_id"].to_numpy(np.int64)
-                for a in range(0, len(ids), 2048):  # strips bound memory
-                    part = slice(a, a + 2048)
-                    d = squares[part, None] + (p**2).sum(axis=1)[None, :] - 2 * (q[part] @ p.T)
-                    d[ids[part, None] == at[None, :]] = np.inf
-                    near = d <= d.min(axis=1, keepdims=True) + 1e-9 * (1 + squares[part, None])  # the product form is off by rounding: settle these exactly
-                    rows, cols = np.nonzero(near & np.isfinite(d))
-                    exact = np.sqrt(((q[part][rows] - p[cols]) ** 2).sum(axis=1))
-                    for j in np.lexsort((at[cols], exact))[::-1]:
-                        k = a + rows[j]
-                        if (exact[j], at[cols[j]]) < (low[k], who[k]) or who[k] < 0:
-                            low[k], who[k], label[k] = exact[j], at[cols[j]], pdf["label"].iat[cols[j]]
-            some = who >= 0
-            yield pd.DataFrame({"query_id": ids[some], "distance": low[some], "point_id": who[some], "label": label[some]})
-
-        own = points.select(F.col("point_id").cast("long").alias("point_id"), "label", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(run, out)
-        best = own if best is None else best.unionByName(own)
-    if best is None:
-        return spark.createDataFrame([], out)
-    return best.groupBy("query_id").agg(F.min(F.struct("distance", "point_id", "label")).alias("b")).select("query_id", "b.*")
-
-
 # --- pixels -----------------------------------------------------------------------------------------------------------------------
 
 

@@ -17,6 +17,7 @@ from lumenframe.fixed import AGES, ETHNICITIES, GENDERS
 from lumenframe.functions import parse as P
 from lumenframe.functions import text as X
 from lumenframe.operators import metrics as M
+from lumenframe.operators import pivots
 from lumenframe.operators import resolve as R
 from lumenframe.operators import trigrams as G
 from lumenframe.operators import upsert as U
@@ -725,7 +726,7 @@ def cluster_mode(spark: SparkSession, d: str) -> DataFrame:
 def nearest_label(spark: SparkSession, d: str) -> DataFrame:
     """Each vector whose id is divisible by 20 with its nearest other one, of all."""
     v = _t(spark, d, "embeddings")
-    found = V.nearest(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("point_id"), "label", F.col("embedding").alias("vector")))
+    found, _ = pivots.nearest(v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), v.select(F.col("vec_id").alias("point_id"), "label", F.col("embedding").alias("vector")))
     return found.select("query_id", "point_id", "label", F.round("distance", 4).alias("dist"))
 
 
@@ -762,7 +763,19 @@ def eval_score(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "labels").agg(F.round(F.avg(score), 6).alias("score"))
 
 
+@query(
+    """WITH v AS (SELECT vec_id, label AS film, embedding FROM embeddings), e AS (SELECT q.vec_id AS a, p.vec_id AS b FROM v q JOIN v p ON q.film = p.film AND q.vec_id <> p.vec_id WHERE sqrt(list_sum(list_transform(list_zip(q.embedding, p.embedding), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))) < 1.2)
+    SELECT film, vec_id, count(b) AS neighbours, min(b) AS first_neighbour FROM v LEFT JOIN e ON a = vec_id GROUP BY 1, 2"""
+)
+def near_faces(spark: SparkSession, d: str) -> DataFrame:
+    """Each face (vector) with the number of its film's (label's) faces nearer than 1.2, and the first of them: the edges that clustering passes labels over."""
+    v = _t(spark, d, "embeddings").withColumnRenamed("label", "film")
+    faces = V.numbered_faces(v, "film", "vec_id", "embedding")
+    e = V.edges(faces, "film", 1.2).join(faces.select(F.col("node").alias("b"), F.col("vec_id").alias("other")), "b").groupBy(F.col("a").alias("node")).agg(F.count("*").alias("neighbours"), F.min("other").alias("first_neighbour"))
+    return faces.join(e, "node", "left").select("film", "vec_id", F.coalesce("neighbours", F.lit(0)).alias("neighbours"), "first_neighbour")
+
+
 @query()
 def threshold_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Faces (vectors) of each film (label) clustered by Chinese whispers; random in order, so tested as a partition."""
+    """Faces (vectors) of each film (label) clustered by Chinese whispers with seeded coins; tested against going round by round in plain Python."""
     return V.clusters(_t(spark, d, "embeddings").withColumnRenamed("label", "film"), "film", "vec_id", "embedding", 0.92)

@@ -11,6 +11,7 @@ from lumenframe.functions.names import jaro_winkler_of
 from lumenframe.operators import metrics as M
 from lumenframe.operators import resolve as R
 from lumenframe.operators import upsert as U
+from lumenframe.operators import pivots
 from lumenframe.operators import vision as V
 from lumenframe.sources import files, pages
 from lumenframe.streaming import ledger
@@ -98,11 +99,44 @@ def test_classify_logits(spark):
     assert [tuple(a["b"]) for a in ages] == [(20, 29), (70, None), (None, None)]
 
 
-def test_whispers_finds_separate_groups():
+def by_rounds(nodes, links, seed, coins, rounds=100):
+    """The rounds of whispers in plain Python; coins: (round, node) -> 0 or 1."""
+    labels, near = {n: n for n in nodes}, {n: [b for a, b in links if a == n] for n in nodes}
+    for r in range(rounds):
+        wants = {}
+        for n in nodes:
+            counts = {}
+            for m in near[n]:
+                counts[labels[m]] = counts.get(labels[m], 0) + 1
+            if counts and max(counts.values()) > counts.get(labels[n], 0):
+                wants[n] = min(k for k, c in counts.items() if c == max(counts.values()))
+        if not wants:
+            return labels, r, True
+        labels |= {n: to for n, to in wants.items() if coins[r, n]}
+    return labels, rounds, False
+
+
+@pytest.mark.parametrize("seed", [0, 5])
+def test_whispers_equal_plain_rounds(spark, seed):
+    rng = np.random.default_rng(seed)
+    nodes = list(range(40))
+    pairs = {(a, b) for a in range(36) for b in range(36) if a != b and (a // 9 == b // 9 and rng.random() < 0.7 or rng.random() < 0.03)} | {(36, 37), (37, 36)}
+    links = sorted(pairs | {(b, a) for a, b in pairs})
+    coins = {(r["r"], r["n"]): r["c"] for r in spark.range(40).select(F.col("id").alias("n")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(30)))).select("r", "n", F.xxhash64(F.lit(seed), F.col("r"), "n").bitwiseAND(1).alias("c")).collect()}
+    got, n, rest = V.whispers(spark.createDataFrame([(i,) for i in nodes], "node long"), spark.createDataFrame(links, "a long, b long").repartition(3), seed, 30)
+    want, m, still = by_rounds(nodes, links, seed, coins, 30)
+    assert ({r["node"]: r["label"] for r in got.collect()}, n, rest) == (want, m, still)
+
+
+def test_clusters_within_films(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(c, 0.01, (15, 4)) for c in (0, 5, 9)])
-    labels = V.whispers(x, 0.92)
-    assert [len(set(labels[i : i + 15])) for i in (0, 15, 30)] == [1, 1, 1] and len(set(labels)) == 3
+    rows = [(film, i, v.tolist()) for film in ("a", "b") for i, v in enumerate(x)]  # the same faces, with the same ids, in two films
+    got = V.clusters(spark.createDataFrame(rows, "film string, id int, e array<double>").repartition(3), "film", "id", "e").collect()
+    groups = {}
+    for r in got:
+        groups.setdefault(r["label"], set()).add((r["film"], r["id"] // 15))
+    assert len(got) == 90 and len(groups) == 6 and all(len(g) == 1 for g in groups.values()) and all(r["settled"] for r in got)
 
 
 def test_clusters_of_few_faces_go(spark):
@@ -223,7 +257,7 @@ def test_commit_shows_all_tables_or_none(spark, tmp_path):
     assert U.vacuum(spark, root) >= 1 and {n: df.count() for n, df in U.current(spark, root).items()} == {"a": 9, "b": 5}
 
 
-def test_nearest_against_brute_force(spark):
+def test_nearest_against_brute_force(spark, monkeypatch):
 
 
     rng = np.random.default_rng(4)
@@ -231,12 +265,31 @@ def test_nearest_against_brute_force(spark):
     rows = [(i, f"l{i}", v.tolist()) for i, v in enumerate(x)]
     points = spark.createDataFrame(rows, "point_id bigint, label string, vector array<double>").repartition(4)
     queries = points.where("point_id % 7 = 0").select(F.col("point_id").alias("query_id"), "vector")
-    got = {r["query_id"]: (r["distance"], r["point_id"], r["label"]) for r in V.nearest(queries, points, block=10).collect()}
+    monkeypatch.setattr(pivots, "BLOCK", 16)
+    best, met = pivots.nearest(queries, points)
+    got = {r["query_id"]: (r["distance"], r["point_id"], r["label"]) for r in best.collect()}
+    assert all(r["read"] + r["skipped"] == 300 for r in met.collect()) and met.agg(F.sum("skipped")).first()[0] > 0
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
     np.fill_diagonal(d, np.inf)
     assert got == {i: (d[i].min(), int(d[i].argmin()), f"l{d[i].argmin()}") for i in range(0, 300, 7)}
 
 
+def test_far_cells_are_skipped(spark):
+    """Vectors in well-parted groups: a query meets its own group, hardly more; all pairs within a radius are those of comparing all."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(c, 0.05, (100, 8)) for c in range(12)])
+    points = spark.createDataFrame([(i, i // 100, v.tolist()) for i, v in enumerate(x)], "point_id long, label int, vector array<double>").repartition(4)
+    queries = points.where("point_id % 20 = 0").select(F.col("point_id").alias("query_id"), "vector")
+    best, met = pivots.nearest(queries, points)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    assert {r["query_id"]: r["point_id"] for r in best.collect()} == {i: int(d[i].argmin()) for i in range(0, 1200, 20)}
+    assert met.agg(F.avg("read")).first()[0] < 240
+    pairs = {(r["query_id"], r["point_id"]) for r in pivots.within(points, 0.2).collect()}
+    assert pairs == {(int(a), int(b)) for a, b in zip(*np.nonzero(d < 0.2), strict=True)}
+    assert pivots.nearest(queries, points.limit(0))[0].count() == 0 and pivots.within(points.limit(0), 1.0).count() == 0
+
+
 def test_nested_elements_stay_whole(spark):
     markup = "<div class=\"x item\"><b>1</b><div><div>in</div></div>end</div><div class=\"item\">2</div><div class=\"item\"><div class=\"item\">3</div></div><div class=\"item\">open"
     got = spark.createDataFrame([(markup,)], "h string").select(pages.elements(F.col("h"), "div", "item").alias("e")).first()["e"]
