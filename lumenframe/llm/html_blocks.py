@@ -3,7 +3,8 @@
 A page is cut at block-level tags into flat text blocks. Tags only cut: what lies in elements that are by their tag, role or whole class name
 navigation, header, footer, aside, advert, notice, form or comments is taken out, and where a page has an article or main element with text, what lies
 outside it too. Each block that is left has its word count and link density (the share of its words that are in links) and those of the blocks
-before and after it, and a decision tree (CART, Gini impurity), trained here on the small labelled table below, says from these six which are content.
+before and after it, and a decision tree (CART, Gini impurity), trained here on the small labelled table below, says from these six, and from whether the
+block lies in the page's article, which are content. In an article names that only hint (lists, shares, banners, widgets) cut nothing.
 
 Defined cases: a null, empty or textless page has an empty text; unclosed, misnested and cut-off markup is read to the page's end; a ">" inside a
 quoted attribute or a script ends nothing; an element whose class, id, role or itemprop says that it is the article's body counts as one; a class
@@ -25,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "inside")  # inside: 1 in an article, -1 there in what a name hints at, 0 elsewhere
 
-#: Labelled blocks: the features in the order above, then 1 for content. An edge of the page counts as a block of no words.
-LABELLED = [
+#: Labelled blocks of plain pages: the first six features in the order above, then 1 for content. An edge of the page counts as a block of no words.
+PLAIN = [
     # content, measured in articles of the test tables' pages: paragraphs and headlines of all lengths between one another
     (15, 0.0, 59, 0.0, 65, 0.0, 1), (143, 0.0, 73, 0.0, 132, 0.0, 1), (61, 0.0, 12, 0.0, 118, 0.0, 1), (90, 0.0, 22, 0.0, 17, 0.0, 1), (15, 0.0, 4, 0.0, 18, 0.0, 1),
     (143, 0.0, 17, 0.0, 31, 0.0, 1), (8, 0.0, 20, 0.0, 8, 0.0, 1), (6, 0.0, 6, 0.0, 36, 0.0, 1), (6, 0.0, 9, 0.0, 6, 0.0, 1), (4, 0.0, 20, 0.0, 15, 0.0, 1),
@@ -46,6 +47,19 @@ LABELLED = [
     (5, 1.0, 4, 1.0, 0, 0.0, 0), (11, 0.6, 6, 0.7, 9, 0.7, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0), (5, 0.0, 1, 1.0, 3, 1.0, 0), (7, 0.0, 4, 1.0, 0, 0.0, 0), (6, 0.0, 2, 1.0, 5, 0.0, 0), (4, 0.0, 4, 1.0, 4, 0.0, 0), (12, 0.0, 2, 1.0, 0, 0.0, 0),
     (2, 0.0, 0, 0.0, 1, 1.0, 0), (3, 0.0, 0, 0.0, 2, 1.0, 0), (5, 0.0, 0, 0.0, 1, 1.0, 0), (4, 0.0, 9, 0.3, 3, 1.0, 0), (2, 0.0, 30, 0.0, 1, 1.0, 0),
 ]
+#: Labelled blocks inside articles besides the content of plain pages: linked lists between paragraphs (their first item, those among themselves, the last) and texts of links.
+INSIDE = [
+    (2, 1.0, 40, 0.0, 2, 1.0, 1), (2, 1.0, 2, 1.0, 2, 1.0, 1), (3, 1.0, 3, 1.0, 41, 0.0, 1), (1, 1.0, 1, 1.0, 1, 1.0, 1), (5, 1.0, 6, 1.0, 4, 1.0, 1), (6, 1.0, 0, 0.0, 30, 0.0, 1), (4, 0.9, 3, 1.0, 40, 0.0, 1), (14, 0.7, 2, 1.0, 16, 0.8, 1),
+    (9, 0.0, 3, 1.0, 5, 1.0, 1), (12, 0.0, 2, 1.0, 0, 0.0, 1), (5, 0.0, 1, 1.0, 3, 1.0, 1), (12, 0.7, 44, 0.0, 30, 0.1, 1), (25, 0.6, 30, 0.5, 12, 0.9, 1), (3, 0.0, 45, 0.0, 3, 1.0, 1), (1, 0.0, 1, 0.0, 1, 0.0, 1),
+    # all of an article linked, and nothing else in it
+    (6, 1.0, 0, 0.0, 0, 0.0, 0), (2, 1.0, 0, 0.0, 0, 0.0, 0), (11, 1.0, 0, 0.0, 0, 0.0, 0),
+]
+#: Labelled blocks of articles in elements that a name hints at: buttons and calls, and prose.
+HINTED = [
+    (1, 0.0, 2, 0.0, 0, 0.0, 0), (1, 0.0, 60, 0.0, 30, 0.0, 0), (2, 0.0, 45, 0.0, 0, 0.0, 0), (4, 0.0, 20, 0.0, 50, 0.0, 0), (7, 0.0, 80, 0.0, 12, 0.0, 0), (3, 1.0, 3, 1.0, 3, 1.0, 0), (5, 0.5, 40, 0.0, 2, 1.0, 0), (9, 0.1, 33, 0.0, 0, 0.0, 0),
+    (20, 0.0, 40, 0.0, 30, 0.0, 1), (50, 0.0, 40, 0.0, 40, 0.0, 1), (35, 0.1, 60, 0.0, 0, 0.0, 1), (90, 0.0, 12, 0.0, 25, 0.0, 1), (16, 0.0, 30, 0.0, 22, 0.0, 1),
+]
+LABELLED = [*((*r[:-1], 0, r[-1]) for r in PLAIN), *((*r[:-1], -1, r[-1]) for r in HINTED), *((*r[:-1], 1, r[-1]) for r in PLAIN if r[-1]), *((*r[:-1], 1, r[-1]) for r in INSIDE)]
 
 _BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul video audio".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -68,6 +82,13 @@ _HINT = re.compile(
     + r"|(?:post|article|entry|blog)[-_]?(?:comments?|share|sharing|footer|nav|navigation|related|ads?)" + _PARTS,
     re.IGNORECASE,
 )
+#: Inside an article: names of adverts, notices and comments, menus and their like, but none that an author might give to a part of the text.
+_FIRM = re.compile(
+    r"(?:(?:site|page|top|bottom|left|right|global|primary|secondary|reader|user|js)[-_]?)?"
+    r"(?:ads?|advert\w*|adbox|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|newsletter|subscribe|subscription|related|recommend(?:ed|ations?)|sidebar|nav|navbar|navigation|breadcrumbs?|comments?|disqus|repl(?:y|ies)|popup|modal|overlay|login|signup|pagination|pager|toolbar|copyright|disclaimer|footer)"
+    + _PARTS + r"|(?:share|sharing|social)[-_](?:bar|box|buttons?|links?|icons?|widget)" + _PARTS + r"|(?:post|article|entry|blog)[-_]?(?:comments?|share|sharing|footer|nav|navigation|related|ads?)" + _PARTS,
+    re.IGNORECASE,
+)
 _ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "note"))
 
 
@@ -78,7 +99,7 @@ class Block(NamedTuple):
     text: str
     words: int
     linked: int
-    mark: int  # 1 inside an article, -1 in what names itself something else, 0 elsewhere
+    mark: int  # 1 inside an article, 2 there in what a name hints at, -1 in what names itself something else, 0 elsewhere
 
 
 def _named(tag: str, attributes: str, in_article: bool) -> bool:
@@ -93,13 +114,18 @@ def _named(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and tag not in _UNMARKED and any(map(_HINT.fullmatch, value.split())):
+        if name in ("class", "id") and tag not in _UNMARKED and any(map((_FIRM if in_article else _HINT).fullmatch, value.split())):
             return True
         if name in ("class", "id") and tag == "article" and any(re.fullmatch(r"(?:\w+[-_])?comments?(?:[-_]\w+)?", x, re.IGNORECASE) for x in value.split()):
             return True
     return False
 
 
+def _hinted(tag: str, attributes: str) -> bool:
+    """Whether an element of an article has a name that may say something else."""
+    return bool(attributes) and tag not in _UNMARKED and any(name.lower() in ("class", "id") and any(map(_HINT.fullmatch, (a or b or c).split())) for name, a, b, c, _ in _ATTRIBUTE.findall(attributes))
+
+
 def _article(tag: str, attributes: str) -> bool:
     """Whether an element is, or says that it is, the page's article."""
     if tag in ("article", "main"):
@@ -154,7 +180,7 @@ def blocks(page: str | None) -> list[Block]:
                     stack.pop()
                 above = stack[-1][1] if stack else 0
                 article = tag not in ("html", "body") and _article(tag, m[4])
-                own = -1 if above < 0 or _named(tag, m[4], above > 0) else 1 if above > 0 or article else 0
+                own = -1 if above < 0 or _named(tag, m[4], above > 0) else 2 if above > 1 or (above == 1 and _hinted(tag, m[4])) else 1 if above > 0 or article else 0
                 stack.append((tag, own))
             anchors = 0
             mark = stack[-1][1] if stack else 0
@@ -210,7 +236,7 @@ def decide(node, features: tuple) -> int:
 
 def features(left: list[Block]) -> list[tuple]:
     shape = [(0, 0.0), *[(b.words, min(1.0, b.linked / b.words)) for b in left], (0, 0.0)]
-    return [(*own, *before, *after) for before, own, after in zip(shape, shape[1:], shape[2:], strict=False)]
+    return [(*own, *before, *after, (0, 1, -1)[b.mark]) for b, before, own, after in zip(left, shape, shape[1:], shape[2:], strict=False)]
 
 
 def main_text(page: str | None) -> str:

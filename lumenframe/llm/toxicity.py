@@ -1,16 +1,16 @@
 """Toxicity by compression distance.
 
-zstandard dictionaries are trained on the windows of whole toxic documents and, apart from them, on those of ordinary ones. Each window of a text
-is compressed with a toxic and with an ordinary dictionary, and the difference of the two lengths says which it resembles.
-
-One pair of dictionaries is not enough: most of a toxic document is ordinary text, and which rare ordinary words a dictionary happens to hold moves
-lengths as much as toxic words do (a pair alone finds 4 to 8 % of held-out toxic documents at 1 % of the others). So the labelled documents of each
-label are dealt into shares, with a pair of dictionaries for each share, all behind the content of a common ordinary dictionary. What only chance put
-into one toxic dictionary is missing in the others; what marks toxic text is in most. A window counts by the bytes that all pairs but the lowest QUARTER save.
-A pair trained on all documents screens windows first: where it saves less than SCREEN bytes the shares are not asked.
-
-A document's saving is the mean over its windows. A monotone map from it to the share of toxic documents gives the score: fitted by
-cross-validation, on what training documents save with dictionaries trained without them, for a share of toxic documents of PRIOR.
+Two zstandard dictionaries are trained: one on the windows of ordinary documents, by the library's trainer, and one on toxic documents, by a trainer of the
+same kind that sets them against ordinary ones. The library's trainer takes the segments that most of its samples hold; of toxic documents these are mostly
+ordinary text, and a dictionary of them tells little (see the README for figures). Here a segment (a run of bytes of a word with its blanks, of one of LENGTHS
+lengths) counts by how much more toxic documents hold it than as many ordinary ones would: it is taken if chance explains that at odds of less
+than EVIDENCE (a Poisson tail), whatever its language, and the best segments are put last, where the shortest offsets reach them. The toxic
+dictionary stands behind the ordinary one, so both know all ordinary text and only toxic segments make a difference.
+
+Each window of a text is compressed with the ordinary and with the toxic dictionary; it counts by the bytes that the toxic one saves, if these are SCREEN or
+more. A document's saving is the mean over its windows. A monotone map from it to the share of toxic documents gives the score: fitted by
+cross-validation, on what training documents save with dictionaries trained without them, for a share of toxic documents of PRIOR. EVIDENCE, SCREEN and
+PRIOR were chosen by cross-validation over training rows (of sf0.1) alone.
 
 Training reads labelled rows with crc32(doc_id as text) mod 3 other than 1, at most MOST of each label, those of smallest hash, whole. Everything
 else covers all rows and whole texts: the windows of a text cover it all.
@@ -22,7 +22,9 @@ ignored; an empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,20 +37,20 @@ from pyspark.sql import functions as F
 MOST = 1500
 #: Bytes of a window. Below 64 zstandard stores unmatched bytes as they are, so that what a match saves shows in whole bytes.
 WINDOW, OVERLAP = 60, 24
-#: Bytes of the common ordinary dictionary, of a share's dictionaries and of the screening pair's, and of the segments they are made of.
-BASE, SHARE, SCREENING, SEGMENT = 65_536, 16_384, 8192, 16
-#: Shares at most, and toxic documents a share should have.
-SHARES, A_SHARE = 20, 8
-#: The share of the pairs that may save less than what a window counts by, and the bytes the screening pair must save.
-QUARTER, SCREEN = 0.25, 2
+#: Bytes of the ordinary and, at most, of the toxic dictionary, and of the segments that the library's trainer takes.
+ORDINARY, TOXIC, SEGMENT = 65_536, 2048, 64
+#: Lengths of segments, toxic documents that must hold one, how many times as often as by chance, and the odds of chance.
+LENGTHS, LEAST, TIMES, EVIDENCE = (5, 6, 7, 8, 9, 10, 12), 4, 6, 1e-9
+#: The bytes a window must save to count.
+SCREEN = 2
 #: The share of toxic documents that scores are calibrated for, whatever it is among those trained on.
-PRIOR = 0.4
+PRIOR = 0.2
 _REPEATS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"  # the last of a dictionary's header: its three repeat offsets
 
 
 def _compressor(content: bytes):
     """compress() with the content of a dictionary before each window."""
-    p = zstandard.ZstdCompressionParameters.from_level(3, source_size=WINDOW, dict_size=len(content), strategy=zstandard.STRATEGY_GREEDY, min_match=5, search_log=3, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+    p = zstandard.ZstdCompressionParameters.from_level(3, source_size=WINDOW, dict_size=len(content), strategy=zstandard.STRATEGY_GREEDY, min_match=5, search_log=4, write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
     d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=p)
     return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
@@ -80,48 +82,56 @@ def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
     return made[made.index(_REPEATS) + len(_REPEATS) :] if _REPEATS in made else made
 
 
-Pair = tuple[bytes, bytes]
+def segments(text: str | None) -> set[bytes]:
+    """The segments of a text's words, each word in lower case with a blank on either side."""
+    out = set()
+    for w in set((text or "").lower().encode("utf-8", "surrogatepass").split()):
+        x = b" %b " % w
+        for n in LENGTHS:
+            out.update(x[i : i + n] for i in range(len(x) - n + 1))
+    return out
 
 
-def _pair(ordinary: list[bytes], toxic: list[bytes], size: int) -> Pair:
-    """An ordinary and a toxic dictionary of one length: the longer loses its head, where the trainer puts what is worth least."""
-    a, b = _dictionary(ordinary, size, SEGMENT), _dictionary(toxic, size, SEGMENT)
-    n = min(len(a), len(b))
-    return a[len(a) - n :], b[len(b) - n :]
+def _contrasted(ordinary: list[str], toxic: list[str]) -> bytes:
+    """The toxic dictionary: segments that toxic documents hold beyond chance, the best last, none within another."""
+    held = Counter(g for t in toxic for g in segments(t))
+    held = {g: n for g, n in held.items() if n >= LEAST}
+    others = Counter(g for t in ordinary for g in segments(t) if g in held)
+    found: dict[bytes, float] = {}
+    for g, n in held.items():
+        chance = len(toxic) * (others[g] + 0.5) / max(1, len(ordinary))
+        if n > TIMES * chance and (tail := n * math.log(chance) - chance - math.lgamma(n + 1)) < math.log(EVIDENCE):
+            found[g] = tail / math.log(10) - 0.5 * len(g)
+    chosen: list[bytes] = []
+    size = 0
+    for g in sorted(found, key=lambda g: (found[g], g)):
+        if size < TOXIC and not any(g in h or h in g for h in chosen):
+            chosen.append(g)
+            size += len(g)
+    return b"".join(reversed(chosen))
 
 
 class Model:
     """The dictionaries and the fitted map. Plain bytes and floats: it travels to the executors as it is."""
 
-    def __init__(self, base: bytes, screen: Pair, pairs: list[Pair]):
-        self.base, self.screen, self.pairs = base, screen, pairs
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.ordinary, self.toxic = ordinary, toxic
         self.edges: list[float] = []
         self.scores = [0.0]
 
-    def compressors(self) -> list[tuple]:
-        """(ordinary, toxic) functions: the screening pair's, then each share's."""
-        return [(_compressor(self.base + a), _compressor(self.base + b)) for a, b in [self.screen, *self.pairs]]
+    def compressors(self) -> tuple:
+        """The ordinary and the toxic function."""
+        return _compressor(self.ordinary), _compressor(self.ordinary + self.toxic)
 
     @staticmethod
-    def saved(text: str | None, pairs: list[tuple]) -> float:
-        """Bytes saved by the toxic dictionaries, on average over the text's windows."""
-        (plain, toxic), shares = pairs[0], pairs[1:]
-        fewer = int(QUARTER * len(shares))
+    def saved(text: str | None, pair: tuple) -> float:
+        """Bytes saved by the toxic dictionary, on average over the text's windows."""
+        plain, toxic = pair
         all_, total = windows(text), 0
         for w in all_:
-            if len(plain(w)) - len(toxic(w)) < SCREEN:
-                continue
-            found, low = [], 0
-            for a, b in shares:
-                d = len(a(w)) - len(b(w))
-                if d > 0:
-                    found.append(d)
-                else:
-                    low += 1
-                    if low > fewer:
-                        break
-            else:
-                total += sorted(found)[fewer - low]
+            d = len(plain(w)) - len(toxic(w))
+            if d >= SCREEN:
+                total += d
         return total / max(1, len(all_))
 
     def score(self, saved: float) -> float:
@@ -148,31 +158,27 @@ def _dealt(rows: list[tuple], parts: int, salt: str) -> list[list[tuple]]:
     return out
 
 
-def _learned(ordinary: list[tuple], toxic: list[tuple], shares: int) -> Model:
-    """ordinary, toxic: (doc_id, windows)."""
-    flat = lambda rows: [w for _, ws in rows for w in ws]
-    all_, marked = flat(ordinary), flat(toxic)
-    dealt = zip(_dealt(ordinary, shares, "share"), _dealt(toxic, shares, "share"), strict=True)
-    return Model(_dictionary(all_, BASE, 64), _pair(all_, marked, SCREENING), [_pair(flat(a), flat(b), SHARE) for a, b in dealt if a and b])
+def _learned(ordinary: list[tuple], toxic: list[tuple]) -> Model:
+    """ordinary, toxic: (doc_id, text)."""
+    return Model(_dictionary([w for _, t in ordinary for w in windows(t)], ORDINARY, SEGMENT), _contrasted([t for _, t in ordinary], [t for _, t in toxic]))
 
 
 def train(rows: list[tuple[int | None, str, int]], folds: int = 5) -> Model | None:
     """rows: (doc_id, text, toxic). The dictionaries are of all rows; the map is fitted on what each row saves with dictionaries trained without its fold."""
     have = [sum(r[2] == y for r in rows) for y in (0, 1)]
-    shares = max(1, min(SHARES, have[1] // A_SHARE))
     weight = [(1 - PRIOR) / max(1, have[0]), PRIOR / max(1, have[1])]
-    cut = {y: _dealt([(i, windows(t)) for i, t, z in rows if z == y], folds, "fold") for y in (0, 1)}
-    texts = _dealt(rows, folds, "fold")
+    cut = {y: _dealt([(i, t) for i, t, z in rows if z == y], folds, "fold") for y in (0, 1)}
     saved: list[float] = []
     label: list[float] = []
     for k in range(folds):
         rest = [[r for j in range(folds) if j != k for r in cut[y][j]] for y in (0, 1)]
         if not all(rest):
             return None
-        pairs = _learned(*rest, shares).compressors()
-        saved += [Model.saved(t, pairs) for _, t, _ in texts[k]]
-        label += [float(y) for _, _, y in texts[k]]
-    model = _learned(*([r for p in cut[y] for r in p] for y in (0, 1)), shares)
+        pair = _learned(*rest).compressors()
+        for y in (0, 1):
+            saved += [Model.saved(t, pair) for _, t in cut[y][k]]
+            label += [float(y)] * len(cut[y][k])
+    model = _learned(*([r for p in cut[y] for r in p] for y in (0, 1)))
     y = np.array(label)
     model.edges, model.scores = _isotonic(np.array(saved), y, np.where(y == 1, weight[1], weight[0]) * len(y))
     return model
@@ -199,9 +205,9 @@ def scored(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """(doc_id, saved, score) for each row of df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = model.compressors() if model else None
+        pair = model.compressors() if model else None
         for b in batches:
-            saved = [model.saved(t, pairs) if model else 0.0 for t in b.column(1).to_pylist()]
+            saved = [model.saved(t, pair) if model else 0.0 for t in b.column(1).to_pylist()]
             score = [model.score(s) if model else 0.0 for s in saved]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(saved, pa.float64()), pa.array(score, pa.float64())], names=["doc_id", "saved", "score"])
 
@@ -219,8 +225,8 @@ def kept(df: DataFrame, model: Model | None, threshold: float = 0.7, text: str =
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = model.compressors() if model else None
+        pair = model.compressors() if model else None
         for b in batches:
-            yield b.filter(pa.array([not model or model.score(model.saved(t, pairs)) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([not model or model.score(model.saved(t, pair)) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
