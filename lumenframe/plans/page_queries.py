@@ -77,11 +77,11 @@ def film_pages(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     r"""WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), edge AS (SELECT p_partkey AS a, (p_partkey * 2 + 1) % n AS b FROM part, n WHERE p_partkey % 17 <> 3 UNION SELECT p_partkey, (p_partkey * 31 + 11) % n FROM part, n WHERE p_partkey % 17 <> 3 UNION SELECT p_partkey, (p_partkey * 7 + p_size) % n FROM part, n WHERE p_size % 3 = 0 AND p_partkey % 17 <> 3),
-    reach AS (SELECT 5::BIGINT AS k, 0 AS depth UNION SELECT b, depth + 1 FROM reach JOIN edge ON a = k WHERE depth < 20), nearest AS (SELECT k, min(depth) AS depth FROM reach GROUP BY 1)
+    reach AS (SELECT p_partkey AS k, 0 AS depth FROM part WHERE p_partkey % 100 = 5 UNION SELECT b, depth + 1 FROM reach JOIN edge ON a = k WHERE depth < 20), nearest AS (SELECT k, min(depth) AS depth FROM reach GROUP BY 1)
     SELECT 'http://films.example/p/' || k AS url, depth::INT AS depth, CASE WHEN p_partkey IS NULL OR k % 17 = 3 THEN 'missing' WHEN p_size % 4 = 0 THEN 'empty' ELSE 'found' END AS status, CASE WHEN k % 17 <> 3 AND p_size % 4 > 0 THEN p_name END AS title FROM nearest LEFT JOIN part ON p_partkey = k"""
 )
 def crawled_pages(spark: SparkSession, d: str) -> DataFrame:
-    """A crawl from one page on over pages (a part each) that link to others beside them, from the root, in full and to places that are missing, to its end:
+    """A crawl from a few pages on over pages (a part each) that link to others beside them, from the root, in full and to places that are missing, to its end:
     every page that it reached, how far it is, and what it gave."""
     part = _t(spark, d, "part")
     n = part.count()
@@ -92,7 +92,7 @@ def crawled_pages(spark: SparkSession, d: str) -> DataFrame:
         F.when(s % 3 == 0, F.concat(F.lit('<a href="http://films.example/p/'), to(k * 7 + s), F.lit('">more</a>'))).otherwise(F.lit("")),
     )
     stored = part.where("p_partkey % 17 <> 3").select(F.concat(F.lit("http://films.example/p/"), k.cast("string")).alias("url"), markup.alias("html"))
-    seeds = spark.createDataFrame([("http://films.example/p/5",)], "url string")
+    seeds = part.where("p_partkey % 100 = 5").select(F.concat(F.lit("http://films.example/p/"), k.cast("string")).alias("url"))
     root = _root(spark, "crawl")
     parse = lambda h: F.transform(pages.element_texts(h, "h1", "t"), lambda x: F.struct(x.alias("title")))
     hrefs = lambda h: F.transform(pages.links(h), lambda l: l["href"])
