@@ -82,25 +82,34 @@ def _dictionary(samples: list[bytes], size: int, segment: int) -> bytes:
     return made[made.index(_REPEATS) + len(_REPEATS) :] if _REPEATS in made else made
 
 
-def segments(text: str | None) -> set[bytes]:
+def segments(text: str | None, lengths: tuple[int, ...] = LENGTHS) -> set[bytes]:
     """The segments of a text's words, each word in lower case with a blank on either side."""
     out = set()
     for w in set((text or "").lower().encode("utf-8", "surrogatepass").split()):
         x = b" %b " % w
-        for n in LENGTHS:
+        for n in lengths:
             out.update(x[i : i + n] for i in range(len(x) - n + 1))
     return out
 
 
-def _contrasted(ordinary: list[str], toxic: list[str]) -> bytes:
+def _counted(ordinary: list[list[str]], toxic: list[list[str]]) -> tuple[list[Counter], list[Counter]]:
+    """For each part of the ordinary and of the toxic texts, how many of its texts hold each segment that LEAST toxic texts hold; one length at a time, which bounds memory."""
+    counts = [Counter() for _ in ordinary], [Counter() for _ in toxic]
+    for n in LENGTHS:
+        all_ = Counter(g for part in toxic for t in part for g in segments(t, (n,)))
+        wanted = {g for g, k in all_.items() if k >= LEAST}
+        for side, parts in zip(counts, (ordinary, toxic), strict=True):
+            for count, part in zip(side, parts, strict=True):
+                count.update(g for t in part for g in segments(t, (n,)) if g in wanted)
+    return counts
+
+
+def _contrasted(others: Counter, held: Counter, n_ordinary: int, n_toxic: int) -> bytes:
     """The toxic dictionary: segments that toxic documents hold beyond chance, the best last, none within another."""
-    held = Counter(g for t in toxic for g in segments(t))
-    held = {g: n for g, n in held.items() if n >= LEAST}
-    others = Counter(g for t in ordinary for g in segments(t) if g in held)
     found: dict[bytes, float] = {}
     for g, n in held.items():
-        chance = len(toxic) * (others[g] + 0.5) / max(1, len(ordinary))
-        if n > TIMES * chance and (tail := n * math.log(chance) - chance - math.lgamma(n + 1)) < math.log(EVIDENCE):
+        chance = n_toxic * (others[g] + 0.5) / max(1, n_ordinary)
+        if n >= LEAST and n > TIMES * chance and (tail := n * math.log(chance) - chance - math.lgamma(n + 1)) < math.log(EVIDENCE):
             found[g] = tail / math.log(10) - 0.5 * len(g)
     chosen: list[bytes] = []
     size = 0
@@ -158,27 +167,31 @@ def _dealt(rows: list[tuple], parts: int, salt: str) -> list[list[tuple]]:
     return out
 
 
-def _learned(ordinary: list[tuple], toxic: list[tuple]) -> Model:
-    """ordinary, toxic: (doc_id, text)."""
-    return Model(_dictionary([w for _, t in ordinary for w in windows(t)], ORDINARY, SEGMENT), _contrasted([t for _, t in ordinary], [t for _, t in toxic]))
-
-
 def train(rows: list[tuple[int | None, str, int]], folds: int = 5) -> Model | None:
     """rows: (doc_id, text, toxic). The dictionaries are of all rows; the map is fitted on what each row saves with dictionaries trained without its fold."""
     have = [sum(r[2] == y for r in rows) for y in (0, 1)]
     weight = [(1 - PRIOR) / max(1, have[0]), PRIOR / max(1, have[1])]
-    cut = {y: _dealt([(i, t) for i, t, z in rows if z == y], folds, "fold") for y in (0, 1)}
+    cut = [[[t for _, t in part] for part in _dealt([(i, t) for i, t, z in rows if z == y], folds, "fold")] for y in (0, 1)]
+    counts = _counted(*cut)
+
+    def learned(left_out: int | None) -> Model | None:
+        ordinary, toxic = ([t for k, part in enumerate(cut[y]) if k != left_out for t in part] for y in (0, 1))
+        if not ordinary or not toxic:
+            return None
+        others, held = (sum((c for k, c in enumerate(counts[y]) if k != left_out), Counter()) for y in (0, 1))
+        return Model(_dictionary([w for t in ordinary for w in windows(t)], ORDINARY, SEGMENT), _contrasted(others, held, len(ordinary), len(toxic)))
+
     saved: list[float] = []
     label: list[float] = []
     for k in range(folds):
-        rest = [[r for j in range(folds) if j != k for r in cut[y][j]] for y in (0, 1)]
-        if not all(rest):
+        without = learned(k)
+        if without is None:
             return None
-        pair = _learned(*rest).compressors()
+        pair = without.compressors()
         for y in (0, 1):
-            saved += [Model.saved(t, pair) for _, t in cut[y][k]]
+            saved += [Model.saved(t, pair) for t in cut[y][k]]
             label += [float(y)] * len(cut[y][k])
-    model = _learned(*([r for p in cut[y] for r in p] for y in (0, 1)))
+    model = learned(None)
     y = np.array(label)
     model.edges, model.scores = _isotonic(np.array(saved), y, np.where(y == 1, weight[1], weight[0]) * len(y))
     return model
