@@ -181,3 +181,63 @@ def cascaded_delete(spark: SparkSession, d: str) -> DataFrame:
     tables = {n: _t(spark, d, n) for n in names}
     left = schema.deleted(tables, "region", tables["region"].where("r_regionkey = 2"), "r_regionkey", _CHAIN)
     return reduce(lambda a, b: a.unionByName(b), [left[n].agg(F.count("*").alias("n"), F.sum(F.col(k).cast("bigint")).alias("keys")).select(F.lit(n).alias("table"), "n", "keys") for n, k in names.items()])
+
+
+# --- schema versions ------------------------------------------------------------------------------------------------------------------------
+
+_HISTORY = [
+    (1, "customer", schema.rename_column("c_mktsegment", "segment")),
+    (2, "customer", schema.add_column("rating", "string")),
+    (3, "customer", schema.change_type("c_acctbal", "string", "double")),
+    (4, "customer", schema.drop_column("c_nationkey", "int")),
+]
+
+
+@query(
+    """SELECT c_custkey, c_mktsegment AS segment, CASE WHEN c_custkey % 3 = 1 THEN 'r' || c_nationkey WHEN c_custkey % 3 = 2 THEN 'new' END AS rating, CASE WHEN c_custkey % 3 = 2 THEN 'b' || c_nationkey END AS c_acctbal, 'newest' AS seen FROM customer
+    UNION ALL SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 3 = 1 THEN 'r' || c_nationkey WHEN c_custkey % 3 = 2 THEN 'new' END, CASE WHEN c_custkey % 3 <> 2 THEN floor(c_acctbal)::INT::VARCHAR END, 'second' FROM customer"""
+)
+def mixed_schema_versions(spark: SparkSession, d: str) -> DataFrame:
+    """A table whose rows were written under three schema versions, read as the newest one has it, and as the second had it: renamed columns keep their values, retyped ones lose them."""
+    root = f"{shared_folder(spark)}/settled/{spark.sparkContext.applicationId}/versions-{uuid.uuid4().hex}"
+    c, k = _t(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"), F.col("c_custkey") % 3
+    nation = F.col("c_nationkey").cast("string")
+    schema.append(spark, root, "customer", c.where(k == 0), 0, _HISTORY)
+    second = schema.migrated(c.where(k == 1), "customer", 0, 2, _HISTORY).withColumn("rating", F.concat(F.lit("r"), nation))
+    schema.append(spark, root, "customer", second, 2, _HISTORY)
+    third = c.where(k == 2).select("c_custkey", F.col("c_mktsegment").alias("segment"), F.lit("new").alias("rating"), F.concat(F.lit("b"), nation).alias("c_acctbal"))
+    schema.append(spark, root, "customer", third, None, _HISTORY)
+    columns = ["c_custkey", "segment", "rating", "c_acctbal"]
+    now = schema.stored(spark, root, "customer", None, _HISTORY).select(*columns, F.lit("newest").alias("seen"))
+    then = schema.stored(spark, root, "customer", 2, _HISTORY).withColumn("c_acctbal", F.floor("c_acctbal").cast("int").cast("string"))
+    return now.unionByName(then.select(*columns, F.lit("second").alias("seen")))
+
+
+# --- the other ingests ------------------------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH s AS (SELECT p_partkey, p_name, p_size, CASE WHEN p_size % 4 = 0 THEN NULL ELSE (p_partkey % 500)::VARCHAR END AS visa FROM part),
+    k AS (SELECT *, row_number() OVER (PARTITION BY visa ORDER BY 2000 + p_size % 20, 'T' || p_name) AS n FROM s WHERE visa IS NULL OR visa::INT >= 100)
+    SELECT upper('T' || p_name)[1] || lower(substr('T' || p_name, 2)) AS film, visa, CASE WHEN p_size * 100000 < 2000000 THEN 'Moins de 2 M€' WHEN p_size * 100000 < 5000000 THEN '2 à 5 M€' ELSE '5 à 10 M€' END AS bucket, p_size % 2 = 0 AS eof, CASE WHEN p_size % 3 = 0 THEN 'Belgique=30;France=70' ELSE 'France=50' END AS shares,
+    CASE WHEN p_size % 5 = 0 THEN 'Canal+;TF1' ELSE 'Arte' END AS paid_by FROM k WHERE visa IS NULL OR n = 1"""
+)
+def ingest_sheets(spark: SparkSession, d: str) -> DataFrame:
+    """Approval sheets (a part a row) taken into tables that hold a hundred visas, as one commit: the new films with their countries' shares and broadcasters."""
+    root = f"{shared_folder(spark)}/settled/{spark.sparkContext.applicationId}/films-{uuid.uuid4().hex}"
+    part, s = _t(spark, d, "part"), F.col("p_size")
+    t = {n: schema.create(spark, n) for n in schema.DDL}
+    t["films"] = t["films"].unionByName(spark.range(100).select(F.col("id").cast("int").alias("id"), F.lit("old").alias("original_name"), F.col("id").cast("string").alias("visa_number")), allowMissingColumns=True)
+    t["roles"] = spark.createDataFrame([(1, "paying_broadcaster", None, False, None), (2, "free_broadcaster", None, False, None)], "id int, name string, allocine_name string, is_key_role boolean, inclusive_name string")
+    U.commit(spark, root, t)
+    raw = part.select(
+        F.when(s % 4 > 0, (F.col("p_partkey") % 500).cast("string")).alias("visa_number"), F.upper(F.concat(F.lit("T"), "p_name")).alias("original_name"), (s * 100000).cast("string").alias("budget"), F.when(s % 2 == 0, " x ").otherwise("non").alias("eof"), (2000 + s % 20).cast("string").alias("cnc_agrement_year"),
+        F.when(s % 3 == 0, "FR-70 / BE-30 / XX").otherwise("FR-50").alias("film_country_budget_allocation_rates"), F.when(s % 5 == 0, "canal").alias("paying_broadcasters"), F.when(s % 5 == 0, "tf1").otherwise("arte").alias("free_broadcasters"),
+    )
+    I.run(spark, root, I.sheets, raw)
+    now = U.current(spark, root)
+    films = now["films"].where("original_name <> 'old'").select("id", F.col("original_name").alias("film"), F.col("visa_number").alias("visa"), F.col("budget_category").alias("bucket"), "eof")
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ";")
+    shares = now["film_country_budget_allocations"].join(now["countries"].select(F.col("id").alias("country_id"), "name"), "country_id").groupBy(F.col("film_id").alias("id")).agg(listed(F.concat("name", F.lit("="), F.col("budget_allocation").cast("int").cast("string"))).alias("shares"))
+    paid = now["film_credits"].join(now["credit_holders"].select(F.col("id").alias("credit_holder_id"), "legal_name"), "credit_holder_id").groupBy(F.col("film_id").alias("id")).agg(listed("legal_name").alias("paid_by"))
+    return films.join(shares, "id", "left").join(paid, "id", "left").drop("id")

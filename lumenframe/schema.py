@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Sequence
+from functools import reduce
 from graphlib import TopologicalSorter
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,25 +124,47 @@ def deleted(tables: dict[str, DataFrame], table: str, rows: DataFrame, key: str
 # --- versions ---------------------------------------------------------------------------------------------------------------------
 
 
-def add_column(name: str, kind: str) -> Callable[[DataFrame], DataFrame]:
+class Step(NamedTuple):
+    """A change of one table's columns, with the way there and the way back."""
+
+    up: Callable[[DataFrame], DataFrame]
+    down: Callable[[DataFrame], DataFrame]
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        return self.up(df)
+
+
+def _empty(name: str, kind: str) -> Callable[[DataFrame], DataFrame]:
     return lambda df: df.withColumn(name, F.lit(None).cast(kind))
 
 
-def drop_column(name: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: df.drop(name)
+def add_column(name: str, kind: str) -> Step:
+    """The column is there, without values; back, it is gone."""
+    return Step(_empty(name, kind), lambda df: df.drop(name))
+
 
+def drop_column(name: str, kind: str = "string") -> Step:
+    """The column is gone; back, it is there without values."""
+    return Step(lambda df: df.drop(name), _empty(name, kind))
 
-def change_type(name: str, kind: str) -> Callable[[DataFrame], DataFrame]:
-    """The column is dropped and added anew: its values are lost."""
-    return lambda df: df.drop(name).withColumn(name, F.lit(None).cast(kind))
 
+def change_type(name: str, kind: str, before: str = "string") -> Step:
+    """The column is dropped and added anew, either way: its values are lost."""
+    return Step(lambda df: _empty(name, kind)(df.drop(name)), lambda df: _empty(name, before)(df.drop(name)))
 
+
+def rename_column(name: str, to: str) -> Step:
+    """The column keeps its values under another name, either way."""
+    return Step(lambda df: df.withColumnRenamed(name, to), lambda df: df.withColumnRenamed(to, name))
+
+
+History = Sequence[tuple[int, str, Step]]
 #: (version, table, step), in order.
-VERSIONS: list[tuple[int, str, Callable[[DataFrame], DataFrame]]] = [
+VERSIONS: list[tuple[int, str, Step]] = [
     (1, "roles", add_column("allocine_name", "string")),
     (2, "roles", add_column("inclusive_name", "string")),
     (3, "films", change_type("cnc_agrement_year", "int")),
-    (4, "films", change_type("asr", "string")),
+    (4, "films", change_type("asr", "string", "boolean")),
     (5, "films", drop_column("first_language")),
     (6, "films", add_column("budget_category", "string")),
     (7, "films", add_column("genre_categories", "string")),
@@ -148,10 +173,40 @@ VERSIONS: list[tuple[int, str, Callable[[DataFrame], DataFrame]]] = [
 ]
 
 
-def migrate(tables: dict[str, DataFrame], since: int = 0) -> dict[str, DataFrame]:
-    """The tables brought from version `since` to the newest."""
-    out = dict(tables)
-    for version, table, step in VERSIONS:
-        if version > since and table in out:
-            out[table] = step(out[table])
-    return out
+def newest(history: History = VERSIONS) -> int:
+    return max((v for v, _, _ in history), default=0)
+
+
+def migrated(df: DataFrame, table: str, since: int, to: int | None = None, history: History = VERSIONS) -> DataFrame:
+    """One table brought from a version to another, forth or back."""
+    to = newest(history) if to is None else to
+    steps = [(v, s) for v, t, s in history if t == table]
+    for v, step in steps:
+        if since < v <= to:
+            df = step.up(df)
+    for v, step in reversed(steps):
+        if to < v <= since:
+            df = step.down(df)
+    return df
+
+
+def migrate(tables: dict[str, DataFrame], since: int = 0, to: int | None = None, history: History = VERSIONS) -> dict[str, DataFrame]:
+    """The tables brought from version `since` to the newest, or to another one."""
+    return {name: migrated(df, name, since, to, history) for name, df in tables.items()}
+
+
+def append(spark: SparkSession, root: str, table: str, df: DataFrame, version: int | None = None, history: History = VERSIONS) -> int:
+    """Adds rows to a stored table, as files of the schema version that they have; nothing that is there is written again. Returns the commit's version."""
+    from lumenframe.operators.upsert import commit
+
+    return commit(spark, root, {f"{table}@{newest(history) if version is None else version}.{uuid.uuid4().hex}": df})
+
+
+def stored(spark: SparkSession, root: str, table: str, to: int | None = None, history: History = VERSIONS) -> DataFrame:
+    """A stored table as the newest schema version has it, or another one: each file set is brought there from its own version as it is read."""
+    from lumenframe.operators.upsert import current
+
+    found = [migrated(df, table, int(name.split("@")[1].split(".")[0]), to, history) for name, df in sorted(current(spark, root).items()) if name.split("@")[0] == table]
+    if not found:
+        raise ValueError(f"no table {table} under {root}")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)

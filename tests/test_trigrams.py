@@ -174,3 +174,18 @@ def test_cascades(spark):
     assert all(order.index(p) < order.index(ch) for ch, _, p in S.FOREIGN_KEYS)
     with pytest.raises(KeyError):
         S.truncated({"a": a}, ["nope"], refs)
+
+
+def test_schema_versions_on_read(spark, tmp_path):
+    root = f"file://{tmp_path}/v"
+    history = [(1, "t", S.add_column("a", "string")), (2, "t", S.rename_column("n", "m")), (3, "t", S.drop_column("old", "int")), (3, "u", S.add_column("z", "int"))]
+    S.append(spark, root, "t", spark.createDataFrame([(1, 5)], "n int, old int"), 0, history)
+    S.append(spark, root, "t", spark.createDataFrame([(2, 6, "x")], "m int, old int, a string"), 2, history)
+    S.append(spark, root, "t", spark.createDataFrame([(3, "y")], "m int, a string"), history=history)
+    read = lambda to, *c: sorted(tuple(r) for r in S.stored(spark, root, "t", to, history).select(*c).collect())
+    assert read(None, "m", "a") == sorted([(1, None), (2, "x"), (3, "y")]) and set(S.stored(spark, root, "t", None, history).columns) == {"m", "a"}
+    assert {(r["n"], r["old"]) for r in S.stored(spark, root, "t", 0, history).collect()} == {(1, 5), (2, 6), (3, None)}
+    with pytest.raises(ValueError):
+        S.stored(spark, root, "u", None, history)
+    films = S.create(spark, "films")
+    assert set(S.migrated(S.migrated(films, "films", 9, 0), "films", 0).columns) == set(films.columns)
