@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenframe.fixed import COUNTRIES
+from lumenframe.functions.text import capitalize
+
 
 def percent(part: Column, whole: Column) -> Column:
     """round(part / whole * 100) of two counts, null where whole is 0."""
@@ -62,3 +65,18 @@ def mode_first_seen(df: DataFrame, key: list[str], column: str, position: str) -
     """(key, column): the commonest value of each key; of several the one seen first."""
     counted = df.groupBy(*key, column).agg(F.count("*").alias("__n"), F.min(position).alias("__at"))
     return counted.groupBy(*key).agg(F.min_by(column, F.struct(-F.col("__n"), F.col("__at"))).alias(column))
+
+
+def allocation_rows(df: DataFrame, key: str, cell: str) -> DataFrame:
+    """A row (key, country, rate) per country of each cell of shares, by the rules of `parse.allocations`; cells without shares have no row.
+
+    Spellings are met by a join with their list, so that no row goes through it; `key` must tell the rows of df apart (of two rows with one key the shares run together).
+    Rows go to their key once and both groupings use that. Null keys keep to themselves as one key.
+    """
+    listed = df.sparkSession.createDataFrame(list(COUNTRIES.items()), "__spelling string, __country string")
+    parts = df.select(key, F.posexplode(F.split(F.trim(cell), r"\s*/\s*")).alias("__at", "__part")).where(F.contains("__part", F.lit("-")))
+    rate = F.substring_index("__part", "-", -1)
+    split = parts.select(key, "__at", F.trim(F.substring("__part", F.lit(1), F.length("__part") - F.length(rate) - 1)).alias("__code"), F.nullif(F.trim(rate), F.lit("")).try_cast("int").alias("rate"))
+    known = split.where("rate is not null").join(F.broadcast(listed), F.lower("__code") == F.col("__spelling"), "left")
+    named = known.select(key, F.coalesce("__country", capitalize(F.col("__code"))).alias("country"), "__at", "rate")
+    return named.repartition(key).groupBy(key, "country").agg(F.max_by("rate", "__at").alias("rate"))

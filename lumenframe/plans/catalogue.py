@@ -330,10 +330,10 @@ def map_alloc_french(spark: SparkSession, d: str) -> DataFrame:
     o = F.col("o_orderkey")
     last = F.when(o % 2 == 0, F.lit("nation_0-40")).otherwise(F.lit("nation_0-x"))
     cell = F.concat_ws(" / ", F.concat(F.lit("Nation_"), F.col("o_custkey") % 5, F.lit("-"), o % 60), F.concat(F.lit("nation_"), F.col("o_custkey") % 3, F.lit(" - 40")), F.lit("broken"), last)
-    listed = lambda m: F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(F.upper(e["key"]), F.lit("="), e["value"])), ";")
-    home = lambda m: F.coalesce(F.try_element_at(m, F.lit("Nation_0")), F.lit(0)) == F.array_max(F.map_values(m))
-    found = P.let(P.allocations(cell), lambda m: F.struct(listed(m).alias("shares"), home(m).alias("is_home_financed")))
-    return _t(spark, d, "orders").select("o_orderkey", found.alias("f")).select("o_orderkey", "f.*")
+    shares = M.allocation_rows(_t(spark, d, "orders").select("o_orderkey", cell.alias("cell")), "o_orderkey", "cell")
+    listed = F.array_join(F.array_sort(F.collect_list(F.concat(F.upper("country"), F.lit("="), "rate"))), ";")
+    home = F.coalesce(F.max(F.when(F.col("country") == "Nation_0", F.col("rate"))), F.lit(0)) == F.max("rate")
+    return shares.groupBy("o_orderkey").agg(listed.alias("shares"), home.alias("is_home_financed"))
 
 
 @query(

@@ -74,14 +74,6 @@ def sheets(frames: Mapping[str, DataFrame]) -> DataFrame:
     return joined.withColumnsRenamed({a: b for a, b in SHEET_COLUMNS.items() if a in joined.columns})
 
 
-def workbook(spark: SparkSession, path: str, skip: int = 4) -> DataFrame:
-    """The sheets of an approval workbook but the first; needs a reader for such files on the driver."""
-    import pandas as pd
-
-    found = pd.read_excel(path, sheet_name=None, skiprows=skip, dtype=str)
-    return sheets({n: spark.createDataFrame(f.astype("object").where(f.notna(), None), ", ".join(f"`{c}` string" for c in f.columns)) for n, f in list(found.items())[1:]})
-
-
 def normalized_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip().lower().replace(" ", "_") for c in df.columns])
 

@@ -140,3 +140,17 @@ def test_crawl(spark):
     details = spark.createDataFrame([(5, "1", "d1"), (6, "9", "d2")], "allocine_id bigint, allocine_visa_number string, release_date string")
     matches = spark.createDataFrame([("1", "5"), ("2", "6"), ("3", "Not found")], "visa_number string, allocine_id string")
     assert {(r["visa_number"], r["release_date"]) for r in I.enrich_matches(matches, details).collect()} == {("1", "d1"), ("2", None), ("3", None)}
+
+
+def test_allocation_rows_agree_with_the_cells_own_maps(spark):
+    from lumenframe.functions import parse as P
+    from lumenframe.operators import metrics as M
+
+    cells = ["FR-60 / BE-40", "fr-10/FR-20", "NC-1", "x", "", None, "Pays-Bas - 5/ -7", "Syldavie-3 / syldavie-x", "FR-1.5", "FR-"]
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cells)], "k int, cell string")
+    got = {}
+    for r in M.allocation_rows(df, "k", "cell").collect():
+        got.setdefault(r["k"], {})[r["country"]] = r["rate"]
+    want = {r["k"]: r["m"] for r in df.select("k", P.allocations(F.col("cell")).alias("m")).collect() if r["m"]}
+    assert got == want
+    assert M.allocation_rows(df.limit(0), "k", "cell").count() == 0
