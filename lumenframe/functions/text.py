@@ -79,6 +79,11 @@ def trigrams(s: Column) -> Column:
     return F.when(s.rlike(r"[\x{10000}-\x{10FFFF}]"), _trigrams_by_word(s)).otherwise(runs)
 
 
+def words_only(s: Column) -> Column:
+    """The runs of letters and digits, in lower case, with one blank between: texts that differ in nothing else have the same trigrams."""
+    return F.trim(F.regexp_replace(F.lower(s), r"[^\p{L}\p{N}]+", " "))
+
+
 def _trigrams_by_word(s: Column) -> Column:
     ws = F.filter(F.split(F.lower(s), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     of = lambda w: let(F.concat(F.lit("  "), w, F.lit(" ")), lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: p.substr(i, F.lit(3))))

@@ -7,11 +7,12 @@ the results are those of comparing all.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.functions.text import first_name, last_name, similarity, trigrams, unaccent
+from lumenframe.functions.text import first_name, last_name, let, trigrams, unaccent, words_only
 from lumenframe.operators.settle import settled
+from lumenframe.operators.upsert import with_ids
 
 
 def least_shared(n: Column, threshold: float) -> Column:
@@ -24,24 +25,29 @@ def exceeding(score: Column, threshold: float) -> Column:
     return F.explode(F.filter(F.array(score), lambda s: s > threshold))
 
 
-def _prefixes(texts: DataFrame, counts: DataFrame, by: list[str], threshold: float) -> DataFrame:
-    """(by, text, n, gram): of each text those trigrams, rarest first, of which one must be shared."""
-    grams = texts.select(*by, "text", F.explode(trigrams(F.col("text"))).alias("gram")).join(counts, "gram")
-    ordered = grams.groupBy(*by, "text").agg(F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("g"))  # the trigrams of one text
+def _ordered(texts: DataFrame, ranks: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """(by, text, n, g, gram): of each text its trigrams' ranks, rarest first, and a row for each of those of which one must be shared."""
+    ranked = texts.select(*by, "text", F.explode(trigrams(F.col("text"))).alias("gram")).join(ranks, "gram")
+    ordered = ranked.groupBy(*by, "text").agg(F.sort_array(F.collect_list("rank")).alias("g"))  # the trigrams of one text
     n = F.size("g")
-    return ordered.select(*by, "text", n.alias("n"), F.explode(F.slice("g", F.lit(1), n - least_shared(n, threshold) + 1)).alias("e")).select(*by, "text", "n", F.col("e.gram").alias("gram"))
+    return ordered.select(*by, "text", n.alias("n"), "g", F.explode(F.slice("g", F.lit(1), n - least_shared(n, threshold) + 1)).alias("gram"))
 
 
 def similar_pairs(a: DataFrame, b: DataFrame, by: list[str], threshold: float) -> DataFrame:
-    """Distinct (by, text) of a and of b -> (by, a, b, score) of the pairs within `by` whose similarity exceeds the threshold. Null `by` meets nothing."""
+    """Distinct (by, text) of a and of b -> (by, a, b, score) of the pairs within `by` whose similarity exceeds the threshold. Null `by` meets nothing.
+
+    A pair that meets on several trigrams counts on the rarest it shares, and is compared where it meets, so pairs that are not similar are never stored or sent.
+    """
     a, b = (df.select(*by, "text").where("text is not null").distinct() for df in (a, b))
     grams = lambda df: df.select(F.explode(trigrams(F.col("text"))).alias("gram"))
     counts = settled(grams(a).unionByName(grams(b)).groupBy("gram").agg(F.count("*").alias("times")))
-    left = _prefixes(a, counts, by, threshold).withColumnsRenamed({"text": "a", "n": "n_a"})
-    right = _prefixes(b, counts, by, threshold).withColumnsRenamed({"text": "b", "n": "n_b"})
+    ranks = settled(with_ids(counts, counts.select(F.lit(0).alias("rank")).limit(0), ["times", "gram"], "rank").select("gram", "rank"))
+    left = _ordered(a, ranks, by, threshold).withColumnsRenamed({"text": "a", "n": "n_a", "g": "g_a"})
+    right = _ordered(b, ranks, by, threshold).withColumnsRenamed({"text": "b", "n": "n_b", "g": "g_b"})
     fits = (F.col("n_b") >= least_shared(F.col("n_a"), threshold)) & (F.col("n_a") >= least_shared(F.col("n_b"), threshold))
-    met = left.join(right, [*by, "gram"]).where(fits).select(*by, "a", "b").distinct()
-    return met.select("*", exceeding(similarity(F.col("a"), F.col("b")), threshold).alias("score"))
+    # ranks ascend, so the first shared one is the rarest
+    score = let(F.array_intersect("g_a", "g_b"), lambda c: F.when(F.get(c, F.lit(0)) == F.col("gram"), F.size(c) / (F.col("n_a") + F.col("n_b") - F.size(c))))
+    return left.join(right, [*by, "gram"]).where(fits).select(*by, "a", "b", exceeding(score, threshold).alias("score"))
 
 
 def best_matches(wanted: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
@@ -81,8 +87,10 @@ def arrivals(rows: DataFrame, films: DataFrame, directors: DataFrame, threshold:
     """
     key = lambda c: unaccent(F.lower(c))
     by = ["__first", "__last"]
-    wanted = settled(rows.select("row_id", key(first_name(F.col("director"))).alias("__first"), key(last_name(F.col("director"))).alias("__last"), key(F.col("title")).alias("text")))
-    known = directors.select("film_id", key(F.col("first_name")).alias("__first"), key(F.col("last_name")).alias("__last")).join(films.select(F.col("id").alias("film_id"), key(F.col("original_name")).alias("text")), "film_id").distinct()
+    title = lambda c: words_only(key(F.col(c))).alias("text")
+    wanted = settled(rows.select("row_id", key(first_name(F.col("director"))).alias("__first"), key(last_name(F.col("director"))).alias("__last"), title("title")))
+    known = directors.select("film_id", key(F.col("first_name")).alias("__first"), key(F.col("last_name")).alias("__last")).join(films.select(F.col("id").alias("film_id"), title("original_name")), "film_id")
+    known = settled(known.where("text is not null").groupBy(*by, "text").agg(F.min("film_id").alias("film_id")))  # of one title the least id wins
     usable = wanted.where(F.size(trigrams(F.col("text"))) > 0).where("__first is not null and __last is not null")
     titles = settled(usable.groupBy(*by, "text").agg(F.min("row_id").alias("node")))
 
@@ -96,11 +104,13 @@ def arrivals(rows: DataFrame, films: DataFrame, directors: DataFrame, threshold:
     edges = alike.where("a <> b").join(first, [*by, "a"]).join(second, [*by, "b"]).where("earlier < later")
     made = settled(founders(fresh.select("node"), edges))
 
-    # every row against the films that are there when it comes
+    # every row against the films that are there when it comes: of a title's films, in order of their founders, only those that are more similar than all before count
     new = alike.join(titles.select(*by, F.col("text").alias("b"), F.col("node").alias("founder")).join(made.withColumnRenamed("node", "founder"), "founder"), [*by, "b"]).select(*by, F.col("a").alias("text"), "founder", "score")
-    there = usable.join(new, [*by, "text"]).where("founder < row_id")
-    met = there.groupBy("row_id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("founder").alias("id"))).alias("new"))
-    found = usable.join(given.withColumnRenamed("a", "text"), [*by, "text"], "left").join(met, "row_id", "left").select("row_id", "given", "new")
+    before = F.max("score").over(Window.partitionBy(*by, "text").orderBy("founder").rowsBetween(Window.unboundedPreceding, -1))
+    better = new.withColumn("__before", before).where("__before is null or score > __before")
+    steps = better.groupBy(*by, "text").agg(F.sort_array(F.collect_list(F.struct(F.col("founder").alias("id"), F.col("score").alias("s")))).alias("steps"))
+    last = F.try_element_at(F.filter("steps", lambda x: x["id"] < F.col("row_id")), F.lit(-1))
+    found = usable.join(given.withColumnRenamed("a", "text"), [*by, "text"], "left").join(steps, [*by, "text"], "left").select("row_id", "given", F.struct((-last["s"]).alias("s"), last["id"].alias("id")).alias("new"))
     out = rows.join(found, "row_id", "left")
     # the given one wins ties
     takes = F.coalesce(F.col("given.s") <= F.col("new.s"), F.col("given").isNotNull())

@@ -47,6 +47,13 @@ def test_similar_pairs_lose_none(spark, threshold):
     assert len(got) == len({g[:3] for g in got})
 
 
+def test_pairs_are_compared_where_they_meet(spark):
+    """Pairs that are not similar must not be sent on: nothing is exchanged above the join."""
+    df = spark.createDataFrame([(i % 2, f"night {i} foxes") for i in range(50)], "k int, text string")
+    plan = G.similar_pairs(df, df, ["k"], 0.8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Aggregate" not in plan.partition("Join")[0]
+
+
 def one_by_one(rows, films, threshold=0.8):
     """What going through the rows in order gives."""
     there, out = {k: [(i, None, t) for i, d, t in films if d == k] for k in {d for _, _, d in rows} | {d for _, d, _ in films}}, {}
@@ -90,6 +97,15 @@ def test_two_similar_new_titles_become_one_film(spark):
         assert [r["date"].year for r in out["award_nominations"].collect()] == [2022] and S.violations(out).count() == 0
 
 
+def test_rows_meet_only_films_that_are_more_similar_than_earlier_ones(spark):
+    """Of a title's films each row takes the best founded before it; many rows of one title, with marks of their own, found one film."""
+    titles = ["the long night of foxes returns", "the long night of foxes returns again", "the long night of foxes returns at last", "the long night of foxes, returns!"]
+    rows = [(i, titles[i * 7 % 4], "Agnès Varda") for i in range(40)]
+    df = spark.createDataFrame(rows, "row_id long, title string, director string")
+    found = G.arrivals(df, spark.createDataFrame([], "id long, original_name string"), spark.createDataFrame([], "film_id long, first_name string, last_name string"))
+    assert {r["row_id"]: (r["film_id"], r["founder"]) for r in found.collect()} == one_by_one([(i, t, "d") for i, t, _ in rows], [])
+
+
 def test_index_equals_the_scan(spark, tmp_path):
     root = f"file://{tmp_path}/i"
     held = {i: n for i, n in enumerate(names(150)) if n is not None}
