@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.functions.names import jaro_winkler, levenshtein_share, sorted_name
-from lumenframe.functions.text import first_name, last_name, similarity, unaccent
+from lumenframe.functions.text import first_name, last_name, unaccent, words_only
+from lumenframe.operators.settle import settled
+from lumenframe.operators.trigrams import similar_pairs
 
 
 def _close_pairs(a: DataFrame, b: DataFrame, share: float) -> DataFrame:
@@ -66,14 +68,19 @@ def best_film(rows: DataFrame, films: DataFrame, directors: DataFrame, threshold
     """rows (row_id, title, director) with the film_id of the most similar title among the director's films, null if none exceeds the threshold.
 
     directors: (film_id, first_name, last_name). The searched name is split at white space; its first and last token, without case and accents, must equal
-    the director's first and last name. They are the equi-join key, so titles are compared only within a director. A director without a last name is
+    the director's first and last name. They are the equi-join key, so titles are compared only within a director, each distinct one once. A director without a last name is
     met by a name of one token only where theirs is empty, not null.
     """
     key = lambda c: unaccent(F.lower(c))
-    known = directors.select("film_id", key(F.col("first_name")).alias("__first"), key(F.col("last_name")).alias("__last")).join(films.select(F.col("id").alias("film_id"), "original_name"), "film_id")
-    wanted = rows.withColumns({"__first": key(first_name(F.col("director"))), "__last": key(last_name(F.col("director")))})
-    scored = wanted.join(known, ["__first", "__last"]).withColumn("score", similarity(unaccent("original_name"), unaccent("title"))).where(F.col("score") > threshold)
-    best = scored.groupBy("row_id").agg(F.min_by("film_id", F.struct(-F.col("score"), F.col("film_id"))).alias("film_id"), F.max("score").alias("score"))
+    by = ["__first", "__last"]
+    title = lambda c: words_only(unaccent(F.col(c))).alias("text")
+    known = directors.select("film_id", key(F.col("first_name")).alias("__first"), key(F.col("last_name")).alias("__last")).join(films.select(F.col("id").alias("film_id"), title("original_name")), "film_id")
+    known = settled(known.where("text is not null").groupBy(*by, "text").agg(F.min("film_id").alias("film_id")))  # of one title the least id wins
+    wanted = settled(rows.select("row_id", key(first_name(F.col("director"))).alias("__first"), key(last_name(F.col("director"))).alias("__last"), title("title")))
+    least = lambda: F.min(F.struct((-F.col("score")).alias("s"), "film_id")).alias("m")
+    scored = similar_pairs(wanted, known, by, threshold).join(known.withColumnRenamed("text", "b"), [*by, "b"]).groupBy(*by, F.col("a").alias("text")).agg(least())
+    met = wanted.join(scored.select(*by, "text", "m.film_id", (-F.col("m.s")).alias("score")), [*by, "text"])
+    best = met.groupBy("row_id").agg(least()).select("row_id", "m.film_id", (-F.col("m.s")).alias("score"))
     return rows.join(best, "row_id", "left")
 
 

@@ -65,6 +65,17 @@ def test_best_film_needs_the_director_and_a_strict_threshold(spark):
     assert [(r["row_id"], r["film_id"]) for r in R.best_film(wanted, films, directors).orderBy("row_id").collect()] == [(1, 1), (2, None), (3, 3), (4, 1)]
 
 
+def test_best_film_compares_each_title_of_a_director_once(spark, monkeypatch):
+    compared = []
+    own = R.similar_pairs
+    monkeypatch.setattr(R, "similar_pairs", lambda a, b, by, t: compared.append((a.select(*by, "text").distinct().count(), b.count())) or own(a, b, by, t))
+    films = spark.createDataFrame([(i, "Long Night" + "!" * (i % 3)) for i in range(2, 60)], "id int, original_name string")
+    directors = films.select(F.col("id").alias("film_id"), F.lit("Éva").alias("first_name"), F.lit("Noir").alias("last_name"))
+    rows = spark.createDataFrame([(i, "the long night" if i % 2 else "LONG, night", "eva B. noir") for i in range(50)], "row_id int, title string, director string")
+    got = R.best_film(rows, films, directors, 0.6).collect()
+    assert compared == [(2, 1)] and {(r["film_id"], r["row_id"] % 2, round(r["score"], 6)) for r in got} == {(2, 0, 1.0), (2, 1, round(11 / 15, 6))} and len(got) == 50
+
+
 def test_find_or_create_gives_gapless_ids_and_matches_nulls(spark):
     old = spark.createDataFrame([(4, "a", None)], "id int, n string, m string")
     new = spark.createDataFrame([("a", None), ("b", None), ("b", None), ("a", "x")], "n string, m string")
