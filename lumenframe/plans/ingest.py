@@ -44,7 +44,7 @@ def clean_sheets(raw: DataFrame) -> DataFrame:
     """Typed columns from the text cells of approval sheets."""
     c = lambda n: F.col(n) if n in raw.columns else F.lit(None).cast("string")
     return raw.select(
-        P.visa(c("visa_number")).alias("visa_number"), clean_title(c("original_name")).alias("original_name"), P.slash_list(c("directors_names")).alias("directors"), P.slash_list(c("producers_names")).alias("producers"),
+        *[F.col(n).cast("long").alias(n) for n in ("row_id",) if n in raw.columns], P.visa(c("visa_number")).alias("visa_number"), clean_title(c("original_name")).alias("original_name"), P.slash_list(c("directors_names")).alias("directors"), P.slash_list(c("producers_names")).alias("producers"),
         P.number(c("budget")).alias("budget"), c("cnc_agrement_year").try_cast("int").alias("cnc_agrement_year"), P.rank(c("cnc_rank")).alias("cnc_rank"),
         F.replace(F.coalesce(c("asr"), F.lit("")), F.lit("apres"), F.lit("après")).alias("asr"),
         *[P.flag(c(x)).alias(x) for x in ("parity_bonus", "sofica_funding", "tax_credit", "regional_funding", "eof")],
@@ -99,11 +99,13 @@ def add_credits(t: Tables, rows: DataFrame, genders: DataFrame | None = None, kn
 
 
 def sheets(t: Tables, raw: DataFrame, known_roles: DataFrame | None = None) -> tuple[Tables, DataFrame]:
-    """Films that the tables lack, with their countries, allocations and broadcasters. A film without a visa is always new."""
+    """Films that the tables lack, with their countries, allocations and broadcasters. A film without a visa is always new. Of several rows of a visa the first by
+    year and title counts; of those that are equal in both the first by row_id, or, without it, by the other columns."""
     clean = clean_sheets(raw)
+    order = ["cnc_agrement_year", "original_name", *(["row_id"] if "row_id" in raw.columns else [F.array_sort(F.map_entries(n)) if n == "allocations" else n for n in clean.columns if n not in ("cnc_agrement_year", "original_name", "visa_number")])]
     fresh = clean.join(t["films"].select("visa_number").where("visa_number is not null").distinct(), "visa_number", "left_anti")
-    numbered = fresh.where("visa_number is null").withColumn("__n", F.lit(1)).unionByName(fresh.where("visa_number is not null").withColumn("__n", F.row_number().over(Window.partitionBy("visa_number").orderBy("cnc_agrement_year", "original_name")))).where("__n = 1").drop("__n")
-    films = settled(U.with_ids(numbered, t["films"], ["cnc_agrement_year", "visa_number", "original_name"]))
+    numbered = fresh.where("visa_number is null").withColumn("__n", F.lit(1)).unionByName(fresh.where("visa_number is not null").withColumn("__n", F.row_number().over(Window.partitionBy("visa_number").orderBy(*order)))).where("__n = 1").drop("__n")
+    films = settled(U.with_ids(numbered, t["films"], ["cnc_agrement_year", "visa_number", *order[1:]]).drop("row_id"))
     out = dict(t)
     out["films"] = t["films"].unionByName(films.drop("allocations", "paying", "free", "directors", "producers"), allowMissingColumns=True)
     shares = films.select(F.col("id").alias("film_id"), F.explode("allocations").alias("name", "budget_allocation"))

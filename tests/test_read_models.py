@@ -154,3 +154,13 @@ def test_allocation_rows_agree_with_the_cells_own_maps(spark):
     want = {r["k"]: r["m"] for r in df.select("k", P.allocations(F.col("cell")).alias("m")).collect() if r["m"]}
     assert got == want
     assert M.allocation_rows(df.limit(0), "k", "cell").count() == 0
+
+
+def test_sheets_of_a_visa_that_are_equal_in_year_and_title(spark, tables):
+    """The first by row_id counts, or, without it, by the other columns, however the rows lie."""
+    rows = [(row, "77001", "NUIT", "2003", budget) for row, budget in enumerate(["400", "300", "900", "200", "800"])]
+    for order in (rows, rows[::-1]):
+        raw = spark.createDataFrame(order, "row_id long, visa_number string, original_name string, cnc_agrement_year string, budget string").repartition(3)
+        for given, want in ((raw, 400.0), (raw.drop("row_id"), 200.0)):
+            out, _ = I.sheets(tables, given)
+            assert [r["budget"] for r in out["films"].where("visa_number = '77001'").collect()] == [want]
