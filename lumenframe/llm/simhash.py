@@ -13,7 +13,7 @@
 6. Components of the links by alternating large-star and small-star rounds on tables in the shared folder. Centres with more than an even share of
    the links are joined by broadcast (there are few of them), so none of them fills a task.
 
-`deduplicate` takes loose groups of texts and settles each of them by the Jaccard likeness of whole sets of 5-word shingles.
+`deduplicate` takes loose groups of texts, linked by fingerprints and by bands, and settles each of them by the Jaccard likeness of whole sets of 5-word shingles.
 
 Defined cases: a null, empty or blank text has fingerprint 0 and is linked like any other; a text with fewer words than a shingle is
 hashed whole; equal texts and rows with equal ids are all returned; a null doc_id orders before all others and its component is null only
@@ -30,6 +30,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -103,16 +104,18 @@ def bands_of(hashes: np.ndarray) -> np.ndarray:
 
 
 def banded(df: DataFrame, text: str = "text") -> DataFrame:
-    """(id, copy, bands): the key of the doc_id, a digest of the text, and the bands of its 5-word shingles."""
+    """(id, copy, fp, bands): the key of the doc_id, a digest of the text, its fingerprint (null without words), and the bands of its 5-word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).to_pylist()
             copy = pa.array([hashlib.md5((t or "").encode("utf-8", "surrogatepass")).digest() for t in texts], pa.binary())
             bands = pa.array([bands_of(shingle_hashes(t)) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_pydict({"id": b.column(0), "copy": copy, "bands": bands})
+            fp = np.fromiter((fingerprint_of(t) for t in texts), dtype=np.uint64, count=len(texts)).view(np.int64)
+            fp = pa.array(fp, mask=np.fromiter((not n for n in pc.list_value_length(bands).to_pylist()), dtype=bool, count=len(texts)))
+            yield pa.RecordBatch.from_pydict({"id": b.column(0), "copy": copy, "fp": fp, "bands": bands})
 
-    return df.select(id_key().alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, copy binary, bands array<bigint>")
+    return df.select(id_key().alias("id"), F.col(text).alias("text")).mapInArrow(run, "id bigint, copy binary, fp bigint, bands array<bigint>")
 
 
 def with_least(rows: DataFrame, key: str, value: str, share: int) -> DataFrame:
@@ -136,6 +139,14 @@ def band_links(reps: DataFrame) -> DataFrame:
     return with_least(sent, "band", "key", even_share(reps.sparkSession, sent.count())).where("key > m").select(F.col("m").alias("a"), F.col("key").alias("b")).distinct()
 
 
+def print_links(reps: DataFrame, limit: int = 4) -> DataFrame:
+    """reps: (key, fp). (a, b), a < b: links of fingerprints of limit or fewer differing bits; each of equal ones with the least key. A null fp links nothing."""
+    prints = written(reps.select("key", "fp").where("fp is not null"), "prints")
+    equal = with_least(prints, "fp", "key", even_share(reps.sparkSession, prints.count())).where("key > m").select(F.col("m").alias("a"), F.col("key").alias("b"))
+    near = near_links(written(prints.groupBy("fp").agg(F.min("key").alias("id")), "folded"), limit)
+    return equal if near is None else equal.unionByName(near)
+
+
 def fingerprints(df: DataFrame, k: int = 4, text: str = "text") -> DataFrame:
     """(doc_id, fp); fp is signed, as Spark's longs are."""
 
@@ -368,14 +379,17 @@ def components(edges: DataFrame) -> DataFrame:
         before, rows = now, now[0]
 
 
-def classes(prints: DataFrame, limit: int) -> DataFrame:
-    """prints: (id, fp), ids unique. (id, component) for the linked ones."""
-    spark = prints.sparkSession
+def near_links(prints: DataFrame, limit: int) -> DataFrame | None:
+    """prints: (id, fp), both unique. (a, b), a < b: a spanning set of the links of fingerprints of limit or fewer differing bits; None if there are fewer than two."""
     n = prints.count()
     sample = np.array([r["fp"] for r in prints.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
-    if n < 2:
-        return spark.range(0).select(F.col("id"), F.col("id").alias("component"))
-    return components(links(prints, plan(sample, n, limit), limit))
+    return None if n < 2 else links(prints, plan(sample, n, limit), limit)
+
+
+def classes(prints: DataFrame, limit: int) -> DataFrame:
+    """prints: (id, fp), both unique. (id, component) for the linked ones."""
+    near = near_links(prints, limit)
+    return prints.sparkSession.range(0).select(F.col("id"), F.col("id").alias("component")) if near is None else components(near)
 
 
 def near_duplicates(df: DataFrame, k: int = 4, limit: int = 4) -> DataFrame:
@@ -503,14 +517,14 @@ def deduplicate(df: DataFrame, similarity: float = 0.8, text: str = "text") -> D
     """The rows of df less all but one of each near-duplicate group (that of the smallest doc_id stays, of those the text of smallest digest), with df's columns.
 
     Exact copies are folded first by a digest of the text, and each distinct text gets a number of its own, so rows that share an id but not a text are
-    treated apart. Loose groups are texts linked by bands of MinHash values of their 5-word shingles, whose recall depends on the shingles' likeness alone,
-    whatever the edit. Within a loose group every pair is decided by the exact Jaccard likeness of the shingles. Of rows equal in id and text one stays; texts
+    treated apart. Loose groups are texts linked by their SimHash fingerprints (4 or fewer differing bits, by the pigeonhole plan above), and, since an edit in one
+    place can move a fingerprint further, by bands of MinHash values of their 5-word shingles, whose recall depends on the shingles' likeness alone. Within a loose group every pair is decided by the exact Jaccard likeness of the shingles. Of rows equal in id and text one stays; texts
     without words resemble only exact copies.
     """
     ident, copy = unused(df, "id", "copy")
     number = unused(df, "key")[0]
     prints = written(banded(df, text), "bands")
-    reps = prints.groupBy("copy").agg(F.min(F.struct("id", "bands")).alias("r")).select("copy", "r.*")
+    reps = prints.groupBy("copy").agg(F.min(F.struct("id", "fp", "bands")).alias("r")).select("copy", "r.*")
     reps = written(reps.withColumn("key", F.monotonically_increasing_id()), "copies")  # kept as written, so a number stays its text's
     twice = written(prints.groupBy("id", "copy").count().where("count > 1").select(F.col("id").alias(ident), F.col("copy").alias(copy)), "twice")
     rows = df.withColumn(ident, id_key()).withColumn(copy, F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))))
@@ -518,7 +532,7 @@ def deduplicate(df: DataFrame, similarity: float = 0.8, text: str = "text") -> D
     def once(some: DataFrame) -> DataFrame:
         return some.join(twice, [ident, copy], "left_anti").unionByName(some.join(twice, [ident, copy], "left_semi").dropDuplicates([ident, copy]))
 
-    loose = components(band_links(reps))
+    loose = components(print_links(reps).unionByName(band_links(reps)).distinct())
     loose = written(loose.unionByName(loose.select(F.col("component").alias("id"), "component")).distinct().withColumnRenamed("id", "key"), "loose")
     members = reps.join(loose, "key", "left_semi").select(F.col("key").alias(number), F.col("id").alias(ident), F.col("copy").alias(copy))
     texts = once(rows.join(members, [ident, copy])).select(F.col(number).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))

@@ -141,6 +141,21 @@ def test_deduplicate_keeps_one_of_each_group(docs, rows, empty):
     assert S.deduplicate(empty).count() == 0
 
 
+def test_deduplicate_links_by_fingerprints(spark, monkeypatch):
+    """Near copies are met by their SimHash fingerprints, also without any band; texts without words stay apart."""
+    monkeypatch.setattr(S, "band_links", lambda reps: spark.createDataFrame([], "a bigint, b bigint"))
+    rng = random.Random(4)
+    texts = []
+    while len(texts) < 20:
+        words = [f"w{rng.randrange(5000)}" for _ in range(800)]
+        pair = [" ".join(words), " ".join([*words[:-1], "end"])]
+        if bin(S.fingerprint_of(pair[0]) ^ S.fingerprint_of(pair[1])).count("1") <= 4:
+            texts += pair
+    rows = list(enumerate([*texts, "", " ", "  "]))
+    stay = {r["doc_id"] for r in S.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert stay == {*range(0, 20, 2), 20, 21, 22}
+
+
 def test_deduplicate_against_exact_jaccard(spark):
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(3000)]
