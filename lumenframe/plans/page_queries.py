@@ -98,7 +98,7 @@ def crawled_pages(spark: SparkSession, d: str) -> DataFrame:
     hrefs = lambda h: F.transform(pages.links(h), lambda l: l["href"])
     C.crawl(spark, root, stored, seeds, parse, hrefs)
     _, ledger, rows = C.results(spark, root)
-    return ledger.join(rows, "url", "left").select("url", "depth", "status", "title")
+    return ledger.join(rows.hint("merge"), "url", "left").select("url", "depth", "status", "title")
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS ids, sum(user_id)::BIGINT AS users FROM events GROUP BY 1")

@@ -52,14 +52,14 @@ def crawl(spark: SparkSession, root: str, pages: DataFrame, seeds: DataFrame, pa
         queue, ledger = _all(t, "queue", seeds, "depth int"), _all(t, "ledger", seeds, "depth int, status string")
         new = None
         if asked is not None:
-            new = settled(asked.join(queue.select("url"), "url", "left_anti").select("url", F.lit(0).alias("depth")))
+            new = settled(_without(asked, queue).select("url", F.lit(0).alias("depth")))
             queue, asked = queue.unionByName(new), None
-        left = queue.join((ledger.where(F.col("status") == FOUND) if retry else ledger).select("url"), "url", "left_anti")
+        left = _without(queue, ledger.where(F.col("status") == FOUND) if retry else ledger)
         if tried is not None:
-            left = left.join(tried, "url", "left_anti")
+            left = _without(left, tried)
         most = min((x for x in (per_round, None if budget is None else budget - spent) if x is not None), default=None)
         batch = left if most is None else left.orderBy("depth", "url").limit(most)
-        got = settled(batch.join(pages.select("url", "html"), "url", "left").withColumn("__rows", parse(F.col("html"))).withColumn("__links", links(F.col("html"))))
+        got = settled(batch.hint("merge").join(pages.select("url", "html"), "url", "left").withColumn("__rows", parse(F.col("html"))).withColumn("__links", links(F.col("html"))))
         # of a page that is stored more than once any copy that gives rows counts
         rank = F.when(F.col("html").isNull(), 0).when(F.coalesce(F.size("__rows"), F.lit(0)) > 0, 2).otherwise(1)
         marks = got.groupBy("url").agg(F.min("depth").alias("depth"), F.element_at(F.array(*map(F.lit, (MISSING, EMPTY, FOUND))), F.max(rank) + 1).alias("status"))
@@ -67,7 +67,8 @@ def crawl(spark: SparkSession, root: str, pages: DataFrame, seeds: DataFrame, pa
         if not n and (new is None or new.isEmpty()):
             break
         found = got.select((F.col("depth") + 1).alias("depth"), "url", F.explode("__links").alias("href")).select("depth", resolved(F.col("url"), F.col("href")).alias("url"))
-        fresh = found.where("url is not null").groupBy("url").agg(F.min("depth").alias("depth")).join(queue.select("url"), "url", "left_anti").select("url", "depth")
+        fresh = found.where("url is not null").groupBy("url").agg(F.min("depth").alias("depth"))
+        fresh = _without(fresh, queue).select("url", "depth")
         made = {"queue": fresh if new is None else fresh.unionByName(new), "ledger": marks, "rows": got.select("url", F.inline("__rows"))}
         U.commit(spark, root, {f"{kind}.{since + 1:06d}": df for kind, df in made.items()}, since, t)
         tried = got.select("url") if tried is None else tried.unionByName(got.select("url"))
@@ -77,6 +78,11 @@ def crawl(spark: SparkSession, root: str, pages: DataFrame, seeds: DataFrame, pa
     return spent
 
 
+def _without(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows whose url is not among the known ones. Both grow with the crawl, so neither is ever sent to all by way of the driver."""
+    return rows.join(known.select("url").hint("merge"), "url", "left_anti")
+
+
 def _all(t: dict[str, DataFrame], kind: str, seeds: DataFrame, more: str) -> DataFrame:
     """All rounds' rows of a kind."""
     found = [df for name, df in sorted(t.items()) if name.startswith(f"{kind}.")]

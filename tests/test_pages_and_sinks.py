@@ -79,3 +79,9 @@ def test_a_stream_stopped_after_writing_gives_each_row_once(spark, tmp_path, mon
     sink.stream_into(stream(), path, checkpoint).awaitTermination()
     assert calls == [True, True, False, True, True]
     assert sorted(r["id"] for r in sink.rows(spark, path).collect()) == list(range(40))
+
+
+def test_a_crawl_sends_no_growing_table_by_way_of_the_driver(spark):
+    few = spark.createDataFrame([("a",)], "url string")
+    plan = C._without(few, few)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
