@@ -28,6 +28,8 @@ from lumenframe.llm.tokens import default_path, encoder
 LENGTH, WINDOWS, END_ID = 2048, 256, 1
 #: Partitions (then groups) whose leftovers are merged in one task: at most GROUP * WINDOWS windows of ids, 8 MB, however many partitions there are.
 GROUP = 8
+#: Documents encoded together: their ids, and the pieces of the windows that they close, are held at once.
+AT_ONCE = 1024
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, part int, ids binary"
 _FIELDS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "part", "ids")
 _TYPES = (pa.int64(),) * 7 + (pa.int32(), pa.binary())
@@ -133,14 +135,16 @@ def pack(df: DataFrame, length: int = LENGTH, windows: int = WINDOWS, end_id: in
     path = tokenizer or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what batches of earlier stages left in this worker
         enc, part = encoder(path), TaskContext.get().partitionId()
         packer = Packer(length, windows, part << 36)
         end = np.array([end_id], dtype="<u2")
-        for b in batches:
-            out = []
-            for doc_id, ids in zip(b.column(0).to_pylist(), enc.batch(b.column(1)), strict=True):
-                out += packer.add(doc_id, np.concatenate([ids, end]))
-            yield _rows(out, part, False)
+        for batch in batches:
+            for at in range(0, batch.num_rows, AT_ONCE):
+                b, out = batch.slice(at, AT_ONCE), []
+                for doc_id, ids in zip(b.column(0).to_pylist(), enc.batch(b.column(1)), strict=True):
+                    out += packer.add(doc_id, np.concatenate([ids, end]))
+                yield _rows(out, part, False)
         yield _rows([(-1, w) for w in packer.rest()], part, True)
 
     pieces = written(df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA), "pieces")

@@ -170,3 +170,13 @@ def test_token_counts(docs, rows, empty):
     assert sum(want.values()) == sum(got.values()) and {k[:2] for k in want} == {k[:2] for k in got}
     assert {k for k in want if k[2] is not None and k[0] is not None} <= set(got)
     assert W.token_counts(empty).count() == 0
+
+
+def test_packing_encodes_few_documents_at_once(spark, tmp_path, monkeypatch):
+    """A batch of many documents gives its windows slice by slice, with the pieces of one that is taken whole."""
+    texts = [(i, " ".join(f"w{i * j % 97}" for j in range(i % 50))) for i in range(3000)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1)
+    monkeypatch.setattr(P, "AT_ONCE", 7)
+    few = sorted(tuple(r) for r in P.pack(df, windows=16).collect())
+    monkeypatch.setattr(P, "AT_ONCE", 10_000)
+    assert few == sorted(tuple(r) for r in P.pack(df, windows=16).collect())
