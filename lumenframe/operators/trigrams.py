@@ -15,6 +15,10 @@ from lumenframe.operators.settle import settled
 from lumenframe.operators.upsert import with_ids
 
 
+#: Texts of the first batch that looks for founders.
+FIRST = 8192
+
+
 def least_shared(n: Column, threshold: float) -> Column:
     """How many of n trigrams another set must share to exceed the threshold."""
     return F.ceil(n * threshold - 1e-9).cast("int")
@@ -25,29 +29,49 @@ def exceeding(score: Column, threshold: float) -> Column:
     return F.explode(F.filter(F.array(score), lambda s: s > threshold))
 
 
-def _ordered(texts: DataFrame, ranks: DataFrame, by: list[str], threshold: float) -> DataFrame:
-    """(by, text, n, g, gram): of each text its trigrams' ranks, rarest first, and a row for each of those of which one must be shared."""
-    ranked = texts.select(*by, "text", F.explode(trigrams(F.col("text"))).alias("gram")).join(ranks, "gram")
-    ordered = ranked.groupBy(*by, "text").agg(F.sort_array(F.collect_list("rank")).alias("g"))  # the trigrams of one text
+def _ranks(*texts: DataFrame) -> DataFrame:
+    """(gram, rank): the trigrams of all texts (text), rarest first."""
+    grams = None
+    for df in texts:
+        own = df.select(F.explode(trigrams(F.col("text"))).alias("gram"))
+        grams = own if grams is None else grams.unionByName(own)
+    counts = settled(grams.groupBy("gram").agg(F.count("*").alias("times")))
+    return settled(with_ids(counts, counts.select(F.lit(0).alias("rank")).limit(0), ["times", "gram"], "rank").select("gram", "rank"))
+
+
+def _ranked(texts: DataFrame, ranks: DataFrame) -> DataFrame:
+    """texts (text and other columns, rows distinct) with g: each text's trigrams' ranks, rarest first. A text without trigrams goes."""
+    kept = texts.columns
+    ranked = texts.select(*kept, F.explode(trigrams(F.col("text"))).alias("gram")).join(ranks, "gram")
+    return ranked.groupBy(*kept).agg(F.sort_array(F.collect_list("rank")).alias("g"))  # the trigrams of one text
+
+
+def _heads(ranked: DataFrame, side: str, by: list[str], threshold: float) -> DataFrame:
+    """(by, side, n, g, gram): a row for each of those trigrams of a text (named by the column `side`) of which one must be shared."""
     n = F.size("g")
-    return ordered.select(*by, "text", n.alias("n"), "g", F.explode(F.slice("g", F.lit(1), n - least_shared(n, threshold) + 1)).alias("gram"))
+    return ranked.select(*by, side, n.alias(f"n_{side}"), F.col("g").alias(f"g_{side}"), F.posexplode(F.slice("g", F.lit(1), n - least_shared(n, threshold) + 1)).alias(f"at_{side}", "gram"))
 
 
-def similar_pairs(a: DataFrame, b: DataFrame, by: list[str], threshold: float) -> DataFrame:
-    """Distinct (by, text) of a and of b -> (by, a, b, score) of the pairs within `by` whose similarity exceeds the threshold. Null `by` meets nothing.
+def _alike(a: DataFrame, b: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """(by, a, g) and (by, b, g) -> (by, a, b, score) of the pairs within `by` whose similarity exceeds the threshold.
 
     A pair that meets on several trigrams counts on the rarest it shares, and is compared where it meets, so pairs that are not similar are never stored or sent.
     """
-    a, b = (df.select(*by, "text").where("text is not null").distinct() for df in (a, b))
-    grams = lambda df: df.select(F.explode(trigrams(F.col("text"))).alias("gram"))
-    counts = settled(grams(a).unionByName(grams(b)).groupBy("gram").agg(F.count("*").alias("times")))
-    ranks = settled(with_ids(counts, counts.select(F.lit(0).alias("rank")).limit(0), ["times", "gram"], "rank").select("gram", "rank"))
-    left = _ordered(a, ranks, by, threshold).withColumnsRenamed({"text": "a", "n": "n_a", "g": "g_a"})
-    right = _ordered(b, ranks, by, threshold).withColumnsRenamed({"text": "b", "n": "n_b", "g": "g_b"})
     fits = (F.col("n_b") >= least_shared(F.col("n_a"), threshold)) & (F.col("n_a") >= least_shared(F.col("n_b"), threshold))
+    # of a pair's first shared trigram no shared one lies before it, so they share no more than what follows it in either, and it
+    fits &= F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= least_shared((F.col("n_a") + F.col("n_b")) / (1 + threshold), threshold)
     # ranks ascend, so the first shared one is the rarest
     score = let(F.array_intersect("g_a", "g_b"), lambda c: F.when(F.get(c, F.lit(0)) == F.col("gram"), F.size(c) / (F.col("n_a") + F.col("n_b") - F.size(c))))
-    return left.join(right, [*by, "gram"]).where(fits).select(*by, "a", "b", exceeding(score, threshold).alias("score"))
+    # few bytes meet in many pairs: the work is dealt out whatever its size
+    n, at = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*by, "gram"]
+    return _heads(a, "a", by, threshold).repartition(n, *at).join(_heads(b, "b", by, threshold).repartition(n, *at), at).where(fits).select(*by, "a", "b", exceeding(score, threshold).alias("score"))
+
+
+def similar_pairs(a: DataFrame, b: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """Distinct (by, text) of a and of b -> (by, a, b, score) of the pairs within `by` whose similarity exceeds the threshold. Null `by` meets nothing."""
+    a, b = (df.select(*by, "text").where("text is not null").distinct() for df in (a, b))
+    ranks = _ranks(a, b)
+    return _alike(_ranked(a, ranks).withColumnRenamed("text", "a"), _ranked(b, ranks).withColumnRenamed("text", "b"), by, threshold)
 
 
 def best_matches(wanted: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
@@ -75,6 +99,29 @@ def founders(texts: DataFrame, edges: DataFrame) -> DataFrame:
     return texts if joined is None else texts.join(joined, "node", "left_anti")
 
 
+def _founded(fresh: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """fresh (by, node, g) -> those of its rows that found a film, as if they came one by one in order of node.
+
+    They come in batches, the first of some FIRST, each next three times as many as all before. A batch first meets the founders of those before; only what resembles none
+    of them meets the rest of its batch. So the pairs are those of texts with founders, not those of all texts that resemble each other, which grow with the square.
+    """
+    shares, size, total = [], FIRST, fresh.count()
+    while size < total:
+        shares.append(size / total)
+        size *= 4
+    cuts = fresh.agg(F.percentile_approx("node", shares).alias("c")).first()["c"] if shares else []  # they steer cost only
+    made, low = None, None
+    for high in [*sorted(set(cuts or [])), None]:
+        part = fresh.where((F.col("node") > low if low is not None else F.lit(True)) & (F.col("node") <= high if high is not None else F.lit(True)))
+        if made is not None:
+            part = settled(part.join(_alike(part.withColumnRenamed("node", "a"), made.withColumnRenamed("node", "b"), by, threshold).select(F.col("a").alias("node")).distinct(), "node", "left_anti"))
+        edges = _alike(part.withColumnRenamed("node", "a"), part.withColumnRenamed("node", "b"), by, threshold).where("a < b").select(F.col("a").alias("earlier"), F.col("b").alias("later"))
+        now = settled(part.join(founders(part.select("node"), edges), "node", "left_semi").select(*by, "node", "g"))
+        made = now if made is None else made.unionByName(now)
+        low = high
+    return made
+
+
 def arrivals(rows: DataFrame, films: DataFrame, directors: DataFrame, threshold: float = 0.8) -> DataFrame:
     """rows (row_id, title, director) -> rows with film_id, founder and score, as if they came one by one in order of row_id.
 
@@ -94,23 +141,21 @@ def arrivals(rows: DataFrame, films: DataFrame, directors: DataFrame, threshold:
     usable = wanted.where(F.size(trigrams(F.col("text"))) > 0).where("__first is not null and __last is not null")
     titles = settled(usable.groupBy(*by, "text").agg(F.min("row_id").alias("node")))
 
-    given = settled(similar_pairs(titles, known, by, threshold).join(known.withColumnRenamed("text", "b"), [*by, "b"]))  # (by, a, b, score, film_id)
-    given = settled(given.groupBy(*by, "a").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("film_id").alias("id"))).alias("given")))
-    alike = settled(similar_pairs(titles, titles, by, threshold).where("a <> b").unionByName(titles.select(*by, F.col("text").alias("a"), F.col("text").alias("b"), F.lit(1.0).alias("score"))))
-
-    fresh = settled(titles.join(given.select(*by, F.col("a").alias("text")), [*by, "text"], "left_anti"))
-    first = fresh.select(*by, F.col("text").alias("a"), F.col("node").alias("earlier"))
-    second = fresh.select(*by, F.col("text").alias("b"), F.col("node").alias("later"))
-    edges = alike.where("a <> b").join(first, [*by, "a"]).join(second, [*by, "b"]).where("earlier < later")
-    made = settled(founders(fresh.select("node"), edges))
+    ranks = _ranks(titles, known)
+    ranked, given = settled(_ranked(titles, ranks)), _ranked(known, ranks)
+    asked = ranked.withColumnRenamed("node", "a")
+    given = _alike(asked, given.withColumnRenamed("film_id", "b"), by, threshold)
+    given = settled(given.groupBy(F.col("a").alias("node")).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("b").alias("id"))).alias("given")))
+    made = _founded(settled(ranked.select(*by, "node", "g").join(given, "node", "left_anti")), by, threshold)
 
     # every row against the films that are there when it comes: of a title's films, in order of their founders, only those that are more similar than all before count
-    new = alike.join(titles.select(*by, F.col("text").alias("b"), F.col("node").alias("founder")).join(made.withColumnRenamed("node", "founder"), "founder"), [*by, "b"]).select(*by, F.col("a").alias("text"), "founder", "score")
-    before = F.max("score").over(Window.partitionBy(*by, "text").orderBy("founder").rowsBetween(Window.unboundedPreceding, -1))
+    new = _alike(asked, made.withColumnRenamed("node", "b"), by, threshold).select(F.col("a").alias("node"), F.col("b").alias("founder"), "score")
+    before = F.max("score").over(Window.partitionBy("node").orderBy("founder").rowsBetween(Window.unboundedPreceding, -1))
     better = new.withColumn("__before", before).where("__before is null or score > __before")
-    steps = better.groupBy(*by, "text").agg(F.sort_array(F.collect_list(F.struct(F.col("founder").alias("id"), F.col("score").alias("s")))).alias("steps"))
+    steps = better.groupBy("node").agg(F.sort_array(F.collect_list(F.struct(F.col("founder").alias("id"), F.col("score").alias("s")))).alias("steps"))
     last = F.try_element_at(F.filter("steps", lambda x: x["id"] < F.col("row_id")), F.lit(-1))
-    found = usable.join(given.withColumnRenamed("a", "text"), [*by, "text"], "left").join(steps, [*by, "text"], "left").select("row_id", "given", F.struct((-last["s"]).alias("s"), last["id"].alias("id")).alias("new"))
+    met = titles.join(given, "node", "left").join(steps, "node", "left")
+    found = usable.join(met, [*by, "text"]).select("row_id", "given", F.struct((-last["s"]).alias("s"), last["id"].alias("id")).alias("new"))
     out = rows.join(found, "row_id", "left")
     # the given one wins ties
     takes = F.coalesce(F.col("given.s") <= F.col("new.s"), F.col("given").isNotNull())

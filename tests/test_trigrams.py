@@ -84,6 +84,28 @@ def test_rows_in_order_equal_one_by_one(spark):
     assert {r["row_id"]: (r["film_id"], r["founder"]) for r in got.collect()} == one_by_one(rows, films)
 
 
+@pytest.mark.parametrize("first", [3, 8])
+def test_rows_in_batches_equal_one_by_one(spark, monkeypatch, first):
+    """Titles that all resemble each other, in batches: what founds in one batch is met by the next, and a row's film is the best of those before it."""
+    monkeypatch.setattr(G, "FIRST", first)
+    rng = random.Random(first)
+    words = ["night", "foxes", "long", "wolf", "returning", "shadow"]
+    rows = [(i * 3, " ".join(sorted(rng.sample(words, 4))) + rng.choice(["", " ii", " at last"]), rng.choice(["Zoe Q", "Ana B"])) for i in range(120)]
+    df = spark.createDataFrame(rows, "row_id long, title string, director string").repartition(3)
+    found = G.arrivals(df, spark.createDataFrame([], "id long, original_name string"), spark.createDataFrame([], "film_id long, first_name string, last_name string"))
+    assert {r["row_id"]: (r["film_id"], r["founder"]) for r in found.collect()} == one_by_one(rows, [])
+
+
+def test_titles_meet_founders_and_not_each_other(spark, monkeypatch):
+    """200 titles that resemble one another found one film; of their 19,900 pairs only those of the first batch and those with that film are made."""
+    monkeypatch.setattr(G, "FIRST", 10)
+    met, own = [], G._alike
+    monkeypatch.setattr(G, "_alike", lambda *x: met.append(own(*x)) or met[-1])
+    df = spark.createDataFrame([(i, f"the long night of the returning foxes and wolves {i}", "Zoe Q") for i in range(200)], "row_id long, title string, director string")
+    found = G.arrivals(df, spark.createDataFrame([], "id long, original_name string"), spark.createDataFrame([], "film_id long, first_name string, last_name string"))
+    assert {r["founder"] for r in found.collect()} == {0} and sum(m.count() for m in met) < 2000
+
+
 def test_two_similar_new_titles_become_one_film(spark):
     """The second row finds the film that the first made; with the rows turned round the other title founds it."""
     t = {n: S.create(spark, n) for n in S.DDL}
