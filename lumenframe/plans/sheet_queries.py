@@ -76,7 +76,8 @@ def _books(orders: DataFrame) -> DataFrame:
 
     day = F.col("o_orderdate").cast("date")
     cells = orders.select(F.floor(F.col("o_orderkey") / 4000).alias("block"), "o_orderkey", F.col("o_totalprice").cast("double").alias("price"), F.year(day).alias("year"), day.alias("day"))
-    return settled(cells.repartitionByRange("block").sortWithinPartitions("block", "o_orderkey").mapInPandas(written, "path string, content binary"))
+    n = int(orders.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, it is kept, whatever the cells' size
+    return settled(cells.repartitionByRange(n, "block").sortWithinPartitions("block", "o_orderkey").mapInPandas(written, "path string, content binary"))
 
 
 @query(

@@ -102,3 +102,9 @@ def test_approvals_from_stored_files(spark, tmp_path, paying):
     assert [tuple(r) for r in rows] == [(y, n, t, v, p, None) for y in ("2003", "2005") for n, t, v, p in ((6, "FILM A", "123", "canal"), (7, None, "124", None))]
     assert "OTHER" not in got.columns
     assert [r["path"].rpartition("/")[2] for r in bad.collect()] == ["bad.xlsx"]
+
+
+def test_sheets_are_dealt_out_whatever_their_size(spark):
+    """Packed sheets are few bytes: they must not be put together in few tasks, which parse them one after another."""
+    files = spark.createDataFrame([("a.xlsx", bytearray(book({"2001": "<row/>"}))), ("b.xlsx", bytearray(b"?"))], "path string, content binary")
+    assert W.rows(W.sheets(files)).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
