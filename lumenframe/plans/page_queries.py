@@ -66,7 +66,8 @@ def film_pages(spark: SparkSession, d: str) -> DataFrame:
     one = lambda role, name: F.concat(t('<div class="c"><span class="r">'), role, t('</span><a>'), name, t("</a></div>"))
     section = lambda title, body: F.concat(t('<section class="part"><h2>'), t(title), t("</h2>"), body, t("</section>"))
     cast = F.concat(t('<section class="dir"><b>'), "p_brand", t(" A</b><b>"), "p_name", t(" B</b></section>"), F.when(s % 2 == 0, section("Production", one(t("producer"), F.col("p_name")))).otherwise(F.concat(section("Production", t("<p>none</p>")), section("Soundtrack", one(t("composer"), F.col("p_brand"))))))
-    made = _t(spark, d, "part").select("p_partkey", film.alias("film"), cast.alias("cast"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a part is few bytes and its pages much work
+    made = _t(spark, d, "part").repartition(n, "p_partkey").select("p_partkey", film.alias("film"), cast.alias("cast"))
     f = pages.film_page(F.col("film"), ("img", "poster"), ("span", "date"), ("div", "meta"), ("span", "g"))
     people = pages.people(F.col("cast"), ("section", "dir"), ("b", None))
     sections = pages.cast_sections(F.col("cast"), "part", ("h2", None), ("div", "c"), [("span", "r")], [("a", None)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -9,16 +11,21 @@ from pyspark.sql import functions as F
 from lumenframe.functions.parse import reward
 from lumenframe.sources.markup import Page, Selector
 
+#: Pages whose elements a worker holds at a time.
+SENT = 256
+
 
 def strip_tags(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(s, r"<[^>]*>", ""), r"\s+", " "))
 
 
 def _each(html: Column, of, kind: str) -> Column:
-    """of(page) for each page that is not null, in Arrow batches."""
+    """of(page) for each page that is not null, in Arrow batches; what is found goes on after each SENT pages, so that no more is held."""
 
-    def run(pages: pd.Series) -> pd.Series:
-        return pd.Series([None if h is None else of(Page(h)) for h in pages], dtype=object)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for pages in batches:
+            for i in range(0, len(pages), SENT):
+                yield pd.Series([None if h is None else of(Page(h)) for h in pages.iloc[i : i + SENT]], dtype=object)
 
     return F.pandas_udf(run, kind)(html)
 

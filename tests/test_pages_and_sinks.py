@@ -85,3 +85,15 @@ def test_a_crawl_sends_no_growing_table_by_way_of_the_driver(spark):
     few = spark.createDataFrame([("a",)], "url string")
     plan = C._without(few, few)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_what_is_found_goes_on_in_parts(monkeypatch):
+    """A worker must not hold what it finds in a whole batch of pages."""
+    import pandas as pd
+
+    taken = []
+    monkeypatch.setattr(pages.F, "pandas_udf", lambda f, kind: lambda column: taken.append(f))
+    pages.element_texts(None, "b")
+    batch = pd.Series(["<b>x</b>", None, "<p>"] * 300)
+    parts = list(taken[0](iter([batch, batch.iloc[:0]])))
+    assert [x for p in parts for x in p] == [["x"], None, []] * 300 and max(map(len, parts)) <= 256
