@@ -39,10 +39,13 @@ MOST = 1500
 WINDOW, OVERLAP = 60, 24
 #: Bytes of the ordinary and, at most, of the toxic dictionary, and of the segments that the library's trainer takes.
 ORDINARY, TOXIC, SEGMENT = 65_536, 2048, 64
-#: Lengths of segments, toxic documents that must hold one, how many times as often as by chance, and the odds of chance.
-LENGTHS, LEAST, TIMES, EVIDENCE = (5, 6, 7, 8, 9, 10, 12), 4, 6, 1e-9
+#: Lengths of segments, toxic documents that must hold one, how many times as often as by chance (with half an ordinary document more, so that
+#: what is only too rare to be met in the ordinary ones isn't taken), and the odds of chance.
+LENGTHS, LEAST, TIMES, EVIDENCE = (5, 6, 7, 8, 9, 10, 12), 4, 50, 1e-9
 #: The bytes a window must save to count.
-SCREEN = 2
+SCREEN = 1
+#: Stands before each segment.
+_PARTED = b"\n"
 #: The share of toxic documents that scores are calibrated for, whatever it is among those trained on.
 PRIOR = 0.2
 _REPEATS = b"\x01\0\0\0\x04\0\0\0\x08\0\0\0"  # the last of a dictionary's header: its three repeat offsets
@@ -107,17 +110,18 @@ def _counted(ordinary: list[list[str]], toxic: list[list[str]]) -> tuple[list[Co
 def _contrasted(others: Counter, held: Counter, n_ordinary: int, n_toxic: int) -> bytes:
     """The toxic dictionary: segments that toxic documents hold beyond chance, the best last, none within another."""
     found: dict[bytes, float] = {}
+    times = min(TIMES, n_ordinary / 2)  # where few are known, a quarter of the toxic ones is enough
     for g, n in held.items():
         chance = n_toxic * (others[g] + 0.5) / max(1, n_ordinary)
-        if n >= LEAST and n > TIMES * chance and (tail := n * math.log(chance) - chance - math.lgamma(n + 1)) < math.log(EVIDENCE):
+        if n >= LEAST and n > times * chance and (tail := n * math.log(chance) - chance - math.lgamma(n + 1)) < math.log(EVIDENCE):
             found[g] = tail / math.log(10) - 0.5 * len(g)
     chosen: list[bytes] = []
     size = 0
     for g in sorted(found, key=lambda g: (found[g], g)):
         if size < TOXIC and not any(g in h or h in g for h in chosen):
             chosen.append(g)
-            size += len(g)
-    return b"".join(reversed(chosen))
+            size += len(g) + len(_PARTED)
+    return b"".join(_PARTED + g for g in reversed(chosen))
 
 
 class Model:

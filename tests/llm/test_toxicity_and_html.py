@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import pytest
 
@@ -56,6 +57,13 @@ def test_the_toxic_dictionary_holds_what_marks_toxic_text():
     assert sorted(saved[1])[len(saved[1]) // 10] > max(sorted(saved[0])[: int(0.98 * len(saved[0]))])
 
 
+def test_segments_are_parted_and_too_rare_ones_left_out():
+    """What 20 of 1,500 toxic documents hold may be as frequent in ordinary text; nothing matches across two segments; of few documents a quarter is enough."""
+    made = X._contrasted(Counter(), Counter({b" grob": 400, b"nikvex": 300, b"rarely": 20}), 1500, 1500)
+    assert made.split(b"\n") == [b"", b"nikvex", b" grob"] and b"\n" not in b"".join(X.windows("a\nb " * 100))
+    assert b" grob" in X._contrasted(Counter(), Counter({b" grob": 14}), 24, 24)
+
+
 def test_words_of_a_small_language_count_too():
     """A tenth of the toxic documents share a stem of their own, with other endings; it is learned beside the rest."""
     rng = random.Random(2)
