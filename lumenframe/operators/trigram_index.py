@@ -1,10 +1,11 @@
 """A stored index of names by their trigrams: postings in buckets, kept up by deltas.
 
-Under one root lie, as tables of one commit (see upsert.commit), sets of files: `names` (id, version, name), `postings` (bucket, gram, id, version, n) and
-`grams` (gram, times). A change adds a set that holds only what changed; of an id's names the newest version counts, and what the postings
-bring up is compared with it, so older postings can't mislead. `compact` makes one set of all. Readers see a change whole or not at all.
+Under one root lie, as tables of one commit (see upsert.commit), sets of files: `names` (id, version, name), `postings` (bucket, gram, name, n) and
+`grams` (gram, times). Postings lead to names, each different one once however many ids have it. A change adds a set that holds only what changed; of an id's
+names the newest version counts, and the names that the postings bring up are looked for among these, so older postings can't mislead. `compact` makes
+one set of all. Readers see a change whole or not at all.
 
-A search opens the buckets of the trigrams that it needs, and in them, sorted by trigram, what it needs.
+A search opens the buckets of the trigrams that it needs, and in them, sorted by trigram, what it needs; then it takes the ids of the names found.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.functions.text import similarity, trigrams
+from lumenframe.functions.text import trigrams
 from lumenframe.operators import upsert as U
 from lumenframe.operators.settle import settled, shared_folder
-from lumenframe.operators.trigrams import exceeding, least_shared
+from lumenframe.operators.trigrams import least_shared, similar_pairs
 
 BUCKETS = 64
-#: Up to so many trigrams and ids are given to the scan as a list; beyond that they are joined.
+#: Up to so many trigrams, names and ids are given to the scan as a list; beyond that they are joined.
 LISTED = 500
 _PARTS = {"postings": ["bucket"]}
 
@@ -30,13 +31,15 @@ def _bucket(gram: Column) -> Column:
 
 
 def _entries(spark: SparkSession, names: DataFrame, gone: DataFrame | None, number: int) -> dict[str, DataFrame]:
-    """The tables of one delta: names (id, version, name; null where it is gone), postings (bucket, gram, id, version, n), grams (gram, times)."""
+    """The tables of one delta: names (id, version, name; null where it is gone), postings (bucket, gram, name, n), grams (gram, times)."""
     rows = names.select("id", F.lit(number).alias("version"), "name")
     if gone is not None:
         rows = rows.unionByName(gone.select("id").join(names.select("id"), "id", "left_anti").select("id", F.lit(number).alias("version"), F.lit(None).cast("string").alias("name")))
     rows = settled(rows)
-    grams = rows.where("name is not null").withColumn("g", trigrams(F.col("name"))).select("id", "version", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    postings = grams.withColumn("bucket", _bucket(F.col("gram"))).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "gram", "id")
+    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    different = rows.select("name").where("name is not null").repartition(shares, "name").distinct().withColumn("g", trigrams(F.col("name")))
+    grams = settled(settled(different).select("name", F.size("g").alias("n"), F.explode("g").alias("gram")))
+    postings = grams.withColumn("bucket", _bucket(F.col("gram"))).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "gram", "name")
     times = grams.groupBy("gram").agg(F.count("*").alias("times"))
     return {f"names.{number:06d}": rows.sort("id"), f"postings.{number:06d}": postings, f"grams.{number:06d}": times.sort("gram")}
 
@@ -58,14 +61,14 @@ def compact(spark: SparkSession, root: str) -> int:
 
 def _commit(spark: SparkSession, root: str, made, keep: bool) -> int:
     since = U.version(spark, root)
-    old = U.current(spark, root, since)
+    old = U.committed(spark, root, since)
     new = made(since + 1)
-    gone = {} if keep else dict.fromkeys(set(old) - set(new))
+    gone = {} if keep else dict.fromkeys(old - set(new))
     return U.commit(spark, root, new | gone, since, old, {n: _PARTS["postings"] for n in new if n.startswith("postings")})
 
 
 def _part(spark: SparkSession, root: str, kind: str) -> DataFrame:
-    found = [df for n, df in sorted(U.current(spark, root).items()) if n.startswith(f"{kind}.")]
+    found = [df for _, df in sorted(U.current(spark, root, kind=f"{kind}.").items())]
     if not found:
         raise ValueError(f"no index under {root}")
     out = found[0]
@@ -78,12 +81,25 @@ def live(spark: SparkSession, root: str, ids: DataFrame | None = None) -> DataFr
     """(id, name) as they are now, of these ids if any are given."""
     rows = _part(spark, root, "names")
     if ids is not None:
-        few = [r["id"] for r in ids.select("id").distinct().limit(LISTED + 1).collect()]
-        rows = rows.where(F.col("id").isin(few)) if len(few) <= LISTED else rows.join(ids.select("id").distinct(), "id", "left_semi")
+        rows = _of(rows, ids.select("id").distinct())
     newest = rows.groupBy("id").agg(F.max(F.struct("version", "name")).alias("r"))
     return newest.select("id", "r.name").where("name is not null")
 
 
+def _of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose value is among those of the one column of wanted."""
+    (c,) = wanted.columns
+    few = [r[c] for r in wanted.limit(LISTED + 1).collect()]
+    return rows.where(F.col(c).isin(few)) if len(few) <= LISTED else rows.join(wanted, c, "left_semi")
+
+
+def _holders(spark: SparkSession, root: str, names: DataFrame) -> DataFrame:
+    """(id, name) as they are now of those names (name, distinct)."""
+    rows = _part(spark, root, "names")
+    ids = settled(_of(rows, names).select("id").distinct())
+    return _of(live(spark, root, ids), names)
+
+
 def pattern_grams(spark: SparkSession, text: str) -> list[str]:
     """The trigrams that every name holding the text has: of its words, with the blanks of those word edges that the text shows. % and _ may stand for anything."""
     cut = spark.sql("SELECT lower(:t) AS t", args={"t": text}).first()["t"]
@@ -112,8 +128,8 @@ def holding(spark: SparkSession, root: str, text: str, rarest: int = 3) -> DataF
     if len(times) < len(wanted):
         return live(spark, root).limit(0)
     chosen = sorted(wanted, key=lambda g: (times[g], g))[:rarest]
-    ids = postings(spark, root, chosen).groupBy("id", "version").agg(F.count("*").alias("met")).where(F.col("met") == len(chosen))
-    return live(spark, root, ids).where(like)
+    met = postings(spark, root, chosen).groupBy("name").agg(F.countDistinct("gram").alias("met")).where(F.col("met") == len(chosen))
+    return _holders(spark, root, settled(met.where(like).select("name")))
 
 
 def postings(spark: SparkSession, root: str, grams: list[str]) -> DataFrame:
@@ -138,8 +154,9 @@ def resembling(spark: SparkSession, root: str, queries: DataFrame, threshold: fl
         buckets = [r["b"] for r in grams.select(_bucket(F.col("gram")).alias("b")).distinct().collect()]  # BUCKETS at most
         read = _part(spark, root, "postings").where(F.col("bucket").isin(buckets))
     fits = (F.col("n") >= least_shared(F.col("n_text"), threshold)) & (F.col("n_text") >= least_shared(F.col("n"), threshold))
-    met = settled(read.join(heads, "gram").where(fits).select("text", "id").distinct())
-    return met.join(live(spark, root, met), "id").select("text", "id", "name", exceeding(similarity(F.col("text"), F.col("name")), threshold).alias("score"))
+    met = settled(read.join(heads.groupBy("gram", "n_text").agg(F.lit(1)), "gram").where(fits).select("name").distinct())
+    found = settled(similar_pairs(texts, met.withColumnRenamed("name", "text"), [], threshold).select(F.col("a").alias("text"), F.col("b").alias("name"), "score"))
+    return found.join(_holders(spark, root, found.select("name").distinct()), "name").select("text", "id", "name", "score")
 
 
 def fresh_root(spark: SparkSession) -> str:

@@ -203,9 +203,14 @@ def transaction(spark: SparkSession, root: str, change: Callable[[dict[str, Data
     raise ValueError("no tries")
 
 
-def current(spark: SparkSession, root: str, at: int | None = None) -> dict[str, DataFrame]:
-    """The tables as last committed, or as they were at a version."""
-    return {name: spark.read.parquet(path) for name, path in _places(spark, root, at).items()}
+def current(spark: SparkSession, root: str, at: int | None = None, kind: str = "") -> dict[str, DataFrame]:
+    """The tables as last committed, or as they were at a version; only those whose names begin with kind are opened."""
+    return {name: spark.read.parquet(path) for name, path in _places(spark, root, at).items() if name.startswith(kind)}
+
+
+def committed(spark: SparkSession, root: str, at: int | None = None) -> set[str]:
+    """The names of the tables as last committed, or at a version; none is opened."""
+    return set(_places(spark, root, at))
 
 
 def vacuum(spark: SparkSession, root: str, keep: int = 1) -> int:

@@ -156,6 +156,20 @@ def test_index_equals_the_scan(spark, tmp_path):
         T.holding(spark, f"{root}-none", "night")
 
 
+def test_postings_lead_to_different_names_not_to_ids(spark, tmp_path):
+    """Many ids of one name, also one that takes it later and one that gives it up, make no more postings."""
+    root, few = f"file://{tmp_path}/many", f"file://{tmp_path}/few"
+    frame = lambda x: spark.createDataFrame(x, "id int, name string")
+    T.build(spark, few, frame([(1, "the red ring"), (2, "a blue bolt")]))
+    T.build(spark, root, frame([(i, ("the red ring", "a blue bolt")[i % 2]) for i in range(600)]))
+    assert T._part(spark, root, "postings").count() == T._part(spark, few, "postings").count()
+    T.change(spark, root, frame([(0, "a blue bolt"), (900, "the red ring")]), spark.createDataFrame([(2,)], "id int"))
+    want = {*range(4, 600, 2), 900}
+    assert {r["id"] for r in T.holding(spark, root, "red ring").collect()} == want
+    got = T.resembling(spark, root, spark.createDataFrame([("the red rings",)], "text string"), 0.5).collect()
+    assert {r["id"] for r in got} == want and len(got) == len(want) and got[0]["score"] == share("the red rings", "the red ring")
+
+
 def test_index_opens_only_the_buckets_it_needs(spark, tmp_path):
     root = f"file://{tmp_path}/i"
     T.build(spark, root, spark.createDataFrame([(i, n) for i, n in enumerate(names(100)) if n], "id int, name string"))
