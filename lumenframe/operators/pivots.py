@@ -20,6 +20,8 @@ from lumenframe.operators.settle import settled
 
 #: Pivots at most (they travel to every task), and vectors of a block and of a run of queries at most.
 PIVOTS, BLOCK = 128, 4096
+#: Queries that are compared with a block at once.
+_ROWS = 256
 #: Slack for rounding in bounds.
 _SLACK = 1e-9
 
@@ -35,9 +37,16 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((x - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
 
 
+def _vector(df: DataFrame):
+    """The column vector and its type: floats are sent and stored as they are, all else as doubles; distances are of doubles."""
+    kind = "array<float>" if dict(df.dtypes)["vector"] == "array<float>" else "array<double>"
+    return F.col("vector").cast(kind).alias("vector"), kind
+
+
 def build(points: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
     """points (point_id, label, vector; no null vectors) -> (entries: cell, block, far, point_id, label, vector, stored; cells: cell, block, n, near, far; pivots)."""
-    points = points.select(F.col("point_id").cast("long").alias("point_id"), "label", F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
+    vector, stored = _vector(points)
+    points = points.select(F.col("point_id").cast("long").alias("point_id"), "label", vector).where("vector is not null")
     pivots = choose(points)
     kind = dict(points.dtypes)["label"]
     held = points.sparkSession.sparkContext.broadcast(pivots)
@@ -45,11 +54,11 @@ def build(points: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
     def place(batches):
         for pdf in batches:
             if len(pdf):
-                d = _distances(np.stack(pdf["vector"].to_list()), held.value)
+                d = _distances(np.stack(pdf["vector"].to_list()).astype(np.float64), held.value)
                 pdf["cell"], pdf["away"] = d.argmin(axis=1), d.min(axis=1)
                 yield pdf[["cell", "away", "point_id", "label", "vector"]]
 
-    placed = settled(points.mapInPandas(place, f"cell int, away double, point_id long, label {kind}, vector array<double>"))
+    placed = settled(points.mapInPandas(place, f"cell int, away double, point_id long, label {kind}, vector {stored}"))
     # blocks of a cell are rings around its pivot: what lies beyond a bound is skipped block by block. Row numbers go by part, so that no cell meets in one task
     n = F.count("*")
     sizes = placed.groupBy("cell", F.floor(F.col("away") * 1024).alias("ring")).agg(n.alias("n"))
@@ -69,12 +78,13 @@ def _asked(queries: DataFrame, pivots: np.ndarray) -> DataFrame:
     def measure(batches):
         for pdf in batches:
             if len(pdf):
-                d = _distances(np.stack(pdf["vector"].to_list()), held.value)
+                d = _distances(np.stack(pdf["vector"].to_list()).astype(np.float64), held.value)
                 pdf["away"], pdf["least"], pdf["home"] = list(d), d.min(axis=1), d.argmin(axis=1)
                 yield pdf
 
-    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector")).where("vector is not null")
-    return settled(rows.mapInPandas(measure, "query_id long, vector array<double>, away array<double>, least double, home int"))
+    vector, stored = _vector(queries)
+    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), vector).where("vector is not null")
+    return settled(rows.mapInPandas(measure, f"query_id long, vector {stored}, away array<double>, least double, home int"))
 
 
 def _bounded(asked: DataFrame, cells: DataFrame, within) -> DataFrame:
@@ -87,34 +97,49 @@ def _bounded(asked: DataFrame, cells: DataFrame, within) -> DataFrame:
 
 def _compared(wanted: DataFrame, asked: DataFrame, entries: DataFrame, kind: str, radius: float | None) -> DataFrame:
     """(query_id, point_id, distance, label): of each query and block the nearest other point, or all within the radius."""
-    share = F.pmod(F.xxhash64("query_id"), F.lit(64))
-    sent = wanted.withColumn("run", F.when(F.count("*").over(Window.partitionBy("cell", "block")) > BLOCK, share).otherwise(0)) if radius is None else wanted.withColumn("run", share)
-    sent = settled(sent)
-    left = sent.join(asked.select("query_id", "vector"), "query_id").select("cell", "block", "run", "query_id", "vector")
-    runs = sent.select(*[F.col(c).alias(c) for c in ("cell", "block", "run")]).distinct()
-    right = entries.join(runs, ["cell", "block"]).select("cell", "block", "run", "point_id", "label", F.col("vector").alias("point"))
+    wanted, at = settled(wanted), ["cell", "block", "run"]
+    runs = wanted.groupBy("cell", "block").agg(F.ceil(F.count("*") / BLOCK).alias("runs"))  # a block's points are sent once a run, so there are no more than needed
+    sent = wanted.join(runs, ["cell", "block"]).withColumn("run", F.pmod(F.xxhash64("query_id"), F.col("runs"))).drop("runs")
+    left = sent.join(asked.select("query_id", "vector"), "query_id").select(*at, "query_id", "vector")
+    right = entries.join(runs.select("cell", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("runs") - 1)).alias("run")), ["cell", "block"]).select(*at, "point_id", "label", F.col("vector").alias("point"))
 
     def compare(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(q) and len(p):
-            at, points, labels = p["point_id"].to_numpy(), np.stack(p["point"].to_list()), p["label"].to_numpy()
+            at, points, labels = p["point_id"].to_numpy(), np.stack(p["point"].to_list()).astype(np.float64), p["label"].to_numpy()
             order = np.argsort(at, kind="stable")
             at, points, labels = at[order], points[order], labels[order]
-            for i, v in zip(q["query_id"].to_numpy(), q["vector"], strict=True):
-                d = np.sqrt(((points - v) ** 2).sum(axis=1))
-                d[at == i] = np.inf
-                if radius is None:
-                    k = int(d.argmin())
-                    chosen = [k] if np.isfinite(d[k]) else []
-                else:
-                    chosen = np.flatnonzero(d < radius)
-                out += [(i, at[k], d[k], labels[k]) for k in chosen]
+            ids, vectors = q["query_id"].to_numpy(), np.stack(q["vector"].to_list()).astype(np.float64)
+            for k in range(0, len(ids), _ROWS):
+                for i, v, near in zip(ids[k : k + _ROWS], vectors[k : k + _ROWS], _candidates(vectors[k : k + _ROWS], ids[k : k + _ROWS], points, at, radius), strict=True):
+                    d = np.sqrt(((points[near] - v) ** 2).sum(axis=1))
+                    if radius is None:
+                        chosen = [int(d.argmin())] if len(near) else []
+                    else:
+                        chosen = np.flatnonzero(d < radius)
+                    out += [(i, at[near[c]], d[c], labels[near[c]]) for c in chosen]
         return pd.DataFrame(out, columns=["query_id", "point_id", "distance", "label"])
 
-    grouped = left.groupBy("cell", "block", "run").cogroup(right.groupBy("cell", "block", "run"))
+    # few bytes may be much to compare: the work is dealt out whatever its size
+    n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = left.repartition(n, *at).groupBy(*at).cogroup(right.repartition(n, *at).groupBy(*at))
     return grouped.applyInPandas(compare, f"query_id long, point_id long, distance double, label {kind}")
 
 
+def _candidates(vectors: np.ndarray, ids: np.ndarray, points: np.ndarray, at: np.ndarray, radius: float | None) -> list[np.ndarray]:
+    """For each vector the places of the points, ascending, that may be its nearest other one, or nearer than the radius: all that rounding in the product of both may hide are among them."""
+    whole = points[np.isfinite(points).all(axis=1)]
+    middle = whole.mean(axis=0) if len(whole) else np.zeros(points.shape[1])
+    a, b = vectors - middle, points - middle
+    aa, bb = (a**2).sum(axis=1)[:, None], (b**2).sum(axis=1)[None]
+    d2 = aa + bb - 2 * (a @ b.T)
+    reach, off = np.sqrt(aa) + np.sqrt(bb), 1e-15 * np.sqrt((middle**2).sum())  # off: what is lost where the middle is taken away
+    slack = 1e-12 * reach**2 + 4 * off * (reach + off)
+    known = np.isfinite(d2) & (ids[:, None] != at[None])
+    most = np.where(known, d2 + slack, np.inf).min(axis=1, keepdims=True) if radius is None else radius**2
+    return [np.flatnonzero(r) for r in known & (d2 - slack <= most)]
+
+
 def nearest(queries: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(query_id, distance, point_id, label): each query's nearest other point, ties by point_id; and (query_id, read, skipped): the vectors it met and those it didn't.
 

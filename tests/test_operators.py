@@ -268,6 +268,28 @@ def test_commit_shows_all_tables_or_none(spark, tmp_path):
     assert U.vacuum(spark, root) >= 1 and {n: df.count() for n, df in U.current(spark, root).items()} == {"a": 9, "b": 5}
 
 
+def test_candidates_hold_what_exact_distances_choose():
+    """Far from zero, in ties and beside broken vectors: the exact nearest and all within the radius are among few candidates."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.integers(0, 4, (120, 5)), rng.normal(size=(80, 5))]) + np.array([0, 0, 0, 0, 3e6])
+    ids, points, at = np.arange(200), np.concatenate([x, [[np.nan] * 5]]), np.arange(201)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    one = pivots._candidates(x, ids, points, at, None)
+    assert all(int(r.argmin()) in c and set(np.flatnonzero(r == r.min())) <= set(c.tolist()) for r, c in zip(d, one, strict=True)) and sum(map(len, one)) < 0.2 * d.size
+    for radius in (0.5, 1.0):
+        assert all(set(np.flatnonzero(r < radius)) <= set(c.tolist()) and 200 not in c for r, c in zip(d, pivots._candidates(x, ids, points, at, radius), strict=True))
+
+
+def test_floats_are_stored_as_floats(spark):
+    """What is stored and sent of float vectors is as small as it came; results are those of doubles."""
+    rows = [(i, "l", [float(i * i % 17), float(i % 5)]) for i in range(40)]
+    of = lambda kind: spark.createDataFrame(rows, f"point_id bigint, label string, vector array<{kind}>")
+    assert dict(pivots.build(of("float"))[0].dtypes)["vector"] == "array<float>"
+    found = [sorted(map(tuple, pivots.nearest(p.select(F.col("point_id").alias("query_id"), "vector"), p)[0].collect())) for p in (of("float"), of("double"))]
+    assert found[0] == found[1] and len(found[0]) == 40
+
+
 def test_nearest_against_brute_force(spark, monkeypatch):
 
 
