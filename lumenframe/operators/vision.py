@@ -100,29 +100,52 @@ def edges(faces: DataFrame, group: str, threshold: float) -> DataFrame:
     # one more coordinate sets films apart, by more than the threshold
     films = faces.groupBy(F.col(group).alias("__of")).agg(F.min("node").alias("__film"))
     apart = faces.join(films, F.col(group).eqNullSafe(F.col("__of"))).select("node", F.concat("vector", F.array((F.col("__film") * (threshold + 1)).cast("double"))).alias("vector"))
-    return within(apart.select(F.col("node").alias("point_id"), F.lit(0).alias("label"), "vector"), threshold).select(F.col("query_id").alias("a"), F.col("point_id").alias("b"))
+    return within(apart.select(F.col("node").alias("point_id"), F.lit(0).alias("label"), "vector"), threshold, distance=False).select(F.col("query_id").alias("a"), F.col("point_id").alias("b"))
+
+
+def _twins(links: DataFrame) -> DataFrame:
+    """(node, twin): each node that has links with the least of its twins, which are linked to one another and to the same others: copies, mostly. Sets of neighbours are told apart by their number and 128 bits."""
+    mark = lambda k, c: F.xxhash64(F.lit(k), F.col(c).cast("long"))
+    sets = links.groupBy("a").agg(F.count("*").alias("n"), *[F.bit_xor(mark(k, "b")).alias(f"h{k}") for k in (1, 2)])
+    closed = settled(sets.select(F.col("a").alias("node"), "n", *[F.col(f"h{k}").bitwiseXOR(mark(k, "a")).alias(f"h{k}") for k in (1, 2)]))
+    key = ["n", "h1", "h2"]
+    return settled(closed.join(closed.groupBy(*key).agg(F.min("node").alias("twin")), key).select("node", "twin"))
 
 
 def whispers(nodes: DataFrame, links: DataFrame, seed: int = 0, rounds: int = 100) -> tuple[DataFrame, int, bool]:
-    """nodes (node), links (a, b, both ways) -> ((node, label), rounds taken, whether labels had settled).
+    """nodes (node), links (a, b, both ways, each once) -> ((node, label), rounds taken, whether labels had settled).
 
     Chinese whispers in rounds: each node begins with its own label. In a round those whose coin, a hash of seed, round and node, shows 1 take the commonest
     label among their neighbours as it was before the round, the least of several; one whose own label is as common as any keeps it. Coins keep two
     neighbours from swapping labels for ever. It stops when no node of either coin would change, or after `rounds`. What a round does depends on
     nothing but its number, so a lost executor changes nothing.
+
+    Twins see the same labels, each less its own. So rounds pass labels, with how many twins hold them, over links between first twins only: a group of
+    copies is one link to itself, not the square of its number.
     """
-    now = settled(nodes.select("node", F.col("node").alias("label")))
-    links = settled(links.select("a", "b"))
+    links = settled(links.select("a", "b").repartition(int(links.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a"))
+    twins = _twins(links)
+    firsts = twins.where("node = twin")
+    met = links.join(firsts.select(F.col("node").alias("a")), "a", "left_semi").join(firsts.select(F.col("node").alias("b")), "b", "left_semi")
+    met = settled(met.select("a", "b").unionByName(firsts.select(F.col("node").alias("a"), F.col("node").alias("b"))))
+    now = settled(twins.select("node", "twin", F.col("node").alias("label")))
+
+    def labels() -> DataFrame:
+        return nodes.join(now.select("node", "label"), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
     for n in range(rounds):
-        seen = links.join(now.select(F.col("node").alias("b"), "label"), "b").groupBy("a", "label").agg(F.count("*").alias("n"))
-        own = seen.join(now.withColumnsRenamed({"node": "a", "label": "own"}), "a")
-        best = own.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("label").alias("to"))).alias("m"), F.max(F.when(F.col("label") == F.col("own"), F.col("n"))).alias("kept"))
-        wants = settled(best.where(-F.col("m.n") > F.coalesce("kept", F.lit(0))).select(F.col("a").alias("node"), "m.to"))
+        held = now.groupBy("twin", "label").agg(F.count("*").alias("held"))
+        seen = settled(met.join(held.withColumnRenamed("twin", "b"), "b").groupBy("a", "label").agg(F.sum("held").alias("n")))
+        top = seen.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("n"), "label"))).where("r <= 2")
+        two = top.groupBy("a").agg(F.min(F.struct("r", "n", "label")).alias("first"), F.max(F.struct("r", "n", "label")).alias("second"))
+        own = seen.join(held.withColumnRenamed("twin", "a"), ["a", "label"], "left_semi").join(two, "a")
+        other = F.when(F.col("first.label") != F.col("label"), F.col("first")).when(F.col("second.r") == 2, F.col("second"))
+        wants = settled(own.withColumn("other", other).where(F.col("other.n") > F.col("n") - 1).select(F.col("a").alias("twin"), "label", F.col("other.label").alias("to")))
         if wants.isEmpty():
-            return now, n, True
-        moved = wants.where(F.xxhash64(F.lit(seed), F.lit(n), "node").bitwiseAND(1) == 1)
-        now = settled(now.join(moved, "node", "left").select("node", F.coalesce("to", "label").alias("label")))
-    return now, rounds, False
+            return labels(), n, True
+        moves = F.xxhash64(F.lit(seed), F.lit(n), "node").bitwiseAND(1) == 1
+        now = settled(now.join(wants, ["twin", "label"], "left").select("node", "twin", F.when(moves, F.coalesce("to", "label")).otherwise(F.col("label")).alias("label")))
+    return labels(), rounds, False
 
 
 def clusters(df: DataFrame, group: str, row_id: str, embedding: str, threshold: float = 0.92, seed: int = 0, rounds: int = 100) -> DataFrame:

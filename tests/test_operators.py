@@ -139,6 +139,39 @@ def test_whispers_equal_plain_rounds(spark, seed):
     assert ({r["node"]: r["label"] for r in got.collect()}, n, rest) == (want, m, still)
 
 
+def test_whispers_pass_between_first_twins_only(spark, monkeypatch):
+    """Two groups of copies and some faces beside them: rounds meet links between first twins, not the square of a group, and labels are those of going over all links."""
+    nodes = list(range(70))
+    pairs = {(a, b) for g in (range(30), range(30, 60)) for a in g for b in g if a != b} | {(a, b) for a in range(28, 34) for b in range(60, 64)} | {(64, 65)}
+    links = sorted(pairs | {(b, a) for a, b in pairs})
+    coins = {(r["r"], r["n"]): r["c"] for r in spark.range(70).select(F.col("id").alias("n")).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(30)))).select("r", "n", F.xxhash64(F.lit(3), F.col("r"), "n").bitwiseAND(1).alias("c")).collect()}
+    written = []
+
+    def noted(df, settled=V.settled):
+        written.append(settled(df))
+        return written[-1]
+
+    monkeypatch.setattr(V, "settled", noted)
+    got, n, rest = V.whispers(spark.createDataFrame([(i,) for i in nodes], "node long"), spark.createDataFrame(links, "a long, b long"), 3, 30)
+    assert ({r["node"]: r["label"] for r in got.collect()}, n, rest) == by_rounds(nodes, links, 3, coins, 30)
+    passed = [df.count() for df in written if df.columns == ["a", "b"]]
+    assert passed[-1] < 80 < 1700 < passed[0] == len(links)
+
+
+def test_comparing_takes_no_distance_where_none_is_asked_for(spark):
+    """Pairs within a radius, with and without their distances, copies and pairs at the radius itself among them, are those of comparing all."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.repeat(rng.normal(size=(1, 5)), 40, axis=0), rng.normal(size=(60, 5)), [[9, 0, 0, 0, 0], [9, 0.5, 0, 0, 0], [9, 0.4999999999, 0, 0, 0]]])
+    points = spark.createDataFrame([(i, f"l{i % 3}", v.tolist()) for i, v in enumerate(x)], "point_id long, label string, vector array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = {(i, j) for i in range(len(x)) for j in range(len(x)) if i != j and d[i, j] < 0.5}
+    assert (100, 101) not in want and (100, 102) in want
+    plain = [tuple(r) for r in pivots.within(points, 0.5, distance=False).collect()]
+    full = pivots.within(points, 0.5).collect()
+    assert set(plain) == want and len(plain) == len(want) == len(full)
+    assert {(r["query_id"], r["point_id"], r["label"], round(r["distance"], 12)) for r in full} == {(i, j, f"l{j % 3}", round(d[i, j], 12)) for i, j in want}
+
+
 def test_clusters_within_films(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(c, 0.01, (15, 4)) for c in (0, 5, 9)])
