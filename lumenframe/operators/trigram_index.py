@@ -90,7 +90,7 @@ def _of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The rows whose value is among those of the one column of wanted."""
     (c,) = wanted.columns
     few = [r[c] for r in wanted.limit(LISTED + 1).collect()]
-    return rows.where(F.col(c).isin(few)) if len(few) <= LISTED else rows.join(wanted, c, "left_semi")
+    return rows.where(F.col(c).isin(few)) if len(few) <= LISTED else rows.join(wanted, c, "left_semi").select(*rows.columns)
 
 
 def _holders(spark: SparkSession, root: str, names: DataFrame) -> DataFrame:

@@ -170,6 +170,15 @@ def test_postings_lead_to_different_names_not_to_ids(spark, tmp_path):
     assert {r["id"] for r in got} == want and len(got) == len(want) and got[0]["score"] == share("the red rings", "the red ring")
 
 
+def test_many_found_names_keep_the_order_of_columns(spark, tmp_path):
+    """More different names than are listed are joined: the columns stay (id, name)."""
+    root = f"file://{tmp_path}/i"
+    held = [(i, f"red ring {i}") for i in range(T.LISTED + 20)]
+    T.build(spark, root, spark.createDataFrame(held, "id int, name string"))
+    got = T.holding(spark, root, "red ring")
+    assert got.columns == ["id", "name"] and sorted(map(tuple, got.collect())) == held
+
+
 def test_index_opens_only_the_buckets_it_needs(spark, tmp_path):
     root = f"file://{tmp_path}/i"
     T.build(spark, root, spark.createDataFrame([(i, n) for i, n in enumerate(names(100)) if n], "id int, name string"))
